@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, cws, simhash
+from . import bpe, chat, cws, simhash, tokenfiles, warc
 
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -27,6 +27,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by prefix dynamic programming, and the text they decode to."""
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC bundles and read back."""
+    return warc.write_and_read(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written as indexed binary shards and read back through the index."""
+    return tokenfiles.write_and_read(table(spark, sf_dir, "documents"))
+
+
 def _escaped_length(x: str) -> str:
     marks = " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
     return f"(2 * length({x}) - length(replace({x}, '\\', '')) + {marks})"
@@ -44,5 +59,14 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
     + {_escaped_length("text")} + 8) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_fingerprints, op3_simhash)}
-ORACLES = {"op1_chat_format": _OP1}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_fingerprints, op3_simhash, op4_bpe, op6_warc, op10_token_files)}
+_OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM k"""
+
+ORACLES = {"op1_chat_format": _OP1, "op6_warc": _OP6}
