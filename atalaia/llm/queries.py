@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, cws, simhash, tokenfiles, warc
+from . import bpe, chat, cws, simhash, suffix, tokenfiles, warc
 
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -37,6 +38,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-word passages that a smaller document has."""
+    kept = suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as indexed binary shards and read back through the index."""
     return tokenfiles.write_and_read(table(spark, sf_dir, "documents"))
@@ -59,7 +66,7 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
     + {_escaped_length("text")} + 8) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_fingerprints, op3_simhash, op4_bpe, op6_warc, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_fingerprints, op3_simhash, op4_bpe, op6_warc, op7_substring_dedup, op10_token_files)}
 _OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
@@ -69,4 +76,16 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM k"""
 
-ORACLES = {"op1_chat_format": _OP1, "op6_warc": _OP6}
+_OP7 = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
+n AS (SELECT doc_id, words, len(words) AS n FROM w),
+g AS (SELECT doc_id, unnest(range(1, n - 48)) AS i, words FROM n WHERE n >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS m FROM g),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY m) AS least FROM h),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM f WHERE doc_id > least),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, n + 1)) AS p FROM n WHERE n > 0),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n_kept FROM p ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM n LEFT JOIN k USING (doc_id)"""
+
+ORACLES = {"op1_chat_format": _OP1, "op6_warc": _OP6, "op7_substring_dedup": _OP7}
