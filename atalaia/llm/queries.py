@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, cws, simhash, suffix, tokenfiles, warc
+from . import bpe, chat, cws, simhash, suffix, tokenfiles, toxicity, warc
 
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -44,6 +44,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a classifier trained on their labels."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as indexed binary shards and read back through the index."""
     return tokenfiles.write_and_read(table(spark, sf_dir, "documents"))
@@ -66,7 +72,7 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
     + {_escaped_length("text")} + 8) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_fingerprints, op3_simhash, op4_bpe, op6_warc, op7_substring_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_fingerprints, op3_simhash, op4_bpe, op6_warc, op7_substring_dedup, op8_toxicity, op10_token_files)}
 _OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
