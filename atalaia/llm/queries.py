@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, cws, simhash, suffix, tokenfiles, toxicity, warc
+from . import bpe, chat, cws, patience, simhash, suffix, tiling, tokenfiles, toxicity, warc
 
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -33,6 +33,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the benchmark item they cover most and whether they are contaminated."""
+    return tiling.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("rest")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC bundles and read back."""
     return warc.write_and_read(table(spark, sf_dir, "pages")).drop("url")
@@ -50,6 +55,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the license notice or text they contain."""
+    return patience.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as indexed binary shards and read back through the index."""
     return tokenfiles.write_and_read(table(spark, sf_dir, "documents"))
@@ -72,7 +82,21 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
     + {_escaped_length("text")} + 8) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_fingerprints, op3_simhash, op4_bpe, op6_warc, op7_substring_dedup, op8_toxicity, op10_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_fingerprints,
+        op3_simhash,
+        op4_bpe,
+        op5_decontamination,
+        op6_warc,
+        op7_substring_dedup,
+        op8_toxicity,
+        op9_license_scan,
+        op10_token_files,
+    )
+}
 _OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
