@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -32,29 +33,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(1)
+def gamma_quantiles() -> np.ndarray:
+    """The 65,536 quantiles of Gamma(2,1) at the middles of equal steps, by bisection of 1 - (1 + x) exp(-x)."""
+    at = (np.arange(65536) + 0.5) / 65536
+    low, high = np.zeros(65536), np.full(65536, 40.0)
+    for _ in range(45):
+        mid = (low + high) / 2
+        below = 1 - (1 + mid) * np.exp(-mid) < at
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return np.round(high * 2.0**20) / 2.0**20  # alike on every machine
+
+
 class Sampler:
     """Fingerprints of bags; keeps the variates of terms it has met, up to a bound."""
 
     def __init__(self, slots: int = SLOTS, cached: int = CACHED_TERMS) -> None:
         self.slots, self.cached = slots, cached
-        steps = np.arange(1, 3 * slots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        self.steps, self.salt = steps, _mixed(steps[:slots] + np.uint64(77))
+        self.steps = np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.salt = _mixed(self.steps + np.uint64(77))
+        quantile = gamma_quantiles()
+        self.gamma, self.log_gamma = quantile.astype(np.float32), np.log(quantile).astype(np.float32)
         self.rows: dict[str, int] = {}
         self.hash = np.zeros(cached, np.uint64)
         self.r, self.beta, self.one = (np.zeros((cached, slots), np.float32) for _ in range(3))
 
     def _draw(self, terms: list[str]) -> None:
-        """Put the variates of new terms behind those that are kept."""
-        a, b = len(self.rows), len(self.rows) + len(terms)
-        h = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms), np.uint64, len(terms))
+        """Put the variates of new terms behind those that are kept: 16 bits of hash for each Gamma one, 32 for the uniform one."""
+        n = len(terms)
+        new = slice(len(self.rows), len(self.rows) + n)
+        digest = xxhash.xxh64_digest
+        self.hash[new] = h = np.frombuffer(b"".join([digest(t.encode("utf-8", "surrogatepass")) for t in terms]), "<u8")
         x = _mixed(h[:, None] + self.steps)
-        u = ((np.stack([x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)])).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
-        u = u.reshape(2, len(terms), 3, self.slots)
-        self.hash[a:b], self.beta[a:b] = h, u[0, :, 2] * np.float32(1 - 2.0**-23)
-        self.r[a:b] = -np.log(u[0, :, 0] * u[1, :, 0])
-        c = -np.log(u[0, :, 1] * u[1, :, 1])
-        self.one[a:b] = np.log(c) - self.r[a:b] * (1 - self.beta[a:b])  # the value at weight 1
-        self.rows.update(zip(terms, range(a, b), strict=True))
+        short, r, beta = x.view("<u2").reshape(n, self.slots, 4), self.r[new], self.beta[new]
+        np.take(self.gamma, short[:, :, 0], out=r, mode="clip")
+        np.multiply(x.view("<u4").reshape(n, self.slots, 2)[:, :, 1], np.float32(2.0**-32 * (1 - 2.0**-23)), out=beta, dtype=np.float32, casting="unsafe")
+        np.subtract(self.log_gamma[short[:, :, 1]], r * (1 - beta), out=self.one[new])  # the value at weight 1
+        self.rows.update(zip(terms, range(new.start, new.stop), strict=True))
 
     def _part(self, terms: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least value and 16-bit sample of each slot over some terms."""
