@@ -2,5 +2,376 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import links, text
+from ..operators import chunking, classify, coverage, keywords, maturity, search, web
+from ..session import table
+from ..streaming import ingest
+from . import settings as S
+from .sql import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Register a query under its own name; arrays leave it as strings, integers as long."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        kinds = {"int": lambda c: F.col(c).cast("long"), "array<string>": lambda c: F.array_join(c, ",")}
+        return df.select(*[kinds[t](c).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes])
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.document_rows(table(spark, sf, "documents"))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.pages(_docs(spark, sf))
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.chunks(_docs(spark, sf), S.SIZE, S.OVERLAP)
+
+
+def _kept_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks for plans that read them several times; cut once, spilled to disk where memory ends."""
+    return _chunks(spark, sf).persist()
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return search.questions(spark, S.QUESTIONS)
+
+
+def _criteria(spark: SparkSession) -> DataFrame:
+    rows = [(c, q, None, t, types, k, w, a, None) for c, q, t, types, k, w, a in S.CRITERIA]
+    return classify.criteria_rows(spark.createDataFrame(rows, classify.CRITERION))
+
+
+def _classified(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.classify(_kept_chunks(spark, sf), _criteria(spark))
+
+
+@query
+def index_counts(spark, sf):
+    return coverage.index_counts(_docs(spark, sf), _chunks(spark, sf))
+
+
+@query
+def manifest_by_type(spark, sf):
+    return coverage.manifest(_docs(spark, sf))
+
+
+@query
+def document_totals(spark, sf):
+    return chunking.document_totals(_docs(spark, sf))
+
+
+@query
+def pages_numbered(spark, sf):
+    return _pages(spark, sf).select("document_id", "page_no", "page_pos", F.sha1(F.col("texto").cast("binary")).alias("hash_texto"))
+
+
+@query
+def chunk_identity(spark, sf):
+    return _chunks(spark, sf).select("chunk_id", "document_id", F.col("pagina_inicial").alias("pagina"), "ordem", "hash_texto", "palavras", "caracteres")
+
+
+@query
+def hard_split(spark, sf):
+    parts = _docs(spark, sf).select("document_id", chunking.hard_split(text.collapse(F.col("text")), 100, 20).alias("w"))
+    return parts.select("document_id", F.size("w").alias("janelas"), F.sha1(F.array_join("w", "|").cast("binary")).alias("resumo"))
+
+
+@query
+def bm25_topk(spark, sf):
+    return search.bm25(_kept_chunks(spark, sf), _asked(spark)).select("query_id", "chunk_id", "score", "posicao")
+
+
+@query
+def postings_stats(spark, sf):
+    return search.postings(_chunks(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@query
+def like_fallback(spark, sf):
+    return search.like_fallback(_chunks(spark, sf), "idiot worthless")
+
+
+@query
+def hash_embedding(spark, sf):
+    rows = _chunks(spark, sf).select("chunk_id", F.explode(search.embedding(F.col("texto"))).alias("e"))
+    return rows.select("chunk_id", "e.bucket", text.rounded(F.col("e.weight"), 6).alias("weight"))
+
+
+@query
+def cosine_topk(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.filter(F.col("vec_id") < S.QUERY_VECTORS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.dense_cosine(vectors, asked, 30)
+
+
+@query
+def semantic_topk_filtered(spark, sf):
+    return search.semantic(_kept_chunks(spark, sf), _asked(spark)).select("query_id", "chunk_id", "score", "posicao")
+
+
+@query
+def hybrid_rrf_topk(spark, sf):
+    parts = _kept_chunks(spark, sf)
+    found = search.evidence(search.hybrid(parts, _asked(spark)), parts)
+    return found.select("query_id", "chunk_id", "score", "score_lexical", "score_semantico", "fontes", "rank", "documento", "pagina", "trecho")
+
+
+@query
+def hybrid_batch_criteria(spark, sf):
+    asked = _criteria(spark).select(F.col("codigo").alias("query_id"), "pergunta", F.lit(None).cast("string").alias("orgao"), "tipos")
+    return search.hybrid(_kept_chunks(spark, sf), asked).select(F.col("query_id").alias("criterio"), "chunk_id", "score", "fontes", "rank")
+
+
+@query
+def criterion_classification(spark, sf):
+    return _classified(spark, sf).select("orgao", "criterio", "eixo_imga", "peso_criterio", "classificacao", "pontuacao", "score_ponderado", "score_recuperacao", "evidencias_total", "palavras_chave_encontradas")
+
+
+@query
+def axis_scores(spark, sf):
+    return classify.axis_scores(_classified(spark, sf))
+
+
+@query
+def org_indicators(spark, sf):
+    return classify.indicators(_classified(spark, sf)).drop("classificacoes", "pontuacao_por_eixo", "criterios_por_eixo")
+
+
+@query
+def label_histogram(spark, sf):
+    return classify.label_histogram(_classified(spark, sf), "orgao")
+
+
+@query
+def org_ranking(spark, sf):
+    return classify.ranking(classify.indicators(_classified(spark, sf)))
+
+
+@query
+def org_criterion_matrix(spark, sf):
+    return classify.matrix(_classified(spark, sf))
+
+
+@query
+def manual_sample(spark, sf):
+    return classify.manual_sample(_classified(spark, sf))
+
+
+def _counts(spark, sf):
+    return keywords.counts_by_page(_pages(spark, sf), S.KEYWORDS)
+
+
+@query
+def keyword_counts_page(spark, sf):
+    return _counts(spark, sf)
+
+
+@query
+def keyword_counts_doc(spark, sf):
+    return keywords.counts_by_document(_counts(spark, sf))
+
+
+@query
+def keyword_counts_global(spark, sf):
+    return keywords.counts_global(_counts(spark, sf))
+
+
+@query
+def keyword_pct(spark, sf):
+    return keywords.percentages(_counts(spark, sf), _docs(spark, sf))
+
+
+@query
+def top_keywords_org(spark, sf):
+    return keywords.top_by_agency(_counts(spark, sf), 3)
+
+
+@query
+def top_keywords_global(spark, sf):
+    return keywords.top_global(_counts(spark, sf))
+
+
+@query
+def org_estimates(spark, sf):
+    return keywords.agency_statistics(_docs(spark, sf), _counts(spark, sf))
+
+
+@query
+def org_totals(spark, sf):
+    return keywords.agency_statistics(_docs(spark, sf), _counts(spark, sf), estimate=False)
+
+
+@query
+def run_summary(spark, sf):
+    return keywords.summary(_docs(spark, sf), _counts(spark, sf), S.KEYWORDS)
+
+
+def _snippets(spark, sf):
+    return keywords.snippets(_pages(spark, sf), S.SNIPPET_KEYWORDS)
+
+
+@query
+def snippets(spark, sf):
+    return _snippets(spark, sf)
+
+
+@query
+def snippets_exact_dedup(spark, sf):
+    return keywords.distinct_snippets(_snippets(spark, sf)).select("document_id", "ordem", "snippet")
+
+
+@query
+def snippets_near_dedup(spark, sf):
+    return keywords.unlike_snippets(_snippets(spark, sf))
+
+
+@query
+def jaccard_pairs(spark, sf):
+    """Word overlap of the first 20 benchmark items with all items after them."""
+    items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(text.words(F.lower("text"))).alias("w"))
+    a, b = items.filter("item_id < 20").toDF("a", "wa"), items.toDF("b", "wb")
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", text.rounded(text.jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard"))
+
+
+def _scored(spark, sf):
+    return maturity.score_segments(maturity.segments(_docs(spark, sf)), S.LEXICON, S.BOOSTERS)
+
+
+@query
+def segment_scores(spark, sf):
+    return _scored(spark, sf).select("document_id", "segmento", "eixo", "score", "evidencias")
+
+
+@query
+def axis_statistics(spark, sf):
+    return maturity.axis_statistics(_scored(spark, sf), S.BOOSTERS)
+
+
+@query
+def imga_axis_audit(spark, sf):
+    return maturity.audit(_docs(spark, sf), _scored(spark, sf))
+
+
+@query
+def imga_document(spark, sf):
+    return maturity.document_index(maturity.audit(_docs(spark, sf), _scored(spark, sf)))
+
+
+@query
+def term_consolidation(spark, sf):
+    return maturity.consolidated(_scored(spark, sf))
+
+
+@query
+def missing_document_types(spark, sf):
+    """The types an agency lacks among the first sixty documents, a collection small enough to lack some."""
+    return coverage.missing_types(_docs(spark, sf).filter(F.col("document_id").cast("long") < 60), S.TYPES, S.SEVERE)
+
+
+@query
+def processed_anti_join(spark, sf):
+    return coverage.pending(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), "doc_id")
+
+
+@query
+def org_from_filename(spark, sf):
+    name = F.substring(F.regexp_replace("text", r"\s+", "_"), 1, 40)
+    return table(spark, sf, "documents").select("doc_id", links.agency_of_filename(name).alias("orgao"))
+
+
+@query
+def acronym_lookup(spark, sf):
+    known = {"BRAZIL": "BR", "FRANCE": "FR", "GERMANY": "DE"}
+    return table(spark, sf, "nation").select("n_nationkey", links.lookup(F.col("n_name"), known).alias("sigla"))
+
+
+def _anchors(spark, sf):
+    return web.anchors(table(spark, sf, "pages"))
+
+
+@query
+def page_anchors(spark, sf):
+    return _anchors(spark, sf).select("page_id", "pos", "href", "texto", links.absolute(F.col("href"), F.col("url")).alias("link"))
+
+
+@query
+def document_links(spark, sf):
+    return web.document_links(_anchors(spark, sf), pdf_only=False).drop("data")
+
+
+@query
+def link_dedup(spark, sf):
+    found = _anchors(spark, sf).select(links.absolute(F.col("href"), F.col("url")).alias("link"), "page_id", "pos")
+    return web.first_of_same(found, "page_id", "pos")
+
+
+@query
+def hub_pages(spark, sf):
+    return web.page_scores(_anchors(spark, sf)).drop("url")
+
+
+@query
+def minutes_titles(spark, sf):
+    return _pages(spark, sf).filter((F.length("texto") <= 80) & links.is_minutes(F.col("texto"))).select("document_id", "page_no", F.col("texto").alias("titulo"))
+
+
+@query
+def bfs_hubs(spark, sf):
+    found = _anchors(spark, sf).select(F.col("url").alias("source"), links.absolute(F.col("href"), F.col("url")).alias("target"), "pos")
+    start = table(spark, sf, "pages").orderBy("page_id").select("url").first()
+    return web.crawl(found, start["url"])
+
+
+@query
+def title_dates(spark, sf):
+    rows = _pages(spark, sf).select("document_id", "page_no", text.title_date(F.col("texto")).alias("data"), text.has_year(F.col("texto")).alias("tem_ano"))
+    return rows.filter(F.col("data").isNotNull())
+
+
+@query
+def extractive_answer(spark, sf):
+    return _pages(spark, sf).select("document_id", "page_no", text.excerpt(F.col("texto")).alias("trecho"))
+
+
+@query
+def conversion_stats(spark, sf):
+    runs = table(spark, sf, "events").filter("value is not null").select(F.col("event_type").alias("tipo"), (F.col("value") >= 50).alias("ok"))
+    return coverage.success_rates(runs, "tipo", "ok")
+
+
+@query
+def rolling_avg_last10(spark, sf):
+    return coverage.recent_mean(table(spark, sf, "events"), "event_type", "event_id", "value")
+
+
+@query
+def streamed_ingest_counts(spark, sf):
+    return ingest.streamed_event_counts(spark, f"{sf.rstrip('/')}/events.parquet")
+
+
+@query
+def label_agreement(spark, sf):
+    both = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")
+    return both.groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def conversation_pages(spark, sf):
+    turns = table(spark, sf, "conversations")
+    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("paginas"), F.sum(text.n_words(F.col("text"))).alias("palavras"), F.array_sort(F.collect_set("role")).alias("papeis"))

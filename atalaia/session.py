@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,12 @@ def local_session(cpus: int | None = None, memory: str = "12g") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or in tests below one of our own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/atalaia-{os.getpid()}"
+    return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder (any URI Spark can read)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
