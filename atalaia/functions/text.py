@@ -94,11 +94,6 @@ def paragraphs(c: Column, least: int = K.SEGMENT_CHARS) -> Column:
     return F.filter(F.transform(F.split(without_page_numbers(c), r"\n\s*\n"), F.trim), lambda x: F.length(x) >= least)
 
 
-def whole_word(text: Column, word: Column) -> Column:
-    """Whether ``word`` stands in ``text`` between word boundaries; both in lower case."""
-    return F.rlike(text, F.concat(F.lit(r"(?U)\b\Q"), word, F.lit(r"\E\b")))
-
-
 def title_date(c: Column) -> Column:
     """The first date that one of the ordered patterns finds; null if none does."""
     found = [F.nullif(F.regexp_extract(c, p, 0), F.lit("")) for p in K.DATE_PATTERNS]

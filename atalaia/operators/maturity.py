@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import n_words, paragraphs, rounded, whole_word
+from ..functions.text import n_words, paragraphs, rounded
 
 Lexicon = dict[str, tuple[list[str], list[str], list[str]]]
 
@@ -23,8 +23,9 @@ def segments(docs: DataFrame) -> DataFrame:
 
 
 def _found(low: Column, signals: list[str], words: bool) -> Column:
-    known = F.array(*[F.lit(s.lower()) for s in signals]) if signals else F.array().cast("array<string>")
-    return F.filter(known, lambda s: whole_word(low, s) if words else F.contains(low, s))
+    """The signals that a lower-cased text holds; each is a literal pattern, so it is compiled once."""
+    test = lambda x: low.rlike(rf"(?U)\b\Q{x}\E\b") if words else F.contains(low, F.lit(x))
+    return F.array_compact(F.array(*[F.when(test(x), x) for x in map(str.lower, signals)])) if signals else F.array().cast("array<string>")
 
 
 def boosters(low: Column, families: dict[str, list[str]] | None = None) -> dict[str, Column]:

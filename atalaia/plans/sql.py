@@ -194,7 +194,32 @@ def _minutes(x: str) -> str:
 _AGENCY = "CASE " + " ".join(f"WHEN {_any('lower(nome)', v)} THEN '{k}'" for k, v in K.AGENCY_PATTERNS.items()) + " WHEN length(upper(string_split(nome, '_')[1])) <= 10 THEN upper(string_split(nome, '_')[1]) ELSE 'OUTROS' END"
 _DATES = "coalesce(" + ", ".join(f"nullif(regexp_extract(texto, '{p}'), '')" for p in K.DATE_PATTERNS) + ")"
 
+_JACCARD = f"len(list_intersect({words('lower(k.snippet)')}, {words('lower(s.snippet)')})) / len(list_distinct(list_concat({words('lower(k.snippet)')}, {words('lower(s.snippet)')})))"
+_NEAR = f"""WITH RECURSIVE {SNIPPETS},
+fold AS (
+  SELECT document_id, 0 AS i, []::STRUCT(ordem BIGINT, snippet VARCHAR)[] AS kept FROM (SELECT DISTINCT document_id FROM sn)
+  UNION ALL
+  SELECT f.document_id, i + 1, CASE WHEN len(list_filter(kept, lambda k: k.snippet = s.snippet)) > 0 OR len(list_filter(list_slice(kept, greatest(len(kept) - 4, 1), len(kept)), lambda k: {_JACCARD} >= 0.85)) > 0
+    THEN kept ELSE list_append(kept, {{'ordem': s.ordem, 'snippet': s.snippet}}) END
+  FROM fold f JOIN sn s ON s.document_id = f.document_id AND s.ordem = f.i + 1),
+last AS (SELECT document_id, unnest(kept) AS k FROM fold QUALIFY i = max(i) OVER (PARTITION BY document_id))
+SELECT document_id, k.ordem AS ordem, k.snippet AS snippet FROM last"""
+_ORIGIN = lambda x: f"regexp_extract({x}, '^(https?://[^/?#]+)', 1)"
+_CRAWL = f"""WITH {_ANCHORS},
+e AS (SELECT string_split(url, '#')[1] AS source, string_split(link, '#')[1] AS target, pos FROM al),
+s AS (SELECT string_split(url, '#')[1] AS url FROM pages ORDER BY page_id LIMIT 1),
+same AS (SELECT * FROM e WHERE {_ORIGIN("source")} = {_ORIGIN("target")} AND {_ORIGIN("source")} <> ''),
+a1 AS (SELECT target, row_number() OVER (ORDER BY pos, target) AS n FROM same JOIN s ON source = s.url WHERE target <> s.url QUALIFY n <= {K.CRAWL_OUTLINKS}),
+l1 AS (SELECT target, row_number() OVER (ORDER BY min(n), target) + 1 AS ordem FROM a1 GROUP BY target QUALIFY ordem <= {K.CRAWL_PAGES}),
+a2 AS (SELECT same.target, l1.ordem AS o, row_number() OVER (PARTITION BY source ORDER BY pos, same.target) AS n FROM same JOIN l1 ON source = l1.target
+  WHERE same.target NOT IN (SELECT target FROM l1) AND same.target NOT IN (SELECT url FROM s) QUALIFY n <= {K.CRAWL_OUTLINKS}),
+f2 AS (SELECT target, min({{'o': o, 'n': n}}) AS k FROM a2 GROUP BY target),
+l2 AS (SELECT target, row_number() OVER (ORDER BY k, target) + 1 + (SELECT count(*) FROM l1) AS ordem FROM f2 QUALIFY ordem <= {K.CRAWL_PAGES})
+SELECT url, 0 AS depth, 1 AS ordem FROM s UNION ALL SELECT target, 1, ordem FROM l1 UNION ALL SELECT target, 2, ordem FROM l2"""
+
 ORACLES = {
+    "snippets_near_dedup": _NEAR,
+    "bfs_hubs": _CRAWL,
     "index_counts": f"WITH RECURSIVE {CHUNKS} SELECT (SELECT count(*) FROM d) AS documentos, (SELECT count(DISTINCT orgao) FROM d) AS orgaos, (SELECT count(DISTINCT tipo_documento) FROM d) AS tipos, (SELECT count(*) FROM ch) AS chunks",
     "manifest_by_type": f"WITH {DOCS} SELECT tipo_documento, count(*) AS documentos, array_to_string(list_sort(list(DISTINCT orgao)), ',') AS orgaos FROM d GROUP BY tipo_documento",
     "document_totals": f"WITH {PAGES}, t AS (SELECT document_id, {collapse('texto')} AS t FROM pg) SELECT d.document_id, count(t.t) AS paginas, CAST(coalesce(sum(len({words('t.t')})), 0) AS BIGINT) AS palavras_total, CAST(coalesce(sum(length(t.t)), 0) AS BIGINT) AS caracteres_total FROM d LEFT JOIN t USING (document_id) GROUP BY d.document_id",
