@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PRETOKEN, Cache, pieces, prepare, tokenizer_path
+from .common import PRETOKEN, Cache, Parts, prepare, tokenizer_path
 
 
 def byte_letters() -> dict[str, int]:
@@ -29,14 +29,48 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Bpe:
-    """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
+class Decoder:
+    """Turns ids of a byte-level BPE file into text."""
 
-    def __init__(self, path: str | None = None, cached: int = 150_000) -> None:
+    def __init__(self, path: str | None = None) -> None:
+        with open(path or tokenizer_path(), encoding="utf-8") as f:
+            spec = json.load(f)
+        letters, vocab = byte_letters(), spec["model"]["vocab"]
+        self._from(spec, {t: bytes(letters[c] for c in t) for t in vocab})
+
+    def _from(self, spec: dict, raw: dict[str, bytes]) -> None:
+        vocab, self.added = spec["model"]["vocab"], {x["content"]: x["id"] for x in spec["added_tokens"]}
+        by_id = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
+        for t, i in vocab.items():
+            by_id[i] = raw[t]
+        for t, i in self.added.items():
+            by_id[i] = t.encode()
+        self.raw_size = np.array([len(x) for x in by_id], np.int64)
+        self.raw_start, self.raw_bytes = np.cumsum(self.raw_size) - self.raw_size, np.frombuffer(b"".join(by_id), np.uint8)
+
+    def decode_batch(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """The texts of several runs of ids, given one after another; special ids stand for their strings."""
+        size = self.raw_size[ids]
+        ends = np.cumsum(size)
+        data = self.raw_bytes[np.repeat(self.raw_start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.r_[0, ends][np.cumsum(lengths)].tolist() if len(lengths) else []
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids, special ones included."""
+        flat = np.asarray(ids, np.int64)
+        return self.decode_batch(flat, np.array([len(flat)]))[0]
+
+
+class Bpe(Decoder):
+    """Encoder for a byte-level BPE file of the tokenizers library."""
+
+    def __init__(self, path: str | None = None, cached: int = 200_000) -> None:
         with open(path or tokenizer_path(), encoding="utf-8") as f:
             spec = json.load(f)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         raw = {t: bytes(letters[c] for c in t) for t in vocab}
+        self._from(spec, raw)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         single = [t for t in vocab if len(raw[t]) == 1]
         # Tokens are numbered in the order in which merges make them; single bytes come first.
@@ -51,26 +85,20 @@ class Bpe:
         for t, i in number.items():
             self.automaton.add_word(raw[t].decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.raw = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
-        for t, i in vocab.items():
-            self.raw[i] = raw[t]
-        for t, i in self.added.items():
-            self.raw[i] = t.encode()
-        self.pretokens = regex.compile(PRETOKEN).findall
-        self.fits = Cache(self._fits, 500_000)
-        self.pretoken_ids = Cache(self._pretoken, cached)
-        self.piece_ids = Cache(self._piece, cached)
+        self.fits = Cache(self._fits, 100_000)
+        self.cut = regex.compile(PRETOKEN).findall
+        self.pretokens = Cache(self._pretoken, cached)
+        self.encode_bytes = Parts(self._words, self._wholes, list(self.added), cached).encode
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
-        """Whether BPE leaves the two tokens apart when it meets their bytes next to each other.
+    def _fits(self, pair: int) -> bool:
+        """Whether BPE leaves two tokens, as first << 20 | second, apart when it meets their bytes next to each other.
 
         Merges that made the two are undone, the latest first; whenever the tokens now at the seam have a
         merge of their own that would have come before the one just undone, BPE would have joined them.
         Of equal merges the left one comes first: times are (merge, 0 left, 1 seam, 2 right).
         """
-        a, b = pair
+        a, b = pair >> 20, pair & 0xFFFFF
         until = (len(self.id), 0)
         while True:
             seam = self.joined.get((a, b))
@@ -91,7 +119,7 @@ class Bpe:
             end += 1
             if last[end] < 0:
                 before = end - size[token]
-                if not before or (last[before] >= 0 and fits[last[before], token]):
+                if not before or (last[before] >= 0 and fits[last[before] << 20 | token]):
                     last[end] = token
         return last
 
@@ -103,30 +131,37 @@ class Bpe:
             at -= self.size[last[at]]
         return np.array(back[::-1], np.int32).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join([self.pretoken_ids[p] for p in self.pretokens(piece)])
+    def _words(self, words: list[str]) -> list[bytes]:
+        known = self.pretokens
+        return [known[" " + w] if w.isalpha() else b"".join([known[p] for p in self.cut(" " + w)]) for w in words]
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text as the library's encode(text, add_special_tokens=False) has them."""
-        known = self.piece_ids
-        if self.split and self.split.search(text):
-            parts = self.split.split(text)
-            joined = b"".join(np.int32(self.added[p]).tobytes() if i % 2 else b"".join([known[x] for x in pieces(p, self.pretokens)]) for i, p in enumerate(parts))
-        else:
-            joined = b"".join([known[p] for p in pieces(text, self.pretokens)])
-        return np.frombuffer(joined, np.int32)
+    def _wholes(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts cut by the pattern; strings of added tokens are taken out first."""
+        known, out = self.pretokens, []
+        for t in texts:
+            parts = self.split.split(t) if self.split else [t]
+            out.append(b"".join([np.int32(self.added[x]).tobytes() if i % 2 else b"".join([known[p] for p in self.cut(x)]) for i, x in enumerate(parts)]))
+        return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids, special ones included."""
-        raw = self.raw
-        return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts as the library's encode(text, add_special_tokens=False) has them."""
+        return [np.frombuffer(x, np.int32) for x in self.encode_bytes(texts)]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch([text])[0]
 
 
 @lru_cache(2)
 def shared_bpe(path: str | None) -> Bpe:
+    """One encoder for all tasks that a worker process runs, so that what it learned is kept."""
     return Bpe(path)
 
 
+@lru_cache(2)
+def shared_decoder(path: str | None) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, ids) of (doc_id, text): row by row, no shuffle. Null text counts as empty and gives no ids; other columns are not read."""
     prepare(docs.sparkSession)
@@ -134,7 +169,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared_bpe(tokenizer)
         for b in batches:
-            ids = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
+            ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
@@ -147,9 +182,10 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     prepare(encoded.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = shared_bpe(tokenizer)
+        bpe = shared_decoder(tokenizer)
         for b in batches:
-            texts = [bpe.decode(x or ()) for x in b.column(1).to_pylist()]
+            ids = b.column(1)
+            texts = bpe.decode_batch(ids.flatten().to_numpy().astype(np.int64), ids.value_lengths().fill_null(0).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(work, "doc_id long, ids array<int>, text string")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -87,21 +86,6 @@ def bucket_of(key: str, points: list[int]) -> Column:
 #: Characters that the tokenizer's pattern calls white space, and the pattern of byte-level BPE over them.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-_RUN = re.compile(r"\s | \s")
-
-
-def pieces(text: str, pretokens: Callable[[str], list[str]]) -> list[str]:
-    """Parts of ``text`` that byte-level BPE encodes independently of each other.
-
-    A single space between two other characters always starts a pretoken, so the text can be cut
-    before each; where white space comes in runs, the pretokens themselves are the parts.
-    """
-    if not text:
-        return []
-    if _RUN.search(text):
-        return pretokens(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
 
 
 class Cache(dict):
@@ -122,6 +106,69 @@ class Cache(dict):
         return value
 
 
+class Parts:
+    """Ids of whole texts from the ids of their words, most of which are known from texts before.
+
+    A single blank between two characters that are not white space always starts a pretoken, so a text can
+    be cut at its blanks. A word that is empty or has white space at an end stands for a run of white
+    space: its text is encoded as a whole. At most twice ``cached`` words are kept.
+    """
+
+    def __init__(self, words: Callable[[list[str]], list[bytes]], wholes: Callable[[list[str]], list[bytes]], special: list[str], cached: int = 250_000) -> None:
+        """``words`` encodes words with a blank before each, ``wholes`` texts; ``special`` are strings that the tokenizer takes out first."""
+        self.of_words, self.of_wholes, self.special, self.cached = words, wholes, special, cached
+        #: By word, False where it stands for a run of white space: the present and the last generation.
+        self.known: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > self.cached:
+            self.known, self.old = {}, self.known
+        known, old, new = self.known, self.old, []
+        for w in words:
+            v = old.get(w)
+            if v is not None:
+                known[w] = v
+            elif not w or w[0].isspace() or w[-1].isspace():
+                known[w] = False
+            else:
+                new.append(w)
+        known.update(zip(new, self.of_words(new), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, one after another."""
+        split, missing, heads = [], set(), {}
+        get = self.known.get
+        for t in texts:
+            if any(s in t for s in self.special):
+                split.append(None)
+                continue
+            head, *words = t.split(" ")
+            heads[head] = b""
+            values = list(map(get, words))
+            if None in values:
+                missing.update([w for w, v in zip(words, values, strict=True) if v is None])
+            split.append((head, words, values))
+        if missing:
+            self._learn(missing)
+        known = self.known
+        some = [h for h in heads if h and not h[-1].isspace()]
+        heads = {"": b""} | dict(zip(some, self.of_wholes(some), strict=True))
+        out, rest = [], []
+        for i, x in enumerate(split):
+            head, words, values = x or (" ", (), ())
+            if None in values:
+                values = [known[w] if v is None else v for w, v in zip(words, values, strict=True)]
+            if head not in heads or False in values:
+                rest.append(i)
+                out.append(b"")
+            else:
+                out.append(heads[head] + b"".join(values))
+        for i, x in zip(rest, self.of_wholes([texts[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public vocabulary file; resolved where it is used, as each executor has its own copy."""
     import public_tokenizers

@@ -12,14 +12,14 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PRETOKEN, Cache, bucket_of, cut, library_tokenizer, mapped, new_folder, pieces, prepare, shuffle_partitions, split_points
+from .common import Parts, bucket_of, cut, library_tokenizer, mapped, new_folder, prepare, shuffle_partitions, split_points
 
 #: Hash bits for each key at a level, and the levels after which the few keys left are kept in a list.
 GAMMA, LEVELS = 1.6, 40
@@ -130,9 +130,9 @@ class Shard:
 
 
 class Encoder:
-    """The tokenizers library, asked once for each part of text that its pattern keeps separate."""
+    """The tokenizers library, asked once for each word that the cache does not know."""
 
-    def __init__(self, path: str | None, cached: int = 200_000) -> None:
+    def __init__(self, path: str | None, cached: int = 400_000) -> None:
         self.lib = library_tokenizer(path)
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
@@ -140,42 +140,30 @@ class Encoder:
         self.length = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token; its letters stand for bytes
         for t, i in vocab.items():
             self.length[i] = len(t)
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.pretokens = regex.compile(PRETOKEN).findall
-        self.known = Cache(lambda p: self._alone([p])[0], cached)
+        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.encode = Parts(self._words, self._alone, special, cached).encode
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        """Have the library encode parts; those that begin with a space are run together and cut apart again."""
-        if len(self.known) + len(missing) > self.known.most:
-            self.known.old = dict(self.known)
-            self.known.clear()
-        run = [p for p in missing if p[0] == " " and len(p) > 1 and not p[-1].isspace()]
-        rest = list(set(missing).difference(run))
-        self.known.update(zip(rest, self._alone(rest), strict=True))
-        for i in range(0, len(run), 5000):
-            some = run[i : i + 5000]
-            ids = np.array(self.lib.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum([len(p.encode()) for p in some])
-            cuts = np.searchsorted(np.cumsum(self.length[ids]), ends, "left") + 1
-            raw, w = ids.astype(self.kind).tobytes(), self.width
-            self.known.update(zip(some, (raw[a * w : b * w] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The little-endian ids of each text."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        parts = [[] if i in whole else pieces(t, self.pretokens) for i, t in enumerate(texts)]
-        known = self.known
-        missing = set().union(*parts).difference(known)
-        self._learn([p for p in missing if p not in known.old])
-        out = [b"".join([known[p] for p in x]) for x in parts]
-        for i, x in zip(whole, self._alone([texts[i] for i in whole]), strict=True):
-            out[i] = x
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a blank before each: the library gets them run together, its ids are cut apart by the tokens' sizes."""
+        out, w = [], self.width
+        for i in range(0, len(words), 5000):
+            some = words[i : i + 5000]
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])
+            raw, cuts = ids.astype(self.kind).tobytes(), ((np.searchsorted(np.cumsum(self.length[ids]), ends) + 1) * w).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         return out
 
 
+@lru_cache(2)
+def shared_encoder(path: str | None) -> Encoder:
+    """One encoder for all tasks that a worker process runs, so that what it learned is kept."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write (doc_id, text) as shards below ``folder`` in ascending doc_id order; returns (shard, uri, docs, tokens).
 
@@ -192,7 +180,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     dealt = dealt.repartition(len(points) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tie")
 
     def work(batches: Iterator[dict]) -> Iterable[dict]:
-        enc = Encoder(tokenizer)
+        enc = shared_encoder(tokenizer)
         store, root = fs.FileSystem.from_uri(folder)
         tail = np.array([end_id], enc.kind).tobytes()
         at = out = None
