@@ -76,11 +76,13 @@ def split_points(df: DataFrame, key: str, n: int) -> list[int]:
 
 
 def bucket_of(key: str, points: list[int]) -> Column:
-    """Number of split points at or below ``key``; nulls go to bucket -1."""
+    """Number of split points at or below ``key``, by halving the sorted points; nulls go to bucket -1."""
     if not points:
         return F.when(F.col(key).isNull(), -1).otherwise(0)
-    width = F.expr(f"array_size(filter(array({','.join(f'{p}L' for p in points)}), p -> p <= `{key}`))")
-    return F.when(F.col(key).isNull(), -1).otherwise(width)
+    known = f"array({','.join(f'{p}L' for p in points)})"
+    halve = f"if(a.lo >= a.hi, a, if({known}[(a.lo + a.hi) div 2] <= `{key}`, struct(int((a.lo + a.hi) div 2 + 1) as lo, a.hi as hi), struct(a.lo as lo, int((a.lo + a.hi) div 2) as hi)))"
+    found = F.expr(f"aggregate(sequence(1, {len(points).bit_length() + 1}), struct(0 as lo, {len(points)} as hi), (a, i) -> {halve}, a -> a.lo)")
+    return F.when(F.col(key).isNull(), -1).otherwise(found)
 
 
 #: Characters that the tokenizer's pattern calls white space, and the pattern of byte-level BPE over them.

@@ -153,11 +153,10 @@ def edit_likeness(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     heads = sorted((r["bucket"], r["head"]["down"], r["head"]["tie"]) for r in first.collect())[::-1]  # a row for each range
     if not heads:
         return spark.createDataFrame([], SCHEMA)
-    also = F.lit(None).cast("int")
-    for i, (bucket, down, tie) in enumerate(heads):
-        mine = (F.col("bucket") == bucket) & F.col("doc_id").eqNullSafe(F.lit(None if down is None else -down).cast("long")) & (F.col("tie") == tie)
-        also = F.when(mine, F.lit(heads[i - 1][0])).otherwise(also)
-    own, sent = F.struct(F.col("bucket").alias("to"), F.lit(0).alias("guest")), F.struct(also.alias("to"), F.lit(1).alias("guest"))
+    sent_to = [(bucket, None if down is None else -down, tie, heads[i - 1][0]) for i, (bucket, down, tie) in enumerate(heads)]
+    table = F.broadcast(spark.createDataFrame(sent_to, "h_bucket int, h_id long, h_tie long, also int"))  # a row for each range
+    rows = rows.join(table, (F.col("bucket") == F.col("h_bucket")) & F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")), "left")
+    own, sent = F.struct(F.col("bucket").alias("to"), F.lit(0).alias("guest")), F.struct(F.col("also").alias("to"), F.lit(1).alias("guest"))
     dealt = rows.select("doc_id", "text", "tie", F.explode(F.filter(F.array(own, sent), lambda x: x["to"].isNotNull())).alias("p")).select("doc_id", "text", "tie", "p.*")
     dealt = dealt.repartition(max(len(heads), 1), "to").sortWithinPartitions("to", "guest", F.desc_nulls_last("doc_id"), "tie")
 
