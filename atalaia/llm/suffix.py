@@ -40,7 +40,7 @@ class Words:
     """Hashes of words and of phrases of words."""
 
     def __init__(self) -> None:
-        self.known = Cache(xxhash.xxh64_digest, 200_000)
+        self.known = Cache(xxhash.xxh64_digest, 100_000)
         self.up = self.down = np.ones(1, np.uint64)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
