@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,25 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_dir(spark)
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once a context: they need not find it where the driver does."""
+    sc = spark.sparkContext
+    if getattr(sc, "_atalaia_shipped", False):
+        return
+    root, held = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    uri = new_folder(spark, "code")
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/atalaia.zip", compression=None) as out:
+        out.write(held.getvalue())
+    sc.addPyFile(f"{uri}/atalaia.zip")
+    sc._atalaia_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -219,6 +219,7 @@ def read(spark, shards: DataFrame) -> DataFrame:
 
     ``start`` counts the ids of all documents before; ``ids_crc32`` is over 4-byte little-endian ids.
     """
+    prepare(spark)
     listed = sorted((r["shard"], r["uri"], r["tokens"]) for r in shards.collect())  # a row for each shard
     base = np.cumsum([0, *(t for _, _, t in listed)]).tolist()
     rows = [(uri, b) for (_, uri, _), b in zip(listed, base, strict=False)]

@@ -208,6 +208,7 @@ def read(bundles: DataFrame) -> DataFrame:
                             out[k].append(v)
                     yield out
 
+    prepare(bundles.sparkSession)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     names = [x.split()[0] for x in schema.split(", ")]
     n = max(1, bundles.count())

@@ -125,3 +125,10 @@ def test_chat(spark):
         loss = "".join(t[3] or "" for t in order if t[2] == "assistant")
         assert (x.loss_chars, x.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.chat_digests(chat.format_turns(df.limit(0))).collect() == []
+
+
+def test_ranges_by_halving(spark):
+    df = spark.createDataFrame([(i,) for i in range(-60, 60)] + [(None,)], "k long")
+    for points in ([], [0], [-5, 7], sorted(random.Random(1).sample(range(-50, 50), 40))):
+        for x in df.select("k", common.bucket_of("k", points).alias("b")).collect():
+            assert x.b == (-1 if x.k is None else sum(p <= x.k for p in points))
