@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import links, text
@@ -115,8 +115,9 @@ def hash_embedding(spark, sf):
 
 @query
 def cosine_topk(spark, sf):
+    """Every vector whose id is divisible by 50 asked of all vectors."""
     vectors = table(spark, sf, "embeddings")
-    asked = vectors.filter(F.col("vec_id") < S.QUERY_VECTORS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return search.dense_cosine(vectors, asked, 30)
 
 
@@ -242,11 +243,11 @@ def snippets_near_dedup(spark, sf):
 
 
 @query
-def jaccard_pairs(spark, sf):
-    """Word overlap of the first 20 benchmark items with all items after them."""
-    items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(text.words(F.lower("text"))).alias("w"))
-    a, b = items.filter("item_id < 20").toDF("a", "wa"), items.toDF("b", "wb")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", text.rounded(text.jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard"))
+def jaccard_lines(spark, sf):
+    """Word overlap of each line of a document with the next one."""
+    lines = _pages(spark, sf).select("document_id", "page_no", F.array_distinct(text.words(F.lower("texto"))).alias("w"))
+    following = F.lead("w").over(Window.partitionBy("document_id").orderBy("page_no"))
+    return lines.withColumn("n", following).filter("n is not null").select("document_id", "page_no", text.rounded(text.jaccard(F.col("w"), F.col("n")), 6).alias("jaccard"))
 
 
 def _scored(spark, sf):
@@ -280,8 +281,9 @@ def term_consolidation(spark, sf):
 
 @query
 def missing_document_types(spark, sf):
-    """The types an agency lacks among the first sixty documents, a collection small enough to lack some."""
-    return coverage.missing_types(_docs(spark, sf).filter(F.col("document_id").cast("long") < 60), S.TYPES, S.SEVERE)
+    """The roles that a conversation lacks, its id for the agency and a turn's role for the type."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("orgao"), F.col("role").alias("tipo_documento"))
+    return coverage.missing_types(turns, S.TYPES, S.SEVERE)
 
 
 @query
@@ -291,8 +293,8 @@ def processed_anti_join(spark, sf):
 
 @query
 def org_from_filename(spark, sf):
-    name = F.substring(F.regexp_replace("text", r"\s+", "_"), 1, 40)
-    return table(spark, sf, "documents").select("doc_id", links.agency_of_filename(name).alias("orgao"))
+    name = F.element_at(F.split("url", "/"), -1)
+    return table(spark, sf, "pages").select("page_id", links.agency_of_filename(name).alias("orgao"))
 
 
 @query
@@ -328,7 +330,7 @@ def hub_pages(spark, sf):
 
 @query
 def minutes_titles(spark, sf):
-    return _pages(spark, sf).filter((F.length("texto") <= 80) & links.is_minutes(F.col("texto"))).select("document_id", "page_no", F.col("texto").alias("titulo"))
+    return _pages(spark, sf).filter(links.is_minutes(F.col("texto"))).select("document_id", "page_no", F.col("texto").alias("titulo"))
 
 
 @query

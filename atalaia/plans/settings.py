@@ -31,5 +31,4 @@ LEXICON = {
 BOOSTERS = {"acao": ["that", "que"], "periodicidade": ["with", "avec"], "responsavel": ["for", "pour"], "artefato": ["was", "auf"]}
 KEYWORDS = ["that", "idiot", "pour", "der", "que"]
 SNIPPET_KEYWORDS = ["idiot", "clown", "scum"]
-TYPES, SEVERE = ["en", "fr", "de", "es"], ("de", "es")
-QUERY_VECTORS = 5
+TYPES, SEVERE = ["user", "assistant", "system", "tool"], ("assistant", "tool")

@@ -230,7 +230,7 @@ ORACLES = {
     "postings_stats": _asked(r"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tk) GROUP BY ALL) GROUP BY term", lexical()),
     "like_fallback": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, 0.0::DOUBLE AS score FROM ch WHERE contains(lower(texto), 'idiot') OR contains(lower(texto), 'worthless') ORDER BY chunk_id LIMIT 30",
     "hash_embedding": f"WITH RECURSIVE {CHUNKS},{vectors('ch', 'chunk_id', 'texto', 'cv')} SELECT chunk_id, CAST(bucket AS BIGINT) AS bucket, {rnd('weight', 6)} AS weight FROM cv",
-    "cosine_topk": f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, {rnd('list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', 6)} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < {S.QUERY_VECTORS}) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS posicao FROM p QUALIFY posicao <= 30",
+    "cosine_topk": f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, {rnd('list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', 6)} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS posicao FROM p QUALIFY posicao <= 30",
     "semantic_topk_filtered": _asked("SELECT query_id, chunk_id, score, posicao FROM sem", semantic()),
     "hybrid_rrf_topk": _asked(f"SELECT query_id, chunk_id, score, {rnd('sl', 6)} AS score_lexical, {rnd('sv', 6)} AS score_semantico, fontes, rank, document_id AS documento, pagina, texto AS trecho FROM hy JOIN ch USING (chunk_id)", lexical(), semantic(), fused()),
     "hybrid_batch_criteria": _asked("SELECT query_id AS criterio, chunk_id, score, fontes, rank FROM hy", lexical(), semantic(), fused(), rows=_CRITERIA_Q),
@@ -252,21 +252,21 @@ ORACLES = {
     "run_summary": f"WITH {KEYWORDS}, t AS (SELECT count(*) AS documentos, CAST(sum(len({words('text')})) AS BIGINT) AS palavras FROM d), o AS (SELECT CAST(coalesce(sum(ocorrencias), 0) AS BIGINT) AS ocorrencias FROM kp) SELECT documentos, palavras, ocorrencias, {len(S.KEYWORDS)} AS palavras_chave, {rnd('ocorrencias * 1.0::DOUBLE / documentos', 2)} AS media_por_documento FROM t CROSS JOIN o",
     "snippets": f"WITH {SNIPPETS} SELECT document_id, orgao, page_no, CAST(pos AS BIGINT) AS pos, m AS match, keyword, snippet, ordem FROM sn",
     "snippets_exact_dedup": f"WITH {SNIPPETS} SELECT document_id, ordem, snippet FROM sn QUALIFY row_number() OVER (PARTITION BY document_id, md5(snippet) ORDER BY ordem) = 1",
-    "jaccard_pairs": rf"WITH b AS (SELECT item_id, list_distinct({words('lower(text)')}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, {rnd('len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))', 6)} AS jaccard FROM b a JOIN b ON a.item_id < b.item_id AND a.item_id < 20",
+    "jaccard_lines": f"WITH {PAGES}, b AS (SELECT document_id, page_no, list_distinct({words('lower(texto)')}) AS w FROM pg), n AS (SELECT *, lead(w) OVER (PARTITION BY document_id ORDER BY page_no) AS n FROM b) SELECT document_id, page_no, {rnd('len(list_intersect(w, n)) / len(list_distinct(list_concat(w, n)))', 6)} AS jaccard FROM n WHERE n IS NOT NULL",
     "segment_scores": f"WITH {SEGMENTS} SELECT document_id, segmento, eixo, score, array_to_string(evidencias, ',') AS evidencias FROM sg",
     "axis_statistics": f"WITH {SEGMENTS}, t AS (SELECT eixo, list_sort(list(DISTINCT x)) AS ts FROM (SELECT eixo, unnest(evidencias) AS x FROM sg) GROUP BY eixo) SELECT sg.eixo, count(*) AS segmentos, CAST(sum(len(evidencias)) AS BIGINT) AS ocorrencias, array_to_string(any_value(ts), ',') AS termos, any_value(len(ts)) AS termos_unicos, " + ", ".join(f"count(*) FILTER (b_{k}) AS ativacoes_{k}" for k in S.BOOSTERS) + " FROM sg JOIN t USING (eixo) GROUP BY sg.eixo",
     "imga_axis_audit": f"WITH {_AUDIT} SELECT * FROM aj",
     "imga_document": f"WITH {_AUDIT}, x AS (SELECT document_id, {rnd('sum(indice_final * peso_metodologia) * 10', 2)} AS imga, {rnd('sum(contribuicao_imga)', 4)} AS contribuicoes FROM aj GROUP BY document_id) SELECT *, CASE WHEN imga > 75 THEN 'Avancada' WHEN imga > 50 THEN 'Intermediaria' WHEN imga > 25 THEN 'Basica' ELSE 'Incipiente' END AS faixa FROM x",
     "term_consolidation": f"WITH {SEGMENTS}, t AS (SELECT eixo, document_id, unnest(evidencias) AS x FROM sg) SELECT eixo, array_to_string(list_sort(list(DISTINCT x)), ', ') AS termos, count(*) AS ocorrencias, count(DISTINCT document_id) AS documentos FROM t GROUP BY eixo",
-    "missing_document_types": f"WITH {DOCS}, g AS (SELECT orgao, list(DISTINCT tipo_documento) AS ts FROM d WHERE CAST(document_id AS BIGINT) < 60 GROUP BY orgao), m AS (SELECT *, list_filter({listed(S.TYPES)}, lambda t: NOT list_contains(ts, t)) AS a FROM g) SELECT orgao, array_to_string(a, ',') AS ausentes, CASE WHEN list_contains(a, '{S.SEVERE[0]}') AND list_contains(a, '{S.SEVERE[1]}') THEN 'Risco Alto' ELSE 'Risco Moderado' END AS risco FROM m WHERE len(a) > 0",
+    "missing_document_types": f"WITH g AS (SELECT conv_id AS orgao, list(DISTINCT role) AS ts FROM conversations GROUP BY conv_id), m AS (SELECT *, list_filter({listed(S.TYPES)}, lambda t: NOT list_contains(ts, t)) AS a FROM g) SELECT orgao, array_to_string(a, ',') AS ausentes, CASE WHEN list_contains(a, '{S.SEVERE[0]}') AND list_contains(a, '{S.SEVERE[1]}') THEN 'Risco Alto' ELSE 'Risco Moderado' END AS risco FROM m WHERE len(a) > 0",
     "processed_anti_join": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "org_from_filename": f"WITH n AS (SELECT doc_id, substr(regexp_replace(text, '\\s+', '_', 'g'), 1, 40) AS nome FROM documents) SELECT doc_id, {_AGENCY} AS orgao FROM n",
+    "org_from_filename": f"WITH n AS (SELECT page_id, string_split(url, '/')[-1] AS nome FROM pages) SELECT page_id, {_AGENCY} AS orgao FROM n",
     "acronym_lookup": "SELECT n_nationkey, CASE n_name WHEN 'BRAZIL' THEN 'BR' WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' ELSE '' END AS sigla FROM nation",
     "page_anchors": f"WITH {_ANCHORS} SELECT page_id, pos, href, texto, link FROM al",
     "document_links": f"WITH {_ANCHORS} SELECT page_id, pos, link, CASE WHEN texto <> '' THEN texto ELSE 'documento' END AS titulo FROM al WHERE {_likely('link', 'texto')}",
     "link_dedup": f"WITH {_ANCHORS}, k AS (SELECT *, string_split(lower(link), '?')[1] AS mesmo FROM al) SELECT link, mesmo, page_id, pos FROM k QUALIFY row_number() OVER (PARTITION BY mesmo ORDER BY page_id, pos) = 1",
     "hub_pages": f"WITH {_ANCHORS}, s AS (SELECT page_id, url, count(*) FILTER ({_likely('link', 'texto')} AND regexp_matches(link, '^https?://')) AS pdf_score FROM al WHERE pos <= 300 AND href <> '' AND NOT starts_with(href, '#') GROUP BY page_id, url) SELECT page_id, pdf_score, {_any(_path := "lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1))", K.HUB_PATHS['cig'])} AS palavra, ({_any(_path, K.HUB_PATHS['cig'])} OR pdf_score >= 2) AS hub FROM s",
-    "minutes_titles": f"WITH {PAGES} SELECT document_id, page_no, texto AS titulo FROM pg WHERE length(texto) <= 80 AND {_minutes('texto')}",
+    "minutes_titles": f"WITH {PAGES} SELECT document_id, page_no, texto AS titulo FROM pg WHERE {_minutes('texto')}",
     "title_dates": rf"WITH {PAGES} SELECT document_id, page_no, {_DATES} AS data, regexp_matches(texto, '\b20\d{{2}}\b') AS tem_ano FROM pg WHERE {_DATES} IS NOT NULL",
     "extractive_answer": f"WITH {PAGES}, t AS (SELECT document_id, page_no, {collapse('texto')} AS t FROM pg) SELECT document_id, page_no, CASE WHEN length(t) > 420 THEN trim(substr(t, 1, 420)) || '...' ELSE t END AS trecho FROM t",
     "conversion_stats": f"SELECT event_type AS tipo, count(*) FILTER (value >= 50) AS sucesso, count(*) FILTER (NOT value >= 50) AS falha, count(*) AS total, {rnd('count(*) FILTER (value >= 50) * 100.0::DOUBLE / count(*)', 2)} AS taxa_sucesso FROM events WHERE value IS NOT NULL GROUP BY event_type",
