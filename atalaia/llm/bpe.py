@@ -65,7 +65,7 @@ class Decoder:
 class Bpe(Decoder):
     """Encoder for a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str | None = None, cached: int = 200_000) -> None:
+    def __init__(self, path: str | None = None, cached: int = 150_000) -> None:
         with open(path or tokenizer_path(), encoding="utf-8") as f:
             spec = json.load(f)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
@@ -191,8 +191,24 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(work, "doc_id long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """decode(encode(docs)) in one pass: the worker that has encoded a batch decodes its ids too."""
+    prepare(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = shared_bpe(tokenizer)
+        for b in batches:
+            ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
+            lengths = np.array([len(x) for x in ids], np.int64)
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(bpe.decode_batch(flat.astype(np.int64), lengths), pa.string())], ["doc_id", "ids", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>, text string")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
-    """Digest columns of decode()'s rows: n_tokens, ids_sha256 over decimal ids joined by commas, decoded_sha256."""
+    """Digest columns of decode()'s or round_trip()'s rows: n_tokens, ids_sha256 over decimal ids joined by commas, decoded_sha256."""
     return decoded.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),

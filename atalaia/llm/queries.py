@@ -30,7 +30,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by prefix dynamic programming, and the text they decode to."""
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents")))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
