@@ -103,7 +103,7 @@ def repeats(numbers: np.ndarray, lengths: np.ndarray, docs: np.ndarray, window:
 
 
 def _marks(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, tie, seq, n, anchors): a hash of all words, their number, the distinct anchors."""
+    """(id, tie, seq, n, anchors): a hash of all words, their number, the distinct anchors."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words()
@@ -113,22 +113,22 @@ def _marks(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             found = [np.unique(w.anchors(w.numbers(x), window, phrase)) if len(x) >= window else np.zeros(0, np.int64) for x in split]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             anchors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seq, pa.binary()), pa.array([len(x) for x in split], pa.int64()), anchors], ["doc_id", "tie", "seq", "n", "anchors"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seq, pa.binary()), pa.array([len(x) for x in split], pa.int64()), anchors], ["id", "tie", "seq", "n", "anchors"])
 
-    return docs.select("doc_id", "tie", "text").mapInArrow(work, "doc_id long, tie long, seq binary, n long, anchors array<long>")
+    return docs.select("id", "tie", "text").mapInArrow(work, "id long, tie long, seq binary, n long, anchors array<long>")
 
 
 def _segments(docs: DataFrame, window: int, phrase: int, single: bool) -> DataFrame:
-    """Runs of windows with the same wanted anchor, as words (doc_id, tie, start, anchor, words); with ``single`` each window for itself, with a 128-bit hash for words.
+    """Runs of windows with the same wanted anchor, as words (id, tie, start, anchor, words); with ``single`` each window for itself, with a 128-bit hash for words.
 
-    ``docs``: doc_id, text, tie, wanted (anchors), and other columns that are not read.
+    ``docs``: id, text, tie, wanted (anchors), and other columns that are not read.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words()
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "tie", "start", "anchor", "words")}
-            ids, texts, ties, wanted = (b.column(b.schema.get_field_index(k)) for k in ("doc_id", "text", "tie", "wanted"))
+            out: dict[str, list] = {k: [] for k in ("id", "tie", "start", "anchor", "words")}
+            ids, texts, ties, wanted = (b.column(b.schema.get_field_index(k)) for k in ("id", "text", "tie", "wanted"))
             for i, (doc_id, text, tie) in enumerate(zip(ids.to_pylist(), texts.to_pylist(), ties.to_pylist(), strict=True)):
                 words = text.encode("utf-8", "surrogatepass").split()
                 anchor = w.anchors(w.numbers(words), window, phrase)
@@ -141,17 +141,17 @@ def _segments(docs: DataFrame, window: int, phrase: int, single: bool) -> DataFr
                 a, z = places[new], places[np.r_[new[1:], True]] + window
                 joined = [b" ".join(words[x:y]) for x, y in zip(a.tolist(), z.tolist(), strict=True)]
                 out["words"] += [xxhash.xxh3_128_digest(x) for x in joined] if single else joined
-                out["doc_id"] += [doc_id] * len(a)
+                out["id"] += [doc_id] * len(a)
                 out["tie"] += [tie] * len(a)
                 out["start"] += a.tolist()
                 out["anchor"] += anchor[a].tolist()
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("words", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("words", pa.binary())]))
 
-    return docs.mapInArrow(work, "doc_id long, tie long, start long, anchor long, words binary")
+    return docs.mapInArrow(work, "id long, tie long, start long, anchor long, words binary")
 
 
 def _grouped_repeats(segments: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tie, a, b): spans to remove, found in the subtrees of groups of segments with equal anchors."""
+    """(id, tie, a, b): spans to remove, found in the subtrees of groups of segments with equal anchors."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words()
@@ -164,7 +164,7 @@ def _grouped_repeats(segments: DataFrame, window: int) -> DataFrame:
             docs = np.array([x[0] for x in rows], np.int64)
             s, a, z = repeats(numbers, np.array([len(x) for x in split], np.int64), docs, window)
             tie, start = np.array([x[1] for x in rows], np.int64), np.array([x[2] for x in rows], np.int64)
-            return pa.RecordBatch.from_pydict({"doc_id": docs[s], "tie": tie[s], "a": start[s] + a, "b": start[s] + z})
+            return pa.RecordBatch.from_pydict({"id": docs[s], "tie": tie[s], "a": start[s] + a, "b": start[s] + z})
 
         for b in batches:
             rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -182,29 +182,29 @@ def _grouped_repeats(segments: DataFrame, window: int) -> DataFrame:
             yield close(held)
 
     dealt = segments.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(work, "doc_id long, tie long, a long, b long")
+    return dealt.mapInArrow(work, "id long, tie long, a long, b long")
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(doc_id, tie, spans) for rows of (doc_id, text, tie) of which words are to go; doc_id and text are not null.
+    """(id, tie, spans) for rows of (id, text, tie) of which words are to go; id and text are not null.
 
     A text that repeats the words of a smaller document as a whole goes without further search, so a group
     of copies takes part once.
     """
     marks = cut(_marks(docs, window, phrase)).filter(F.col("n") >= window)
-    first = marks.groupBy("seq").agg(F.min("doc_id").alias("first"))
+    first = marks.groupBy("seq").agg(F.min("id").alias("first"))
     known = marks.join(first, "seq")
-    copies = known.filter("doc_id > first").select("doc_id", "tie", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
-    places = known.filter("doc_id = first").select("doc_id", "tie", F.explode("anchors").alias("anchor"))
-    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("anchor", (F.col("n") > MOST).alias("hot"))
-    lists = cut(places.join(shared, "anchor").groupBy("doc_id", "tie").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
-    wanted = lambda name: docs.join(lists.filter(F.size(name) > 0).select("doc_id", "tie", F.col(name).alias("wanted")), ["doc_id", "tie"])
+    copies = known.filter("id > first").select("id", "tie", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
+    places = known.filter("id = first").select("id", "tie", F.explode("anchors").alias("anchor"))
+    shared = places.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("anchor", (F.col("n") > MOST).alias("hot"))
+    lists = cut(places.join(shared, "anchor").groupBy("id", "tie").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
+    wanted = lambda name: docs.join(lists.filter(F.size(name) > 0).select("id", "tie", F.col(name).alias("wanted")), ["id", "tie"])
     spans = copies.unionByName(_grouped_repeats(_segments(wanted("cold"), window, phrase, False), window))
     if not lists.filter(F.size("hot") > 0).isEmpty():
         single = cut(_segments(wanted("hot"), window, phrase, True))
-        least = single.groupBy("words").agg(F.min("doc_id").alias("least"))
-        spans = spans.unionByName(single.join(least, "words").filter("doc_id > least").select("doc_id", "tie", F.col("start").alias("a"), (F.col("start") + window).alias("b")))
-    return spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+        least = single.groupBy("words").agg(F.min("id").alias("least"))
+        spans = spans.unionByName(single.join(least, "words").filter("id > least").select("id", "tie", F.col("start").alias("a"), (F.col("start") + window).alias("b")))
+    return spans.groupBy("id", "tie").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -216,11 +216,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFr
     other. Windows are judged on the input.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
-    named = rows.filter("doc_id is not null").withColumn("tie", F.xxhash64("text"))
+    # The id has a name of its own: an alias of the same name is dropped on one side of a join only, and texts would be shuffled twice.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
+    named = rows.filter("id is not null").withColumn("tie", F.xxhash64("text"))
     spans = removed_spans(named, window, phrase)
-    whole = named.join(spans, ["doc_id", "tie"], "left").select("doc_id", "text", "spans", "rest")
-    none = rows.filter("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")).select("doc_id", "text", "spans", "rest")
+    whole = named.join(spans, ["id", "tie"], "left").select("id", "text", "spans", "rest")
+    none = rows.filter("id is null").withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")).select("id", "text", "spans", "rest")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
