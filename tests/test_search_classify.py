@@ -155,7 +155,7 @@ def test_streams(spark, tmp_path):
     got = {x.event_type: (x.n, x.ids) for x in ingest.streamed_event_counts(spark, path).collect()}
     assert got == {"view": (2, 3), "click": (1, 3)}
     seen = []
-    windows = ingest.windowed_counts(ingest.arrivals(spark, path, events.schema, 1))
+    windows = ingest.windowed_counts(ingest.arrivals(spark, path, events.schema))
     ingest.run_once(windows, lambda b, i: seen.extend(b.collect()), str(tmp_path / "c1"), "update")
     assert max((x.n for x in seen if x.event_type == "view")) == 2
     (tmp_path / "in").mkdir()
