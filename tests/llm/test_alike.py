@@ -82,3 +82,14 @@ def test_bound_never_rules_out_what_is_alike():
         if alike.alike(a, b):
             for v in np.intersect1d(a, b):
                 assert alike.may_be_alike(*(np.array([x]) for x in (len(a), np.searchsorted(a, v), len(b), np.searchsorted(b, v))))[0]
+
+
+def test_rows_of_repeated_and_null_ids(spark):
+    r = random.Random(9)
+    some = [" ".join(r.choice("abcdefghijklmnop") + str(r.randrange(50)) for _ in range(80)) for _ in range(6)]
+    rows = [(1, some[0]), (1, some[1]), (1, some[0] + " more"), (2, some[1]), (3, some[2]), (3, some[2]), (None, some[2] + " end"), (None, some[3]), (None, some[3] + " end"), (None, some[4]), (0, some[5]), (None, None)]
+    got = pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], SCHEMA), "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = [(x.doc_id, x.text) for x in got.collect()]
+    assert len(kept) == 7 and {(1, some[1]), (3, some[2]), (None, some[4]), (0, some[5]), (None, None)} < set(kept)
+    assert len({(1, some[0]), (1, some[0] + " more")} & set(kept)) == 1 and len({(None, some[3]), (None, some[3] + " end")} & set(kept)) == 1
