@@ -31,6 +31,46 @@ TEMPLATES = {
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "BSD-notice": "Released under the BSD License.",
+    "ISC-notice": "Released under the ISC License.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "EPL-2.0-notice": "Licensed under the Eclipse Public License, Version 2.0.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "CC0-1.0-notice": "Released under CC0 1.0 Universal.",
+    "Unlicense-notice": "Released under the Unlicense.",
+    "GPL-2.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.',
+}
+#: Words that tell a license from its look-alikes: each phrase must stand in the found stretch with nothing inserted.
+NAMED = {
+    "Apache-2.0-notice": ["Apache License Version 2.0"],
+    "MIT-notice": ["MIT License"],
+    "BSD-notice": ["BSD License"],
+    "ISC-notice": ["ISC License"],
+    "MPL-2.0-notice": ["Mozilla Public License Version 2.0"],
+    "EPL-2.0-notice": ["Eclipse Public License Version 2.0"],
+    "CC0-1.0-notice": ["CC0 1.0"],
+    "Unlicense-notice": ["the Unlicense"],
+    "Apache-2.0": ["Apache License Version 2.0"],
+    "MPL-2.0": ["Mozilla Public License v 2.0"],
+    "BSD-3-Clause": ["neither the name of"],
+    **{f"{k}-4.0-notice": [f"{k} 4.0"] for k in ("CC-BY", "CC-BY-SA", "CC-BY-ND", "CC-BY-NC", "CC-BY-NC-SA", "CC-BY-NC-ND")},
+    **{f"{k}-notice": [f"GNU {n} License version {k.split('-')[1].removesuffix('.0')}"] for k, n in (("GPL-2.0", "General Public"), ("GPL-3.0", "General Public"), ("LGPL-2.1", "Lesser General Public"), ("LGPL-3.0", "Lesser General Public"), ("AGPL-3.0", "Affero General Public"))},
+    **{f"{k}-or-later": [f"GNU {n} License as published", f"version {k.split('-')[1].removesuffix('.0')} of the License"] for k, n in (("GPL-2.0", "General Public"), ("GPL-3.0", "General Public"), ("LGPL-2.1", "Lesser General Public"), ("LGPL-3.0", "Lesser General Public"), ("AGPL-3.0", "Affero General Public"))},
 }
 #: Coverage from which a license counts as found, and words of a phrase that starts an alignment.
 COVERAGE, SEED = 0.8, 3
@@ -82,14 +122,18 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def best_alignment(doc: np.ndarray, template: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[float, int, int]:
-    """(coverage, first word, word after the last) of the best alignment of a template near shared phrases.
+def stands_in(phrase: list, words: list) -> bool:
+    return any(words[i : i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
+
+
+def best_alignment(doc: np.ndarray, template: np.ndarray, at: np.ndarray, place: np.ndarray, named: list[list]) -> tuple[float, int, int, bool]:
+    """(coverage, first word, word after the last, whether all phrases ``named`` stand in there) of the best alignment of a template near shared phrases.
 
     ``at`` and ``place`` are where the phrases stand in the document and in the template. Phrases that put the
     template's start within half its length belong to one stretch; each stretch is tried as tight as its phrases put it and
-    with room for inserted words. Of equal coverage the first counts.
+    with room for inserted words. A stretch with the named phrases comes before any without; of equal coverage the first counts.
     """
-    n, best, reference = len(template), (0.0, 0, 0), template.tolist()
+    n, best, reference = len(template), (0.0, 0, 0, False), template.tolist()
     order = np.sort(at - place)
     i = 0
     while i < len(order):
@@ -99,9 +143,13 @@ def best_alignment(doc: np.ndarray, template: np.ndarray, at: np.ndarray, place:
             a, b = max(0, a), min(len(doc), b)
             pairs = align(doc[a:b].tolist(), reference)
             share = len(pairs) / n
-            if share > best[0]:
-                best = (share, a + pairs[0][0], a + pairs[-1][0] + 1)
-            if best[0] == 1:
+            if not pairs:
+                continue
+            first, end = a + pairs[0][0], a + pairs[-1][0] + 1
+            whole = all(stands_in(p, doc[first:end].tolist()) for p in named)
+            if (whole, share) > (best[3], best[0]):
+                best = (share, first, end, whole)
+            if best[0] == 1 and best[3]:
                 return best
         i = j
     return best
@@ -110,7 +158,7 @@ def best_alignment(doc: np.ndarray, template: np.ndarray, at: np.ndarray, place:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = COVERAGE) -> DataFrame:
     """One row for each row of (doc_id, text) with the license template its text covers best.
 
-    Columns: doc_id, license (null where no template reaches ``threshold``; of equal coverage the longest template, then
+    Columns: doc_id, license (null where no template reaches ``threshold`` with its NAMED words; of equal coverage the longest template, then
     the first name), coverage (0 where no phrase of three words is shared), first_word and end_word (the
     stretch of the license's words; null without a license), n_licenses (templates at the threshold). The
     whole text is scanned. Null text counts as empty; a template of fewer than three words is never found;
@@ -123,15 +171,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words()
         known = [w.numbers(plain_words(t)) for t in texts]
+        named = [[w.numbers(plain_words(p)).tolist() for p in ([] if templates else NAMED.get(n, []))] for n in names]
         seeds = Seeds(known, SEED, w)
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
                 doc = w.numbers(plain_words(t or ""))
                 at, which, place = seeds.hits(doc)
-                found = [(*best_alignment(doc, known[i], at[which == i], place[which == i]), i) for i in np.unique(which).tolist()]
-                good = [x for x in found if x[0] >= threshold]
-                share, first, end, i = min(good or found, key=lambda x: (-x[0], -len(known[x[3]]), x[3]), default=(0.0, None, None, None))
+                found = [(*best_alignment(doc, known[i], at[which == i], place[which == i], named[i]), i) for i in np.unique(which).tolist()]
+                good = [x for x in found if x[0] >= threshold and x[3]]
+                share, first, end, _, i = min(good or found, key=lambda x: (-x[0], -len(known[x[4]]), x[4]), default=(0.0, None, None, False, None))
                 out.append((names[i], share, first, end, len(good)) if good else (None, share, None, None, 0))
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
             arrays = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
