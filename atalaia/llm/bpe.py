@@ -65,7 +65,7 @@ class Decoder:
 class Bpe(Decoder):
     """Encoder for a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str | None = None, cached: int = 150_000) -> None:
+    def __init__(self, path: str | None = None, cached: int = 600_000) -> None:
         with open(path or tokenizer_path(), encoding="utf-8") as f:
             spec = json.load(f)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
@@ -88,8 +88,8 @@ class Bpe(Decoder):
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.fits = Cache(self._fits, 100_000)
         self.cut = regex.compile(PRETOKEN).findall
-        self.pretokens = Cache(self._pretoken, cached)
-        self.encode_bytes = Parts(self._words, self._wholes, list(self.added), cached).encode
+        runs = lambda x: self._listed([b"".join(map(self._pretoken, [w] if w[1:].isalpha() else self.cut(w))) for w in x])
+        self.encode_array = Parts(runs, runs, self._wholes, list(self.added), "<i4", cached).encode
 
     def _fits(self, pair: int) -> bool:
         """Whether BPE leaves two tokens, as first << 20 | second, apart when it meets their bytes next to each other.
@@ -131,21 +131,29 @@ class Bpe(Decoder):
             at -= self.size[last[at]]
         return np.array(back[::-1], np.int32).tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        known = self.pretokens
-        return [known[" " + w] if w.isalpha() else b"".join([known[p] for p in self.cut(" " + w)]) for w in words]
+    @staticmethod
+    def _listed(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(runs), np.int32), np.array([len(x) // 4 for x in runs], np.int64)
 
-    def _wholes(self, texts: list[str]) -> list[bytes]:
+    def _wholes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts cut by the pattern; strings of added tokens are taken out first."""
-        known, out = self.pretokens, []
+        known: dict[str, bytes] = {}
+
+        def of(p: str) -> bytes:
+            if p not in known:
+                known[p] = self._pretoken(p)
+            return known[p]
+
+        out = []
         for t in texts:
             parts = self.split.split(t) if self.split else [t]
-            out.append(b"".join([np.int32(self.added[x]).tobytes() if i % 2 else b"".join([known[p] for p in self.cut(x)]) for i, x in enumerate(parts)]))
-        return out
+            out.append(b"".join([np.int32(self.added[x]).tobytes() if i % 2 else b"".join(map(of, self.cut(x))) for i, x in enumerate(parts)]))
+        return self._listed(out)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts as the library's encode(text, add_special_tokens=False) has them."""
-        return [np.frombuffer(x, np.int32) for x in self.encode_bytes(texts)]
+        ids, counts = self.encode_array(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
@@ -162,6 +170,10 @@ def shared_decoder(path: str | None) -> Decoder:
     return Decoder(path)
 
 
+def _lists(flat: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat, pa.int32()))
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, ids) of (doc_id, text): row by row, no shuffle. Null text counts as empty and gives no ids; other columns are not read."""
     prepare(docs.sparkSession)
@@ -169,10 +181,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared_bpe(tokenizer)
         for b in batches:
-            ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
+            flat, lengths = bpe.encode_array(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(flat, lengths)], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>")
 
@@ -198,11 +208,8 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared_bpe(tokenizer)
         for b in batches:
-            ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
-            lengths = np.array([len(x) for x in ids], np.int64)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(bpe.decode_batch(flat.astype(np.int64), lengths), pa.string())], ["doc_id", "ids", "text"])
+            flat, lengths = bpe.encode_array(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(flat, lengths), pa.array(bpe.decode_batch(flat, lengths), pa.string())], ["doc_id", "ids", "text"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>, text string")
 

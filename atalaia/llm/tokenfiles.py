@@ -15,11 +15,12 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Parts, bucket_of, cut, library_tokenizer, mapped, new_folder, prepare, shuffle_partitions, split_points
+from .common import Parts, cut, gathered, in_ranges, library_tokenizer, mapped, new_folder, prepare
 
 #: Hash bits for each key at a level, and the levels after which the few keys left are kept in a list.
 GAMMA, LEVELS = 1.6, 40
@@ -132,7 +133,7 @@ class Shard:
 class Encoder:
     """The tokenizers library, asked once for each word that the cache does not know."""
 
-    def __init__(self, path: str | None, cached: int = 400_000) -> None:
+    def __init__(self, path: str | None, cached: int = 600_000) -> None:
         self.lib = library_tokenizer(path)
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
@@ -141,21 +142,40 @@ class Encoder:
         for t, i in vocab.items():
             self.length[i] = len(t)
         special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.encode = Parts(self._words, self._alone, special, cached).encode
-
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words with a blank before each: the library gets them run together, its ids are cut apart by the tokens' sizes."""
-        out, w = [], self.width
-        for i in range(0, len(words), 5000):
-            some = words[i : i + 5000]
-            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])
-            raw, cuts = ids.astype(self.kind).tobytes(), ((np.searchsorted(np.cumsum(self.length[ids]), ends) + 1) * w).tolist()
-            out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-        return out
+        self.encode = Parts(lambda x: self._joined(x, ""), self._inner, self._alone, special, self.kind, cached).encode
+
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, np.int64) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*ids, np.zeros(0, np.int64)]), np.array([len(x) for x in ids], np.int64)
+
+    def _inner(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Strings without a blank before, none with white space but the line feed alone and the empty one."""
+        usual = [i for i, p in enumerate(strings) if p and p != "\n"]
+        rest = [i for i, p in enumerate(strings) if not p or p == "\n"]
+        ids, size = self._joined([strings[i] for i in usual], "\n") if usual else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        more, sizes = self._alone([strings[i] for i in rest])
+        order = np.argsort(np.array(usual + rest), kind="stable")
+        size = np.r_[size, sizes]
+        return gathered(np.r_[ids, more], (np.cumsum(size) - size)[order], size[order]), size[order]
+
+    def _joined(self, strings: list[str], between: str) -> tuple[np.ndarray, np.ndarray]:
+        """The library gets the strings run together, each the start of a pretoken; its ids are told apart by the tokens' sizes.
+
+        A line feed between two that are not white space is a pretoken of its own.
+        """
+        found, sizes = [], []
+        for i in range(0, len(strings), 5000):
+            some = strings[i : i + 5000]
+            ids = np.array(self.lib.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, np.int64)
+            size = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in some), np.int64, len(some)) + len(between)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(size) - len(between)) + 1
+            ends[-1] = len(ids)
+            starts = np.r_[0, ends[:-1] + len(between)]
+            keep = np.ones(len(ids), bool)
+            if between:
+                keep[ends[:-1]] = False
+            found.append(ids[keep]), sizes.append(ends - starts)
+        return np.concatenate(found), np.concatenate(sizes)
 
 
 @lru_cache(2)
@@ -168,50 +188,57 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     """Write (doc_id, text) as shards below ``folder`` in ascending doc_id order; returns (shard, uri, docs, tokens).
 
     Nulls come first; rows with the same id stand by a hash of their text. Null text counts as empty: its
-    document is the end id alone. Other columns are not read. Documents are dealt by ranges of doc_id, so
-    shards in order of their numbers hold the corpus in order. A task that is run again writes new
+    document is the end id alone. Other columns are not read. Documents are dealt by ranges of that order, one
+    to a task, so shards in order of their numbers hold the corpus in order. A task that is run again writes new
     files; the rows returned, which are checkpointed, name those that count. No rows, no shards.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    points = split_points(rows, "doc_id", shuffle_partitions(spark))
-    dealt = rows.withColumn("shard", bucket_of("doc_id", points)).withColumn("tie", F.xxhash64("text"))
-    dealt = dealt.repartition(len(points) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tie")
+    dealt, n = in_ranges(rows.withColumn("tie", F.xxhash64("text")), "shard")
+    dealt = dealt.repartitionById(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tie")
 
-    def work(batches: Iterator[dict]) -> Iterable[dict]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared_encoder(tokenizer)
         store, root = fs.FileSystem.from_uri(folder)
-        tail = np.array([end_id], enc.kind).tobytes()
         at = out = None
+        seen: list[pa.Array] = []
+        counts: list[np.ndarray] = []
 
-        def close() -> dict:
+        def close() -> pa.RecordBatch:
             out.close()
-            ids, lengths = np.array([d or 0 for d in seen], np.int64), np.array(counts, np.int64)
-            missing = np.array([d is None for d in seen])
+            known = pa.chunked_array(seen)
+            missing, ids = known.is_null().to_numpy(), known.fill_null(0).to_numpy()
+            lengths = np.concatenate(counts)
             first = np.r_[True, (ids[1:] != ids[:-1]) | (missing[1:] != missing[:-1])]
             place = np.arange(len(ids))
             nth = place - np.maximum.accumulate(np.where(first, place, 0))
             with store.open_output_stream(f"{root}/{name}.idx") as f:
                 f.write(index_bytes(ids, missing, nth, lengths, enc.width))
-            return {"shard": [at], "uri": [f"{folder}/{name}"], "docs": [len(ids)], "tokens": [int(lengths.sum())]}
+            return pa.RecordBatch.from_pydict({"shard": [at], "uri": [f"{folder}/{name}"], "docs": [len(ids)], "tokens": [int(lengths.sum())]}, schema=kind)
 
         for b in batches:
-            encoded = enc.encode(b["text"])
-            for shard, doc_id, ids in zip(b["shard"], b["doc_id"], encoded, strict=True):
-                if shard != at:
+            if not b.num_rows:
+                continue
+            ids, lengths = enc.encode(b.column(2))
+            ids, lengths = np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+            shard, ends = b.column(0).to_numpy(), np.r_[0, np.cumsum(lengths)]
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if shard[i] != at:
                     if out:
                         yield close()
-                    at, name, seen, counts = shard, f"shard-{shard + 1:05d}-{uuid.uuid4().hex}", [], []
+                    at, name, seen, counts = int(shard[i]), f"shard-{shard[i]:05d}-{uuid.uuid4().hex}", [], []
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}.ids")
-                out.write(ids + tail)
-                seen.append(doc_id)
-                counts.append(len(ids) // enc.width + 1)
+                out.write(ids[ends[i] : ends[j]].tobytes())
+                seen.append(b.column(1).slice(i, j - i))
+                counts.append(lengths[i:j])
         if out:
             yield close()
 
-    return cut(mapped(dealt.select("shard", "doc_id", "text"), work, "shard int, uri string, docs long, tokens long"))
+    kind = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
+    return cut(dealt.select("shard", "doc_id", "text").mapInArrow(work, "shard int, uri string, docs long, tokens long"))
 
 
 def read(spark, shards: DataFrame) -> DataFrame:

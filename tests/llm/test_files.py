@@ -6,8 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from atalaia.llm import bpe, chat, common, tokenfiles, warc
 
@@ -128,8 +130,26 @@ def test_chat(spark):
     assert chat.chat_digests(chat.format_turns(df.limit(0))).collect() == []
 
 
-def test_ranges_by_halving(spark):
-    df = spark.createDataFrame([(i,) for i in range(-60, 60)] + [(None,)], "k long")
-    for points in ([], [0], [-5, 7], sorted(random.Random(1).sample(range(-50, 50), 40))):
-        for x in df.select("k", common.bucket_of("k", points).alias("b")).collect():
-            assert x.b == (-1 if x.k is None else sum(p <= x.k for p in points))
+def test_ranges_cut_hot_keys(spark):
+    rows = [(i,) for i in range(-60, 60)] + [(7,)] * 300 + [(None,)] * 300 + [(-(2**63),), (2**63 - 1,)]
+    df = spark.createDataFrame(rows, "k long").select("k", F.xxhash64(F.monotonically_increasing_id()).alias("tie")).cache()
+    points = common.split_points(df, "k", 12)
+    assert 8 <= len(points) <= 12
+    got = df.withColumn("b", common.bucket_of("k", points)).collect()
+    order = sorted(got, key=lambda x: (x.k is not None, x.k or 0, x.tie))
+    assert [x.b for x in order] == sorted(x.b for x in got) and max(Counter(x.b for x in got).values()) < 150
+    for x in got:
+        assert x.b == sum(p <= (int(x.k is not None), x.k or 0, x.tie) for p in points)
+    assert common.split_points(df.limit(0), "k", 12) == [] == common.split_points(df, "k", 1)
+
+
+def test_words_that_leave_the_cache():
+    lib, texts = common.library_tokenizer(None), odd_texts(1500, 3) + ["x" * 70 + " the. the.\nThe, \u00c7a.\nEt"] * 3
+    for kind in (tokenfiles.Encoder(None, 20), bpe.Bpe(cached=20)):
+        encode = kind.encode if isinstance(kind, tokenfiles.Encoder) else kind.encode_array
+        for part in (texts[:700], texts[700:], texts[:700]):
+            ids, counts = encode(pa.array([*part, None]))
+            want = [e.ids for e in lib.encode_batch([*part, ""], add_special_tokens=False)]
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    cache = common.Cache(len, 3)
+    assert cache["y" * 1000] == 1000 and cache["a"] == 1 and list(cache) == ["a"]
