@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, mapped, prepare, shuffle_partitions, split_points
+from .common import in_ranges, mapped, prepare
 
 #: Sample slots of a fingerprint; each is kept as 16 bits, so unlike samples agree once in 65,536.
 SLOTS = 128
@@ -139,7 +139,7 @@ def edited(text: str, following: str) -> str:
 def edit_likeness(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Fingerprint each text, the same text edited with the next document's start, and compare.
 
-    Order: doc_id descending, nulls last, repeated ids by a hash of the text; after the last document
+    Order: doc_id descending, nulls last, rows of one id by a hash of the text; after the last document
     comes the first. Documents are dealt once, by ranges of doc_id; the head of each range is also sent
     to the range before it, so every neighbour is found in one sorted pass over a task's rows. Rows are
     kept as they are, repeated ones too; null text counts as empty; other columns are not read.
@@ -147,18 +147,19 @@ def edit_likeness(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    points = split_points(rows, "doc_id", shuffle_partitions(spark))
-    rows = rows.withColumn("bucket", bucket_of("doc_id", points)).withColumn("tie", F.xxhash64("text"))
-    first = rows.groupBy("bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("down"), "tie")).alias("head"))
-    heads = sorted((r["bucket"], r["head"]["down"], r["head"]["tie"]) for r in first.collect())[::-1]  # a row for each range
+    rows, n = in_ranges(rows.withColumn("tie", F.xxhash64("text")), "bucket")
+    place = F.struct(F.col("doc_id").isNotNull().cast("int").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("tie"))
+    first = rows.groupBy("bucket").agg(F.max(place).alias("head"))
+    heads = sorted(((r["bucket"], *r["head"]) for r in first.collect()), reverse=True)  # a row for each range
     if not heads:
         return spark.createDataFrame([], SCHEMA)
-    sent_to = [(bucket, None if down is None else -down, tie, heads[i - 1][0]) for i, (bucket, down, tie) in enumerate(heads)]
-    table = F.broadcast(spark.createDataFrame(sent_to, "h_bucket int, h_id long, h_tie long, also int"))  # a row for each range
-    rows = rows.join(table, (F.col("bucket") == F.col("h_bucket")) & F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")), "left")
+    sent_to = [(bucket, known, doc_id, tie, heads[i - 1][0]) for i, (bucket, known, doc_id, tie) in enumerate(heads)]
+    table = F.broadcast(spark.createDataFrame(sent_to, "h_bucket int, h_known int, h_id long, h_tie long, also int"))  # a row for each range
+    same = (F.col("bucket") == F.col("h_bucket")) & (F.coalesce("doc_id", F.lit(0)) == F.col("h_id")) & (F.col("doc_id").isNotNull().cast("int") == F.col("h_known")) & (F.col("tie") == F.col("h_tie"))
+    rows = rows.join(table, same, "left")
     own, sent = F.struct(F.col("bucket").alias("to"), F.lit(0).alias("guest")), F.struct(F.col("also").alias("to"), F.lit(1).alias("guest"))
     dealt = rows.select("doc_id", "text", "tie", F.explode(F.filter(F.array(own, sent), lambda x: x["to"].isNotNull())).alias("p")).select("doc_id", "text", "tie", "p.*")
-    dealt = dealt.repartition(max(len(heads), 1), "to").sortWithinPartitions("to", "guest", F.desc_nulls_last("doc_id"), "tie")
+    dealt = dealt.repartitionById(n, "to").sortWithinPartitions("to", "guest", F.desc_nulls_last("doc_id"), F.desc("tie"))
 
     def work(batches: Iterator[dict]) -> Iterable[dict]:
         s, wait, at = Sampler(slots), None, None  # wait: the document that lacks its next one

@@ -34,9 +34,37 @@ def test_collision_rate_is_generalised_jaccard():
     assert [small.fingerprint(t) for t in texts] == [large.fingerprint(t) for t in texts]
 
 
+def slow_sample(text):
+    """The sample of each slot, term by term and slot by slot in plain numbers."""
+    bag, word, step = Counter(text.lower().split()), (1 << 64) - 1, 0x9E3779B97F4A7C15
+    gamma = cws.gamma_quantiles()
+    table, logs = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & word
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & word
+        return x ^ x >> 31
+
+    out, one = [], np.float32(1)
+    for slot in range(1, cws.SLOTS + 1) if bag else ():
+        best = None
+        for term, n in bag.items():
+            h = int.from_bytes(xxhash.xxh64_digest(term.encode()), "little")
+            x = mix((h + slot * step) & word)
+            r, c, beta = table[x & 0xFFFF], logs[x >> 16 & 0xFFFF], np.float32(x >> 32) * np.float32(2.0**-32 * (1 - 2.0**-23))
+            value, t = c - r * (one - beta), np.float32(0)
+            if n > 1:
+                t = np.floor(np.float32(np.log1p(np.log(float(n)))) / r + beta)
+                value = value - r * t
+            if best is None or value < best[0]:
+                best = value, mix((h + int(t) * 0xD6E8FEB86659FD93 + mix((slot * step + 77) & word)) & word) >> 48
+        out.append(best[1])
+    return out
+
+
 def test_edit_likeness_rows(spark):
     texts = [*some_texts(40), "", None, "é" * 10, "a b c d", "x" * 90_000]
-    ids = [*range(0, 80, 2), 101, 103, 105, 7, -3]
+    ids = [*range(0, 80, 2), 101, 103, 105, 7, -(2**63)]
     rows = list(zip(ids, texts, strict=True)) + [(None, "no id"), (105, "é" * 10)]
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, bucket int, `to` string")
     got = cws.edit_likeness(df).collect()
@@ -44,10 +72,12 @@ def test_edit_likeness_rows(spark):
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]) + [(None, "no id")]
     want = Counter()
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
-        new = cws.edited(t or "", nxt or "")
-        want[i, len(t or ""), hashlib.sha256(new.encode()).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        t, nxt = t or "", nxt or ""
+        new = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        marks = [slow_sample(x) for x in (t, new, nxt)]
+        near = [sum(a == b for a, b in zip(marks[0], m, strict=True)) / cws.SLOTS if marks[0] and m else float(marks[0] == m) for m in marks[1:]]
+        want[i, len(t), hashlib.sha256(new.encode()).hexdigest(), *("".join(f"{x:04x}" for x in m) for m in marks[:2]), *near] += 1
+    assert Counter(tuple(r) for r in got) == want
     assert cws.edit_likeness(df.limit(0)).collect() == []
 
 
