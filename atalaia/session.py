@@ -24,8 +24,12 @@ def local_session(cpus: int | None = None, memory: str = "12g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or in tests below one of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/atalaia-{os.getpid()}"
+    """A new folder that all executors share: below spark.checkpoint.dir, or on a single machine below one of our own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file:///tmp/checkpoints/atalaia-{os.getpid()}"
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
