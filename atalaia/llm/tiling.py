@@ -27,31 +27,39 @@ SEED, COVERAGE = 5, 0.6
 MOST_WORDS = 500_000
 
 
+_RUNNING = Words()
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """(place in item, place in doc, length) of the tiles of two sequences of word hashes."""
     free = [np.ones(len(item), bool), np.ones(len(doc), bool)]
     out: list[tuple[int, int, int]] = []
     search = max(least, min(len(item), len(doc)) // 2)
 
-    def unmarked(side: int, n: int) -> list[int]:
-        a, z = runs(free[side])
-        return [i for s, e in zip(a.tolist(), z.tolist(), strict=True) for i in range(s, e - n + 1)]
+    def unmarked(side: int, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of runs of ``n`` free words, and the running hash of each: one step of a prefix sum a place, whatever ``n`` is."""
+        taken = np.cumsum(np.r_[0, ~free[side]])
+        at = np.flatnonzero(taken[n:] == taken[:-n]) if len(words) >= n else np.zeros(0, np.int64)
+        return at, _RUNNING.phrases(words, n)[at]
 
     while True:
-        table: dict[bytes, list[int]] = {}
-        for i in unmarked(0, search):
-            table.setdefault(item[i : i + search].tobytes(), []).append(i)
+        (left, key), (right, sought) = unmarked(0, item, search), unmarked(1, doc, search)
+        order = np.argsort(key, kind="stable")
+        left, key = left[order], key[order]
+        low, high = np.searchsorted(key, sought, "left"), np.searchsorted(key, sought, "right")
         found: list[tuple[int, int, int]] = []
         longest = 0
-        for j in unmarked(1, search) if table else ():
-            for i in table.get(doc[j : j + search].tobytes(), ()):
+        for k in np.flatnonzero(high > low).tolist():
+            j = int(right[k])
+            for i in left[low[k] : high[k]].tolist():
                 if i and j and item[i - 1] == doc[j - 1] and free[0][i - 1] and free[1][j - 1]:
                     continue  # part of a match that starts earlier
-                n = search
+                n = 0  # from the first word on: equal hashes are not taken for equal words
                 while i + n < len(item) and j + n < len(doc) and free[0][i + n] and free[1][j + n] and item[i + n] == doc[j + n]:
                     n += 1
-                found.append((n, i, j))
-                longest = max(longest, n)
+                if n >= search:
+                    found.append((n, i, j))
+                    longest = max(longest, n)
         if longest > 2 * search:
             search = longest
             continue
@@ -73,7 +81,8 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[in
 
 
 def coverage(item: np.ndarray, doc: np.ndarray, at: np.ndarray, least: int = SEED) -> tuple[float, int]:
-    """Share of ``item`` under tiles, and their number; ``at``: where seeds of the item stand in ``doc``."""
+    """Share of ``item`` under tiles, and their number; ``at``: where seeds of the item stand in ``doc``. An item of fewer words is matched whole."""
+    least = min(least, len(item))
     near = np.zeros(len(doc) + 1, np.int64)
     np.add.at(near, at, 1)
     np.add.at(near, np.minimum(at + least, len(doc)), -1)
@@ -84,14 +93,14 @@ def coverage(item: np.ndarray, doc: np.ndarray, at: np.ndarray, least: int = SEE
     return sum(n for _, _, n in found) / len(item), len(found)
 
 
-def _items(benchmark: DataFrame, least: int) -> DataFrame:
-    """(item_id, words): the benchmark's items, words as hashes; items of fewer words than a seed are left out."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words): the benchmark's items, words as hashes; items without words are left out."""
 
     def work(batches: Iterator[dict]) -> Iterable[dict]:
         w = Words()
         for b in batches:
             words = [w.numbers(plain_words(t or "")).view(np.int64) for t in b["text"]]
-            keep = [(i, x) for i, x in zip(b["item_id"], words, strict=True) if len(x) >= least]
+            keep = [(i, x) for i, x in zip(b["item_id"], words, strict=True) if len(x)]
             yield {"item_id": [i for i, _ in keep], "words": [x for _, x in keep]}
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string"))
@@ -102,7 +111,7 @@ def _best(found: list[tuple[float, int, int]], threshold: float) -> tuple[int |
     """(item, coverage, tiles, items at the threshold) from (coverage, item, tiles) of a document's items."""
     if not found:
         return None, 0.0, 0, 0
-    share, item, n = min(found, key=lambda x: (-x[0], x[1] is None, x[1]))
+    share, item, n = min(found, key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2]))
     return item, share, n, sum(x[0] >= threshold for x in found)
 
 
@@ -112,14 +121,14 @@ _RESULT = "item_id long, coverage double, tiles int, n_items int, contaminated i
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, least: int = SEED) -> DataFrame:
     """One row for each row of (doc_id, text): doc_id, the benchmark item it covers most, and its share.
 
-    Columns: doc_id, item_id (null if no seed is shared; of equal shares the least), coverage (of that item's
+    Columns: doc_id, item_id (null if no seed is shared; of equal shares the least, nulls last), coverage (of that item's
     words), tiles, n_items (items covered at least to ``threshold``), contaminated (1 if any), rest (a struct of the
     row's other columns, text included). Null text counts as empty and shares nothing; items with fewer
-    than ``least`` words can't be told from chance and are left out; a null item_id is an item like
-    others; repeated rows stay.
+    than ``least`` words are found where they stand as a whole, items without words nowhere; a null item_id is an
+    item like others; of items of one id the one of greatest share counts, then of fewest tiles; repeated rows stay.
     """
     prepare(docs.sparkSession)
-    items = cut(_items(benchmark, least))
+    items = cut(_items(benchmark))
     size = items.agg(F.sum(F.size("words"))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("rest"))
     if size <= MOST_WORDS:
@@ -135,19 +144,30 @@ def _sent(rows: DataFrame, items: DataFrame, threshold: float, least: int) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = pickle.loads(sent.value)
         w = Words()
-        seeds = Seeds(texts, least, w)
+        by_size = _by_size(texts, least)
+        seeds = [(np.array(of), Seeds([texts[i] for i in of], k, w)) for k, of in by_size.items()]
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
                 doc = w.numbers(plain_words(t or ""))
-                at, item, _ = seeds.hits(doc)
-                found = [(*coverage(texts[i], doc, at[item == i], least), ids[i]) for i in np.unique(item).tolist()]
+                found = []
+                for of, some in seeds:
+                    at, item, _ = some.hits(doc)
+                    found += [(*coverage(texts[of[i]], doc, at[item == i], least), ids[of[i]]) for i in np.unique(item).tolist()]
                 out.append(_best([(c, i, n) for c, n, i in found], threshold))
             yield _batch(b, out)
 
     return rows.mapInArrow(work, _schema(rows))
 
 
+def _by_size(texts: list[np.ndarray], least: int) -> dict[int, list[int]]:
+    """Numbers of the items by the words of their seeds: ``least``, or all words of a shorter item."""
+    out: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        out.setdefault(min(least, len(t)), []).append(i)
+    return out
+
+
 def _batch(b: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
     item, share, n, many = zip(*out, strict=True) if out else ((), (), (), ())
     arrays = [b.column(0), pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(n, pa.int32()), pa.array(many, pa.int32()), pa.array([int(x > 0) for x in many], pa.int32()), b.column(2)]
@@ -162,17 +182,18 @@ def _joined(rows: DataFrame, items: DataFrame, threshold: float, least: int) ->
     """With a benchmark of any size: seeds are joined by a shuffle, then each pair is tiled on its own."""
     named = rows.withColumn("tie", F.xxhash64("text"))
     w_items = items.withColumn("key", F.xxhash64("item_id", "words"))
+    sizes = [r["k"] for r in items.select(F.least(F.size("words"), F.lit(least)).alias("k")).distinct().collect()]  # ``least`` of them at most
 
     def phrases(batches: Iterator[dict]) -> Iterable[dict]:
         w = Words()
         for b in batches:
-            found = [np.unique(w.phrases(w.numbers(plain_words(t or "")), least)).view(np.int64) for t in b["text"]]
-            yield {"doc_id": b["doc_id"], "tie": b["tie"], "seeds": found}
+            numbers = [w.numbers(plain_words(t or "")) for t in b["text"]]
+            yield {"doc_id": b["doc_id"], "tie": b["tie"], "seeds": [np.unique(np.concatenate([np.zeros(0, np.uint64), *(w.phrases(x, k) for k in sizes)])).view(np.int64) for x in numbers]}
 
     def item_phrases(batches: Iterator[dict]) -> Iterable[dict]:
         w = Words()
         for b in batches:
-            yield {"key": b["key"], "seeds": [np.unique(w.phrases(np.array(x, np.int64).view(np.uint64), least)).view(np.int64) for x in b["words"]]}
+            yield {"key": b["key"], "seeds": [np.unique(w.phrases(np.array(x, np.int64).view(np.uint64), min(least, len(x)))).view(np.int64) for x in b["words"]]}
 
     def tile(batches: Iterator[dict]) -> Iterable[dict]:
         w = Words()
@@ -180,7 +201,7 @@ def _joined(rows: DataFrame, items: DataFrame, threshold: float, least: int) ->
             out: dict[str, list] = {k: [] for k in ("doc_id", "tie", "item_id", "coverage", "tiles")}
             for doc_id, tie, text, item_id, words in zip(b["doc_id"], b["tie"], b["text"], b["item_id"], b["words"], strict=True):
                 item, doc = np.array(words, np.int64).view(np.uint64), w.numbers(plain_words(text))
-                share, n = coverage(item, doc, Seeds([item], least, w).hits(doc)[0], least)
+                share, n = coverage(item, doc, Seeds([item], min(least, len(item)), w).hits(doc)[0], least)
                 for k, v in zip(out, (doc_id, tie, item_id, share, n), strict=True):
                     out[k].append(v)
             yield out
@@ -192,7 +213,8 @@ def _joined(rows: DataFrame, items: DataFrame, threshold: float, least: int) ->
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tie"] == b["tie"])
     pairs = pairs.join(texts, same(pairs, texts)).select(pairs["doc_id"], pairs["tie"], "text", "key").join(w_items, "key").select("doc_id", "tie", "text", "item_id", "words")
     found = mapped(pairs, tile, "doc_id long, tie long, item_id long, coverage double, tiles int")
-    best = F.max_by(F.struct("item_id", "coverage", "tiles"), F.struct("coverage", (-F.coalesce("item_id", F.lit(2**62))).alias("i"))).alias("best")
+    order = F.struct((-F.col("coverage")).alias("c"), F.col("item_id").isNull().alias("last"), F.coalesce("item_id", F.lit(0)).alias("i"), F.col("tiles").alias("t"))
+    best = F.min_by(F.struct("item_id", "coverage", "tiles"), order).alias("best")
     best = found.groupBy("doc_id", "tie").agg(best, F.count_if(F.col("coverage") >= threshold).cast("int").alias("n_items"))
     n = F.coalesce(best["n_items"], F.lit(0))
     return named.join(best, same(named, best), "left").select(
