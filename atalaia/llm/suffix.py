@@ -1,12 +1,13 @@
 """Removal of passages of ``window`` words that also stand in a document with a smaller id.
 
-The suffixes that matter begin a repeated window. Which do is narrowed down first: the least hash among the
-10-word phrases of a window is its anchor, equal windows have equal anchors, and a window whose anchor
-stands in one document only is unique. The suffixes left are split into groups by a prefix of variable
-length: by the anchor phrase, or by all ``window`` words where an anchor is so frequent that its group would
-not fit in memory. A group's suffix tree is built level by level (a node of depth 2k is a pair of nodes of
-depth k); the internal nodes at depth ``window`` are the repeats, and the least doc_id below a node tells
-which of its leaves are removed. Runs of removed leaves make the maximal spans.
+Every window holds a phrase of least hash, its anchor (the first one if several are equal); equal windows hold equal anchors
+at equal places. Suffixes that begin at the anchors are enough to find all repeated windows, and those whose
+anchor stands in one document only are left out. The suffixes are split into groups by a prefix: the ``phrase`` words of the anchor
+and, where such a group has more than GROUP_WINDOWS windows, longer ones (of 30, 45 and all 50 words), for which the suffix begins so
+far before the anchor that the windows of a class all hold the prefix. In a group the suffixes are sorted, which with the longest
+common prefixes of neighbours is their tree, and so are the words before them, read backwards. A pair of nodes, one of each tree, whose
+depths add up to the window or more is a repeat; it is taken as far as the trees go on together. Groups by all 50 words need
+no tree, as they hold one repeat each, and no memory either.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from .common import Cache, cut, prepare
 
 #: Words of a window and of the phrases among which its anchor is chosen.
 WINDOW, PHRASE = 50, 10
-#: Occurrences above which an anchor's suffixes are split by longer prefixes, and words of a group held in memory.
-MOST, GROUP_WORDS = 5000, 400_000
+#: Windows up to which a group is held in memory; greater groups are split by longer prefixes.
+GROUP_WINDOWS = 100_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -57,17 +58,34 @@ class Words:
             self.down = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _INVERSE, np.uint64)])
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(numbers * self.up[:n], out=total[1:])
-        return _mixed((total[k:] - total[:-k]) * self.down[: n - k + 1])
+        return mixed((total[k:] - total[:-k]) * self.down[: n - k + 1])
 
-    def anchors(self, numbers: np.ndarray, window: int, phrase: int) -> np.ndarray:
-        """The anchor of each window of words."""
+    def anchors(self, numbers: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+        """The anchor of each window of words, and its place."""
         low, span, reach = self.phrases(numbers, phrase), window - phrase + 1, 1
-        while 2 * reach <= span:
-            low = np.minimum(low[:-reach], low[reach:])
-            reach *= 2
-        if span > reach:
-            low = np.minimum(low[: -(span - reach)], low[span - reach :])
-        return low.view(np.int64)
+        at = np.arange(len(low), dtype=np.int32)
+        while reach < span:
+            step = min(reach, span - reach)
+            left = low[:-step] <= low[step:]
+            low, at = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:])
+            reach += step
+        return low, at
+
+    def prefixes(self, numbers: np.ndarray, window: int, phrase: int, tier: int) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of the prefix that a window's group has in a tier, and the place where the suffix begins."""
+        low, at = self.anchors(numbers, window, phrase)
+        if not tier:
+            return low.view(np.int64), at
+        width = widths(window, phrase)[tier]
+        before = (at - np.arange(len(at), dtype=np.int32)) // width * width
+        at = at - before
+        return mixed(self.phrases(numbers, window - width + 1)[at] + before.astype(np.uint64)).view(np.int64), at
+
+
+def widths(window: int, phrase: int) -> list[int]:
+    """By tier, how many of a window's places its group's prefix may begin at; the prefix is by so many words less one shorter than the window."""
+    span = window - phrase + 1
+    return [span, (span + 1) // 2, (span + 7) // 8, 1]
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,134 +94,192 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def repeats(numbers: np.ndarray, lengths: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, start, end) of runs of windows that also stand in a segment of a smaller document.
+def subtree(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows, and by place in it how many numbers a row shares with the one before from the start on: a tree of their suffixes."""
+    size = rows.shape[1]
+    order = np.argsort(np.ascontiguousarray(rows.astype(">u8")).view(f"V{8 * size}").ravel(), kind="stable") if size else np.arange(len(rows))
+    s = rows[order]
+    same = s[1:] == s[:-1]
+    return order, np.r_[0, np.where(same.all(1), size, same.argmin(1) if size else 0)] if len(s) else np.zeros(0, np.int64)
 
-    ``numbers`` are the words of all segments one after another. Every place is named by the node that
-    its suffix passes at depth 1, 2, 4, ...; names are ranks, so equal names are equal words.
+
+def nodes(tree: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+    """For each row the node of a tree at a depth."""
+    order, shared = tree
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(shared < depth)
+    return out
+
+
+def repeats(group: np.ndarray, docs: np.ndarray, first: np.ndarray, last: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which windows also stand in a smaller document: by suffix, and by words before it from 0 on.
+
+    A suffix belongs to a ``group`` and has windows that begin ``first`` to ``last`` words before it; ``right`` are the
+    window's size of words from it on, ``left`` those before it, the nearest first. What lies beyond a segment is 0.
     """
-    name, depth = np.unique(numbers, return_inverse=True)[1], 1
-    while depth < window:
-        step = min(depth, window - depth)
-        name = np.unique(name[:-step] * (name.max(initial=0) + 1) + name[step:], return_inverse=True)[1]
-        depth += step
-    segment = np.repeat(np.arange(len(lengths)), np.maximum(lengths - window + 1, 0))
-    first = np.cumsum(lengths) - lengths
-    counts = np.bincount(segment, minlength=len(lengths))
-    offset = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)
-    node = name[first[segment] + offset]
-    least = np.full(node.max(initial=0) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, node, docs[segment])
-    gone = np.flatnonzero(docs[segment] > least[node])
-    if not gone.size:
-        return gone, gone, gone
-    new = np.r_[True, (np.diff(gone) > 1) | (np.diff(segment[gone]) != 0)]
-    a, z = gone[new], gone[np.r_[new[1:], True]]
-    return segment[a], offset[a], offset[z] + window
+    after, before = subtree(np.c_[group.view(np.uint64), right]), subtree(left)
+    window, gone = right.shape[1], np.zeros((len(docs), left.shape[1] + 1), bool)
+    for n in range(left.shape[1] + 1):
+        own = np.flatnonzero((first <= n) & (n <= last))
+        if own.size:
+            name = nodes(after, 1 + window - n)[own] * (len(docs) + 1) + nodes(before, n)[own]
+            node = np.unique(name, return_inverse=True)[1]
+            least = np.full(node.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, node, docs[own])
+            gone[own, n] = docs[own] > least[node]
+    return gone
+
+
+def spans_of(segments: list[tuple[int, int, int, int, np.ndarray]], w: Words, window: int, phrase: int, tier: int) -> dict[str, np.ndarray]:
+    """(id, tie, a, b) to remove from whole groups of segments (id, tie, start, key, numbers of words)."""
+    doc, tie, start, key, words = zip(*segments, strict=True)
+    lengths = np.array([len(x) for x in words], np.int64)
+    offset = np.cumsum(lengths) - lengths
+    # The suffixes of each segment, and how many words before them their windows begin.
+    begin, first, last, of = [], [], [], []
+    for i, x in enumerate(words):
+        at = w.prefixes(x, window, phrase, tier)[1]
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        begin.append(at[new]), last.append(at[new] - new), of.append(np.full(len(new), i))
+        first.append(at[new] - np.r_[new[1:] - 1, len(at) - 1])
+    begin, first, last, of = (np.concatenate(x).astype(np.int64) for x in (begin, first, last, of))
+    numbers = np.r_[np.concatenate(words), np.uint64(0)]
+    width, end = widths(window, phrase)[tier], lengths[of]
+
+    def matrix(places: np.ndarray) -> np.ndarray:
+        return numbers[np.where((places >= 0) & (places < end[:, None]), places + offset[of][:, None], len(numbers) - 1)]
+
+    ids = np.array(doc, np.int64)
+    gone = repeats(np.array(key, np.int64)[of], ids[of], first, last, matrix(begin[:, None] + np.arange(window)), matrix(begin[:, None] - np.arange(1, width)))
+    # Runs of windows make the spans: ``n`` words before the suffix is one place further back than ``n - 1``.
+    edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (i, low), (_, high) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    a = np.array(start, np.int64)[of[i]] + begin[i]
+    return {"id": ids[of[i]], "tie": np.array(tie, np.int64)[of[i]], "a": a - high + 1, "b": a - low + window}
+
+
+def _numbers(w: Words, text: str | bytes) -> np.ndarray:
+    return w.numbers((text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).split())
 
 
 def _marks(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(id, tie, seq, n, anchors): a hash of all words, their number, the distinct anchors."""
+    """(id, tie, seq, n, keys, windows) of (id, tie, text): a hash of all words, their number, the distinct anchors, the windows of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words()
         for b in batches:
             split = [t.encode("utf-8", "surrogatepass").split() for t in b.column(2).to_pylist()]
             seq = [xxhash.xxh3_128_digest(b" ".join(x)) for x in split]
-            found = [np.unique(w.anchors(w.numbers(x), window, phrase)) if len(x) >= window else np.zeros(0, np.int64) for x in split]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            anchors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seq, pa.binary()), pa.array([len(x) for x in split], pa.int64()), anchors], ["id", "tie", "seq", "n", "anchors"])
+            found = [np.unique(w.anchors(w.numbers(x), window, phrase)[0].view(np.int64) if len(x) >= window else np.zeros(0, np.int64), return_counts=True) for x in split]
+            own = [b.column(0), b.column(1), pa.array(seq, pa.binary()), pa.array([len(x) for x in split], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, *_lists(found)], ["id", "tie", "seq", "n", "keys", "windows"])
 
-    return docs.select("id", "tie", "text").mapInArrow(work, "id long, tie long, seq binary, n long, anchors array<long>")
+    return docs.select("id", "tie", "text").mapInArrow(work, "id long, tie long, seq binary, n long, keys array<long>, windows array<long>")
 
 
-def _segments(docs: DataFrame, window: int, phrase: int, single: bool) -> DataFrame:
-    """Runs of windows with the same wanted anchor, as words (id, tie, start, anchor, words); with ``single`` each window for itself, with a 128-bit hash for words.
+def _lists(found: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    ends = pa.array(np.cumsum([0, *(len(x) for x, _ in found)]).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*(x[k] for x in found), np.zeros(0, np.int64)]).astype(np.int64))) for k in (0, 1)]
 
-    ``docs``: id, text, tie, wanted (anchors), and other columns that are not read.
-    """
+
+def _longer(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
+    """(id, tie, keys, windows): the distinct prefixes in a tier of windows whose prefix in the tier before is wanted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words()
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("id", "tie", "start", "anchor", "words")}
-            ids, texts, ties, wanted = (b.column(b.schema.get_field_index(k)) for k in ("id", "text", "tie", "wanted"))
-            for i, (doc_id, text, tie) in enumerate(zip(ids.to_pylist(), texts.to_pylist(), ties.to_pylist(), strict=True)):
+            found = []
+            for text, wanted in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+                numbers = _numbers(w, text)
+                some = np.isin(w.prefixes(numbers, window, phrase, tier - 1)[0], wanted.values.to_numpy())
+                found.append(np.unique(w.prefixes(numbers, window, phrase, tier)[0][some], return_counts=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(found)], ["id", "tie", "keys", "windows"])
+
+    return docs.select("id", "tie", "text", "wanted").mapInArrow(work, "id long, tie long, keys array<long>, windows array<long>")
+
+
+def _segments(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
+    """(id, tie, start, key, words): runs of windows with the same wanted prefix; in the last tier each window for itself, with a 128-bit hash for words."""
+    single = tier == len(widths(window, phrase)) - 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = Words()
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("id", "tie", "start", "key", "words")}
+            for doc_id, tie, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
-                anchor = w.anchors(w.numbers(words), window, phrase)
-                places = np.flatnonzero(np.isin(anchor, wanted[i].values.to_numpy()))
+                key = w.prefixes(w.numbers(words), window, phrase, tier)[0]
+                places = np.flatnonzero(np.isin(key, wanted.values.to_numpy()))
                 if not places.size:
                     continue
                 new = np.ones(len(places), bool)
                 if not single:
-                    new[1:] = (np.diff(places) > 1) | (np.diff(anchor[places]) != 0)
+                    new[1:] = (np.diff(places) > 1) | (np.diff(key[places]) != 0)
                 a, z = places[new], places[np.r_[new[1:], True]] + window
                 joined = [b" ".join(words[x:y]) for x, y in zip(a.tolist(), z.tolist(), strict=True)]
                 out["words"] += [xxhash.xxh3_128_digest(x) for x in joined] if single else joined
                 out["id"] += [doc_id] * len(a)
                 out["tie"] += [tie] * len(a)
                 out["start"] += a.tolist()
-                out["anchor"] += anchor[a].tolist()
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("words", pa.binary())]))
+                out["key"] += key[a].tolist()
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("key", pa.int64()), ("words", pa.binary())]))
 
-    return docs.mapInArrow(work, "id long, tie long, start long, anchor long, words binary")
+    return docs.select("id", "tie", "text", "wanted").mapInArrow(work, "id long, tie long, start long, key long, words binary")
 
 
-def _grouped_repeats(segments: DataFrame, window: int) -> DataFrame:
-    """(id, tie, a, b): spans to remove, found in the subtrees of groups of segments with equal anchors."""
+def _grouped_repeats(segments: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
+    """(id, tie, a, b): spans to remove, found in the trees of groups of segments with equal prefixes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words()
         held: list[tuple] = []
         size = 0
-
-        def close(rows: list[tuple]) -> pa.RecordBatch:
-            split = [x[4].split() for x in rows]
-            numbers = w.numbers([y for x in split for y in x])
-            docs = np.array([x[0] for x in rows], np.int64)
-            s, a, z = repeats(numbers, np.array([len(x) for x in split], np.int64), docs, window)
-            tie, start = np.array([x[1] for x in rows], np.int64), np.array([x[2] for x in rows], np.int64)
-            return pa.RecordBatch.from_pydict({"id": docs[s], "tie": tie[s], "a": start[s] + a, "b": start[s] + z})
-
         for b in batches:
-            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
-            held += rows
-            size += sum(len(x[4]) for x in rows) // 6
-            if size > GROUP_WORDS:
-                whole = len(held) - 1
-                while whole and held[whole - 1][3] == held[-1][3]:
-                    whole -= 1
-                if whole:
-                    yield close(held[:whole])
-                    held = held[whole:]
-                    size = sum(len(x[4]) for x in held) // 6
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size >= GROUP_WINDOWS and row[3] != held[-1][3]:
+                    yield pa.RecordBatch.from_pydict(spans_of(held, w, window, phrase, tier))
+                    held, size = [], 0
+                held.append((*row[:4], _numbers(w, row[4])))
+                size += len(held[-1][4]) - window + 1
         if held:
-            yield close(held)
+            yield pa.RecordBatch.from_pydict(spans_of(held, w, window, phrase, tier))
 
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor")
+    dealt = segments.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(work, "id long, tie long, a long, b long")
 
 
+def shared_prefixes(places: DataFrame) -> DataFrame:
+    """(id, tie, cold, hot) of (id, tie, keys, windows): each document's prefixes that other documents have too, by whether their group fits in memory."""
+    each = places.select("id", "tie", F.explode(F.arrays_zip("keys", "windows")).alias("x")).select("id", "tie", F.col("x.keys").alias("key"), F.col("x.windows").alias("windows"))
+    groups = cut(each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("windows").alias("all")).filter("lo < hi").select("key", (F.col("all") > GROUP_WINDOWS).alias("large")))
+    lists = [F.collect_set(F.when(x, F.col("key"))).alias(k) for k, x in (("cold", ~F.col("large")), ("hot", F.col("large")))]
+    return cut(each.drop("windows").join(groups, "key").groupBy("id", "tie").agg(*lists))
+
+
 def removed_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(id, tie, spans) for rows of (id, text, tie) of which words are to go; id and text are not null.
 
     A text that repeats the words of a smaller document as a whole goes without further search, so a group
     of copies takes part once.
     """
-    marks = cut(_marks(docs, window, phrase)).filter(F.col("n") >= window)
-    first = marks.groupBy("seq").agg(F.min("id").alias("first"))
+    marks = cut(_marks(docs, window, phrase).filter(F.col("n") >= window))
+    first = cut(marks.groupBy("seq").agg(F.min("id").alias("first")))  # a table of its own, so that a skewed join can be split
     known = marks.join(first, "seq")
-    copies = known.filter("id > first").select("id", "tie", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
-    places = known.filter("id = first").select("id", "tie", F.explode("anchors").alias("anchor"))
-    shared = places.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("anchor", (F.col("n") > MOST).alias("hot"))
-    lists = cut(places.join(shared, "anchor").groupBy("id", "tie").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
-    wanted = lambda name: docs.join(lists.filter(F.size(name) > 0).select("id", "tie", F.col(name).alias("wanted")), ["id", "tie"])
-    spans = copies.unionByName(_grouped_repeats(_segments(wanted("cold"), window, phrase, False), window))
-    if not lists.filter(F.size("hot") > 0).isEmpty():
-        single = cut(_segments(wanted("hot"), window, phrase, True))
-        least = single.groupBy("words").agg(F.min("id").alias("least"))
-        spans = spans.unionByName(single.join(least, "words").filter("id > least").select("id", "tie", F.col("start").alias("a"), (F.col("start") + window).alias("b")))
+    spans = known.filter("id > first").select("id", "tie", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
+    lists = shared_prefixes(known.filter("id = first").select("id", "tie", "keys", "windows"))
+    last = len(widths(window, phrase)) - 1
+    for tier in range(last + 1):
+        wanted = lambda name: docs.join(lists.filter(F.size(name) > 0).select("id", "tie", F.col(name).alias("wanted")), ["id", "tie"])  # noqa: B023, E731
+        if tier == last:
+            both = cut(_segments(wanted("cold").unionByName(wanted("hot")), window, phrase, tier))
+            least = cut(both.groupBy("words").agg(F.min("id").alias("least")))
+            found = both.join(least, "words").filter("id > least").select("id", "tie", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
+        else:
+            found = _grouped_repeats(_segments(wanted("cold"), window, phrase, tier), window, phrase, tier)
+        spans = spans.unionByName(found)
+        if tier == last or lists.filter(F.size("hot") > 0).isEmpty():
+            break
+        lists = shared_prefixes(_longer(wanted("hot"), window, phrase, tier + 1))
     return spans.groupBy("id", "tie").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 

@@ -50,18 +50,50 @@ def test_dedup(spark, monkeypatch):
     rows = some_rows()
     df = spark.createDataFrame([(d, t, 1, "s") for d, t in rows], "doc_id long, text string, spans int, tie string")
     want = by_force(rows, 50)
-    for most, held in ((5000, 400_000), (5000, 300), (2, 300)):  # one group, small groups, longer prefixes
-        monkeypatch.setattr(suffix, "MOST", most)
-        monkeypatch.setattr(suffix, "GROUP_WORDS", held)
+    for most in (100_000, 700, 60, 0):  # groups by ever longer prefixes, at last all by 50 words
+        monkeypatch.setattr(suffix, "GROUP_WINDOWS", most)
         got = suffix.dedup(df).collect()
-        assert Counter((x.doc_id, x.n_words, x.n_removed, x.text) for x in got) == want
+        assert Counter((x.doc_id, x.n_words, x.n_removed, x.text) for x in got) == want, most
         assert all(x.rest.spans == 1 and x.rest.doc_id == x.doc_id for x in got)
     assert suffix.dedup(df.limit(0)).collect() == []
 
 
-def test_equal_windows_have_equal_anchors():
+def test_equal_windows_have_equal_prefixes():
     w, r = suffix.Words(), np.random.default_rng(1)
     a = r.integers(0, 2**64, 300, np.uint64)
     b = np.r_[r.integers(0, 2**64, 77, np.uint64), a[100:180], r.integers(0, 2**64, 5, np.uint64)]
-    x, y = w.anchors(a, 50, 10), w.anchors(b, 50, 10)
-    assert len(x) == 251 and (x[100:131] == y[77:108]).all()
+    for tier in range(4):
+        (x, p), (y, q) = w.prefixes(a, 50, 10, tier), w.prefixes(b, 50, 10, tier)
+        assert len(x) == 251 and (x[100:131] == y[77:108]).all() and (p[100:131] - 100 == q[77:108] - 77).all()
+        size = 50 - suffix.widths(50, 10)[tier] + 1
+        start = np.arange(251)
+        assert (start <= p).all() and (p + size <= start + 50).all() and size == (10, 30, 45, 50)[tier]
+
+
+def test_no_group_is_greater_than_its_bound(spark, monkeypatch):
+    """Documents of one repeated line count by their windows, so that they are no small group."""
+    monkeypatch.setattr(suffix, "GROUP_WINDOWS", 400)
+    line = " ".join(f"l{i}" for i in range(12))
+    rows = [(d, " ".join([line] * (20 + d) + [f"end{d}"])) for d in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "xxhash64(text) as tie")
+    lists = suffix.shared_prefixes(suffix._marks(df, 50, 10).select("id", "tie", "keys", "windows"))
+    for tier in range(3):
+        wanted = lambda name: df.join(lists.filter(f"size({name}) > 0").selectExpr("id", "tie", f"{name} as wanted"), ["id", "tie"])  # noqa: B023, E731
+        groups = suffix._segments(wanted("cold"), 50, 10, tier).collect()
+        sizes = Counter()
+        for x in groups:
+            sizes[x.key] += len(x.words.split()) - 49
+        assert max(sizes.values(), default=0) <= 400
+        lists = suffix.shared_prefixes(suffix._longer(wanted("hot"), 50, 10, tier + 1))
+    got = suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x.doc_id, x.n_words, x.n_removed, x.text) for x in got) == by_force(rows, 50)
+
+
+def test_tree_of_sorted_suffixes():
+    r = np.random.default_rng(3)
+    rows = r.integers(0, 3, (200, 6)).astype(np.uint64)
+    tree = suffix.subtree(rows)
+    for depth in range(7):
+        node = suffix.nodes(tree, depth)
+        names = {}
+        assert all(names.setdefault(tuple(x[:depth]), n) == n for x, n in zip(rows.tolist(), node.tolist(), strict=True)) and len(set(node.tolist())) == len(names)
