@@ -13,10 +13,13 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import library_tokenizer, mapped, prepare
+from .bpe import shared_decoder
+from .common import mapped, prepare
+from .tokenfiles import shared_encoder
 
 #: Reserved segments, in the order of their ids after the vocabulary, as they stand in the formatted text.
 HEADERS = {"user": "### User: ", "assistant": "### Assistant: ", "system": "### System: "}
@@ -47,66 +50,89 @@ def segments(role: str, text: str) -> list[tuple[str, bool, bool]]:
 
 
 def assemble(turns: list[list[tuple[str, bool, bool]]], encode, first: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Ids and loss masks of turns; ``encode`` is given all texts at once, ``first`` is the first reserved id."""
+    """Ids of turns, and for each the ends of runs of the loss mask; ``encode`` is given all texts at once and tells ids and how many each has, ``first`` is the first reserved id."""
     number = {s: first + i for i, s in enumerate(RESERVED)}
-    texts = iter(encode([s for t in turns for s, reserved, _ in t if not reserved]))
-    all_ids, masks = [], []
-    for t in turns:
-        parts = [[number[s]] if reserved else next(texts) for s, reserved, _ in t]
-        ends = np.cumsum([len(p) for p in parts])
-        edges = np.zeros(ends[-1] + 1, np.int8)
-        for (_, _, learned), part, end in zip(t, parts, ends, strict=True):
-            if learned:
-                edges[end - len(part)] += 1
-                edges[end] -= 1
-        all_ids.append(np.concatenate([np.asarray(p, np.int32) for p in parts]))
-        masks.append(np.cumsum(edges[:-1], dtype=np.int8))
-    return all_ids, masks
+    found, counts = encode([s for t in turns for s, reserved, _ in t if not reserved])
+    flat = [x for t in turns for x in t]
+    reserved, learned = np.array([x[1] for x in flat], bool), np.array([x[2] for x in flat], bool)
+    size = np.ones(len(flat), np.int64)
+    size[~reserved] = counts
+    ends = np.cumsum(size)
+    ids = np.empty(ends[-1] if len(ends) else 0, np.int64)
+    special = np.zeros(len(ids), bool)
+    special[ends[reserved] - 1] = True
+    ids[special] = [number[s] for s, r, _ in flat if r]
+    ids[~special] = found
+    # One step up where a learned segment starts, one down where it ends: the mask is their prefix sum.
+    edges = np.zeros(len(ids) + 1, np.int8)
+    np.add.at(edges, (ends - size)[learned], 1)
+    np.add.at(edges, ends[learned], -1)
+    mask = np.cumsum(edges[:-1], dtype=np.int8)
+    cuts = ends[np.cumsum([len(t) for t in turns]) - 1][:-1] if turns else []
+    masks = [np.flatnonzero(np.diff(np.r_[0, m, 0])) for m in np.split(mask, cuts)]
+    return np.split(ids, cuts), masks
+
+
+def kind_of(first: int) -> str:
+    """The type of an id where ``first`` is the first reserved one."""
+    return "<u2" if first + len(RESERVED) <= 1 << 16 else "<u4"
 
 
 def format_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """One row per turn of (conv_id, turn, role, text): conv_id, turn, formatted, ids, mask.
+    """One row per turn of (conv_id, turn, role, text): conv_id, turn, tie, formatted, ids, learned.
 
-    The formatted conversation is the concatenation of its turns by (turn, formatted). Null role or text
-    counts as empty, repeated rows stay, null conv_id is a conversation of its own; other columns are not
-    read. Turns are encoded where they lie: no shuffle, and no bound on turns in a conversation.
+    ``ids`` are little-endian, 2 bytes each if the vocabulary allows; ``learned`` are the ends of the runs under the loss mask
+    (start, end, start, ...). The formatted conversation is the concatenation of its turns by (turn, tie), nulls first; ``tie`` is the MD5 of
+    role, line feed and text. Null role or text counts as empty, repeated rows stay, null conv_id is a conversation of its own;
+    other columns are not read. Turns are encoded where they lie: no shuffle, and no bound on turns in a conversation.
     """
     prepare(turns.sparkSession)
 
     def work(batches: Iterator[dict]) -> Iterable[dict]:
-        lib = library_tokenizer(tokenizer, ordinary=True)
-        first = lib.get_vocab_size(with_added_tokens=True)
+        enc = shared_encoder(tokenizer, True)
+        first = enc.lib.get_vocab_size(with_added_tokens=True)
+        kind = kind_of(first)
         for b in batches:
-            segs = [segments(r or "", t or "") for r, t in zip(b["role"], b["text"], strict=True)]
-            ids, masks = assemble(segs, lambda x: [e.ids for e in lib.encode_batch_fast(x, add_special_tokens=False)], first)
-            yield {"conv_id": b["conv_id"], "turn": b["turn"], "formatted": ["".join(s for s, _, _ in t) for t in segs], "ids": ids, "mask": masks}
+            pairs = [(r or "", t or "") for r, t in zip(b["role"], b["text"], strict=True)]
+            segs = [segments(r, t) for r, t in pairs]
+            ids, learned = assemble(segs, lambda x: enc.encode(pa.array(x, pa.string())), first)
+            tie = [hashlib.md5(f"{r}\n{t}".encode("utf-8", "surrogatepass")).digest() for r, t in pairs]
+            formatted = ["".join(s for s, _, _ in t) for t in segs]
+            yield {"conv_id": b["conv_id"], "turn": b["turn"], "tie": tie, "formatted": formatted, "ids": [x.astype(kind).tobytes() for x in ids], "learned": learned}
 
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return mapped(rows, work, "conv_id long, turn long, formatted string, ids array<int>, mask array<tinyint>")
-
-
-def read_back(ids: list[int], mask: list[int], decode, first: int) -> tuple[str, str, str]:
-    """(role, text, text under the mask) of one formatted turn, from its ids and mask alone."""
-    a, m = np.asarray(ids, np.int64), np.asarray(mask, bool)
-    cuts = np.flatnonzero(a >= first)
-    inner = [a[i + 1 : j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    marks = [RESERVED[a[c] - first] for c in cuts]
-    texts = [unescape(decode(x.tolist())) for x in inner]
-    role = texts[0] if marks[0] == OTHER else next(r for r, h in HEADERS.items() if h == marks[0])
-    return role, texts[-1], unescape(decode(a[m].tolist()))
+    return mapped(rows, work, "conv_id long, turn long, tie binary, formatted string, ids binary, learned array<int>")
+
+
+def read_back(ids: list[np.ndarray], learned: list[list[int]], decode_batch, first: int) -> Iterator[tuple[str, str, str]]:
+    """(role, text, text under the mask) of formatted turns, from their ids and masks alone."""
+    size = np.array([len(x) for x in ids], np.int64)
+    flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)
+    special = np.flatnonzero(flat >= first)
+    turn = np.repeat(np.arange(len(ids)), size)[special]
+    inner = np.flatnonzero(turn[1:] == turn[:-1])  # a segment stands between two reserved ids of one turn
+    texts = list(map(unescape, decode_batch(flat[flat < first], special[inner + 1] - special[inner] - 1)))
+    of = np.searchsorted(turn[inner], np.arange(len(ids)), "right") - 1  # the last one is the turn's text
+    heads = special[np.searchsorted(turn, np.arange(len(ids)))]
+    runs = [np.concatenate([x[a:b] for a, b in zip(m[::2], m[1::2], strict=True)] or [x[:0]]) for x, m in zip(ids, learned, strict=True)]
+    under = decode_batch(np.concatenate([*runs, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(x) for x in runs], np.int64))
+    roles = {h: r for r, h in HEADERS.items()}
+    for i, learned_text in enumerate(under):
+        mark = RESERVED[flat[heads[i]] - first]
+        yield texts[of[i] - 1] if mark == OTHER else roles[mark], texts[of[i]], unescape(learned_text)
 
 
 def chat_digests(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Per conversation of format_turns(): conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, loss_tokens.
 
-    Everything is read back from ids and masks. Turns come sorted and are digested one after another, so
-    a task holds one batch however long a conversation is.
+    Everything but the formatted length is read back from ids and masks, and only these are shuffled. Turns come sorted and
+    are digested one after another, so a task holds one batch however long a conversation is.
     """
 
     def work(batches: Iterator[dict]) -> Iterable[dict]:
-        lib = library_tokenizer(tokenizer, ordinary=True)
-        first = lib.get_vocab_size(with_added_tokens=True)
-        decode = lambda x: lib.decode(x, skip_special_tokens=False)
+        decoder = shared_decoder(tokenizer)
+        first = len(decoder.raw_size)
+        kind = kind_of(first)
         out: dict[str, list] = {k: [] for k in names}
         now, state = object(), None
 
@@ -117,14 +143,15 @@ def chat_digests(formatted: DataFrame, tokenizer: str | None = None) -> DataFram
                     out[k].append(v)
 
         for b in batches:
-            for conv, formatted, ids, mask in zip(b["conv_id"], b["formatted"], b["ids"], b["mask"], strict=True):
+            ids = [np.frombuffer(x, kind) for x in b["ids"]]
+            told = read_back(ids, b["learned"], decoder.decode_batch, first)
+            for conv, chars, own, m, (role, text, learned) in zip(b["conv_id"], b["chars"], ids, b["learned"], told, strict=True):
                 if state is None or conv != now:
                     close()
                     now, state = conv, (hashlib.sha256(), hashlib.sha256(), [0] * 5)
-                role, text, learned = read_back(ids, mask, decode, first)
                 state[0].update(f"{role}\n{text}\n".encode())
                 state[1].update(learned.encode())
-                for i, x in enumerate((1, len(learned), len(formatted), len(ids), sum(mask))):
+                for i, x in enumerate((1, len(learned), chars, len(own), sum(m[1::2]) - sum(m[::2]))):
                     state[2][i] += x
             if len(out["conv_id"]) >= 1000:
                 yield out
@@ -133,5 +160,6 @@ def chat_digests(formatted: DataFrame, tokenizer: str | None = None) -> DataFram
         yield out
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    light = formatted.select("conv_id", "turn", "tie", F.length("formatted").alias("chars"), "ids", "learned")
+    ordered = light.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "tie").select("conv_id", "chars", "ids", "learned")
     return mapped(ordered, work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")

@@ -133,15 +133,16 @@ class Shard:
 class Encoder:
     """The tokenizers library, asked once for each word that the cache does not know."""
 
-    def __init__(self, path: str | None, cached: int = 600_000) -> None:
-        self.lib = library_tokenizer(path)
+    def __init__(self, path: str | None, cached: int = 600_000, ordinary: bool = False) -> None:
+        """``ordinary``: the strings of special tokens are plain text."""
+        self.lib = library_tokenizer(path, ordinary)
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.length = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token; its letters stand for bytes
         for t, i in vocab.items():
             self.length[i] = len(t)
-        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        special = [] if ordinary else [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.encode = Parts(lambda x: self._joined(x, ""), self._inner, self._alone, special, self.kind, cached).encode
 
     def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +180,9 @@ class Encoder:
 
 
 @lru_cache(2)
-def shared_encoder(path: str | None) -> Encoder:
+def shared_encoder(path: str | None, ordinary: bool = False) -> Encoder:
     """One encoder for all tasks that a worker process runs, so that what it learned is kept."""
-    return Encoder(path)
+    return Encoder(path, ordinary=ordinary)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
