@@ -89,9 +89,14 @@ class Bundle:
     def frame(self, i: int) -> bytes:
         return self.unpack(self.file.read_at(self.sizes[i][0], self.starts[i]), max_output_size=self.sizes[i][1])
 
-    def frames(self) -> Iterator[bytes]:
-        for i in range(len(self.sizes) - 1):
-            yield self.frame(i)
+    def all(self) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
+        """(record id, headers, block) of every record in the index, cut out at its offset; each frame is unpacked once."""
+        open_, data = -1, b""
+        for rid, frame, offset in sorted(self.index, key=lambda x: x[1:]):
+            if frame != open_:
+                open_, data = frame, self.frame(frame)
+            _, headers, block = next(records(data, offset))
+            yield rid, headers, block
 
     def get(self, record_id: bytes) -> bytes | None:
         """The record of an id, None if the bundle has none."""
@@ -99,12 +104,11 @@ class Bundle:
         if i == len(self.index) or self.index[i][0] != record_id:
             return None
         _, frame, offset = self.index[i]
-        return next(records(self.frame(frame)[offset:]))[0]
+        return next(records(self.frame(frame), offset))[0]
 
 
-def records(data: bytes) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
-    """(record, headers, block) of concatenated WARC records."""
-    at = 0
+def records(data: bytes, at: int = 0) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
+    """(record, headers, block) of concatenated WARC records, from the one at an offset on."""
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")[1:]
@@ -114,13 +118,13 @@ def records(data: bytes) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
         at = stop + 4
 
 
-def record_id(page_id: int | None, digest: str, nth: int = 0) -> bytes:
-    """16 bytes from the page's id and payload; the nth equal row of a task gets an id of its own."""
-    return uuid.uuid5(uuid.NAMESPACE_OID, f"page {page_id} {digest} {nth}").bytes
+def record_id(page_id: int | None, digest: str, url: str | None = None, nth: int = 0, bundle: str = "") -> bytes:
+    """16 bytes from the page's id, payload and url; the nth equal row takes its bundle's name too."""
+    return uuid.uuid5(uuid.NAMESPACE_OID, f"page {page_id} {digest} {nth} {bundle if nth else ''} {url}").bytes
 
 
-def record(rid: bytes, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """A response record, or a revisit record without block if ``refers_to`` is given."""
+def record(rid: bytes, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: bytes | None, date: str) -> bytes:
+    """A response record, or a revisit record without block if ``refers_to``, the id of a record, is given."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = b"" if refers_to is not None else http + payload
     fields = {
@@ -135,7 +139,7 @@ def record(rid: bytes, page_id: int | None, url: str | None, payload: bytes, dig
         "Content-Length": str(len(block)),
     }
     if refers_to is not None:
-        fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:uuid:{uuid.UUID(bytes=record_id(refers_to, digest))}>", "X-Refers-To-Page-ID": str(refers_to)}
+        fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:uuid:{uuid.UUID(bytes=refers_to)}>"}
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
@@ -144,19 +148,22 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, date: str = "1970-0
     """Write a record for each row of (page_id, url, html) as bundles below ``folder``; returns (uri, records, bytes).
 
     Of rows with equal payloads of at least ``least`` bytes, those with the greatest page_id are responses
-    and the others revisit it; null html counts as an empty payload, null url as about:blank. Rows of a
+    and the others revisit it (of several such rows the one of greatest url); null html counts as an empty payload, null url as about:blank. Rows of a
     repeated page_id each get a record; among payloads that only null ids have, all are responses. Other
     columns are not read. A task that is run again writes new files; the rows returned, which are
     checkpointed, name those that count.
     """
     prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("large", F.octet_length("payload") >= least)
-    # Only payloads that occur again can be revisited; short payloads get keys of their own, spread over all tasks.
-    many = rows.filter("large").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    many = many.select(F.col("digest").alias("key"), "keeper")
-    keyed = rows.withColumn("key", F.when(F.col("large"), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
-    joined = keyed.join(many, "key", "left").withColumn("refers", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    # What is decided needs no payloads; they are dealt once, by page, url and digest, so that no digest gathers them.
+    light = cut(rows.select("page_id", "url", "digest", (F.octet_length("payload") >= least).alias("large")).distinct())
+    best = F.max(F.struct("page_id", F.col("url").isNotNull().alias("named"), "url")).alias("keeper")
+    many = cut(light.filter("large and page_id is not null").groupBy("digest").agg(best, F.count(F.lit(1)).alias("n")).select("digest", "keeper"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("keeper.page_id")), F.col("keeper.page_id"))
+    told = light.filter("large").join(many, "digest").select("page_id", "url", "digest", refers.alias("refers"), F.col("keeper.url").alias("refers_url")).filter("refers is not null")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("page_id", "url", "digest")]
+    joined = rows.alias("r").join(cut(told).alias("t"), same, "left").select("r.*", "t.refers", "t.refers_url")
 
     def work(batches: Iterator[dict]) -> Iterable[dict]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -166,53 +173,59 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, date: str = "1970-0
             writer.close()
             return {"uri": [uri], "records": [len(writer.index)], "bytes": [writer.written]}
 
-        seen: dict[tuple, int] = {}
+        seen: dict[tuple, int] = {}  # a task has all rows of a page, url and payload, in whatever bundles
         for b in batches:
-            for page_id, url, payload, digest, refers in zip(b["page_id"], b["url"], b["payload"], b["digest"], b["refers"], strict=True):
+            for page_id, url, payload, digest, refers, refers_url in zip(b["page_id"], b["url"], b["payload"], b["digest"], b["refers"], b["refers_url"], strict=True):
                 if writer is None:
                     store.create_dir(root, recursive=True)
-                    name, seen = f"bundle-{uuid.uuid4().hex}.warc.zst", {}
+                    name = f"bundle-{uuid.uuid4().hex}.warc.zst"
                     uri, writer = f"{folder}/{name}", BundleWriter(store.open_output_stream(f"{root}/{name}", compression=None))
-                nth = seen[page_id, digest] = seen.get((page_id, digest), -1) + 1
-                rid = record_id(page_id, digest, nth)
-                writer.add(rid, record(rid, page_id, url, payload, digest, refers, date))
+                nth = seen[page_id, digest, url] = seen.get((page_id, digest, url), -1) + 1
+                rid = record_id(page_id, digest, url, nth, name)
+                writer.add(rid, record(rid, page_id, url, payload, digest, None if refers is None else record_id(refers, digest, refers_url), date))
                 if writer.written >= BUNDLE_BYTES:
                     yield close()
                     writer = None
         if writer:
             yield close()
 
-    return cut(mapped(joined.select("page_id", "url", "payload", "digest", "refers"), work, "uri string, records long, bytes long"))
+    return cut(mapped(joined.select("page_id", "url", "payload", "digest", "refers", "refers_url"), work, "uri string, records long, bytes long"))
 
 
 def read(bundles: DataFrame) -> DataFrame:
     """Every record of the bundles named in ``uri``: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
-    For responses size and digest are taken from the payload itself, for revisits from their headers.
+    Records are cut out by the bundles' record indexes. For responses size and digest are taken from the payload itself, for
+    revisits from their headers; the page that a revisit refers to is that of the response with the record id which it names.
     """
 
     def work(batches: Iterator[dict]) -> Iterable[dict]:
         for b in batches:
             for uri in b["uri"]:
                 store, path = fs.FileSystem.from_uri(uri)
-                for frame in Bundle(store.open_input_file(path)).frames():
-                    out: dict[str, list] = {k: [] for k in names}
-                    for _, h, block in records(frame):
-                        if h["WARC-Type"] == "response":
-                            payload = block[block.index(b"\r\n\r\n") + 4 :]
-                            size, digest, refers = len(payload), hashlib.sha1(payload).hexdigest(), None
-                        else:
-                            size, digest, refers = int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Refers-To-Page-ID"])
-                        page = int(h["X-Page-ID"]) if h["X-Page-ID"] else None
-                        for k, v in zip(names, (page, h["WARC-Target-URI"], size, digest, h["WARC-Type"], refers), strict=True):
-                            out[k].append(v)
-                    yield out
+                out: dict[str, list] = {k: [] for k in names}
+                for rid, h, block in Bundle(store.open_input_file(path)).all():
+                    if h["WARC-Type"] == "response":
+                        payload = block[block.index(b"\r\n\r\n") + 4 :]
+                        size, digest, refers = len(payload), hashlib.sha1(payload).hexdigest(), None
+                    else:
+                        size, digest, refers = int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), uuid.UUID(h["WARC-Refers-To"].strip("<>")).bytes
+                    page = int(h["X-Page-ID"]) if h["X-Page-ID"] else None
+                    for k, v in zip(names, (page, h["WARC-Target-URI"], size, digest, h["WARC-Type"], rid, refers), strict=True):
+                        out[k].append(v)
+                    if len(out["page_id"]) >= 2000:
+                        yield out
+                        out = {k: [] for k in names}
+                yield out
 
     prepare(bundles.sparkSession)
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, record_id binary, refers binary"
     names = [x.split()[0] for x in schema.split(", ")]
     n = max(1, bundles.count())
-    return mapped(bundles.select("uri").repartition(n), work, schema)
+    rows = cut(mapped(bundles.select("uri").repartition(n), work, schema))
+    target = cut(rows.filter("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers"]))
+    revisits = rows.filter("record_type = 'revisit'").join(target, "refers", "left")
+    return rows.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits).drop("refers", "record_id")
 
 
 def write_and_read(pages: DataFrame, least: int = LEAST) -> DataFrame:
