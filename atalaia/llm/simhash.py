@@ -143,8 +143,10 @@ def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame
     prepare(docs.sparkSession)
     marks = cut(fingerprints(docs, width))
     nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = components(links(nodes.select("fp"), bits)).withColumnRenamed("node", "fp")
-    nodes = nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    whole = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = nodes.select("fp", "label").join(whole, "label").select("fp", "component_id")
+    label = cut(components(links(nodes.select("fp"), bits)).withColumnRenamed("node", "fp"))
+    # Tables of their own, so that Spark can split joins in which one label or fingerprint has very many rows.
+    nodes = cut(nodes.join(label, "fp", "left"))
+    whole = cut(nodes.filter("label is not null").groupBy("label").agg(F.min("least").alias("component_id")))
+    of = nodes.filter("label is not null").join(whole, "label").select("fp", "component_id")
+    of = cut(of.unionByName(nodes.filter("label is null").select("fp", F.col("least").alias("component_id"))))
     return marks.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -147,3 +147,18 @@ def test_links_lose_nothing():
         np.minimum.at(label, a, label[b]), np.minimum.at(label, b, label[a])
     force = components_by_force([int(x) for x in fp])
     assert len(set(zip(label.tolist(), force, strict=True))) == len(set(force)) == len(set(label.tolist()))
+
+
+def test_pivots_discard_what_is_far():
+    """Of random pairs the pivots leave few to the exact comparison, of near ones they lose none."""
+    r = np.random.default_rng(7)
+    fp = r.integers(0, 2**64, 2000, np.uint64)
+    near = fp.copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << r.integers(0, 64, len(fp)).astype(np.uint64)
+    table = lambda x: np.bitwise_count(x[:, None] ^ simhash.PIVOTS).astype(int)
+    assert (np.abs(table(fp) - table(near)).max(1) <= 4).all()
+    left = np.mean(np.abs(table(fp) - table(np.roll(fp, 1))).max(1) <= 4)
+    assert left < 0.02
+    a, b = simhash.linked(np.r_[fp[:300], near[:300]], np.zeros(600, int), 4)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(i, i + 300) for i in range(300)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import uuid
 import zlib
 from collections import Counter
 
@@ -86,6 +87,24 @@ def test_warc(spark, tmp_path):
     assert warc.write_and_read(df.limit(0)).collect() == []
 
 
+def test_record_ids_are_unique_and_resolve(spark):
+    """Rows of one page and payload under several urls, and equal rows, each have a record of their own, and revisits name one of them."""
+    page = "p" * 2000
+    rows = [(5, f"http://u/{i % 4}", page) for i in range(12)] + [(i, "http://v", page) for i in range(5)] + [(None, None, page)] * 2
+    bundles = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6), common.new_folder(spark, "w"))
+    seen, refers = [], set()
+    for r in bundles.collect():
+        store, path = fs.FileSystem.from_uri(r.uri)
+        bundle = warc.Bundle(store.open_input_file(path))
+        for rid, h, _ in bundle.all():
+            assert bundle.get(rid) is not None and h["WARC-Record-ID"] == f"<urn:uuid:{uuid.UUID(bytes=rid)}>"
+            seen.append((rid, h["WARC-Type"], h["X-Page-ID"]))
+            refers |= {h["WARC-Refers-To"]} if "WARC-Refers-To" in h else set()
+    assert len(seen) == len(rows) == len({x[0] for x in seen})
+    assert [str(uuid.UUID(bytes=x[0])) for x in seen if f"<urn:uuid:{uuid.UUID(bytes=x[0])}>" in refers and x[1:] == ("response", "5")] == [x[10:-1] for x in refers]
+    assert Counter((x.page_id, x.refers_to) for x in warc.read(bundles).collect()) == Counter((r[0], None if r[0] == 5 else 5) for r in rows)
+
+
 def test_bundle_seeks(tmp_path):
     store = fs.LocalFileSystem()
     path = str(tmp_path / "b.warc.zst")
@@ -117,7 +136,7 @@ def test_chat(spark):
     got = {x.conv_id: x for x in chat.chat_digests(turns).collect()}
     assert len(got) == 41
     text = {}
-    for x in sorted(turns.collect(), key=lambda x: (x.turn is not None, x.turn or 0, x.formatted)):
+    for x in sorted(turns.collect(), key=lambda x: (x.turn is not None, x.turn or 0, bytes(x.tie))):
         text.setdefault(x.conv_id, []).append(x.formatted)
     for conv, x in got.items():
         mine = [t for t in rows if t[0] == conv]
