@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
+#: Checkpoints after which the driver's garbage is collected.
+GARBAGE = 6
+
+
 def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small, for the whole session, and see that there is a checkpoint folder (the cluster's, else our own)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -67,9 +71,19 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in the shared folder: computed once, survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` from a checkpoint in the shared folder: computed once, survives the loss of executors.
+
+    Now and then the driver collects its garbage, so that Spark deletes the shuffle files of plans that no longer exist; an
+    operator of many rounds would else keep them all to its end.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    sc._atalaia_cuts = getattr(sc, "_atalaia_cuts", 0) + 1
+    if sc._atalaia_cuts % GARBAGE == 0:
+        sc._jvm.System.gc()
+    return out
 
 
 def mapped(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
