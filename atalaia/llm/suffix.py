@@ -3,7 +3,7 @@
 Every window holds a phrase of least hash, its anchor (the first one if several are equal); equal windows hold equal anchors
 at equal places. Suffixes that begin at the anchors are enough to find all repeated windows, and those whose
 anchor stands in one document only are left out. The suffixes are split into groups by a prefix: the ``phrase`` words of the anchor
-and, where such a group has more than GROUP_WINDOWS windows, longer ones (of 30, 45 and all 50 words), for which the suffix begins so
+and, where such a group has more than GROUP_SUFFIXES suffixes, longer ones (of 30, 45 and all 50 words), for which the suffix begins so
 far before the anchor that the windows of a class all hold the prefix. In a group the suffixes are sorted, which with the longest
 common prefixes of neighbours is their tree, and so are the words before them, read backwards. A pair of nodes, one of each tree, whose
 depths add up to the window or more is a repeat; it is taken as far as the trees go on together. Groups by all 50 words need
@@ -24,8 +24,8 @@ from .common import Cache, cut, prepare
 
 #: Words of a window and of the phrases among which its anchor is chosen.
 WINDOW, PHRASE = 50, 10
-#: Windows up to which a group is held in memory; greater groups are split by longer prefixes.
-GROUP_WINDOWS = 100_000
+#: Suffixes up to which a group is held in memory (under 100 words each); greater groups are split by longer prefixes.
+GROUP_SUFFIXES = 50_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -162,28 +162,34 @@ def _numbers(w: Words, text: str | bytes) -> np.ndarray:
     return w.numbers((text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).split())
 
 
+def _counted(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct prefixes, and how many suffixes begin with each."""
+    new = np.r_[True, (at[1:] != at[:-1]) | (key[1:] != key[:-1])] if len(at) else np.zeros(0, bool)
+    return np.unique(key[new], return_counts=True)
+
+
 def _marks(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(id, tie, seq, n, keys, windows) of (id, tie, text): a hash of all words, their number, the distinct anchors, the windows of each."""
+    """(id, tie, seq, n, keys, many) of (id, tie, text): a hash of all words, their number, the distinct anchors, the suffixes that begin at each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words()
         for b in batches:
             split = [t.encode("utf-8", "surrogatepass").split() for t in b.column(2).to_pylist()]
             seq = [xxhash.xxh3_128_digest(b" ".join(x)) for x in split]
-            found = [np.unique(w.anchors(w.numbers(x), window, phrase)[0].view(np.int64) if len(x) >= window else np.zeros(0, np.int64), return_counts=True) for x in split]
+            found = [_counted(*w.prefixes(w.numbers(x), window, phrase, 0)) for x in split]
             own = [b.column(0), b.column(1), pa.array(seq, pa.binary()), pa.array([len(x) for x in split], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*own, *_lists(found)], ["id", "tie", "seq", "n", "keys", "windows"])
+            yield pa.RecordBatch.from_arrays([*own, *_lists(found)], ["id", "tie", "seq", "n", "keys", "many"])
 
-    return docs.select("id", "tie", "text").mapInArrow(work, "id long, tie long, seq binary, n long, keys array<long>, windows array<long>")
+    return docs.select("id", "tie", "text").mapInArrow(work, "id long, tie long, seq binary, n long, keys array<long>, many array<int>")
 
 
 def _lists(found: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
     ends = pa.array(np.cumsum([0, *(len(x) for x, _ in found)]).astype(np.int32))
-    return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*(x[k] for x in found), np.zeros(0, np.int64)]).astype(np.int64))) for k in (0, 1)]
+    return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*(x[k] for x in found), np.zeros(0, np.int64)]).astype(kind))) for k, kind in enumerate((np.int64, np.int32))]
 
 
 def _longer(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
-    """(id, tie, keys, windows): the distinct prefixes in a tier of windows whose prefix in the tier before is wanted."""
+    """(id, tie, keys, many): the distinct prefixes in a tier of windows whose prefix in the tier before is wanted, and the suffixes of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words()
@@ -192,10 +198,11 @@ def _longer(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
             for text, wanted in zip(b.column(2).to_pylist(), b.column(3), strict=True):
                 numbers = _numbers(w, text)
                 some = np.isin(w.prefixes(numbers, window, phrase, tier - 1)[0], wanted.values.to_numpy())
-                found.append(np.unique(w.prefixes(numbers, window, phrase, tier)[0][some], return_counts=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(found)], ["id", "tie", "keys", "windows"])
+                key, at = w.prefixes(numbers, window, phrase, tier)
+                found.append(_counted(key[some], at[some]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(found)], ["id", "tie", "keys", "many"])
 
-    return docs.select("id", "tie", "text", "wanted").mapInArrow(work, "id long, tie long, keys array<long>, windows array<long>")
+    return docs.select("id", "tie", "text", "wanted").mapInArrow(work, "id long, tie long, keys array<long>, many array<int>")
 
 
 def _segments(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
@@ -236,11 +243,12 @@ def _grouped_repeats(segments: DataFrame, window: int, phrase: int, tier: int) -
         size = 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= GROUP_WINDOWS and row[3] != held[-1][3]:
+                if size >= GROUP_SUFFIXES and row[3] != held[-1][3]:
                     yield pa.RecordBatch.from_pydict(spans_of(held, w, window, phrase, tier))
                     held, size = [], 0
                 held.append((*row[:4], _numbers(w, row[4])))
-                size += len(held[-1][4]) - window + 1
+                at = w.prefixes(held[-1][4], window, phrase, tier)[1]
+                size += 1 + np.count_nonzero(np.diff(at))
         if held:
             yield pa.RecordBatch.from_pydict(spans_of(held, w, window, phrase, tier))
 
@@ -249,11 +257,11 @@ def _grouped_repeats(segments: DataFrame, window: int, phrase: int, tier: int) -
 
 
 def shared_prefixes(places: DataFrame) -> DataFrame:
-    """(id, tie, cold, hot) of (id, tie, keys, windows): each document's prefixes that other documents have too, by whether their group fits in memory."""
-    each = places.select("id", "tie", F.explode(F.arrays_zip("keys", "windows")).alias("x")).select("id", "tie", F.col("x.keys").alias("key"), F.col("x.windows").alias("windows"))
-    groups = cut(each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("windows").alias("all")).filter("lo < hi").select("key", (F.col("all") > GROUP_WINDOWS).alias("large")))
+    """(id, tie, cold, hot) of (id, tie, keys, many): each document's prefixes that other documents have too, by whether their group fits in memory."""
+    each = places.select("id", "tie", F.explode(F.arrays_zip("keys", "many")).alias("x")).select("id", "tie", F.col("x.keys").alias("key"), F.col("x.many").alias("many"))
+    groups = cut(each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("many").alias("all")).filter("lo < hi").select("key", (F.col("all") > GROUP_SUFFIXES).alias("large")))
     lists = [F.collect_set(F.when(x, F.col("key"))).alias(k) for k, x in (("cold", ~F.col("large")), ("hot", F.col("large")))]
-    return cut(each.drop("windows").join(groups, "key").groupBy("id", "tie").agg(*lists))
+    return cut(each.drop("many").join(groups, "key").groupBy("id", "tie").agg(*lists))
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -266,7 +274,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -
     first = cut(marks.groupBy("seq").agg(F.min("id").alias("first")))  # a table of its own, so that a skewed join can be split
     known = marks.join(first, "seq")
     spans = known.filter("id > first").select("id", "tie", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
-    lists = shared_prefixes(known.filter("id = first").select("id", "tie", "keys", "windows"))
+    lists = shared_prefixes(cut(known.filter("id = first").select("id", "tie", "keys", "many")))
     last = len(widths(window, phrase)) - 1
     for tier in range(last + 1):
         wanted = lambda name: docs.join(lists.filter(F.size(name) > 0).select("id", "tie", F.col(name).alias("wanted")), ["id", "tie"])  # noqa: B023, E731
@@ -279,7 +287,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -
         spans = spans.unionByName(found)
         if tier == last or lists.filter(F.size("hot") > 0).isEmpty():
             break
-        lists = shared_prefixes(_longer(wanted("hot"), window, phrase, tier + 1))
+        lists = shared_prefixes(cut(_longer(wanted("hot"), window, phrase, tier + 1)))
     return spans.groupBy("id", "tie").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 

@@ -50,8 +50,8 @@ def test_dedup(spark, monkeypatch):
     rows = some_rows()
     df = spark.createDataFrame([(d, t, 1, "s") for d, t in rows], "doc_id long, text string, spans int, tie string")
     want = by_force(rows, 50)
-    for most in (100_000, 700, 60, 0):  # groups by ever longer prefixes, at last all by 50 words
-        monkeypatch.setattr(suffix, "GROUP_WINDOWS", most)
+    for most in (50_000, 300, 40, 0):  # groups by ever longer prefixes, at last all by 50 words
+        monkeypatch.setattr(suffix, "GROUP_SUFFIXES", most)
         got = suffix.dedup(df).collect()
         assert Counter((x.doc_id, x.n_words, x.n_removed, x.text) for x in got) == want, most
         assert all(x.rest.spans == 1 and x.rest.doc_id == x.doc_id for x in got)
@@ -71,19 +71,20 @@ def test_equal_windows_have_equal_prefixes():
 
 
 def test_no_group_is_greater_than_its_bound(spark, monkeypatch):
-    """Documents of one repeated line count by their windows, so that they are no small group."""
-    monkeypatch.setattr(suffix, "GROUP_WINDOWS", 400)
+    """Documents of one repeated line count by their suffixes, so that they are no small group."""
+    monkeypatch.setattr(suffix, "GROUP_SUFFIXES", 100)
     line = " ".join(f"l{i}" for i in range(12))
     rows = [(d, " ".join([line] * (20 + d) + [f"end{d}"])) for d in range(50)]
     df = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "xxhash64(text) as tie")
-    lists = suffix.shared_prefixes(suffix._marks(df, 50, 10).select("id", "tie", "keys", "windows"))
+    lists = suffix.shared_prefixes(suffix._marks(df, 50, 10).select("id", "tie", "keys", "many"))
     for tier in range(3):
         wanted = lambda name: df.join(lists.filter(f"size({name}) > 0").selectExpr("id", "tie", f"{name} as wanted"), ["id", "tie"])  # noqa: B023, E731
         groups = suffix._segments(wanted("cold"), 50, 10, tier).collect()
         sizes = Counter()
+        w = suffix.Words()
         for x in groups:
-            sizes[x.key] += len(x.words.split()) - 49
-        assert max(sizes.values(), default=0) <= 400
+            sizes[x.key] += len(set(w.prefixes(suffix._numbers(w, bytes(x.words)), 50, 10, tier)[1].tolist()))
+        assert max(sizes.values(), default=0) <= 100
         lists = suffix.shared_prefixes(suffix._longer(wanted("hot"), 50, 10, tier + 1))
     got = suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((x.doc_id, x.n_words, x.n_removed, x.text) for x in got) == by_force(rows, 50)
