@@ -68,14 +68,14 @@ def by_label(c: Column, values: dict) -> Column:
     return out
 
 
-def classify(chunks: DataFrame, criteria: DataFrame, agencies: DataFrame | None = None, top_k: int = K.TOP_K, full: float = K.MIN_FULL, partial: float = K.MIN_PARTIAL, min_hits: int = K.MIN_HITS, **options) -> DataFrame:
+def classify(chunks: DataFrame | search.Index, criteria: DataFrame, agencies: DataFrame | None = None, top_k: int = K.TOP_K, full: float = K.MIN_FULL, partial: float = K.MIN_PARTIAL, min_hits: int = K.MIN_HITS, **options) -> DataFrame:
     """Agency × criterion with label, points and evidence, in one plan instead of a search for each pair."""
     asked = criteria.select(F.col("codigo").alias("query_id"), "pergunta", F.lit(None).cast("string").alias("orgao"), "tipos")
     found = search.hybrid(chunks, asked, top_k, by_agency=True, **options)
     texts = search.evidence(found.select("query_id", "orgao", "chunk_id", "score", "rank"), chunks)
     item = F.struct("rank", "score", "trecho", "documento", "pagina", "chunk_id")
     grouped = texts.groupBy("query_id", "orgao").agg(F.array_sort(F.collect_list(item)).alias("evidencias"))  # top_k of them at most
-    agencies = agencies if agencies is not None else chunks.select("orgao").distinct()
+    agencies = agencies if agencies is not None else (chunks.chunks if isinstance(chunks, search.Index) else chunks).select("orgao").distinct()
     pairs = agencies.crossJoin(search.small(criteria)).join(grouped.withColumnRenamed("query_id", "codigo"), ["codigo", "orgao"], "left")
     pairs = pairs.withColumn("evidencias", F.coalesce("evidencias", F.array().cast(dict(grouped.dtypes)["evidencias"])))
     e = F.col("evidencias")
@@ -101,6 +101,18 @@ def axis_scores(rows: DataFrame) -> DataFrame:
     return rows.groupBy("orgao", "eixo_imga").agg(F.sum("peso_criterio").alias("peso"), F.sum("score_ponderado").alias("score"), F.count(F.lit(1)).alias("criterios"), rounded(share, 2).alias("score_eixo"))
 
 
+def label_distribution(rows: DataFrame) -> DataFrame:
+    """(classificacao, criterios): how often each label occurs, most frequent first, ties by name; labels that do not occur are left out."""
+    return rows.groupBy("classificacao").agg(F.count(F.lit(1)).alias("criterios")).orderBy(F.desc("criterios"), "classificacao")
+
+
+def means(found: DataFrame) -> DataFrame:
+    """One row: agencies, and the means of their compliance and index, two digits; 0 without agencies."""
+    total = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")  # noqa: E731  exact, as the values have two digits
+    mean = lambda c: rounded(F.coalesce(F.try_divide(total(c), F.count(c)), F.lit(0.0)), 2)
+    return found.agg(F.count(F.lit(1)).alias("orgaos"), mean("conformidade_percentual").alias("conformidade_media"), mean("imga_global").alias("imga_medio"))
+
+
 def label_histogram(rows: DataFrame, *by: str) -> DataFrame:
     """Number of rows with each of the four labels, zero included."""
     return rows.groupBy(*by).agg(*[F.count_if(F.col("classificacao") == k).alias(k) for k in K.LABEL_POINTS])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,35 +14,48 @@ from ..functions.text import n_words, paragraphs, rounded
 Lexicon = dict[str, tuple[list[str], list[str], list[str]]]
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """Paragraphs of documents; where a text has no blank lines its lines stand for them."""
+def segments(docs: DataFrame, *carried: str) -> DataFrame:
+    """Paragraphs of documents; where a text has no blank lines its lines stand for them. With ``carried`` columns documents without any have a row too."""
     text = F.coalesce("text", F.lit(""))
     blank = F.regexp_like(text, F.lit(r"\n\s*\n"))
     parts = F.when(blank, paragraphs(text)).otherwise(paragraphs(F.regexp_replace(text, "\n", "\n\n")))
-    return docs.select("document_id", "orgao", F.posexplode(parts).alias("i", "texto")).select("document_id", "orgao", (F.col("i") + 1).alias("segmento"), "texto")
+    each = F.posexplode_outer(parts) if carried else F.posexplode(parts)
+    return docs.select("document_id", "orgao", *carried, each.alias("i", "texto")).select("document_id", "orgao", *carried, (F.col("i") + 1).alias("segmento"), "texto")
 
 
 def _found(low: Column, signals: list[str], words: bool) -> Column:
     """The signals that a lower-cased text holds; each is a literal pattern, so it is compiled once."""
-    test = lambda x: low.rlike(rf"(?U)\b\Q{x}\E\b") if words else F.contains(low, F.lit(x))
-    return F.array_compact(F.array(*[F.when(test(x), x) for x in map(str.lower, signals)])) if signals else F.array().cast("array<string>")
+    return F.array_compact(F.array(*[F.when(_holds(low, x, words), x) for x in map(str.lower, signals)])) if signals else F.array().cast("array<string>")
+
+
+def _holds(low: Column, signal: str, words: bool) -> Column:
+    """Whether a lower-cased text holds a signal, as whole words if asked; the pattern runs only where the characters occur at all."""
+    there = F.contains(low, F.lit(signal))
+    return there & low.rlike(rf"(?U)\b\Q{signal}\E\b") if words else there
+
+
+def _any(low: Column, signals: list[str], words: bool) -> Column:
+    return reduce(or_, [_holds(low, x, words) for x in map(str.lower, signals)], F.lit(False))
 
 
 def boosters(low: Column, families: dict[str, list[str]] | None = None) -> dict[str, Column]:
     """For each family whether a word of the text begins with one of its stems."""
-    return {k: low.rlike(r"(?U)\b(?:" + "|".join(rf"\Q{s}\E" for s in v) + ")") for k, v in (families or K.BOOSTERS).items()}
+    stem = lambda s: F.contains(low, F.lit(s)) & low.rlike(rf"(?U)\b\Q{s}\E")
+    return {k: reduce(or_, map(stem, v)) for k, v in (families or K.BOOSTERS).items()}
 
 
 def score_segments(found: DataFrame, lexicon: Lexicon | None = None, families: dict[str, list[str]] | None = None) -> DataFrame:
     """Segments × axes with a score above 0: 3 for a subsignal, else 2 for an expression, else 1 for a term; one more for each booster, 5 at most."""
     rows = found.withColumn("low", F.lower("texto"))
     boosts = boosters(F.col("low"), families)
-    axes = []
+    axes, lists = [], {}
     for axis, (terms, expressions, subsignals) in (lexicon or K.LEXICON).items():
-        f3, f2, f1 = _found(F.col("low"), subsignals, True), _found(F.col("low"), expressions, False), _found(F.col("low"), terms, True)
+        # Columns of their own: what is used more than once is not computed more than once.
+        lists |= {f"f3_{axis}": _found(F.col("low"), subsignals, True), f"f2_{axis}": _found(F.col("low"), expressions, False), f"f1_{axis}": _found(F.col("low"), terms, True)}
+        f3, f2, f1 = (F.col(f"f{i}_{axis}") for i in (3, 2, 1))
         best = F.when(F.size(f3) > 0, F.struct(F.lit(3).alias("base"), f3.alias("evidencias"))).when(F.size(f2) > 0, F.struct(F.lit(2).alias("base"), f2.alias("evidencias"))).otherwise(F.struct((F.size(f1) > 0).cast("int").alias("base"), f1.alias("evidencias")))
         axes.append(F.struct(F.lit(axis).alias("eixo"), best.alias("b")))
-    rows = rows.withColumns({f"b_{k}": c for k, c in boosts.items()}).withColumn("a", F.explode(F.filter(F.array(*axes), lambda a: a["b"]["base"] > 0)))
+    rows = rows.withColumns(lists | {f"b_{k}": c for k, c in boosts.items()}).withColumn("a", F.explode(F.filter(F.array(*axes), lambda a: a["b"]["base"] > 0)))
     extra = reduce(add, [F.col(f"b_{k}").cast("int") for k in boosts])
     return rows.select("document_id", "orgao", "segmento", "a.eixo", F.least(F.col("a.b.base") + extra, F.lit(K.SCORE_CAP)).alias("score"), F.array_distinct("a.b.evidencias").alias("evidencias"), *[f"b_{k}" for k in boosts])
 
@@ -58,9 +71,29 @@ def audit(docs: DataFrame, scored: DataFrame, weights: dict[str, float] | None =
     sums = scored.groupBy("document_id", "eixo").agg(F.sum("score").alias("soma"), F.count(F.lit(1)).alias("segs"))
     rows = docs.select("document_id", (n_words(F.col("text")) / 100.0).alias("fator")).crossJoin(F.broadcast(table)).join(sums, ["document_id", "eixo"], "left")
     raw = F.coalesce("soma", F.lit(0)).cast("long")
+    return _indices(rows, raw, F.coalesce("segs", F.lit(0)).cast("long"))
+
+
+def audited(docs: DataFrame, lexicon: Lexicon | None = None, families: dict[str, list[str]] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """audit() of score_segments() of segments() in one pass: the axes are columns, summed by document before the only shuffle."""
+    weights, lexicon = weights or K.AXIS_WEIGHTS, lexicon or K.LEXICON
+    rows = segments(docs.withColumn("fator", n_words(F.col("text")) / 100.0), "fator").withColumn("low", F.lower("texto"))
+    boosts = boosters(F.col("low"), families)
+    rows = rows.withColumn("extra", reduce(add, [F.coalesce(c, F.lit(False)).cast("int") for c in boosts.values()]))
+    base = lambda terms, expressions, subsignals: F.when(_any(F.col("low"), subsignals, True), 3).when(_any(F.col("low"), expressions, False), 2).when(_any(F.col("low"), terms, True), 1).otherwise(0)
+    rows = rows.withColumns({f"base_{a}": base(*lexicon.get(a, ([], [], []))) for a in weights})
+    score = {a: F.when(F.col(f"base_{a}") > 0, F.least(F.col(f"base_{a}") + F.col("extra"), F.lit(K.SCORE_CAP))) for a in weights}
+    sums = [x for a in weights for x in (F.sum(score[a]).alias(f"soma_{a}"), F.count(score[a]).alias(f"segs_{a}"))]
+    by_doc = rows.groupBy("document_id").agg(F.first("fator").alias("fator"), *sums)
+    axes = [F.struct(F.lit(a).alias("eixo"), F.lit(float(w)).alias("peso_metodologia"), F.coalesce(f"soma_{a}", F.lit(0)).cast("long").alias("soma"), F.col(f"segs_{a}").cast("long").alias("segs")) for a, w in weights.items()]
+    rows = by_doc.select("document_id", "fator", F.explode(F.array(*axes)).alias("x")).select("document_id", "fator", "x.*")
+    return _indices(rows, F.col("soma"), F.col("segs"))
+
+
+def _indices(rows: DataFrame, raw: Column, segs: Column) -> DataFrame:
     density = F.coalesce(F.try_divide(raw, F.col("fator")), F.lit(0.0))
     index = rounded(F.least(density * 10, F.lit(100.0)), 2)
-    return rows.select("document_id", "eixo", raw.alias("soma_bruta"), F.coalesce("segs", F.lit(0)).cast("long").alias("num_segmentos_pontuados"), rounded(F.col("fator"), 2).alias("fator_normalizacao"), rounded(density, 4).alias("densidade"), rounded(density * 10, 2).alias("indice_pre_cap"), index.alias("indice_final"), "peso_metodologia", rounded(index * F.col("peso_metodologia"), 4).alias("contribuicao_imga"))
+    return rows.select("document_id", "eixo", raw.alias("soma_bruta"), segs.alias("num_segmentos_pontuados"), rounded(F.col("fator"), 2).alias("fator_normalizacao"), rounded(density, 4).alias("densidade"), rounded(density * 10, 2).alias("indice_pre_cap"), index.alias("indice_final"), "peso_metodologia", rounded(index * F.col("peso_metodologia"), 4).alias("contribuicao_imga"))
 
 
 def band(index: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -13,6 +14,8 @@ from ..functions.text import index_tokens, query_tokens, rounded, word_tokens
 
 #: Questions that may be sent to all tasks; more are joined by a shuffle.
 MOST_QUESTIONS = 20_000
+#: Distinct terms that a scan of postings is filtered by, and questions that are multiplied in a chunk's row.
+MOST_TERMS, MOST_IN_ROW = 1000, 64
 QUESTION = "query_id string, pergunta string, orgao string, tipos array<string>"
 
 
@@ -41,8 +44,10 @@ def query_terms(asked: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf): the inverted index."""
-    return chunks.select("chunk_id", F.explode(index_tokens(F.col("texto"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, chunk_id, orgao, tipo_documento, dl, tf, places): the inverted index; dl are the chunk's tokens, places those of the term from 0."""
+    tokens = chunks.select("chunk_id", "orgao", "tipo_documento", index_tokens(F.col("texto")).alias("tokens"))
+    each = tokens.select("chunk_id", "orgao", "tipo_documento", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("i", "term"))
+    return each.groupBy("term", "chunk_id", "orgao", "tipo_documento", "dl").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("i")).alias("places"))  # of a chunk's size at most
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -55,16 +60,56 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(index_tokens(F.col("texto")))).alias("avgdl"))
 
 
-def phrase_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chunk_id, orgao, tipo_documento, dl, phrase, tf) where a chunk holds a phrase of the questions.
+def vectors(chunks: DataFrame, dimensions: int = K.DIMENSIONS) -> DataFrame:
+    """(chunk_id, orgao, tipo_documento, vector): the hashed vectors of chunks."""
+    return chunks.select("chunk_id", "orgao", "tipo_documento", embedding(F.col("texto"), dimensions).alias("vector"))
+
+
+@dataclass
+class Index:
+    """What search reads: postings and statistics for the lexical side, vectors for the semantic one, chunks for excerpts alone."""
+
+    chunks: DataFrame
+    postings: DataFrame
+    corpus_stats: DataFrame
+    vectors: DataFrame
+    dimensions: int = K.DIMENSIONS
+
+    @classmethod
+    def of(cls, chunks: DataFrame | Index, dimensions: int | None = K.DIMENSIONS) -> Index:
+        """The index of chunks, made anew by every plan that uses it; an index is returned as it is."""
+        if isinstance(chunks, Index):
+            if dimensions and dimensions != chunks.dimensions:
+                raise ValueError(f"the index has vectors of {chunks.dimensions} dimensions")
+            return chunks
+        n = K.DIMENSIONS if dimensions is None else dimensions
+        return cls(chunks, postings(chunks), corpus_stats(chunks), vectors(chunks, n), n)
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str) -> Index:
+        """The index that ``sinks.write_index`` has written to a folder."""
+        at = lambda k: spark.read.parquet(f"{folder.rstrip('/')}/{k}")
+        size = at("vectors").select("dimensions").first()
+        return cls(at("chunks"), at("postings"), at("corpus_stats"), at("vectors"), size["dimensions"] if size else K.DIMENSIONS)
 
-    Tokens are matched on a phrase's first token by a join with the few phrases asked for; nothing else is shuffled.
+
+def phrase_hits(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, orgao, tipo_documento, dl, phrase, tf) of postings, where a chunk holds a phrase of the questions.
+
+    Postings are sorted by term: with few terms asked for, the scan passes over all others. A phrase of several terms is met where
+    their places follow one another.
     """
-    wanted = small(terms.select("phrase").distinct()).withColumn("head", F.col("phrase")[0])
-    tokens = chunks.select("chunk_id", "orgao", "tipo_documento", index_tokens(F.col("texto")).alias("tokens"))
-    at = tokens.select("chunk_id", "orgao", "tipo_documento", "tokens", F.posexplode("tokens").alias("i", "head"))
-    found = at.join(wanted, "head").filter((F.size("phrase") == 1) | (F.slice("tokens", F.col("i") + 1, F.size("phrase")) == F.col("phrase")))
-    return found.groupBy("chunk_id", "orgao", "tipo_documento", F.size("tokens").alias("dl"), "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    asked = terms.select("phrase").distinct().select("phrase", F.posexplode("phrase").alias("k", "term"))
+    few = [r["term"] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    some = index.filter(F.col("term").isin(few)) if len(few) <= MOST_TERMS else index
+    each = some.join(F.broadcast(asked) if len(few) <= MOST_TERMS else asked, "term")
+    keys = ["chunk_id", "orgao", "tipo_documento", "dl", "phrase"]
+    single = each.filter(F.size("phrase") == 1).select(*keys, F.col("tf").cast("long").alias("tf"))
+    starts = F.transform("places", lambda p: p - F.col("k"))
+    parts = each.filter(F.size("phrase") > 1).groupBy(*keys).agg(F.collect_list(F.struct("k", starts.alias("s"))).alias("all"))  # of a question's terms
+    met = F.aggregate(F.slice("all", 2, 1000), F.col("all")[0]["s"], lambda a, x: F.array_intersect(a, x["s"]))
+    several = parts.filter(F.size("all") == F.size("phrase")).select(*keys, F.size(met).cast("long").alias("tf")).filter("tf > 0")
+    return single.unionByName(several)
 
 
 def top(scored: DataFrame, limit: int, *order: Column, keys: tuple[str, ...] = ("query_id",), name: str = "posicao") -> DataFrame:
@@ -72,15 +117,15 @@ def top(scored: DataFrame, limit: int, *order: Column, keys: tuple[str, ...] = (
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= limit)
 
 
-def bm25(chunks: DataFrame, asked: DataFrame, limit: int = K.LEXICAL_LIMIT, by_agency: bool = False) -> DataFrame:
-    """(query_id, chunk_id, orgao, score, posicao): best chunks by BM25, six digits, ties by chunk_id.
+def bm25(index: DataFrame | Index, asked: DataFrame, limit: int = K.LEXICAL_LIMIT, by_agency: bool = False) -> DataFrame:
+    """(query_id, chunk_id, orgao, score, posicao): best chunks of an index, or of chunks, by BM25, six digits, ties by chunk_id.
 
     Statistics are those of all chunks; filters hold for hits alone. ``by_agency`` ranks within each agency.
     """
-    terms = query_terms(asked)
-    hits = phrase_hits(chunks, terms)
+    index, terms = Index.of(index, None), query_terms(asked)
+    hits = phrase_hits(index.postings, terms)
     df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    weighted = terms.join(df, "phrase").crossJoin(corpus_stats(chunks))
+    weighted = terms.join(df, "phrase").crossJoin(index.corpus_stats)
     weighted = weighted.withColumn("idf", F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(K.BM25_FLOOR)))
     few = terms.limit(MOST_QUESTIONS + 1).count() <= MOST_QUESTIONS  # as many rows as ``weighted``, without reading chunks
     joined = hits.join(F.broadcast(weighted) if few else weighted, "phrase").filter(allowed("tipo_documento", "orgao"))
@@ -109,23 +154,42 @@ def embedding(text: Column, dimensions: int = K.DIMENSIONS) -> Column:
     if dimensions <= 0:
         raise ValueError("dimensions must be positive")
     bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  ``x`` is computed once, however often ``f`` uses it
+    last = lambda x, i: (i == F.size(x)) | (F.get(x, i) != F.get(x, i - 1))  # noqa: E731  of a run of equal buckets, at place i from 1
 
     def entries(buckets: Column) -> Column:
-        return F.transform(F.array_distinct(buckets), lambda b: F.struct(b.alias("bucket"), F.size(F.filter(buckets, lambda x: x == b)).cast("double").alias("c")))
+        """Runs of the sorted buckets: one step for each token."""
+        ends = F.when(F.size(buckets) > 0, F.filter(F.sequence(F.lit(1), F.greatest(F.size(buckets), F.lit(1))), lambda i: last(buckets, i))).otherwise(F.array().cast("array<int>"))
+        run = lambda e: F.transform(e, lambda i, k: F.struct(F.get(buckets, i - 1).alias("bucket"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("double").alias("c")))
+        return bound(ends, run)
 
     def unit(counts: Column) -> Column:
         return bound(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["c"] * x["c"])), lambda norm: F.transform(counts, lambda x: F.struct(x["bucket"].alias("bucket"), (x["c"] / norm).alias("weight"))))
 
-    return bound(bound(F.transform(word_tokens(text), lambda t: bucket(t, dimensions)), entries), unit)
+    return bound(bound(F.array_sort(F.transform(word_tokens(text), lambda t: bucket(t, dimensions))), entries), unit)
 
 
-def semantic(chunks: DataFrame, asked: DataFrame, limit: int = K.SEMANTIC_LIMIT, dimensions: int = K.DIMENSIONS, by_agency: bool = False) -> DataFrame:
-    """(query_id, chunk_id, orgao, score, posicao): best chunks by cosine of hashed vectors, six digits, ties by chunk_id."""
-    q = asked.select("query_id", F.col("orgao").alias("q_orgao"), "tipos", F.explode(embedding(F.col("pergunta"), dimensions)).alias("e")).select("query_id", "q_orgao", "tipos", "e.bucket", F.col("e.weight").alias("qw"))
-    c = chunks.select("chunk_id", "orgao", "tipo_documento", F.explode(embedding(F.col("texto"), dimensions)).alias("e")).select("chunk_id", "orgao", "tipo_documento", "e.bucket", "e.weight")
+def semantic(index: DataFrame | Index, asked: DataFrame, limit: int = K.SEMANTIC_LIMIT, dimensions: int | None = None, by_agency: bool = False) -> DataFrame:
+    """(query_id, chunk_id, orgao, score, posicao): best chunks of an index, or of chunks, by cosine of hashed vectors, six digits, ties by chunk_id.
+
+    A few questions go to every task as dense vectors and are multiplied in the chunk's row, so that nothing is shuffled but the
+    best of each task; more are joined by bucket.
+    """
+    index = Index.of(index, dimensions or (None if isinstance(index, Index) else K.DIMENSIONS))
+    q = asked.select("query_id", F.col("orgao").alias("q_orgao"), "tipos", embedding(F.col("pergunta"), index.dimensions).alias("qv"))
+    c = index.vectors.select("chunk_id", "orgao", "tipo_documento", "vector")
+    by = ("query_id", "orgao") if by_agency else ("query_id",)
+    if q.limit(MOST_IN_ROW + 1).count() <= MOST_IN_ROW:
+        dense = F.transform(F.sequence(F.lit(0), F.lit(index.dimensions - 1)), lambda b: F.coalesce(F.get(F.filter("qv", lambda e: e["bucket"] == b), F.lit(0))["weight"], F.lit(0.0)))
+        pairs = c.join(F.broadcast(q.select("query_id", "q_orgao", "tipos", dense.alias("q"))), allowed("tipo_documento", "orgao"))
+        shared = F.filter("vector", lambda e: F.get("q", e["bucket"]) > 0)
+        pairs = pairs.select("query_id", "chunk_id", "orgao", F.aggregate(shared, F.lit(0.0), lambda a, e: a + F.get("q", e["bucket"]) * e["weight"]).alias("dot")).filter("dot > 0")
+        scored = pairs.select("query_id", "chunk_id", "orgao", rounded(F.col("dot"), 6).alias("score"))
+        return top(scored, limit, F.desc("score"), F.col("chunk_id"), keys=by)
+    q = q.select("query_id", "q_orgao", "tipos", F.explode("qv").alias("e")).select("query_id", "q_orgao", "tipos", "e.bucket", F.col("e.weight").alias("qw"))
+    c = c.select("chunk_id", "orgao", "tipo_documento", F.explode("vector").alias("e")).select("chunk_id", "orgao", "tipo_documento", "e.bucket", "e.weight")
     joined = c.join(small(q), "bucket").filter(allowed("tipo_documento", "orgao"))
     scored = joined.groupBy("query_id", "chunk_id", "orgao").agg(rounded(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
-    return top(scored, limit, F.desc("score"), F.col("chunk_id"), keys=("query_id", "orgao") if by_agency else ("query_id",))
+    return top(scored, limit, F.desc("score"), F.col("chunk_id"), keys=by)
 
 
 def dense_cosine(vectors: DataFrame, asked: DataFrame, limit: int, vector_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -153,14 +217,16 @@ def fuse(lexical: DataFrame, semantic_hits: DataFrame, top_k: int = K.TOP_K, w_l
     return best.select(*keys, "chunk_id", "score", rounded(F.col("score_lexical"), 6).alias("score_lexical"), rounded(F.col("score_semantico"), 6).alias("score_semantico"), "fontes", "rank")
 
 
-def hybrid(chunks: DataFrame, asked: DataFrame, top_k: int = K.TOP_K, lexical_limit: int = K.LEXICAL_LIMIT, semantic_limit: int = K.SEMANTIC_LIMIT, dimensions: int | None = K.DIMENSIONS, by_agency: bool = False) -> DataFrame:
+def hybrid(index: DataFrame | Index, asked: DataFrame, top_k: int = K.TOP_K, lexical_limit: int = K.LEXICAL_LIMIT, semantic_limit: int = K.SEMANTIC_LIMIT, dimensions: int | None = K.DIMENSIONS, by_agency: bool = False) -> DataFrame:
     """Hybrid search: both lists fused. Without ``dimensions`` the semantic side is off and the lexical one answers alone."""
-    lex = bm25(chunks, asked, lexical_limit, by_agency)
-    sem = semantic(chunks, asked, semantic_limit, dimensions, by_agency) if dimensions else lex.limit(0)
+    index = Index.of(index, dimensions)
+    lex = bm25(index, asked, lexical_limit, by_agency)
+    sem = semantic(index, asked, semantic_limit, dimensions, by_agency) if dimensions else lex.limit(0)
     return fuse(lex, sem, top_k, keys=("query_id", "orgao") if by_agency else ("query_id",))
 
 
-def evidence(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+def evidence(ranked: DataFrame, chunks: DataFrame | Index) -> DataFrame:
     """Ranked chunks with document, page and excerpt."""
+    chunks = chunks.chunks if isinstance(chunks, Index) else chunks
     own = chunks.select("chunk_id", F.col("texto").alias("trecho"), F.col("document_id").alias("documento"), F.col("pagina_inicial").alias("pagina"), "pagina_final", F.col("orgao").alias("orgao_documento"), "tipo_documento")
     return own.join(ranked, "chunk_id")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import links, text
 from ..operators import chunking, classify, coverage, keywords, maturity, search, web
-from ..session import table
+from ..session import shared_folder, table
+from ..sources import sinks
 from ..streaming import ingest
 from . import settings as S
 from .sql import ORACLES
@@ -43,9 +44,17 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunks(_docs(spark, sf), S.SIZE, S.OVERLAP)
 
 
-def _kept_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks for plans that read them several times; cut once, spilled to disk where memory ends."""
-    return _chunks(spark, sf).persist()
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> search.Index:
+    """The stored index of the documents, written to the shared folder by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        folder = shared_folder(spark, "index")
+        sinks.write_index(_docs(spark, sf), folder, S.SIZE, S.OVERLAP)
+        _BUILT[key] = folder
+    return search.Index.read(spark, _BUILT[key])
 
 
 def _asked(spark: SparkSession) -> DataFrame:
@@ -58,7 +67,7 @@ def _criteria(spark: SparkSession) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.classify(_kept_chunks(spark, sf), _criteria(spark))
+    return classify.classify(_index(spark, sf), _criteria(spark))
 
 
 @query
@@ -92,9 +101,26 @@ def hard_split(spark, sf):
     return parts.select("document_id", F.size("w").alias("janelas"), F.sha1(F.array_join("w", "|").cast("binary")).alias("resumo"))
 
 
+@query
+def index_build(spark, sf):
+    """Rows of the index tables after a full build to a folder of its own."""
+    at = sinks.write_index(_docs(spark, sf), shared_folder(spark, "index"), S.SIZE, S.OVERLAP)
+    rows = {k: spark.read.parquet(at[k]) for k in ("documents", "chunks", "postings", "term_stats", "vectors")}
+    out = rows["postings"].agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"))
+    for k in ("documents", "chunks", "term_stats", "vectors"):
+        out = out.crossJoin(rows[k].agg(F.count(F.lit(1)).alias(k)))
+    return out.crossJoin(spark.read.parquet(at["corpus_stats"]).select("n", text.rounded(F.col("avgdl"), 6).alias("avgdl")))
+
+
+@query
+def bm25_phrases(spark, sf):
+    """Questions with hyphens, which are phrases, and with accents, which do not count."""
+    return search.bm25(_index(spark, sf), search.questions(spark, S.PHRASES)).select("query_id", "chunk_id", "score", "posicao")
+
+
 @query
 def bm25_topk(spark, sf):
-    return search.bm25(_kept_chunks(spark, sf), _asked(spark)).select("query_id", "chunk_id", "score", "posicao")
+    return search.bm25(_index(spark, sf), _asked(spark)).select("query_id", "chunk_id", "score", "posicao")
 
 
 @query
@@ -123,12 +149,12 @@ def cosine_topk(spark, sf):
 
 @query
 def semantic_topk_filtered(spark, sf):
-    return search.semantic(_kept_chunks(spark, sf), _asked(spark)).select("query_id", "chunk_id", "score", "posicao")
+    return search.semantic(_index(spark, sf), _asked(spark)).select("query_id", "chunk_id", "score", "posicao")
 
 
 @query
 def hybrid_rrf_topk(spark, sf):
-    parts = _kept_chunks(spark, sf)
+    parts = _index(spark, sf)
     found = search.evidence(search.hybrid(parts, _asked(spark)), parts)
     return found.select("query_id", "chunk_id", "score", "score_lexical", "score_semantico", "fontes", "rank", "documento", "pagina", "trecho")
 
@@ -136,7 +162,7 @@ def hybrid_rrf_topk(spark, sf):
 @query
 def hybrid_batch_criteria(spark, sf):
     asked = _criteria(spark).select(F.col("codigo").alias("query_id"), "pergunta", F.lit(None).cast("string").alias("orgao"), "tipos")
-    return search.hybrid(_kept_chunks(spark, sf), asked).select(F.col("query_id").alias("criterio"), "chunk_id", "score", "fontes", "rank")
+    return search.hybrid(_index(spark, sf), asked).select(F.col("query_id").alias("criterio"), "chunk_id", "score", "fontes", "rank")
 
 
 @query
@@ -159,6 +185,16 @@ def label_histogram(spark, sf):
     return classify.label_histogram(_classified(spark, sf), "orgao")
 
 
+@query
+def label_distribution(spark, sf):
+    return classify.label_distribution(_classified(spark, sf))
+
+
+@query
+def indicator_means(spark, sf):
+    return classify.means(classify.indicators(_classified(spark, sf)))
+
+
 @query
 def org_ranking(spark, sf):
     return classify.ranking(classify.indicators(_classified(spark, sf)))
@@ -266,12 +302,12 @@ def axis_statistics(spark, sf):
 
 @query
 def imga_axis_audit(spark, sf):
-    return maturity.audit(_docs(spark, sf), _scored(spark, sf))
+    return maturity.audited(_docs(spark, sf), S.LEXICON, S.BOOSTERS)
 
 
 @query
 def imga_document(spark, sf):
-    return maturity.document_index(maturity.audit(_docs(spark, sf), _scored(spark, sf)))
+    return maturity.document_index(maturity.audited(_docs(spark, sf), S.LEXICON, S.BOOSTERS))
 
 
 @query

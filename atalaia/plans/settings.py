@@ -9,6 +9,8 @@ QUESTIONS = [
     ("q3", "der die und von idiot", "SRC0", None),
     ("q4", "que para los clown worthless", None, ["es", "en"]),
 ]
+#: Hyphens make phrases; accents do not count.
+PHRASES = [("h1", "of-the and-the", None, None), ("h2", "ça-et für-den", None, None), ("h3", "the-the of-the-and", None, ["en"])]
 #: code, question, title, types, keywords, weight, axis
 CRITERIA = [
     ("E1-GOV-001", "the and that with", "One", ["en"], ["that", "with", "zzz"], 2.0, "E1"),

@@ -80,6 +80,18 @@ sc AS (SELECT query_id, chunk_id, orgao, {rnd("sum(times * greatest(ln((n - df +
 lex AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, chunk_id) AS posicao FROM sc QUALIFY posicao <= 30)"""
 
 
+def _phrases() -> str:
+    """lexical() for questions whose tokens hold hyphens and accents: each is a phrase, found in the joined tokens of a chunk."""
+    joined = "' ' || array_to_string(tokens, '  ') || ' '"
+    phrase = "array_to_string(list_filter(string_split_regex(strip_accents(lower(term)), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), '  ')"
+    old = lexical()
+    a, b = old.index("po AS ("), old.index("fr AS (")
+    hits = rf"""qp AS (SELECT DISTINCT term, ' ' || {phrase} || ' ' AS ph FROM qt),
+po AS (SELECT chunk_id, orgao, tipo_documento, dl, term, tf FROM (SELECT tk.*, term, len(list_filter(range(1, length({joined}) + 1), lambda i: substr({joined}, i, length(ph)) = ph)) AS tf FROM tk JOIN qp ON contains({joined}, ph)) WHERE tf > 0),
+"""
+    return (old[:a] + hits + old[b:]).replace(r"\b[\w-]{3,}\b", r"[\p{L}\p{M}\p{N}_-]{3,}")
+
+
 def vectors(source: str, key: str, column: str, out: str) -> str:
     return rf"""
 {out}_c AS (SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 384 AS bucket, count(*) AS c FROM (SELECT {key}, unnest(regexp_extract_all(lower({column}), '{WORD}')) AS w FROM {source}) GROUP BY ALL),
@@ -226,6 +238,10 @@ ORACLES = {
     "pages_numbered": f"WITH {PAGES} SELECT document_id, page_no, page_pos, sha1(texto) AS hash_texto FROM pg",
     "chunk_identity": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, document_id, pagina, ordem, hash_texto, len({words('texto')}) AS palavras, length(texto) AS caracteres FROM ch",
     "hard_split": f"WITH {DOCS}, s AS (SELECT document_id, list_filter([trim(substr({collapse('text')}, k + 1, 100)) for k in range(0, greatest(length({collapse('text')}), 1), 80)], lambda w: w <> '') AS w FROM d) SELECT document_id, len(w) AS janelas, sha1(array_to_string(w, '|')) AS resumo FROM s",
+    "index_build": _asked("SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM ch) AS chunks, (SELECT count(*) FROM ch) AS vectors, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS term_stats, (SELECT n FROM st) AS n, " + rnd("(SELECT avgdl FROM st)", 6) + " AS avgdl FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tk) GROUP BY ALL)", lexical()),
+    "bm25_phrases": _asked("SELECT query_id, chunk_id, score, posicao FROM lex", _phrases(), rows=S.PHRASES),
+    "label_distribution": _classified("SELECT classificacao, count(*) AS criterios FROM cs GROUP BY classificacao"),
+    "indicator_means": _with_axes(f"SELECT count(*) AS orgaos, {rnd('CAST(sum(CAST(c AS DECIMAL(18, 2))) AS DOUBLE) / count(*)', 2)} AS conformidade_media, {rnd('CAST(sum(CAST(imga_global AS DECIMAL(18, 2))) AS DOUBLE) / count(*)', 2)} AS imga_medio FROM (SELECT orgao, {rnd('coalesce(sum(score_ponderado) / nullif(sum(peso_criterio), 0) * 100, 0)', 2)} AS c, any_value(imga_global) AS imga_global FROM cs JOIN gb USING (orgao) GROUP BY orgao)"),
     "bm25_topk": _asked("SELECT query_id, chunk_id, score, posicao FROM lex", lexical()),
     "postings_stats": _asked(r"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tk) GROUP BY ALL) GROUP BY term", lexical()),
     "like_fallback": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, 0.0::DOUBLE AS score FROM ch WHERE contains(lower(texto), 'idiot') OR contains(lower(texto), 'worthless') ORDER BY chunk_id LIMIT 30",

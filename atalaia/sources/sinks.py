@@ -13,7 +13,8 @@ from ..operators import chunking, classify, coverage, search
 def write_index(docs: DataFrame, folder: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, dimensions: int = K.DIMENSIONS) -> dict[str, str]:
     """Write documents, chunks, postings, statistics, vectors and the manifest; a full refresh. Returns the folders.
 
-    Chunks are written first and read back, so that the tables built on them do not cut the texts again.
+    Chunks are written first and read back, so that the tables built on them do not cut the texts again. Search reads them through
+    ``search.Index.read``.
     """
     spark = docs.sparkSession
     at = {k: f"{folder.rstrip('/')}/{k}" for k in ("documents", "chunks", "postings", "term_stats", "corpus_stats", "vectors", "manifest")}
@@ -21,10 +22,11 @@ def write_index(docs: DataFrame, folder: str, size: int = K.CHUNK_SIZE, overlap:
     docs = spark.read.parquet(at["documents"])
     chunking.chunks(docs, size, overlap).dropDuplicates(["chunk_id"]).write.mode("overwrite").partitionBy("tipo_documento").parquet(at["chunks"])
     parts = spark.read.parquet(at["chunks"])
-    search.postings(parts).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(at["postings"])
-    search.term_stats(spark.read.parquet(at["postings"])).write.mode("overwrite").parquet(at["term_stats"])
+    # Sorted by term, in ranges that also cut a term with very many chunks.
+    search.postings(parts).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(at["postings"])
+    search.term_stats(spark.read.parquet(at["postings"]).select("term")).write.mode("overwrite").parquet(at["term_stats"])
     search.corpus_stats(parts).write.mode("overwrite").parquet(at["corpus_stats"])
-    parts.select("chunk_id", search.embedding(F.col("texto"), dimensions).alias("vector")).write.mode("overwrite").parquet(at["vectors"])
+    search.vectors(parts, dimensions).withColumn("dimensions", F.lit(dimensions)).write.mode("overwrite").parquet(at["vectors"])
     total = coverage.index_counts(docs, parts).withColumn("gerado_em", F.current_timestamp())
     types = coverage.manifest(docs).agg(F.collect_list(F.struct("*")).alias("por_tipo"))
     total.crossJoin(types).write.mode("overwrite").json(at["manifest"])
