@@ -109,7 +109,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> dict | list:
     agencies = agencies.orderBy("orgao").limit(a.max_orgaos) if a.max_orgaos else agencies
     rows = classify.classify(index, criteria, agencies, a.top_k, a.min_score_atende, a.min_score_parcial, a.min_keyword_hits, dimensions=index.dimensions).persist()
     try:
-        return sinks.write_report(rows, a.output_dir, a.manual_sample_size)
+        return sinks.write_report(rows, a.output_dir, a.manual_sample_size, readers.axis_weights(spark, a.criterios_file))
     finally:
         rows.unpersist()
 

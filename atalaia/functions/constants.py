@@ -149,3 +149,9 @@ AGENCY_PATTERNS = {
     "SODF": ["sodf", "obras infraestrutura"],
     "SSPDF": ["sspdf", "segurança pública"],
 }
+
+#: Fixed values of the answer made of excerpts: characters of each, how many, and the sentences around them.
+EXCERPT, ANSWER_EXCERPTS = 420, 3
+ANSWER_HEAD = "Encontrei evidências documentais relacionadas à pergunta.\n\nSíntese baseada nos trechos recuperados:\n"
+ANSWER_TAIL = "\n\nComo esta resposta não usou LLM, ela preserva os trechos principais em vez de gerar uma conclusão interpretativa."
+ANSWER_NONE = "Não encontrei evidências suficientes na base indexada para responder a pergunta. Tente reformular a consulta, remover filtros ou reindexar os documentos."

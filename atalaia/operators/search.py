@@ -230,3 +230,23 @@ def evidence(ranked: DataFrame, chunks: DataFrame | Index) -> DataFrame:
     chunks = chunks.chunks if isinstance(chunks, Index) else chunks
     own = chunks.select("chunk_id", F.col("texto").alias("trecho"), F.col("document_id").alias("documento"), F.col("pagina_inicial").alias("pagina"), "pagina_final", F.col("orgao").alias("orgao_documento"), "tipo_documento")
     return own.join(ranked, "chunk_id")
+
+
+def evidence_context(found: DataFrame) -> DataFrame:
+    """(query_id, contexto): the evidence of each question as numbered, citable blocks, by rank; null values are empty."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    labels = [("Documento", "documento"), ("Órgão", "orgao_documento"), ("Tipo", "tipo_documento"), ("Página", "pagina"), ("Trecho", "trecho")]
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), text(c)) for k, c in labels]))
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"])  # top_k of them at most
+    return found.groupBy("query_id").agg(F.array_join(blocks, "\n\n").alias("contexto"))
+
+
+def cited_answer(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, resposta) for every question: its best three excerpts with their sources, or that nothing was found."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    short = F.concat(F.trim(F.substring(text("trecho"), 1, K.EXCERPT)), F.when(F.length(text("trecho")) > K.EXCERPT, "...").otherwise(""))
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), short, F.lit(" Fonte: "), text("documento"), F.lit(", página "), text("pagina"), F.lit("."))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"])
+    best = found.filter(F.col("rank") <= K.ANSWER_EXCERPTS).groupBy("query_id").agg(F.array_join(lines, "\n").alias("linhas"))
+    whole = F.concat(F.lit(K.ANSWER_HEAD), F.col("linhas"), F.lit(K.ANSWER_TAIL))
+    return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce(whole, F.lit(K.ANSWER_NONE)).alias("resposta"))

@@ -159,6 +159,21 @@ def hybrid_rrf_topk(spark, sf):
     return found.select("query_id", "chunk_id", "score", "score_lexical", "score_semantico", "fontes", "rank", "documento", "pagina", "trecho")
 
 
+def _answers(spark, sf):
+    index, asked = _index(spark, sf), search.questions(spark, [*S.QUESTIONS, ("q5", "xyzzy plugh qwerty", "NONE", None)])
+    return asked, search.evidence(search.hybrid(index, asked), index)
+
+
+@query
+def evidence_context(spark, sf):
+    return search.evidence_context(_answers(spark, sf)[1])
+
+
+@query
+def cited_answer(spark, sf):
+    return search.cited_answer(*_answers(spark, sf))
+
+
 @query
 def hybrid_batch_criteria(spark, sf):
     asked = _criteria(spark).select(F.col("codigo").alias("query_id"), "pergunta", F.lit(None).cast("string").alias("orgao"), "tipos")
@@ -195,6 +210,14 @@ def indicator_means(spark, sf):
     return classify.means(classify.indicators(_classified(spark, sf)))
 
 
+@query
+def negative_labels(spark, sf):
+    """Labels where a third of the documents say that something does not exist, and of the agencies' weights from a criteria file."""
+    said = _docs(spark, sf).withColumn("text", F.when(F.col("document_id").cast("long") % 3 == 0, F.concat(F.lit(S.NEGATIVE), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    rows = classify.classify(chunking.chunks(said, S.SIZE, S.OVERLAP), _criteria(spark).filter("codigo = 'E1-GOV-001'"))
+    return rows.select("orgao", "criterio", "classificacao", "pontuacao", "evidencias_total", F.exists(F.slice("evidencias", 1, 2), lambda x: classify.has_negative(x["trecho"])).alias("negativo"))
+
+
 @query
 def org_ranking(spark, sf):
     return classify.ranking(classify.indicators(_classified(spark, sf)))
@@ -353,6 +376,14 @@ def document_links(spark, sf):
     return web.document_links(_anchors(spark, sf), pdf_only=False).drop("data")
 
 
+@query
+def document_links_pdf(spark, sf):
+    """PDF links only, of a made page beside the pages of the table."""
+    own = spark.createDataFrame([(-1, "https://x.org/a/", S.LINKS_PAGE)], "page_id long, url string, html string")
+    pages = table(spark, sf, "pages").select("page_id", "url", "html").unionByName(own)
+    return web.document_links(web.anchors(pages)).select("page_id", "pos", "link", "titulo")
+
+
 @query
 def link_dedup(spark, sf):
     found = _anchors(spark, sf).select(links.absolute(F.col("href"), F.col("url")).alias("link"), "page_id", "pos")

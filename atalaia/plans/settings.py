@@ -34,3 +34,7 @@ BOOSTERS = {"acao": ["that", "que"], "periodicidade": ["with", "avec"], "respons
 KEYWORDS = ["that", "idiot", "pour", "der", "que"]
 SNIPPET_KEYWORDS = ["idiot", "clown", "scum"]
 TYPES, SEVERE = ["user", "assistant", "system", "tool"], ("assistant", "tool")
+#: Put before every third text: a sentence with a negative signal.
+NEGATIVE = "Nao existe plano, the and that with. "
+#: PDF links with and without text, one by its ending behind a query, and links that are none.
+LINKS_PAGE = '<a href="/atas/Ata_01-2023.pdf"></a><a href="b/relatorio.PDF">Ata da reuniao</a><a href="/c.pdf?download=1">ata 2</a><a href="/d.html">ata 3</a>'

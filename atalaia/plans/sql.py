@@ -120,14 +120,15 @@ def _asked(select: str, *parts: str, rows: list[tuple] = S.QUESTIONS) -> str:
 
 _CRITERIA_Q = [(c[0], c[1], None, c[3]) for c in S.CRITERIA]
 _CRITERIA = "cr AS (SELECT * FROM (VALUES " + ", ".join(f"({text(c)}, {text(q)}, {text(t)}, {listed(k)}, {w or 1.0}::DOUBLE, {text(a or 'SEM_EIXO')})" for c, q, t, _, k, w, a in S.CRITERIA) + ") t(criterio, pergunta_c, titulo, palavras, peso_criterio, eixo_imga))"
+_NEGATIVE = " OR ".join(f"regexp_matches({fold('texto')}, '{p}')" for p in K.NEGATIVE_SIGNALS)
 _LABELS = rf"""
 ev AS (SELECT query_id AS criterio, hy.orgao, score, rank, texto, document_id, pagina FROM hy JOIN ch USING (chunk_id)),
-eg AS (SELECT criterio, orgao, count(*) AS n, max(score) AS top, string_agg(texto, ' ' ORDER BY rank) AS txt, min(document_id) FILTER (rank = 1) AS documento, min(pagina) FILTER (rank = 1) AS pagina, min(texto) FILTER (rank = 1) AS trecho FROM ev GROUP BY criterio, orgao),
-pr AS (SELECT o.orgao, cr.*, coalesce(n, 0) AS evidencias_total, coalesce(top, 0) AS score_recuperacao, coalesce(txt, '') AS txt, coalesce(documento, '') AS documento, coalesce(CAST(pagina AS VARCHAR), '') AS pagina, coalesce(trecho, '') AS trecho
+eg AS (SELECT criterio, orgao, count(*) AS n, max(score) AS top, string_agg(texto, ' ' ORDER BY rank) AS txt, min(document_id) FILTER (rank = 1) AS documento, min(pagina) FILTER (rank = 1) AS pagina, min(texto) FILTER (rank = 1) AS trecho, bool_or({_NEGATIVE}) FILTER (rank <= 2) AS neg FROM ev GROUP BY criterio, orgao),
+pr AS (SELECT o.orgao, cr.*, coalesce(n, 0) AS evidencias_total, coalesce(top, 0) AS score_recuperacao, coalesce(txt, '') AS txt, coalesce(documento, '') AS documento, coalesce(CAST(pagina AS VARCHAR), '') AS pagina, coalesce(trecho, '') AS trecho, coalesce(neg, false) AS neg
   FROM (SELECT DISTINCT orgao FROM ch) o CROSS JOIN cr LEFT JOIN eg ON eg.criterio = cr.criterio AND eg.orgao = o.orgao),
 ph AS (SELECT *, list_sort(list_distinct(list_filter(palavras, lambda w: contains({fold("txt")}, {fold("w")})))) AS achadas FROM pr),
 la AS (SELECT *, CASE WHEN evidencias_total = 0 OR (score_recuperacao < 0.55 AND len(achadas) = 0) THEN 'nao_encontrado'
-  WHEN score_recuperacao >= 0.85 AND len(achadas) >= 2 THEN 'atende' ELSE 'atende_parcialmente' END AS classificacao FROM ph),
+  WHEN neg THEN 'nao_atende' WHEN score_recuperacao >= 0.85 AND len(achadas) >= 2 THEN 'atende' ELSE 'atende_parcialmente' END AS classificacao FROM ph),
 cl AS (SELECT *, CASE classificacao WHEN 'atende' THEN 1.0::DOUBLE WHEN 'atende_parcialmente' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS pontuacao FROM la),
 cs AS (SELECT *, {rnd("pontuacao * peso_criterio", 4)} AS score_ponderado FROM cl)"""
 
@@ -239,6 +240,8 @@ ORACLES = {
     "chunk_identity": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, document_id, pagina, ordem, hash_texto, len({words('texto')}) AS palavras, length(texto) AS caracteres FROM ch",
     "hard_split": f"WITH {DOCS}, s AS (SELECT document_id, list_filter([trim(substr({collapse('text')}, k + 1, 100)) for k in range(0, greatest(length({collapse('text')}), 1), 80)], lambda w: w <> '') AS w FROM d) SELECT document_id, len(w) AS janelas, sha1(array_to_string(w, '|')) AS resumo FROM s",
     "index_build": _asked("SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM ch) AS chunks, (SELECT count(*) FROM ch) AS vectors, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS term_stats, (SELECT n FROM st) AS n, " + rnd("(SELECT avgdl FROM st)", 6) + " AS avgdl FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tk) GROUP BY ALL)", lexical()),
+    "evidence_context": _asked("SELECT query_id, string_agg('[' || rank || '] Documento: ' || document_id || chr(10) || 'Órgão: ' || ch.orgao || chr(10) || 'Tipo: ' || tipo_documento || chr(10) || 'Página: ' || pagina || chr(10) || 'Trecho: ' || texto, chr(10) || chr(10) ORDER BY rank) AS contexto FROM hy JOIN ch USING (chunk_id) GROUP BY query_id", lexical(), semantic(), fused()),
+    "cited_answer": _asked(f"SELECT q.query_id, coalesce({text(K.ANSWER_HEAD)} || string_agg(rank || '. ' || trim(substr(texto, 1, 420)) || CASE WHEN length(texto) > 420 THEN '...' ELSE '' END || ' Fonte: ' || document_id || ', página ' || pagina || '.', chr(10) ORDER BY rank) || {text(K.ANSWER_TAIL)}, {text(K.ANSWER_NONE)}) AS resposta FROM q LEFT JOIN (SELECT * FROM hy JOIN ch USING (chunk_id) WHERE rank <= 3) h ON h.query_id = q.query_id GROUP BY q.query_id", lexical(), semantic(), fused(), rows=[*S.QUESTIONS, ("q5", "xyzzy plugh qwerty", "NONE", None)]),
     "bm25_phrases": _asked("SELECT query_id, chunk_id, score, posicao FROM lex", _phrases(), rows=S.PHRASES),
     "label_distribution": _classified("SELECT classificacao, count(*) AS criterios FROM cs GROUP BY classificacao"),
     "indicator_means": _with_axes(f"SELECT count(*) AS orgaos, {rnd('CAST(sum(CAST(c AS DECIMAL(18, 2))) AS DOUBLE) / count(*)', 2)} AS conformidade_media, {rnd('CAST(sum(CAST(imga_global AS DECIMAL(18, 2))) AS DOUBLE) / count(*)', 2)} AS imga_medio FROM (SELECT orgao, {rnd('coalesce(sum(score_ponderado) / nullif(sum(peso_criterio), 0) * 100, 0)', 2)} AS c, any_value(imga_global) AS imga_global FROM cs JOIN gb USING (orgao) GROUP BY orgao)"),
@@ -254,6 +257,9 @@ ORACLES = {
     "axis_scores": _with_axes("SELECT orgao, eixo_imga, peso, score, criterios, score_eixo FROM ax"),
     "org_indicators": _with_axes(f"SELECT orgao, count(*) AS criterios_avaliados, {rnd('sum(peso_criterio)', 4)} AS peso_total, {rnd('sum(score_ponderado)', 4)} AS score_total, {rnd('coalesce(sum(score_ponderado) / nullif(sum(peso_criterio), 0) * 100, 0)', 2)} AS conformidade_percentual, any_value(imga_global) AS imga_global, any_value(faixa) AS faixa FROM cs JOIN gb USING (orgao) GROUP BY orgao"),
     "label_histogram": _classified("SELECT orgao, " + ", ".join(f"count(*) FILTER (classificacao = '{k}') AS {k}" for k in K.LABEL_POINTS) + " FROM cs GROUP BY orgao"),
+    "negative_labels": _classified("SELECT orgao, criterio, classificacao, pontuacao, evidencias_total, neg AS negativo FROM cs WHERE criterio = 'E1-GOV-001'").replace("coalesce(text, '') AS text FROM documents", f"CASE WHEN doc_id % 3 = 0 THEN {text(S.NEGATIVE)} ELSE '' END || coalesce(text, '') AS text FROM documents"),
+    "document_links_pdf": f"WITH pages_ AS (SELECT page_id, url, html FROM pages UNION ALL SELECT -1, 'https://x.org/a/', {text(S.LINKS_PAGE)}), {_ANCHORS.replace('FROM pages)', 'FROM pages_)')}, "
+    f"p AS (SELECT *, regexp_replace(link, '[?#].*$', '') AS pfad FROM al WHERE {_likely('link', 'texto')}) SELECT page_id, pos, link, CASE WHEN texto <> '' THEN texto ELSE translate(regexp_extract(pfad, '([^/]+)/*$', 1), '-_', '  ') END AS titulo FROM p WHERE ends_with(lower(pfad), '.pdf')",
     "org_ranking": _with_axes("SELECT *, row_number() OVER (ORDER BY imga_global DESC, orgao) AS posicao FROM gb"),
     "org_criterion_matrix": _classified("SELECT orgao, criterio, eixo_imga, classificacao, pontuacao, score_ponderado, evidencias_total, documento, pagina, trecho FROM cs"),
     "manual_sample": _classified("SELECT orgao, criterio, eixo_imga, classificacao, pontuacao, score_ponderado, evidencias_total, documento, pagina, trecho, '' AS avaliacao_manual, '' AS classificacao_correta, '' AS observacoes, '' AS avaliador FROM cs ORDER BY orgao, criterio LIMIT 20"),

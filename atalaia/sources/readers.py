@@ -99,6 +99,13 @@ def criteria(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(listed).alias("c")).select("c.*").filter(F.col("codigo").isNotNull())
 
 
+def axis_weights(spark: SparkSession, path: str) -> dict[str, float] | None:
+    """The axes' weights of a criteria file, ``eixos_imga`` with ``peso_eixo`` in percent (none counts as 0); None if it names no axis."""
+    kind = "map<string,struct<peso_eixo:double>>"
+    found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.eixos_imga"), kind)).alias("eixo", "e"))
+    return {r["eixo"]: (r["peso"] or 0.0) / 100 for r in found.select("eixo", F.col("e.peso_eixo").alias("peso")).collect()} or None  # of the file's size
+
+
 def lexicon(spark: SparkSession, path: str) -> dict[str, tuple[list[str], list[str], list[str]]]:
     """The maturity lexicon of a JSON file, categories of an axis joined."""
     kind = "array<struct<axis_id:string,axis_name:string,categories:array<struct<category_id:string,terms:array<string>,expressions:array<string>,subsignals:array<string>>>>>"

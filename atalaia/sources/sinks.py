@@ -33,11 +33,11 @@ def write_index(docs: DataFrame, folder: str, size: int = K.CHUNK_SIZE, overlap:
     return at
 
 
-def write_report(rows: DataFrame, folder: str, sample: int = K.SAMPLE_SIZE) -> dict[str, str]:
-    """Write classifications, indicators, the matrix and the sample for a human check."""
+def write_report(rows: DataFrame, folder: str, sample: int = K.SAMPLE_SIZE, axis_weights: dict[str, float] | None = None) -> dict[str, str]:
+    """Write classifications, indicators (with the axes' weights given, else the usual ones), the matrix and the sample for a human check."""
     at = {k: f"{folder.rstrip('/')}/{k}" for k in ("classificacoes", "indicadores_orgaos", "criterios_orgaos", "amostra_manual", "relatorio")}
     rows.write.mode("overwrite").json(at["classificacoes"])
-    found = classify.indicators(rows)
+    found = classify.indicators(rows, axis_weights)
     flat = found.select(*[F.to_json(c).alias(c) if t.startswith("map") else F.col(c) for c, t in found.dtypes])
     flat.write.mode("overwrite").option("header", "true").csv(at["indicadores_orgaos"])
     classify.matrix(rows).write.mode("overwrite").option("header", "true").csv(at["criterios_orgaos"])

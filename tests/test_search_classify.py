@@ -164,3 +164,30 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         ingest.run_once(ingest.commands(spark, str(tmp_path / "in")), ingest.answered(lambda m: done.append(m["id"]), str(tmp_path / "out")), str(tmp_path / "c2"))
     assert done == ["t1"] and sorted(x.state for x in spark.read.json(str(tmp_path / "out")).collect()) == ["completed", "running"]
+
+
+def test_axis_weights_of_a_criteria_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"eixos_imga": {"E1": {"peso_eixo": 30}, "E2": {}}, "criterios": []}')
+    (tmp_path / "b.json").write_text("[]")
+    assert readers.axis_weights(spark, str(tmp_path / "a.json")) == {"E1": 0.3, "E2": 0.0}
+    assert readers.axis_weights(spark, str(tmp_path / "b.json")) is None
+    rows = spark.createDataFrame([("A", "E1", 1.0, 1.0, "atende")], "orgao string, eixo_imga string, peso_criterio double, score_ponderado double, classificacao string")
+    assert classify.indicators(rows, {"E1": 0.3}).first().imga_global == 30.0
+
+
+def test_stored_index_answers_without_texts(spark, chunks, tmp_path):
+    docs = spark.createDataFrame(DOCS, "document_id string, orgao string, tipo_documento string, text string")
+    sinks.write_index(docs, str(tmp_path))
+    index = search.Index.read(spark, str(tmp_path))
+    asked = search.questions(spark, [("q", "denúncia plano pré-aviso", None, None)])
+    for f in (search.bm25, search.semantic):
+        stored, anew = f(index, asked), f(chunks, asked)
+        assert stored.collect() == anew.collect()
+        plan = stored._jdf.queryExecution().executedPlan().toString()
+        assert "texto" not in plan and "CartesianProduct" not in plan
+    assert "PushedFilters: [IsNotNull(term)" in search.bm25(index, asked)._jdf.queryExecution().toString() or "In(term" in search.bm25(index, asked)._jdf.queryExecution().toString()
+    many = search.questions(spark, [(f"q{i}", "denúncia plano", None, None) for i in range(search.MOST_IN_ROW + 1)])
+    few = search.questions(spark, [("q0", "denúncia plano", None, None)])
+    assert search.semantic(index, many).filter("query_id = 'q0'").collect() == search.semantic(index, few).collect()
+    with pytest.raises(ValueError):
+        search.semantic(index, asked, dimensions=7)
