@@ -6,7 +6,8 @@ anchor stands in one document only are left out. The suffixes are split into gro
 and, where such a group has more than GROUP_SUFFIXES suffixes, longer ones (of 30, 45 and all 50 words), for which the suffix begins so
 far before the anchor that the windows of a class all hold the prefix. In a group the suffixes are sorted, which with the longest
 common prefixes of neighbours is their tree, and so are the words before them, read backwards. A pair of nodes, one of each tree, whose
-depths add up to the window or more is a repeat; it is taken as far as the trees go on together. Groups by all 50 words need
+depths add up to the window or more is a repeat; it is taken as far as the trees go on together. A window that a document has several
+times, as in a text of one repeated line, takes part once; its other places follow at the end. Groups by all 50 words need
 no tree, as they hold one repeat each, and no memory either.
 """
 
@@ -25,7 +26,7 @@ from .common import Cache, cut, prepare
 #: Words of a window and of the phrases among which its anchor is chosen.
 WINDOW, PHRASE = 50, 10
 #: Suffixes up to which a group is held in memory (under 100 words each); greater groups are split by longer prefixes.
-GROUP_SUFFIXES = 50_000
+GROUP_SUFFIXES = 20_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -71,6 +72,12 @@ class Words:
             reach += step
         return low, at
 
+    def fresh(self, numbers: np.ndarray, window: int) -> np.ndarray:
+        """Which windows are the first of their words in the document."""
+        out = np.zeros(max(0, len(numbers) - window + 1), bool)
+        out[np.unique(self.phrases(numbers, window), return_index=True)[1]] = True
+        return out
+
     def prefixes(self, numbers: np.ndarray, window: int, phrase: int, tier: int) -> tuple[np.ndarray, np.ndarray]:
         """A hash of the prefix that a window's group has in a tier, and the place where the suffix begins."""
         low, at = self.anchors(numbers, window, phrase)
@@ -176,7 +183,8 @@ def _marks(docs: DataFrame, window: int, phrase: int) -> DataFrame:
         for b in batches:
             split = [t.encode("utf-8", "surrogatepass").split() for t in b.column(2).to_pylist()]
             seq = [xxhash.xxh3_128_digest(b" ".join(x)) for x in split]
-            found = [_counted(*w.prefixes(w.numbers(x), window, phrase, 0)) for x in split]
+            numbers = [w.numbers(x) for x in split]
+            found = [_counted(*(x[w.fresh(n, window)] for x in w.prefixes(n, window, phrase, 0))) for n in numbers]
             own = [b.column(0), b.column(1), pa.array(seq, pa.binary()), pa.array([len(x) for x in split], pa.int64())]
             yield pa.RecordBatch.from_arrays([*own, *_lists(found)], ["id", "tie", "seq", "n", "keys", "many"])
 
@@ -198,6 +206,7 @@ def _longer(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
             for text, wanted in zip(b.column(2).to_pylist(), b.column(3), strict=True):
                 numbers = _numbers(w, text)
                 some = np.isin(w.prefixes(numbers, window, phrase, tier - 1)[0], wanted.values.to_numpy())
+                some &= w.fresh(numbers, window)
                 key, at = w.prefixes(numbers, window, phrase, tier)
                 found.append(_counted(key[some], at[some]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(found)], ["id", "tie", "keys", "many"])
@@ -206,7 +215,7 @@ def _longer(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
-    """(id, tie, start, key, words): runs of windows with the same wanted prefix; in the last tier each window for itself, with a 128-bit hash for words."""
+    """(id, tie, start, key, words): runs of windows with the same wanted prefix, each window of a document once; in the last tier each window for itself, with a 128-bit hash for words."""
     single = tier == len(widths(window, phrase)) - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +224,9 @@ def _segments(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame
             out: dict[str, list] = {k: [] for k in ("id", "tie", "start", "key", "words")}
             for doc_id, tie, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
-                key = w.prefixes(w.numbers(words), window, phrase, tier)[0]
-                places = np.flatnonzero(np.isin(key, wanted.values.to_numpy()))
+                numbers = w.numbers(words)
+                key = w.prefixes(numbers, window, phrase, tier)[0]
+                places = np.flatnonzero(np.isin(key, wanted.values.to_numpy()) & w.fresh(numbers, window))
                 if not places.size:
                     continue
                 new = np.ones(len(places), bool)
@@ -268,7 +278,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -
     """(id, tie, spans) for rows of (id, text, tie) of which words are to go; id and text are not null.
 
     A text that repeats the words of a smaller document as a whole goes without further search, so a group
-    of copies takes part once.
+    of copies takes part once. Of windows with the same words in one document the spans cover the first.
     """
     marks = cut(_marks(docs, window, phrase).filter(F.col("n") >= window))
     first = cut(marks.groupBy("seq").agg(F.min("id").alias("first")))  # a table of its own, so that a skewed join can be split
@@ -308,21 +318,23 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFr
     none = rows.filter("id is null").withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")).select("id", "text", "spans", "rest")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = Words()
         for b in batches:
-            texts, counts, gone = [], [], []
+            texts, counts, removed = [], [], []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 keep = words
                 if spans:
+                    hashes = w.phrases(w.numbers(words), window)
+                    gone = np.flatnonzero(np.isin(hashes, np.concatenate([hashes[s["a"] : s["b"] - window + 1] for s in spans])))
                     edge = np.zeros(len(words) + 1, np.int64)
-                    for s in spans:
-                        edge[s["a"]] += 1
-                        edge[s["b"]] -= 1
+                    np.add.at(edge, gone, 1)
+                    np.add.at(edge, gone + window, -1)
                     keep = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                 texts.append(b" ".join(keep).decode("utf-8", "surrogatepass"))
                 counts.append(len(words))
-                gone.append(len(words) - len(keep))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), b.column(3)], ["doc_id", "text", "n_words", "n_removed", "rest"])
+                removed.append(len(words) - len(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), b.column(3)], ["doc_id", "text", "n_words", "n_removed", "rest"])
 
     kind = f"doc_id long, text string, n_words long, n_removed long, rest {dict(rows.dtypes)['rest']}"
     return whole.unionByName(none).mapInArrow(work, kind)
