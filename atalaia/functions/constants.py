@@ -155,3 +155,17 @@ EXCERPT, ANSWER_EXCERPTS = 420, 3
 ANSWER_HEAD = "Encontrei evidências documentais relacionadas à pergunta.\n\nSíntese baseada nos trechos recuperados:\n"
 ANSWER_TAIL = "\n\nComo esta resposta não usou LLM, ela preserva os trechos principais em vez de gerar uma conclusão interpretativa."
 ANSWER_NONE = "Não encontrei evidências suficientes na base indexada para responder a pergunta. Tente reformular a consulta, remover filtros ou reindexar os documentos."
+
+# Types that are collected, and the outcomes of the check of a collection.
+COLLECTED_TYPES = ["cig", "pg", "compliance"]
+CHECK_OK = "✅ OK"
+CHECK_EMPTY = "❌ Erro: nenhum link encontrado no repositório"
+CHECK_CONFLICT = "❌ Erro: inconsistência"
+CHECK_NO_URL = "❌ Erro: URL ausente"
+# Terms by which a search hit counts, by type.
+HIT_TERMS = {
+    "cig": ["comitê interno de governança", "comitê de governança", "atas", "atas das reuniões", "atas de reuniões", "governança pública"],
+    "programa": ["integridade e compliance", "integridade", "programa de integridade"],
+    "pg": ["programa de integridade", "programa integridade", "integridade e compliance", "integridade", "compliance e integridade"],
+    "compliance": ["plano de compliance", "plano compliance", "compliance", "plano de integridade e compliance", "plano integridade compliance"],
+}

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.links import absolute, any_of, is_pdf, origin, probably_document, same_link, without_fragment
-from ..functions.text import collapse, title_date, title_from_url
+from ..functions.text import collapse, has_year, title_date, title_from_url
 
 _ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+_PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)</p>"
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -72,8 +73,47 @@ def hubs(visited: DataFrame, scores: DataFrame, most: int = K.CRAWL_HUBS) -> Dat
     return scores.filter("hub").join(F.broadcast(visited), "url").orderBy("ordem").limit(most).select("url", "depth", "ordem", "pdf_score", "palavra")
 
 
-def search_hits(found: DataFrame, terms: list[str]) -> DataFrame:
-    """By page the first hit whose text holds any of the terms, with a flag for a year in it."""
-    rows = found.filter(any_of(F.lower("texto"), [t.lower() for t in terms]))
-    w = Window.partitionBy("page_id").orderBy("pos")
-    return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").select("page_id", "href", "texto", F.col("texto").rlike(r"\b20\d{2}\b").alias("tem_ano"))
+def elements(pages: DataFrame) -> DataFrame:
+    """(page_id, url, elementos): by page its links in order, each with the paragraph at the same place.
+
+    The shorter list ends both; a page without paragraphs keeps all links, with empty ones. Null html has no links.
+    """
+    html = F.coalesce("html", F.lit(""))
+    plain = lambda c: collapse(F.regexp_replace(c, "<[^>]*>", " "))
+    rows = pages.select("page_id", "url", F.regexp_extract_all(html, F.lit(_ANCHOR), 1).alias("h"), F.regexp_extract_all(html, F.lit(_ANCHOR), 2).alias("t"), F.regexp_extract_all(html, F.lit(_PARAGRAPH), 1).alias("p"))
+    n = F.when(F.size("p") == 0, F.size("h")).otherwise(F.least(F.size("h"), F.size("p")))
+    zipped = F.arrays_zip(F.slice("h", 1, n).alias("h"), F.slice("t", 1, n).alias("t"), F.slice("p", 1, n).alias("p"))
+    one = lambda e: F.struct(e["h"].alias("href"), plain(e["t"]).alias("texto"), F.coalesce(plain(e["p"]), F.lit("")).alias("paragrafo"))
+    return rows.select("page_id", "url", F.transform(zipped, one).alias("elementos"))
+
+
+def first_hit(terms: list[str]) -> Column:
+    """(achou, href, tem_ano) of the first element whose title or paragraph holds one of the terms; the flag is for a year in its title."""
+    low = [t.lower() for t in terms]
+    hit = F.try_element_at(F.filter("elementos", lambda e: any_of(F.lower(e["texto"]), low) | any_of(F.lower(e["paragrafo"]), low)), F.lit(1))
+    return F.struct(hit.isNotNull().alias("achou"), hit["href"].alias("href"), F.coalesce(has_year(hit["texto"]), F.lit(False)).alias("tem_ano"))
+
+
+def search_hits(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """By page of ``elements`` its first hit, and whether a title alone holds one of the terms; in the page's own row."""
+    titles = F.exists("elementos", lambda e: any_of(F.lower(e["texto"]), [t.lower() for t in terms]))
+    return rows.select("page_id", first_hit(terms).alias("a"), titles.alias("no_titulo")).select("page_id", "a.*", "no_titulo")
+
+
+def portal_hits(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """(page_id, termo, achou, href, tem_ano): the first hit of each term, numbered in the order of the search."""
+    found = F.array(*[F.struct(F.lit(i).alias("termo"), first_hit([t]).alias("a")) for i, t in enumerate(terms)])
+    return rows.select("page_id", F.explode(found).alias("f")).select("page_id", "f.termo", "f.a.*")
+
+
+def portal_links(hits: DataFrame, by_year: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(page_id, link, origem): where a portal's documents are looked for.
+
+    The first term with a hit decides: a title with a year stands for all of ``by_year`` (page_id, link), any other for its own link
+    alone; without a hit the hubs of ``fallback`` (page_id, link) are taken.
+    """
+    first = F.min_by(F.struct("href", "tem_ano"), F.when(F.col("achou"), F.col("termo")))
+    decided = hits.groupBy("page_id").agg(first.alias("a")).select("page_id", "a.href", F.when(F.col("a").isNull(), "hub").when(F.col("a.tem_ano"), "ano").otherwise("titulo").alias("origem"))
+    listed = by_year.select("page_id", "link", F.lit("ano").alias("origem")).unionByName(fallback.select("page_id", "link", F.lit("hub").alias("origem")))
+    own = decided.filter("origem = 'titulo'").select("page_id", F.col("href").alias("link"), "origem")
+    return own.unionByName(listed.join(decided.drop("href"), ["page_id", "origem"], "left_semi").select("page_id", "link", "origem"))

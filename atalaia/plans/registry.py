@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import links, text
-from ..operators import chunking, classify, coverage, keywords, maturity, search, web
+from ..operators import chunking, classify, collection, coverage, keywords, maturity, search, web
 from ..session import shared_folder, table
 from ..sources import sinks
 from ..streaming import ingest
@@ -384,6 +385,49 @@ def document_links_pdf(spark, sf):
     return web.document_links(web.anchors(pages)).select("page_id", "pos", "link", "titulo")
 
 
+def _elements(spark, sf):
+    own = spark.createDataFrame([(-1, "https://x.org/a/", S.HITS_PAGE)], "page_id long, url string, html string")
+    return web.elements(table(spark, sf, "pages").select("page_id", "url", "html").unionByName(own))
+
+
+@query
+def anchors_paragraphs(spark, sf):
+    """Links and paragraphs paired by place."""
+    rows = _elements(spark, sf).select("page_id", F.posexplode("elementos").alias("i", "e"))
+    return rows.select("page_id", (F.col("i") + 1).alias("pos"), "e.href", "e.texto", "e.paragrafo")
+
+
+@query
+def search_hits(spark, sf):
+    return web.search_hits(_elements(spark, sf), S.HIT_TERMS)
+
+
+@query
+def portal_links(spark, sf):
+    """Each page as a portal: its links with a year in their titles, and itself if it is a hub."""
+    rows = _elements(spark, sf)
+    dated = rows.select("page_id", F.explode("elementos").alias("e")).filter(text.has_year(F.col("e.texto"))).select("page_id", F.col("e.href").alias("link"))
+    own = web.page_scores(_anchors(spark, sf)).filter("hub").select("page_id", F.col("url").alias("link"))
+    return web.portal_links(web.portal_hits(rows, S.HIT_TERMS), dated, own)
+
+
+@query
+def collection_flow(spark, sf):
+    """Suppliers as agencies: some without a link, some with a repository, flags of the minutes unknown for a third of the nations."""
+    key = F.col("s_suppkey")
+    agencies = table(spark, sf, "supplier").select(
+        F.concat(F.lit("S"), key).alias("sigla"),
+        F.when(key % 7 != 0, F.concat(F.lit("https://s.org/"), key)).alias("link"),
+        F.when(F.col("s_nationkey") % 3 != 0, F.col("s_acctbal") > 0).alias("possui_atas"),
+        (key % 4 == 0).alias("possui_repositorio"),
+    )
+    lines = table(spark, sf, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("sigla"), "l_linenumber", "l_quantity", "l_discount")
+    kind = F.element_at(F.array(*map(F.lit, K.COLLECTED_TYPES)), F.col("l_linenumber"))
+    held = lines.filter("l_linenumber <= 3 and l_quantity = 50 and l_discount < 0.01").select("sigla", kind.alias("tipo"))
+    found = lines.groupBy("sigla").agg(F.count_if(F.expr("l_quantity = 49 and l_discount < 0.01")).alias("links"))
+    return collection.flow(agencies, held, found)
+
+
 @query
 def link_dedup(spark, sf):
     found = _anchors(spark, sf).select(links.absolute(F.col("href"), F.col("url")).alias("link"), "page_id", "pos")

@@ -38,3 +38,6 @@ TYPES, SEVERE = ["user", "assistant", "system", "tool"], ("assistant", "tool")
 NEGATIVE = "Nao existe plano, the and that with. "
 #: PDF links with and without text, one by its ending behind a query, and links that are none.
 LINKS_PAGE = '<a href="/atas/Ata_01-2023.pdf"></a><a href="b/relatorio.PDF">Ata da reuniao</a><a href="/c.pdf?download=1">ata 2</a><a href="/d.html">ata 3</a>'
+#: Terms of hits in links and paragraphs, in the order of a search, and a made page: titles with and without a year, and a paragraph less than links.
+HIT_TERMS = ["idiot", "ción", "of the", "atas"]
+HITS_PAGE = '<p>Nada</p><p>sobre <b>atas</b> de 2021</p><p>x</p><a href="/a">Um</a><a href="/b">Reuniao de 2023</a><a href="/c">Atas 2022</a><a href="/d">atas idiot</a>'

@@ -191,6 +191,15 @@ ab AS (SELECT page_id, url, pos, href, trim(regexp_replace(regexp_replace(inner_
 al AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN regexp_matches(href, '^(mailto|tel|javascript):') THEN href WHEN starts_with(href, '/') THEN org || href ELSE org || '/' || href END AS link FROM ab)"""
 
 
+_ELEMENTS = rf"""
+pages_ AS (SELECT page_id, url, html FROM pages UNION ALL SELECT -1, 'https://x.org/a/', {text(S.HITS_PAGE)}),
+ea AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS hs,
+  regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS ts, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1) AS ps FROM pages_),
+eb AS (SELECT page_id, ps, unnest(hs) AS href, unnest(ts) AS t, generate_subscripts(hs, 1) AS pos FROM ea),
+el AS (SELECT page_id, pos, href, {collapse("regexp_replace(t, '<[^>]*>', ' ', 'g')")} AS texto,
+  coalesce({collapse("regexp_replace(ps[pos], '<[^>]*>', ' ', 'g')")}, '') AS paragrafo FROM eb WHERE len(ps) = 0 OR pos <= len(ps))"""
+
+
 def _any(x: str, parts: list[str]) -> str:
     return "(" + " OR ".join(f"contains({x}, {text(p)})" for p in parts) + ")"
 
@@ -204,6 +213,22 @@ def _minutes(x: str) -> str:
     return f"(NOT {_any(f'lower({x})', K.MINUTES_AGAINST)} AND ({_any(f'lower({x})', K.MINUTES_WORDS)} OR ({_any(f'lower({x})', K.MINUTES_ORDINALS)} AND regexp_matches({x}, '[0-9]'))))"
 
 
+def _hit(terms: list[str]) -> str:
+    return f"({_any('lower(texto)', terms)} OR {_any('lower(paragrafo)', terms)})"
+
+
+_FLOW = f"""WITH ag AS (SELECT 'S' || s_suppkey AS sigla, s_suppkey % 7 <> 0 AS url, coalesce(CASE WHEN s_nationkey % 3 <> 0 THEN s_acctbal > 0 END, false) AS atas, s_suppkey % 4 = 0 AS repo FROM supplier),
+li AS (SELECT 'S' || l_suppkey AS sigla, bool_or(l_linenumber = 1 AND l_quantity = 50 AND l_discount < 0.01) AS cig, bool_or(l_linenumber = 2 AND l_quantity = 50 AND l_discount < 0.01) AS pg,
+  bool_or(l_linenumber = 3 AND l_quantity = 50 AND l_discount < 0.01) AS co, bool_or(l_quantity = 49 AND l_discount < 0.01) AS links FROM lineitem GROUP BY l_suppkey),
+j AS (SELECT ag.*, coalesce(cig, false) AS cig, coalesce(pg, false) AS pg, coalesce(co, false) AS co, coalesce(links, false) AS links FROM ag LEFT JOIN li USING (sigla))
+SELECT sigla, CASE WHEN NOT url THEN 'sem_url' WHEN NOT repo AND NOT atas THEN 'sem_atas' WHEN cig THEN 'ja_coletado' WHEN repo THEN 'repositorio' ELSE 'busca' END AS acao_cig,
+  CASE WHEN NOT url THEN 'sem_url' WHEN pg THEN 'ja_coletado' ELSE 'busca' END AS acao_pg, CASE WHEN NOT url THEN 'sem_url' WHEN co THEN 'ja_coletado' ELSE 'busca' END AS acao_compliance,
+  url AS consulta_programa, (NOT cig AND (repo OR atas)) OR NOT pg OR NOT co AS pendente,
+  CASE WHEN NOT url THEN '{K.CHECK_NO_URL}' WHEN repo OR NOT atas OR cig OR links THEN '{K.CHECK_OK}' ELSE '{K.CHECK_CONFLICT}' END AS verificacao FROM j"""
+_PORTAL = f"""WITH {_ELEMENTS},
+tm AS (SELECT unnest({listed(S.HIT_TERMS)}) AS termo, unnest(range({len(S.HIT_TERMS)})) AS n),
+hit AS (SELECT page_id, href, regexp_matches(texto, '\\b20\\d{{2}}\\b') AS ano FROM el JOIN tm ON contains(lower(texto), termo) OR contains(lower(paragrafo), termo) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n, pos) = 1)"""
+
 _AGENCY = "CASE " + " ".join(f"WHEN {_any('lower(nome)', v)} THEN '{k}'" for k, v in K.AGENCY_PATTERNS.items()) + " WHEN length(upper(string_split(nome, '_')[1])) <= 10 THEN upper(string_split(nome, '_')[1]) ELSE 'OUTROS' END"
 _DATES = "coalesce(" + ", ".join(f"nullif(regexp_extract(texto, '{p}'), '')" for p in K.DATE_PATTERNS) + ")"
 
@@ -285,6 +310,9 @@ ORACLES = {
     "org_from_filename": f"WITH n AS (SELECT page_id, string_split(url, '/')[-1] AS nome FROM pages) SELECT page_id, {_AGENCY} AS orgao FROM n",
     "acronym_lookup": "SELECT n_nationkey, CASE n_name WHEN 'BRAZIL' THEN 'BR' WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' ELSE '' END AS sigla FROM nation",
     "page_anchors": f"WITH {_ANCHORS} SELECT page_id, pos, href, texto, link FROM al",
+    "anchors_paragraphs": f"WITH {_ELEMENTS} SELECT * FROM el",
+    "search_hits": rf"WITH {_ELEMENTS}, h AS (SELECT page_id, href, regexp_matches(texto, '\b20\d{{2}}\b') AS ano FROM el WHERE {_hit(S.HIT_TERMS)} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1), t AS (SELECT DISTINCT page_id FROM el WHERE {_any('lower(texto)', S.HIT_TERMS)}) SELECT page_id, h.page_id IS NOT NULL AS achou, href, coalesce(ano, false) AS tem_ano, t.page_id IS NOT NULL AS no_titulo FROM pages_ LEFT JOIN h USING (page_id) LEFT JOIN t USING (page_id)",
+    "collection_flow": _FLOW,
     "document_links": f"WITH {_ANCHORS} SELECT page_id, pos, link, CASE WHEN texto <> '' THEN texto ELSE 'documento' END AS titulo FROM al WHERE {_likely('link', 'texto')}",
     "link_dedup": f"WITH {_ANCHORS}, k AS (SELECT *, string_split(lower(link), '?')[1] AS mesmo FROM al) SELECT link, mesmo, page_id, pos FROM k QUALIFY row_number() OVER (PARTITION BY mesmo ORDER BY page_id, pos) = 1",
     "hub_pages": f"WITH {_ANCHORS}, s AS (SELECT page_id, url, count(*) FILTER ({_likely('link', 'texto')} AND regexp_matches(link, '^https?://')) AS pdf_score FROM al WHERE pos <= 300 AND href <> '' AND NOT starts_with(href, '#') GROUP BY page_id, url) SELECT page_id, pdf_score, {_any(_path := "lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1))", K.HUB_PATHS['cig'])} AS palavra, ({_any(_path, K.HUB_PATHS['cig'])} OR pdf_score >= 2) AS hub FROM s",
@@ -297,3 +325,7 @@ ORACLES = {
     "label_agreement": "SELECT lang, quality, toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
     "conversation_pages": f"SELECT conv_id, count(*) AS paginas, CAST(sum(len({words('text')})) AS BIGINT) AS palavras, array_to_string(list_sort(list(DISTINCT role)), ',') AS papeis FROM conversations GROUP BY conv_id",
 }
+ORACLES["portal_links"] = (
+    f"{_PORTAL} SELECT page_id, href AS link, 'titulo' AS origem FROM hit WHERE NOT ano UNION ALL SELECT page_id, el.href, 'ano' FROM el JOIN hit USING (page_id) WHERE ano AND regexp_matches(texto, '\\b20\\d{{2}}\\b') "
+    f"UNION ALL SELECT page_id, url, 'hub' FROM ({ORACLES['hub_pages']}) AS s JOIN pages USING (page_id) WHERE hub AND page_id NOT IN (SELECT page_id FROM hit)"
+)
