@@ -112,3 +112,20 @@ def rounded(c: Column, places: int) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 for two empty ones."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def two_places(c: Column) -> Column:
+    """A number with two digits after the point, "0.00" for what is none; ties go up, as the shortest digits of the number show them."""
+    n = F.coalesce(c.try_cast("double"), F.lit(0.0))
+    return F.format_string("%.2f", n)
+
+
+def dotted(c: Column) -> Column:
+    """A whole number with dots between thousands; null is 0."""
+    return F.translate(F.format_number(F.coalesce(c, F.lit(0)).cast("decimal(38,0)"), 0), ",", ".")
+
+
+def booster_names(c: Column) -> Column:
+    """Names of boosters without their numbers, by commas in the order given; "-" if there are none."""
+    named = F.array_join(F.transform(F.array_compact(c), lambda x: F.regexp_replace(x, "B[1-4]_", "")), ", ")
+    return F.coalesce(F.nullif(named, F.lit("")), F.lit("-"))

@@ -145,6 +145,14 @@ def matrix(rows: DataFrame) -> DataFrame:
     return rows.select("orgao", "criterio", "eixo_imga", "classificacao", "pontuacao", "score_ponderado", "evidencias_total", text(first["documento"]).alias("documento"), text(first["pagina"]).alias("pagina"), text(first["trecho"]).alias("trecho"))
 
 
+def selected(rows: DataFrame, **chosen: list[str] | None) -> DataFrame:
+    """Rows whose columns have one of the values chosen for them; no values, or a column that is not there, choose all."""
+    for c, values in chosen.items():
+        if values and c in rows.columns:
+            rows = rows.filter(F.col(c).isin(list(values)))
+    return rows
+
+
 def manual_sample(rows: DataFrame, n: int = K.SAMPLE_SIZE) -> DataFrame:
     """The first rows of the matrix, with four blank columns for a human check."""
     blank = {c: F.lit("") for c in ("avaliacao_manual", "classificacao_correta", "observacoes", "avaliador")}

@@ -229,6 +229,20 @@ def org_criterion_matrix(spark, sf):
     return classify.matrix(_classified(spark, sf))
 
 
+@query
+def matrix_selected(spark, sf):
+    """The matrix of one agency and two labels, scores as they are shown."""
+    rows = classify.selected(classify.matrix(_classified(spark, sf)), orgao=["SRC0"], classificacao=["atende", "atende_parcialmente"], outra=["x"], criterio=None)
+    return rows.select("orgao", "criterio", "classificacao", text.two_places(F.col("score_ponderado")).alias("score"))
+
+
+@query
+def words_shown(spark, sf):
+    """Documents and words by agency, with dots between thousands."""
+    rows = _docs(spark, sf).groupBy("orgao").agg(F.count(F.lit(1)).alias("n"), F.sum(text.n_words(F.col("text"))).alias("w"))
+    return rows.select("orgao", text.dotted(F.col("n")).alias("documentos"), text.dotted(F.col("w")).alias("palavras"))
+
+
 @query
 def manual_sample(spark, sf):
     return classify.manual_sample(_classified(spark, sf))

@@ -329,3 +329,5 @@ ORACLES["portal_links"] = (
     f"{_PORTAL} SELECT page_id, href AS link, 'titulo' AS origem FROM hit WHERE NOT ano UNION ALL SELECT page_id, el.href, 'ano' FROM el JOIN hit USING (page_id) WHERE ano AND regexp_matches(texto, '\\b20\\d{{2}}\\b') "
     f"UNION ALL SELECT page_id, url, 'hub' FROM ({ORACLES['hub_pages']}) AS s JOIN pages USING (page_id) WHERE hub AND page_id NOT IN (SELECT page_id FROM hit)"
 )
+ORACLES["matrix_selected"] = f"SELECT orgao, criterio, classificacao, printf('%.2f', score_ponderado) AS score FROM ({ORACLES['org_criterion_matrix']}) AS m WHERE orgao = 'SRC0' AND classificacao IN ('atende', 'atende_parcialmente')"
+ORACLES["words_shown"] = f"WITH {DOCS}, g AS (SELECT orgao, count(*) AS n, sum(len({words('text')})) AS w FROM d GROUP BY orgao) SELECT orgao, replace(format('{{:,}}', CAST(n AS BIGINT)), ',', '.') AS documentos, replace(format('{{:,}}', CAST(w AS BIGINT)), ',', '.') AS palavras FROM g"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import time
 from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators.classify import CRITERION
 
+T = TypeVar("T")
+
 
 def document_types(types: list[str] | None) -> list[str]:
     """Validated document types; none means all."""
@@ -85,6 +89,52 @@ def _pypdf(content: bytes, most: int) -> list[str]:
     return [p.extract_text() or "" for p in (pages[:most] if most else pages)]
 
 
+def cached_pages(files: DataFrame, folder: str, readers: list[Callable[[bytes, int], list[str]]] | None = None, most: int = K.MAX_PAGES) -> DataFrame:
+    """``extracted_pages`` through a Parquet cache keyed by a file's content: only contents that the cache lacks are read.
+
+    The cache holds a row with page_no 0 for each content, so a file without words is not tried again; a run that fails leaves the
+    cache as it was. Files of equal content are read once; null content has no pages. ``most`` belongs to the key.
+    """
+    spark = files.sparkSession
+    named = files.withColumn("chave", F.concat(F.sha2("content", 256), F.lit(f":{most}")))
+    fresh = named.filter("chave is not null").dropDuplicates(["chave"]).select("chave", "content")
+    known = _cache(spark, folder)
+    if known is not None:
+        fresh = fresh.join(known.filter("page_no = 0").select("chave"), "chave", "left_anti")
+    pages = extracted_pages(fresh.withColumnRenamed("chave", "caminho"), readers, most).withColumnRenamed("caminho", "chave")
+    marks = fresh.select("chave", F.lit(0).alias("page_no"), F.lit("").alias("texto"))
+    pages.unionByName(marks).write.mode("append").parquet(folder)
+    held = spark.read.schema(_CACHE).parquet(folder).filter("page_no > 0").distinct()  # two runs at once may have written the same
+    return named.select("caminho", "chave").join(held, "chave").select("caminho", "page_no", "texto")
+
+
+_CACHE = "chave string, page_no int, texto string"
+
+
+def _cache(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_CACHE).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def listed_agencies(spark: SparkSession, root: str, types: list[str] | None = None) -> list[str]:
+    """The agencies that have a folder with PDF files under any of the types, sorted, each once; contents are not read."""
+    return [r["orgao"] for r in pdf_files(spark, root, types).select("orgao").distinct().orderBy("orgao").collect()]
+
+
+def retried(f: Callable[[], T], attempts: int = 3, base_s: float = 0.5, wait: Callable[[float], None] = time.sleep) -> T:
+    """The value of ``f``, called again after 1, 2, 4, ... times ``base_s`` while it fails; the last error is raised. At least one call."""
+    for n in range(max(1, attempts) - 1):
+        try:
+            return f()
+        except Exception:
+            wait(base_s * 2**n)
+    return f()
+
+
 def keywords(spark: SparkSession, path: str | None = None, typed: str | None = None) -> list[str]:
     """Keywords from a file, one a line, or typed with commas; lower-cased, without blanks and repeats."""
     raw = [r["value"] for r in spark.read.text(path).collect()] if path else (typed or "").split(",")
