@@ -93,7 +93,6 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> dict | list:
             out = keywords.percentages(keywords.counts_by_page(chunking.pages(docs), words), docs)
         out.write.mode("overwrite").json(a.out)
         return [json.loads(x) for x in out.limit(20).toJSON().collect()]
-    index = search.Index.read(spark, a.index)
     kinds = readers.document_types(a.tipos) if a.tipos else None
     if a.command == "search" and not a.usar_criterios:
         asked = search.questions(spark, [("pergunta", a.pergunta, (a.orgao or [None])[0], kinds)])
@@ -102,8 +101,9 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> dict | list:
         criteria = criteria.withColumn("tipos", F.array(*map(F.lit, kinds))) if kinds else criteria
         asked = criteria.select(F.col("codigo").alias("query_id"), "pergunta", F.lit((a.orgao or [None])[0]).cast("string").alias("orgao"), "tipos")
     if a.command == "search":
-        found = search.evidence(search.hybrid(index, asked, a.top_k, dimensions=index.dimensions), index)
+        found, _ = search.retrieve(spark, a.index, asked, a.top_k)
         return [json.loads(x) for x in found.orderBy("query_id", "rank").toJSON().collect()]
+    index = search.Index.read(spark, a.index)
     agencies = index.chunks.select("orgao").distinct()
     agencies = agencies.filter(F.col("orgao").isin(a.orgao)) if a.orgao else agencies
     agencies = agencies.orderBy("orgao").limit(a.max_orgaos) if a.max_orgaos else agencies

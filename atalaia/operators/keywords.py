@@ -97,6 +97,33 @@ def summary(docs: DataFrame, by_page: DataFrame, keywords: list[str]) -> DataFra
     return total.crossJoin(hits).withColumns({"palavras_chave": F.lit(len(cleaned(keywords))), "media_por_documento": rounded(F.coalesce(F.try_divide(F.col("ocorrencias") * 1.0, F.col("documentos")), F.lit(0.0)), 2)})
 
 
+def ranked(docs: DataFrame, by_page: DataFrame, keywords: list[str]) -> DataFrame:
+    """(keyword, ocorrencias, percentual, posicao) of every keyword, those that do not occur too; ties by keyword. As many rows as keywords."""
+    spark = docs.sparkSession
+    asked = spark.createDataFrame([(k,) for k in cleaned(keywords)], "keyword string")
+    total = docs.agg(F.sum(n_words(F.col("text"))).alias("palavras"))
+    rows = asked.join(F.broadcast(counts_global(by_page)), "keyword", "left").crossJoin(total).withColumn("ocorrencias", F.coalesce("ocorrencias", F.lit(0)))
+    share = rounded(F.coalesce(F.try_divide(F.col("ocorrencias") * 100.0, F.col("palavras")), F.lit(0.0)), 2)
+    return rows.select("keyword", "ocorrencias", share.alias("percentual"), F.row_number().over(Window.orderBy(F.desc("ocorrencias"), "keyword")).alias("posicao"))
+
+
+def report(docs: DataFrame, by_page: DataFrame, keywords: list[str], n: int = 20) -> DataFrame:
+    """The summary as one row: totals, counts and shares by keyword, and the n most frequent ones; bounded by the keywords."""
+    each = F.array_sort(F.collect_list(F.struct("posicao", "keyword", "ocorrencias", "percentual")))
+    of = ranked(docs, by_page, keywords).agg(each.alias("k"))
+    pairs = lambda c: F.map_from_entries(F.transform("k", lambda x: F.struct(x["keyword"], x[c])))
+    best = F.transform(F.slice("k", 1, n), lambda x: F.struct(x["keyword"].alias("keyword"), x["ocorrencias"].alias("count"), x["percentual"].alias("percentage")))
+    total = summary(docs, by_page, keywords).select(F.struct("documentos", "palavras", "palavras_chave", "ocorrencias", "media_por_documento").alias("resumo_geral"))
+    return total.crossJoin(of).select("resumo_geral", pairs("ocorrencias").alias("contagem_keywords_geral"), pairs("percentual").alias("porcentagem_keywords_geral"), best.alias("top_keywords_geral"))
+
+
+def agency_report(docs: DataFrame, by_page: DataFrame, n: int = 10) -> DataFrame:
+    """By agency its statistics and an array of its n most frequent keywords, empty where none occurs."""
+    kind = "array<struct<posicao:int,keyword:string,ocorrencias:bigint>>"
+    best = top_by_agency(by_page, n).groupBy("orgao").agg(F.array_sort(F.collect_list(F.struct("posicao", "keyword", "ocorrencias"))).cast(kind).alias("top_keywords"))
+    return agency_statistics(docs, by_page).join(best, "orgao", "left").withColumn("top_keywords", F.coalesce("top_keywords", F.array().cast(kind)))
+
+
 def snippets(pages: DataFrame, keywords: list[str], around: int = K.SNIPPET_CHARS) -> DataFrame:
     """The text around each match: at most 100 a page and keyword, 500 a document, in order of page and place."""
     hits = F.transform(matches(F.col("texto"), keywords), lambda m: F.struct(m["pos"].alias("pos"), m["match"].alias("match"), m["keyword"].alias("keyword"), collapse(F.substring("texto", F.greatest(m["pos"] - around, F.lit(1)), m["pos"] + F.length(m["match"]) + around - F.greatest(m["pos"] - around, F.lit(1)))).alias("snippet")))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -225,6 +226,29 @@ def hybrid(index: DataFrame | Index, asked: DataFrame, top_k: int = K.TOP_K, lex
     return fuse(lex, sem, top_k, keys=("query_id", "orgao") if by_agency else ("query_id",))
 
 
+def retrieve(spark: SparkSession, folder: str, asked: DataFrame, top_k: int = K.TOP_K, lexical_limit: int = K.LEXICAL_LIMIT, semantic_limit: int = K.SEMANTIC_LIMIT) -> tuple[DataFrame, dict]:
+    """Evidence for questions from a stored index, and what was searched how.
+
+    An empty question is an error, and so is an index without chunks or postings. Without vectors the lexical side answers alone, and
+    the diagnostics say why: {"lexica": {...}, "semantica": {"enabled": false, "reason": ...}}.
+    """
+    if not asked.filter(F.coalesce(F.trim("pergunta"), F.lit("")) == "").isEmpty():
+        raise ValueError("a question is empty")
+    at = lambda k: spark.read.parquet(f"{folder.rstrip('/')}/{k}")
+    side, dimensions = {"enabled": True, "limite": semantic_limit}, None
+    try:
+        index = Index.read(spark, folder)
+        dimensions = index.dimensions
+    except AnalysisException as e:
+        if "/vectors" not in str(e):
+            raise
+        index = Index(at("chunks"), at("postings"), at("corpus_stats"), None)
+        side = {"enabled": False, "reason": "vetores ausentes" if e.getCondition() == "PATH_NOT_FOUND" else str(e).split("\n")[0]}
+    lex = bm25(index, asked, lexical_limit)
+    sem = semantic(index, asked, semantic_limit, dimensions) if dimensions else lex.limit(0)
+    return evidence(fuse(lex, sem, top_k), index), {"lexica": {"enabled": True, "limite": lexical_limit}, "semantica": side, "top_k": top_k}
+
+
 def evidence(ranked: DataFrame, chunks: DataFrame | Index) -> DataFrame:
     """Ranked chunks with document, page and excerpt."""
     chunks = chunks.chunks if isinstance(chunks, Index) else chunks

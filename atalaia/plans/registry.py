@@ -272,6 +272,12 @@ def keyword_pct(spark, sf):
     return keywords.percentages(_counts(spark, sf), _docs(spark, sf))
 
 
+@query
+def keywords_ranked(spark, sf):
+    """Every keyword with its share of all words, one that does not occur too."""
+    return keywords.ranked(_docs(spark, sf), _counts(spark, sf), [*S.KEYWORDS, S.ABSENT])
+
+
 @query
 def top_keywords_org(spark, sf):
     return keywords.top_by_agency(_counts(spark, sf), 3)

@@ -32,6 +32,7 @@ LEXICON = {
 }
 BOOSTERS = {"acao": ["that", "que"], "periodicidade": ["with", "avec"], "responsavel": ["for", "pour"], "artefato": ["was", "auf"]}
 KEYWORDS = ["that", "idiot", "pour", "der", "que"]
+ABSENT = "xyzzy"
 SNIPPET_KEYWORDS = ["idiot", "clown", "scum"]
 TYPES, SEVERE = ["user", "assistant", "system", "tool"], ("assistant", "tool")
 #: Put before every third text: a sentence with a negative signal.

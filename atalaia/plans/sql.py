@@ -331,3 +331,5 @@ ORACLES["portal_links"] = (
 )
 ORACLES["matrix_selected"] = f"SELECT orgao, criterio, classificacao, printf('%.2f', score_ponderado) AS score FROM ({ORACLES['org_criterion_matrix']}) AS m WHERE orgao = 'SRC0' AND classificacao IN ('atende', 'atende_parcialmente')"
 ORACLES["words_shown"] = f"WITH {DOCS}, g AS (SELECT orgao, count(*) AS n, sum(len({words('text')})) AS w FROM d GROUP BY orgao) SELECT orgao, replace(format('{{:,}}', CAST(n AS BIGINT)), ',', '.') AS documentos, replace(format('{{:,}}', CAST(w AS BIGINT)), ',', '.') AS palavras FROM g"
+ORACLES["keywords_ranked"] = f"""SELECT keyword, coalesce(c.ocorrencias, 0) AS ocorrencias, {rnd("coalesce(c.ocorrencias, 0) * 100.0::DOUBLE / w", 2)} AS percentual, row_number() OVER (ORDER BY coalesce(c.ocorrencias, 0) DESC, keyword) AS posicao
+FROM (SELECT unnest({listed([*S.KEYWORDS, S.ABSENT])}) AS keyword) AS k LEFT JOIN ({ORACLES["keyword_counts_global"]}) AS c USING (keyword) CROSS JOIN (WITH {DOCS} SELECT sum(len({words("text")})) AS w FROM d) AS t"""

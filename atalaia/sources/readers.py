@@ -142,8 +142,11 @@ def keywords(spark: SparkSession, path: str | None = None, typed: str | None = N
 
 
 def criteria(spark: SparkSession, path: str) -> DataFrame:
-    """Criteria of a JSON file: an object with ``criterios``, or a bare list."""
+    """Criteria of a JSON file: an object with ``criterios``, or a bare list; an object without them has none, anything else is an error."""
     text = spark.read.text(path, wholetext=True)
+    given = F.coalesce(F.get_json_object("value", "$.criterios"), F.when(F.get_json_object("value", "$[0]").isNull() & F.ltrim("value").startswith("{"), "[]"), F.col("value"))
+    if not text.filter(~F.coalesce(F.ltrim(given).startswith("["), F.lit(False))).isEmpty():
+        raise ValueError(f"criteria in {path} are not a list")
     kind = f"array<struct<{CRITERION.replace(' ', ':').replace(',:', ',')}>>"
     listed = F.coalesce(F.from_json(F.get_json_object("value", "$.criterios"), kind), F.from_json("value", kind))
     return text.select(F.explode(listed).alias("c")).select("c.*").filter(F.col("codigo").isNotNull())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import printable
-from ..operators import chunking, classify, coverage, search
+from ..operators import chunking, classify, coverage, keywords, search
 
 
 def write_index(docs: DataFrame, folder: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, dimensions: int = K.DIMENSIONS) -> dict[str, str]:
@@ -47,6 +47,14 @@ def write_report(rows: DataFrame, folder: str, sample: int = K.SAMPLE_SIZE, axis
     return at
 
 
+def write_summary(docs: DataFrame, by_page: DataFrame, words: list[str], folder: str) -> dict[str, str]:
+    """Write the summary of a keyword analysis: one JSON document, and the agencies' statistics a row each. Returns the folders."""
+    at = {k: f"{folder.rstrip('/')}/{k}" for k in ("summary_results", "estatisticas_por_orgao")}
+    keywords.report(docs, by_page, words).withColumn("data_analise", F.current_timestamp()).write.mode("overwrite").json(at["summary_results"])
+    keywords.agency_report(docs, by_page).write.mode("overwrite").json(at["estatisticas_por_orgao"])
+    return at
+
+
 def write_snippets(found: DataFrame, folder: str) -> None:
     """Append snippets by agency and keyword."""
     found.withColumn("snippet", printable(F.col("snippet"))).write.mode("append").partitionBy("orgao", "keyword").json(folder)

@@ -1,11 +1,13 @@
 """Cache of extracted pages, listings, retries and shown numbers."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from atalaia.functions import text
-from atalaia.operators import classify
-from atalaia.sources import readers
+from atalaia.operators import chunking, classify, keywords, search
+from atalaia.sources import readers, sinks
 
 
 def test_cached_pages(spark, tmp_path):
@@ -57,3 +59,41 @@ def test_shown_numbers_and_selection(spark):
     got = rows.select(text.two_places(F.col("a")), text.dotted(F.col("n")), text.booster_names(F.col("b"))).collect()
     assert list(map(tuple, got)) == [("10.05", "1.234.567", "acao, x"), ("0.00", "0", "-"), ("0.00", "0", "-")]
     assert classify.selected(rows, a=["x"], n=None, z=["q"]).count() == 1
+
+
+def test_criteria_files(spark, tmp_path):
+    def read(value):
+        (tmp_path / "c.json").write_text(value)
+        return [r["codigo"] for r in readers.criteria(spark, str(tmp_path / "c.json")).collect()]
+
+    assert read('{"criterios": [{"codigo": "A"}]}') == ["A"] and read(' [{"codigo": "B"}, {"titulo": "x"}]') == ["B"]
+    assert read("{}") == [] and read('{"outra": [1]}') == [] and read("[]") == []
+    for bad in ('"x"', "3", '{"criterios": {"codigo": "A"}}', '{"criterios": "A"}'):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
+def test_write_summary(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "A", "t", "um dois um"), ("2", "B", "t", "nada"), ("3", "B", "t", None)], "document_id string, orgao string, tipo_documento string, text string")
+    by_page = keywords.counts_by_page(chunking.pages(docs), ["um", "dois", "zzz"])
+    at = sinks.write_summary(docs, by_page, ["um", "dois", "zzz"], str(tmp_path))
+    row = spark.read.json(at["summary_results"]).first().asDict(True)
+    assert row["contagem_keywords_geral"] == {"um": 2, "dois": 1, "zzz": 0} and row["porcentagem_keywords_geral"] == {"um": 50.0, "dois": 25.0, "zzz": 0.0}
+    assert [x["keyword"] for x in row["top_keywords_geral"]] == ["um", "dois", "zzz"] and row["resumo_geral"]["documentos"] == 3
+    agencies = {r["orgao"]: r for r in spark.read.json(at["estatisticas_por_orgao"]).collect()}
+    assert [x["keyword"] for x in agencies["A"]["top_keywords"]] == ["um", "dois"] and agencies["B"]["top_keywords"] == []
+
+
+def test_retrieve_without_vectors(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "A", "t", "plano de integridade publicado"), ("2", "B", "t", "outra coisa inteiramente")], "document_id string, orgao string, tipo_documento string, text string")
+    sinks.write_index(docs, str(tmp_path))
+    asked = search.questions(spark, [("q", "plano de integridade", None, None)])
+    found, said = search.retrieve(spark, str(tmp_path), asked)
+    whole = [r["fontes"] for r in found.orderBy("rank").collect()]
+    assert said["semantica"]["enabled"] and "semantica" in whole[0]
+    shutil.rmtree(tmp_path / "vectors")
+    found, said = search.retrieve(spark, str(tmp_path), asked)
+    assert [(r["documento"], r["fontes"]) for r in found.collect()] == [("1", ["lexical"])]
+    assert said["semantica"] == {"enabled": False, "reason": "vetores ausentes"}
+    with pytest.raises(ValueError):
+        search.retrieve(spark, str(tmp_path), search.questions(spark, [("q", "  ", None, None)]))
