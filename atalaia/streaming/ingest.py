@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,15 +38,37 @@ def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1
 
 
 def streamed_event_counts(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:
-    """event_counts() of all files under a path, by way of a stream; equal to the batch result."""
+    """event_counts() of a file or of all files of a folder, by way of a stream; equal to the batch result.
+
+    The counts are written beside the checkpoint and read from there, so nothing is held by the driver. With a checkpoint of an
+    earlier run only files that have arrived since are read.
+    """
     schema = spark.read.parquet(path).schema
-    name = f"counts_{uuid.uuid4().hex}"
-    pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may also name a single file, a plain path only a folder
-    stream = event_counts(arrivals(spark, pattern, schema))
-    place = checkpoint or shared_folder(spark, "stream")
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    stream = event_counts(_arrived(spark, path, schema))
+    place = (checkpoint or shared_folder(spark, "stream")).rstrip("/")
+    counts = f"{place}/counts"
+
+    def work(batch: DataFrame, number: int) -> None:  # all counts so far: a batch that is repeated writes the same
+        batch.write.mode("overwrite").parquet(f"{counts}/{number}")
+        spark.createDataFrame([(number,)], "number long").write.mode("overwrite").parquet(f"{counts}/last")
+
+    run_once(stream, work, f"{place}/checkpoint", "complete")
+    try:
+        last = spark.read.parquet(f"{counts}/last").first()["number"]
+    except AnalysisException as e:  # no file, so no batch
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{counts}/{last}")
+
+
+def _arrived(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A folder as a stream, or a single file by its folder and name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return arrivals(spark, path, schema)
+    name = re.sub(r"([*?\[\]{}\\])", r"\\\1", at.getName())
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(at.getParent().toString())
 
 
 def commands(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +77,10 @@ def commands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def answered(handle: Callable[[dict], None], out: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that runs each message in state run and writes its states running and completed."""
+    """A batch function that runs each message in state run and writes its states running and completed.
+
+    Messages are few and each starts a job of its own, so the driver takes them one by one.
+    """
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
