@@ -48,14 +48,17 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 _BUILT: dict[tuple[str, str], str] = {}
 
 
+def _build(spark: SparkSession, sf: str) -> str:
+    """Write the index of the documents to a folder of its own, which the session's searches read from then on."""
+    folder = shared_folder(spark, "index")
+    sinks.write_index(_docs(spark, sf), folder, S.SIZE, S.OVERLAP)
+    _BUILT[(spark.sparkContext.applicationId, sf)] = folder
+    return folder
+
+
 def _index(spark: SparkSession, sf: str) -> search.Index:
-    """The stored index of the documents, written to the shared folder by the first query of a session that needs it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _BUILT:
-        folder = shared_folder(spark, "index")
-        sinks.write_index(_docs(spark, sf), folder, S.SIZE, S.OVERLAP)
-        _BUILT[key] = folder
-    return search.Index.read(spark, _BUILT[key])
+    """The stored index of the documents, built by the first query of a session that needs it."""
+    return search.Index.read(spark, _BUILT.get((spark.sparkContext.applicationId, sf)) or _build(spark, sf))
 
 
 def _asked(spark: SparkSession) -> DataFrame:
@@ -104,8 +107,9 @@ def hard_split(spark, sf):
 
 @query
 def index_build(spark, sf):
-    """Rows of the index tables after a full build to a folder of its own."""
-    at = sinks.write_index(_docs(spark, sf), shared_folder(spark, "index"), S.SIZE, S.OVERLAP)
+    """Rows of the index tables after a full build, whether there is an index or not."""
+    folder = _build(spark, sf)
+    at = {k: f"{folder}/{k}" for k in ("documents", "chunks", "postings", "term_stats", "vectors", "corpus_stats")}
     rows = {k: spark.read.parquet(at[k]) for k in ("documents", "chunks", "postings", "term_stats", "vectors")}
     out = rows["postings"].agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"))
     for k in ("documents", "chunks", "term_stats", "vectors"):
