@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, cws, patience, simhash, suffix, tiling, tokenfiles, toxicity, warc
+from . import bpe, chat, cws, fim, patience, simhash, suffix, tiling, tokenfiles, toxicity, variants, warc
 
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -65,6 +65,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their middle lines moved to the end, and the texts rebuilt from that."""
+    return fim.digests(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the more frequent words that they are variants of."""
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
 def _escaped_length(x: str) -> str:
     marks = " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
     return f"(2 * length({x}) - length(replace({x}, '\\', '')) + {marks})"
@@ -95,6 +105,8 @@ QUERIES = {
         op8_toxicity,
         op9_license_scan,
         op10_token_files,
+        op11_fill_in_middle,
+        op12_spelling_variants,
     )
 }
 _OP6 = """
@@ -118,4 +130,33 @@ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n_kep
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM n LEFT JOIN k USING (doc_id)"""
 
-ORACLES = {"op1_chat_format": _OP1, "op6_warc": _OP6, "op7_substring_dedup": _OP7}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h FROM d),
+n AS (SELECT *, len(units) AS n, h[1] % (len(units) + 1) AS a, h[2] % (len(units) + 1) AS b FROM u),
+p AS (SELECT *, array_to_string(units[1:least(a, b)], '') AS pre, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(units[greatest(a, b) + 1:], '') AS suf,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
+#: CRC-32 byte by byte over the distinct runs of each document; near words by their patterns with one character left out.
+_OP12 = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)) AS bytes FROM g),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(c >> 8, crc[(xor(c, CAST(x AS BIGINT)) & 255) + 1]))) AS h FROM b CROSS JOIN t),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) || ' ' || substr(word, i + 1) AS swap, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n FROM k a JOIN k b ON a.swap = b.swap AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.cut = w.word
+  UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.cut = w.word),
+m AS (SELECT word, count(*) AS n_near, max(n) AS best FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 2 * w.n THEN best END AS form_n, CASE WHEN best >= 2 * w.n THEN (SELECT min(near) FROM p WHERE p.word = w.word AND p.n = best) END AS form FROM w LEFT JOIN m USING (word)),
+c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, c.next, f.form FROM c JOIN f ON c.next = f.word)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN c USING (word) WHERE c.next IS NULL"""
+
+ORACLES = {"op1_chat_format": _OP1, "op6_warc": _OP6, "op7_substring_dedup": _OP7, "op11_fill_in_middle": _OP11, "op12_spelling_variants": _OP12}
