@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, cws, fim, patience, simhash, suffix, tiling, tokenfiles, toxicity, variants, warc
+from . import bpe, chat, cws, fim, minhash, patience, simhash, suffix, tiling, tokenfiles, toxicity, variants, warc
 
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -75,6 +75,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose five-word shingles have a likeness of 0.85 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _escaped_length(x: str) -> str:
     marks = " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
     return f"(2 * length({x}) - length(replace({x}, '\\', '')) + {marks})"
@@ -107,6 +112,7 @@ QUERIES = {
         op10_token_files,
         op11_fill_in_middle,
         op12_spelling_variants,
+        op13_minhash_near_dedup,
     )
 }
 _OP6 = """
@@ -159,4 +165,15 @@ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 2 * w
 c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, c.next, f.form FROM c JOIN f ON c.next = f.word)
 SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN c USING (word) WHERE c.next IS NULL"""
 
-ORACLES = {"op1_chat_format": _OP1, "op6_warc": _OP6, "op7_substring_dedup": _OP7, "op11_fill_in_middle": _OP11, "op12_spelling_variants": _OP12}
+_OP13 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS m FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.m = y.m AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * b.n >= 85 * (p.n + q.n - b.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.other = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, d.component_id, d.doc_id = d.component_id AS kept
+FROM (SELECT doc_id, min(other) AS component_id FROM c GROUP BY doc_id) d LEFT JOIN n USING (doc_id)"""
+
+ORACLES = {"op1_chat_format": _OP1, "op6_warc": _OP6, "op7_substring_dedup": _OP7, "op11_fill_in_middle": _OP11, "op12_spelling_variants": _OP12, "op13_minhash_near_dedup": _OP13}

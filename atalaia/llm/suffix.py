@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Cache, cut, prepare
 
@@ -311,7 +312,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFr
     """
     prepare(docs.sparkSession)
     # The id has a name of its own: an alias of the same name is dropped on one side of a join only, and texts would be shuffled twice.
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
     named = rows.filter("id is not null").withColumn("tie", F.xxhash64("text"))
     spans = removed_spans(named, window, phrase)
     whole = named.join(spans, ["id", "tie"], "left").select("id", "text", "spans", "rest")
@@ -336,5 +337,5 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFr
                 removed.append(len(words) - len(keep))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), b.column(3)], ["doc_id", "text", "n_words", "n_removed", "rest"])
 
-    kind = f"doc_id long, text string, n_words long, n_removed long, rest {dict(rows.dtypes)['rest']}"
+    kind = StructType([*StructType.fromDDL("doc_id long, text string, n_words long, n_removed long"), rows.schema["rest"]])
     return whole.unionByName(none).mapInArrow(work, kind)

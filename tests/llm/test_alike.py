@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from atalaia.llm import alike, simhash
+from atalaia.llm import alike, deals, shingling, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,10 +61,10 @@ def test_stage_links_from_four_fifths(spark):
     assert sorted(r.doc_id for r in got) == sorted(set(roots))
 
 
-@pytest.mark.parametrize("small", (32, 2))
-def test_groups_are_those_of_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(alike, "SMALL", small)  # with 2, most deals are large
-    monkeypatch.setattr(alike, "FREQUENT", 3)
+@pytest.mark.parametrize("small, most", ((16, 4096), (2, 4096), (2, 5)))
+def test_groups_are_those_of_brute_force(spark, monkeypatch, small, most):
+    monkeypatch.setattr(deals, "SMALL", small)  # with 2, most deals are large
+    monkeypatch.setattr(deals, "MOST", most)  # with 5, these are cut into parts
     texts = near_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component for r in alike.near_duplicates(df, ["doc_id"]).collect()}
@@ -79,9 +79,8 @@ def test_bound_never_rules_out_what_is_alike():
     for _ in range(300):
         a = np.unique(r.integers(0, 60, r.integers(1, 50)))
         b = np.unique(np.r_[a[r.random(len(a)) < 0.95], r.integers(0, 60, 2)])
-        if alike.alike(a, b):
-            for v in np.intersect1d(a, b):
-                assert alike.may_be_alike(*(np.array([x]) for x in (len(a), np.searchsorted(a, v), len(b), np.searchsorted(b, v))))[0]
+        if shingling.alike(a, b, 4, 5):
+            assert deals.fit(*(np.array([len(x)]) for x in (a, b)), alike.Pivots())[0]
 
 
 def test_rows_of_repeated_and_null_ids(spark):
@@ -93,3 +92,16 @@ def test_rows_of_repeated_and_null_ids(spark):
     kept = [(x.doc_id, x.text) for x in got.collect()]
     assert len(kept) == 7 and {(1, some[1]), (3, some[2]), (None, some[4]), (0, some[5]), (None, None)} < set(kept)
     assert len({(1, some[0]), (1, some[0] + " more")} & set(kept)) == 1 and len({(None, some[3]), (None, some[3] + " end")} & set(kept)) == 1
+
+
+def test_columns_of_clashing_names(spark):
+    """Columns that are named as those the stages make on their way come out as they went in."""
+    names = ["_row", "_id", "_last", "row", "last", "number", "whole", "rest", "component", "n_words", "_text_as_it_was", "key", "a.b"]
+    r = random.Random(4)
+    some = [" ".join(r.choice("abcdefgh") + str(r.randrange(90)) for _ in range(120)) for _ in range(3)]
+    rows = [(i, t, "en", "s", len(t), *[f"{c}{i}" for c in names]) for i, t in enumerate([some[0], some[1], some[0] + " x", "y " + some[2], some[1]])]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, {', '.join(f'`{c}` string' for c in names)}")
+    kept = pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[1], rows[3]]
+    left = pipeline.cut_repeats(spark, docs, "")
+    assert left.columns == docs.columns and {x.doc_id: tuple(x)[5:] for x in left.collect()} == {i: rows[i][5:] for i in (0, 1, 2, 3)}
