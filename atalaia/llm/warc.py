@@ -26,8 +26,8 @@ from .common import cut, mapped, new_folder, prepare
 TABLE_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 #: Bytes of records at which a frame, and at which a bundle, is closed.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 30
-#: Payloads below this size are always kept whole.
-LEAST = 1000
+#: Payloads below this size are always kept whole. Equal rows that are written together.
+LEAST, SLICE = 1000, 500
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -118,9 +118,14 @@ def records(data: bytes, at: int = 0) -> Iterator[tuple[bytes, dict[str, str], b
         at = stop + 4
 
 
-def record_id(page_id: int | None, digest: str, url: str | None = None, nth: int = 0, bundle: str = "") -> bytes:
-    """16 bytes from the page's id, payload and url; the nth equal row takes its bundle's name too."""
-    return uuid.uuid5(uuid.NAMESPACE_OID, f"page {page_id} {digest} {nth} {bundle if nth else ''} {url}").bytes
+def record_id(page_id: int | None, digest: str, url: str | None = None) -> bytes:
+    """16 bytes from the page's id, payload and url: the id of one of the equal rows."""
+    return uuid.uuid5(uuid.NAMESPACE_OID, f"page {page_id} {digest} {url}").bytes
+
+
+def copy_id(bundle: str, place: int) -> bytes:
+    """16 bytes from the bundle's name and the record's place in it: the id of all other equal rows."""
+    return uuid.uuid5(uuid.NAMESPACE_OID, f"bundle {bundle} {place}").bytes
 
 
 def record(rid: bytes, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: bytes | None, date: str) -> bytes:
@@ -157,13 +162,21 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, date: str = "1970-0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     # What is decided needs no payloads; they are dealt once, by page, url and digest, so that no digest gathers them.
-    light = cut(rows.select("page_id", "url", "digest", (F.octet_length("payload") >= least).alias("large")).distinct())
+    keys = ["page_id", "url", "digest"]
+    light = cut(rows.select(*keys, (F.octet_length("payload") >= least).alias("large")).groupBy(*keys, "large").agg(F.count(F.lit(1)).alias("n")))
     best = F.max(F.struct("page_id", F.col("url").isNotNull().alias("named"), "url")).alias("keeper")
-    many = cut(light.filter("large and page_id is not null").groupBy("digest").agg(best, F.count(F.lit(1)).alias("n")).select("digest", "keeper"))
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("keeper.page_id")), F.col("keeper.page_id"))
-    told = light.filter("large").join(many, "digest").select("page_id", "url", "digest", refers.alias("refers"), F.col("keeper.url").alias("refers_url")).filter("refers is not null")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("page_id", "url", "digest")]
-    joined = rows.alias("r").join(cut(told).alias("t"), same, "left").select("r.*", "t.refers", "t.refers_url")
+    many = cut(light.filter("large and page_id is not null").groupBy("digest").agg(best).select(F.col("digest").alias("of"), "keeper"))
+    other = ~F.col("page_id").eqNullSafe(F.col("keeper.page_id"))
+    known = light.join(many, F.col("large") & (F.col("digest") == F.col("of")), "left").drop("of")
+    told = known.select(*keys, "n", F.when(other & F.col("keeper").isNotNull(), F.col("keeper.page_id")).alias("refers"), F.col("keeper.url").alias("refers_url"))
+    told = cut(told.filter("refers is not null or n > 1"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys]
+    joined = rows.alias("r").join(told.alias("t"), same, "left").select("r.*", F.coalesce("t.n", F.lit(1)).alias("n"), "t.refers", "t.refers_url")
+    single = joined.filter("n = 1").withColumn("at", F.lit(0).cast("long"))
+    if not told.filter("n > 1").isEmpty():  # of equal rows one is taken with their number, and slices of it are written wherever they fall
+        one = joined.filter("n > 1").groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("payload", "n", "refers", "refers_url")])
+        slices = one.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLICE).cast("long"))))
+        single = single.unionByName(slices.repartition(*keys, "at").withColumn("n", F.least(F.lit(SLICE), F.col("n") - F.col("at"))))
 
     def work(batches: Iterator[dict]) -> Iterable[dict]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -173,23 +186,25 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, date: str = "1970-0
             writer.close()
             return {"uri": [uri], "records": [len(writer.index)], "bytes": [writer.written]}
 
-        seen: dict[tuple, int] = {}  # a task has all rows of a page, url and payload, in whatever bundles
         for b in batches:
-            for page_id, url, payload, digest, refers, refers_url in zip(b["page_id"], b["url"], b["payload"], b["digest"], b["refers"], b["refers_url"], strict=True):
-                if writer is None:
-                    store.create_dir(root, recursive=True)
-                    name = f"bundle-{uuid.uuid4().hex}.warc.zst"
-                    uri, writer = f"{folder}/{name}", BundleWriter(store.open_output_stream(f"{root}/{name}", compression=None))
-                nth = seen[page_id, digest, url] = seen.get((page_id, digest, url), -1) + 1
-                rid = record_id(page_id, digest, url, nth, name)
-                writer.add(rid, record(rid, page_id, url, payload, digest, None if refers is None else record_id(refers, digest, refers_url), date))
-                if writer.written >= BUNDLE_BYTES:
-                    yield close()
-                    writer = None
+            for page_id, url, payload, digest, refers, refers_url, n, at in zip(*(b[c] for c in columns), strict=True):
+                to = None if refers is None else record_id(refers, digest, refers_url)
+                for i in range(n):
+                    if writer is None:
+                        store.create_dir(root, recursive=True)
+                        name = f"bundle-{uuid.uuid4().hex}.warc.zst"
+                        uri, writer = f"{folder}/{name}", BundleWriter(store.open_output_stream(f"{root}/{name}", compression=None))
+                    # One of equal rows has the id that revisits name, whatever task it is in.
+                    rid = copy_id(name, len(writer.index)) if at or i else record_id(page_id, digest, url)
+                    writer.add(rid, record(rid, page_id, url, payload, digest, to, date))
+                    if writer.written >= BUNDLE_BYTES:
+                        yield close()
+                        writer = None
         if writer:
             yield close()
 
-    return cut(mapped(joined.select("page_id", "url", "payload", "digest", "refers", "refers_url"), work, "uri string, records long, bytes long"))
+    columns = ["page_id", "url", "payload", "digest", "refers", "refers_url", "n", "at"]
+    return cut(mapped(single.select(*columns), work, "uri string, records long, bytes long"))
 
 
 def read(bundles: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import zstandard
 from pyarrow import fs
 from pyspark.sql import functions as F
@@ -87,8 +88,20 @@ def test_warc(spark, tmp_path):
     assert warc.write_and_read(df.limit(0)).collect() == []
 
 
-def test_record_ids_are_unique_and_resolve(spark):
+@pytest.mark.parametrize("threshold, adaptive, slice_", (("10m", "true", 500), ("-1", "true", 2), ("-1", "false", 500), ("10m", "false", 2)))
+def test_record_ids_are_unique_and_resolve(spark, monkeypatch, threshold, adaptive, slice_):
     """Rows of one page and payload under several urls, and equal rows, each have a record of their own, and revisits name one of them."""
+    monkeypatch.setattr(warc, "SLICE", slice_)
+    for k, v in (("spark.sql.autoBroadcastJoinThreshold", threshold), ("spark.sql.adaptive.enabled", adaptive)):
+        spark.conf.set(k, v)
+    try:
+        unique_and_resolving(spark)
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(k)
+
+
+def unique_and_resolving(spark):
     page = "p" * 2000
     rows = [(5, f"http://u/{i % 4}", page) for i in range(12)] + [(i, "http://v", page) for i in range(5)] + [(None, None, page)] * 2
     bundles = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6), common.new_folder(spark, "w"))
