@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +20,9 @@ from ..functions.text import index_tokens, query_tokens, rounded, word_tokens
 #: Questions that may be sent to all tasks; more are joined by a shuffle.
 MOST_QUESTIONS = 20_000
 #: Distinct terms that a scan of postings is filtered by, and questions that are multiplied in a chunk's row.
-MOST_TERMS, MOST_IN_ROW = 1000, 64
+MOST_TERMS, MOST_IN_ROW = 1000, 24
+#: Sparse unit vectors (entries of bucket and weight, by bucket) of a text column with so many dimensions.
+Embedder = Callable[[Column, int], Column]
 QUESTION = "query_id string, pergunta string, orgao string, tipos array<string>"
 
 
@@ -44,11 +50,40 @@ def query_terms(asked: DataFrame) -> DataFrame:
     return tokens.select("query_id", "q_orgao", "tipos", index_tokens(F.col("t")).alias("phrase")).filter(F.size("phrase") > 0).groupBy("query_id", "q_orgao", "tipos", "phrase").agg(F.count(F.lit(1)).alias("times"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, orgao, tipo_documento, dl, tf, places): the inverted index; dl are the chunk's tokens, places those of the term from 0."""
-    tokens = chunks.select("chunk_id", "orgao", "tipo_documento", index_tokens(F.col("texto")).alias("tokens"))
-    each = tokens.select("chunk_id", "orgao", "tipo_documento", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("i", "term"))
-    return each.groupBy("term", "chunk_id", "orgao", "tipo_documento", "dl").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("i")).alias("places"))  # of a chunk's size at most
+def postings(chunks: DataFrame, *carried: str) -> DataFrame:
+    """(term, chunk_id, orgao, tipo_documento, dl, tf, places): the inverted index; dl are the chunk's tokens, places those of the term from 0.
+
+    A chunk's tokens are sorted in its own row, where each run of equal ones is a posting: nothing is shuffled. ``carried`` columns are kept.
+    """
+    keys = ["chunk_id", "orgao", "tipo_documento", *carried]
+
+    def runs(s: Column) -> Column:
+        """Postings of the sorted tokens: one step for each token, and one for each run."""
+        new = lambda i: (i == 1) | (F.get(s, i - 1)["t"] != F.get(s, i - 2)["t"])
+        first = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), new)).otherwise(F.array().cast("array<int>"))
+
+        def posting(f: Column, at: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(f, k + 1), F.size(s) + 1) - at
+            return F.struct(F.get(s, at - 1)["t"].alias("term"), F.size(s).alias("dl"), n.cast("long").alias("tf"), F.transform(F.slice(s, at, n), lambda x: x["i"]).alias("places"))
+
+        return _bound(first, lambda f: F.transform(f, lambda at, k: posting(f, at, k)))
+
+    placed = F.array_sort(F.transform(index_tokens(F.col("texto")), lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    return chunks.select(*keys, F.explode(_bound(placed, runs)).alias("p")).select("p.term", *keys, "p.dl", "p.tf", "p.places")
+
+
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def write_postings(index: DataFrame, path: str) -> None:
+    """Postings sorted by term, in ranges that also cut a term with very many chunks, by one exchange: what the ranges are sampled from is kept on disk."""
+    kept = index.persist(StorageLevel.DISK_ONLY)
+    try:
+        kept.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
+    finally:
+        kept.unpersist()
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -61,9 +96,9 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(index_tokens(F.col("texto")))).alias("avgdl"))
 
 
-def vectors(chunks: DataFrame, dimensions: int = K.DIMENSIONS) -> DataFrame:
-    """(chunk_id, orgao, tipo_documento, vector): the hashed vectors of chunks."""
-    return chunks.select("chunk_id", "orgao", "tipo_documento", embedding(F.col("texto"), dimensions).alias("vector"))
+def vectors(chunks: DataFrame, dimensions: int = K.DIMENSIONS, *carried: str, embed: Embedder | None = None) -> DataFrame:
+    """(chunk_id, orgao, tipo_documento, vector): the vectors of chunks, hashed ones unless there is another embedder."""
+    return chunks.select("chunk_id", "orgao", "tipo_documento", *carried, (embed or embedding)(F.col("texto"), dimensions).alias("vector"))
 
 
 @dataclass
@@ -75,6 +110,8 @@ class Index:
     corpus_stats: DataFrame
     vectors: DataFrame
     dimensions: int = K.DIMENSIONS
+    #: What makes vectors of questions: that which has made those of the chunks.
+    embed: Embedder | None = None
 
     @classmethod
     def of(cls, chunks: DataFrame | Index, dimensions: int | None = K.DIMENSIONS) -> Index:
@@ -154,19 +191,40 @@ def embedding(text: Column, dimensions: int = K.DIMENSIONS) -> Column:
     """The hashed bag of words as sparse entries (bucket, weight) of unit length; none for a text without words."""
     if dimensions <= 0:
         raise ValueError("dimensions must be positive")
-    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  ``x`` is computed once, however often ``f`` uses it
     last = lambda x, i: (i == F.size(x)) | (F.get(x, i) != F.get(x, i - 1))  # noqa: E731  of a run of equal buckets, at place i from 1
 
     def entries(buckets: Column) -> Column:
         """Runs of the sorted buckets: one step for each token."""
         ends = F.when(F.size(buckets) > 0, F.filter(F.sequence(F.lit(1), F.greatest(F.size(buckets), F.lit(1))), lambda i: last(buckets, i))).otherwise(F.array().cast("array<int>"))
         run = lambda e: F.transform(e, lambda i, k: F.struct(F.get(buckets, i - 1).alias("bucket"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("double").alias("c")))
-        return bound(ends, run)
+        return _bound(ends, run)
 
     def unit(counts: Column) -> Column:
-        return bound(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["c"] * x["c"])), lambda norm: F.transform(counts, lambda x: F.struct(x["bucket"].alias("bucket"), (x["c"] / norm).alias("weight"))))
+        return _bound(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["c"] * x["c"])), lambda norm: F.transform(counts, lambda x: F.struct(x["bucket"].alias("bucket"), (x["c"] / norm).alias("weight"))))
+
+    return _bound(_bound(F.array_sort(F.transform(word_tokens(text), lambda t: bucket(t, dimensions))), entries), unit)
+
+
+def batch_embedder(name: str, function: Callable[[pd.Series], np.ndarray]) -> Embedder:
+    """An embedder of a function from a batch of texts (null ones as empty) to an array of a row a text, which is sent to the tasks with what it holds.
+
+    Rows are brought to unit length, zeros left out; a row of zeros gives no entries. A row of another size than the index has is an error.
+    """
+
+    def embed(text: Column, dimensions: int) -> Column:
+        @F.pandas_udf("array<struct<bucket:int,weight:double>>")
+        def entries(texts: pd.Series) -> pd.Series:
+            rows = np.asarray(function(texts.fillna("")), float).reshape(len(texts), -1) if len(texts) else np.zeros((0, dimensions))
+            if rows.shape[1] != dimensions:
+                raise ValueError(f"embedder {name} gives {rows.shape[1]} dimensions, not {dimensions}")
+            norm = np.sqrt((rows * rows).sum(1, keepdims=True))
+            rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+            return pd.Series([[{"bucket": int(i), "weight": float(r[i])} for i in np.flatnonzero(r)] for r in rows])
+
+        return entries(text)
 
-    return bound(bound(F.array_sort(F.transform(word_tokens(text), lambda t: bucket(t, dimensions))), entries), unit)
+    embed.name = name
+    return embed
 
 
 def semantic(index: DataFrame | Index, asked: DataFrame, limit: int = K.SEMANTIC_LIMIT, dimensions: int | None = None, by_agency: bool = False) -> DataFrame:
@@ -176,14 +234,15 @@ def semantic(index: DataFrame | Index, asked: DataFrame, limit: int = K.SEMANTIC
     best of each task; more are joined by bucket.
     """
     index = Index.of(index, dimensions or (None if isinstance(index, Index) else K.DIMENSIONS))
-    q = asked.select("query_id", F.col("orgao").alias("q_orgao"), "tipos", embedding(F.col("pergunta"), index.dimensions).alias("qv"))
+    q = asked.select("query_id", F.col("orgao").alias("q_orgao"), "tipos", (index.embed or embedding)(F.col("pergunta"), index.dimensions).alias("qv"))
     c = index.vectors.select("chunk_id", "orgao", "tipo_documento", "vector")
     by = ("query_id", "orgao") if by_agency else ("query_id",)
     if q.limit(MOST_IN_ROW + 1).count() <= MOST_IN_ROW:
-        dense = F.transform(F.sequence(F.lit(0), F.lit(index.dimensions - 1)), lambda b: F.coalesce(F.get(F.filter("qv", lambda e: e["bucket"] == b), F.lit(0))["weight"], F.lit(0.0)))
-        pairs = c.join(F.broadcast(q.select("query_id", "q_orgao", "tipos", dense.alias("q"))), allowed("tipo_documento", "orgao"))
-        shared = F.filter("vector", lambda e: F.get("q", e["bucket"]) > 0)
-        pairs = pairs.select("query_id", "chunk_id", "orgao", F.aggregate(shared, F.lit(0.0), lambda a, e: a + F.get("q", e["bucket"]) * e["weight"]).alias("dot")).filter("dot > 0")
+        weights = F.map_from_entries(F.transform("qv", lambda e: F.struct(e["bucket"].cast("int"), e["weight"])))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(index.dimensions - 1)), lambda b: F.coalesce(F.try_element_at("w", b), F.lit(0.0)))
+        q = q.select("query_id", "q_orgao", "tipos", weights.alias("w")).select("query_id", "q_orgao", "tipos", dense.alias("q"))
+        pairs = c.join(F.broadcast(q), allowed("tipo_documento", "orgao"))
+        pairs = pairs.select("query_id", "chunk_id", "orgao", F.aggregate("vector", F.lit(0.0), lambda a, e: a + F.get("q", e["bucket"]) * e["weight"]).alias("dot")).filter("dot <> 0")
         scored = pairs.select("query_id", "chunk_id", "orgao", rounded(F.col("dot"), 6).alias("score"))
         return top(scored, limit, F.desc("score"), F.col("chunk_id"), keys=by)
     q = q.select("query_id", "q_orgao", "tipos", F.explode("qv").alias("e")).select("query_id", "q_orgao", "tipos", "e.bucket", F.col("e.weight").alias("qw"))
@@ -194,11 +253,12 @@ def semantic(index: DataFrame | Index, asked: DataFrame, limit: int = K.SEMANTIC
 
 
 def dense_cosine(vectors: DataFrame, asked: DataFrame, limit: int, vector_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, score, posicao): exact cosine of each asked vector (query_id, query) with all vectors."""
+    """(query_id, id, score, posicao): exact cosine of each asked vector (query_id, query) with all vectors. Norms are computed once a vector."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(small(asked))
-    score = F.try_divide(dot(F.col(vector), F.col("query")), F.sqrt(dot(F.col(vector), F.col(vector))) * F.sqrt(dot(F.col("query"), F.col("query"))))
-    return top(pairs.select("query_id", vector_id, rounded(score, 6).alias("score")), limit, F.desc("score"), F.col(vector_id))
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    own, other = vectors.select(vector_id, vector, norm(vector).alias("norm")), asked.select("query_id", "query", norm("query").alias("query_norm"))
+    score = F.try_divide(dot(F.col(vector), F.col("query")), F.col("norm") * F.col("query_norm"))
+    return top(own.join(small(other)).select("query_id", vector_id, rounded(score, 6).alias("score")), limit, F.desc("score"), F.col(vector_id))
 
 
 def reciprocal_rank(weight: float, position: Column, k: int = K.RRF_K) -> Column:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import links, text
-from ..operators import chunking, classify, collection, coverage, keywords, maturity, search, web
+from ..operators import chunking, classify, collection, coverage, keywords, maturity, phrases, search, web
 from ..session import shared_folder, table
 from ..sources import sinks
+from ..sources.store import Store
 from ..streaming import ingest
 from . import settings as S
 from .sql import ORACLES
@@ -117,6 +118,47 @@ def index_build(spark, sf):
     return out.crossJoin(spark.read.parquet(at["corpus_stats"]).select("n", text.rounded(F.col("avgdl"), 6).alias("avgdl")))
 
 
+def _arrivals(spark, sf):
+    """Three batches of the documents: most of them; a quarter again with new texts, beside their old rows, and the rest; ids that go."""
+    rows = table(spark, sf, "documents")
+    at = lambda x, n: chunking.document_rows(x).withColumn("chegada", F.lit(n))
+    again = rows.filter("doc_id % 4 = 0")
+    new = again.withColumn("text", F.concat(F.lit(S.NEWER), F.coalesce("text", F.lit(""))))
+    return at(rows.filter("doc_id % 10 < 8"), 1), at(new, 2).unionByName(at(again, 1)).unionByName(at(rows.filter("doc_id % 10 >= 8 and doc_id % 4 <> 0"), 1)), rows.filter("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("document_id"))
+
+
+def _store(spark, sf):
+    store = Store(spark, shared_folder(spark, "store"), S.SIZE, S.OVERLAP)
+    first, second, gone = _arrivals(spark, sf)
+    store.upsert(first, "chegada")
+    store.upsert(second, "chegada")
+    store.delete(gone)
+    return store
+
+
+@query
+def index_upsert(spark, sf):
+    """Frequencies of terms after three batches with repeated keys, from the changes that each has made."""
+    return _store(spark, sf).term_stats()
+
+
+@query
+def index_versions(spark, sf):
+    """Chunks and mean length of every version, and what each holds of one term, read after the last was published."""
+    store = _store(spark, sf)
+    rows = [store.corpus_stats(v).crossJoin(store.read(v).postings.filter(F.col("term") == S.TERM).agg(F.count(F.lit(1)).alias("df"), F.coalesce(F.sum("tf"), F.lit(0)).alias("cf"))).select(F.lit(v).alias("versao"), "n", text.rounded(F.col("avgdl"), 6).alias("avgdl"), "df", "cf") for v in (1, 2, 3)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query
+def index_stream(spark, sf):
+    """Postings of an index that a stream of the documents' files has fed."""
+    place, path = shared_folder(spark, "fed"), f"{sf.rstrip('/')}/documents.parquet"
+    store = Store(spark, f"{place}/store", S.SIZE, S.OVERLAP)
+    store.feed(ingest.arrived(spark, path, spark.read.parquet(path).schema), "documents", f"{place}/checkpoint", chunking.document_rows)
+    return store.read().postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
 @query
 def bm25_phrases(spark, sf):
     """Questions with hyphens, which are phrases, and with accents, which do not count."""
@@ -261,6 +303,22 @@ def keyword_counts_page(spark, sf):
     return _counts(spark, sf)
 
 
+@query
+def keyword_counts_exact(spark, sf):
+    """The same keywords over whole pages, every hit counted."""
+    return phrases.counts_by_page(_pages(spark, sf), phrases.listed(spark, S.KEYWORDS))
+
+
+@query
+def keyword_counts_phrases(spark, sf):
+    """A dictionary from the pages themselves: each one's first long word and first pair of words."""
+    pages = _pages(spark, sf)
+    found = lambda p: F.nullif(F.regexp_extract(F.lower("texto"), p, 0), F.lit(""))
+    words = pages.select(F.explode(F.array(*[found(p) for p in S.PHRASE_PATTERNS])).alias("keyword")).filter("keyword is not null").distinct()
+    order = F.conv(F.substring(F.md5(F.col("keyword").cast("binary")), 1, 15), 16, 10).cast("long")
+    return phrases.counts_by_page(pages, words.withColumn("posicao", order))
+
+
 @query
 def keyword_counts_doc(spark, sf):
     return keywords.counts_by_document(_counts(spark, sf))

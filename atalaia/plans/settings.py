@@ -42,3 +42,7 @@ LINKS_PAGE = '<a href="/atas/Ata_01-2023.pdf"></a><a href="b/relatorio.PDF">Ata
 #: Terms of hits in links and paragraphs, in the order of a search, and a made page: titles with and without a year, and a paragraph less than links.
 HIT_TERMS = ["idiot", "ción", "of the", "atas"]
 HITS_PAGE = '<p>Nada</p><p>sobre <b>atas</b> de 2021</p><p>x</p><a href="/a">Um</a><a href="/b">Reuniao de 2023</a><a href="/c">Atas 2022</a><a href="/d">atas idiot</a>'
+#: Put before a quarter of the texts when they arrive anew, and the term that versions are asked for.
+NEWER, TERM = "Nova versao: ", "nova"
+#: Phrases of a page: its first word of five letters or more, and its first two words with one blank between.
+PHRASE_PATTERNS = (r"[\p{L}\p{N}_]{5,}", r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+")

@@ -150,6 +150,21 @@ _OF = "CASE " + " ".join(f"WHEN contains(lower(m), '{k}') THEN '{k}'" for k in S
 KEYWORDS = rf"""{PAGES},
 mt AS (SELECT document_id, orgao, page_no, unnest(regexp_extract_all(substr(texto, 1, 50000), '{WORD}')) AS m FROM pg),
 kp AS (SELECT document_id, orgao, page_no, {_OF} AS keyword, least(count(*), 100) AS ocorrencias FROM mt WHERE {_PREFIX} GROUP BY ALL)"""
+_WHOLE = KEYWORDS.replace("substr(texto, 1, 50000)", "texto").replace("least(count(*), 100)", "count(*)")
+_FIRST = " UNION ".join(f"SELECT regexp_extract(lower(texto), '{p}') AS keyword FROM pg" for p in S.PHRASE_PATTERNS)
+#: Phrases by their lengths at each word, hits from the left by a fold, and the first listed phrase that each match holds.
+PHRASES = rf"""{PAGES},
+di AS (SELECT keyword, CAST('0x' || substr(md5(keyword), 1, 15) AS BIGINT) AS posicao, len(regexp_extract_all(keyword, '{WORD}')) AS w FROM ({_FIRST}) WHERE keyword <> ''),
+ln AS (SELECT DISTINCT length(keyword) AS n FROM di),
+tk AS (SELECT document_id, orgao, page_no, lower(texto) AS low, unnest(regexp_extract_all(lower(texto), '{WORD}')) AS m, unnest(string_split_regex(lower(texto), '{WORD}')) AS gap, unnest(range(1, len(string_split_regex(lower(texto), '{WORD}')) + 1)) AS i FROM pg),
+tp AS (SELECT *, CAST(sum(length(gap)) OVER w + sum(length(coalesce(m, ''))) OVER w - length(coalesce(m, '')) + 1 AS BIGINT) AS pos FROM tk WINDOW w AS (PARTITION BY document_id, page_no ORDER BY i)),
+hi AS (SELECT document_id, orgao, page_no, i, posicao, w, keyword || regexp_extract(substr(low, pos + n, 100), '^{WORD}') AS match FROM tp JOIN ln ON m IS NOT NULL JOIN di ON keyword = substr(low, pos, n)),
+li AS (SELECT document_id, orgao, page_no, list({{'i': i, 'w': w, 'm': match, 'next': 0::BIGINT, 'out': []::VARCHAR[]}} ORDER BY i, posicao) AS a FROM hi GROUP BY ALL),
+ta AS (SELECT document_id, orgao, page_no, unnest(list_reduce(list_prepend({{'i': 0::BIGINT, 'w': 0::BIGINT, 'm': '', 'next': 0::BIGINT, 'out': []::VARCHAR[]}}, a),
+  lambda x, y: CASE WHEN y.i >= x.next THEN {{'i': y.i, 'w': y.w, 'm': y.m, 'next': y.i + y.w, 'out': list_append(x.out, y.m)}} ELSE x END).out) AS match FROM li),
+pi AS (SELECT match, n, unnest(range(1, length(match) - n + 2)) AS s FROM (SELECT DISTINCT match FROM ta) JOIN ln ON n <= length(match)),
+of AS (SELECT match, min_by(keyword, posicao) AS keyword FROM pi JOIN di ON keyword = substr(match, s, n) GROUP BY match)
+SELECT document_id, orgao, page_no, keyword, count(*) AS ocorrencias FROM ta JOIN of USING (match) GROUP BY ALL"""
 _SPREFIX = " OR ".join(f"starts_with(lower(m), '{k}')" for k in S.SNIPPET_KEYWORDS)
 _SOF = "CASE " + " ".join(f"WHEN contains(lower(m), '{k}') THEN '{k}'" for k in S.SNIPPET_KEYWORDS) + " END"
 SNIPPETS = rf"""{PAGES},
@@ -255,6 +270,23 @@ f2 AS (SELECT target, min({{'o': o, 'n': n}}) AS k FROM a2 GROUP BY target),
 l2 AS (SELECT target, row_number() OVER (ORDER BY k, target) + 1 + (SELECT count(*) FROM l1) AS ordem FROM f2 QUALIFY ordem <= {K.CRAWL_PAGES})
 SELECT url, 0 AS depth, 1 AS ordem FROM s UNION ALL SELECT target, 1, ordem FROM l1 UNION ALL SELECT target, 2, ordem FROM l2"""
 
+
+def _upserted(all_of_them: bool = False) -> str:
+    """The documents after the second batch, and without those that the third drops."""
+    of = "" if all_of_them else " WHERE doc_id % 7 <> 0"
+    return f"SELECT doc_id, source, lang, CASE WHEN doc_id % 4 = 0 THEN {text(S.NEWER)} || coalesce(text, '') ELSE text END AS text FROM documents{of}"
+
+
+_TOKENS = _asked("", lexical()).replace("FROM documents)", "FROM ($DOCS$))").strip()
+_TERMS = (_TOKENS + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tk) GROUP BY ALL) GROUP BY term").replace("{", "{{").replace("}", "}}").replace("$DOCS$", "{}")
+
+
+def _version(number: int, docs: str) -> str:
+    """Chunks, mean length and one term of the index of some documents."""
+    rows = f"SELECT CAST({number} AS BIGINT) AS versao, count(*) AS n, {rnd('avg(dl)', 6)} AS avgdl, count(*) FILTER (list_contains(tokens, '{S.TERM}')) AS df, CAST(coalesce(sum(len(list_filter(tokens, lambda w: w = '{S.TERM}'))), 0) AS BIGINT) AS cf FROM tk"
+    return f"SELECT * FROM ({_TOKENS.replace('$DOCS$', docs)} {rows})"
+
+
 ORACLES = {
     "snippets_near_dedup": _NEAR,
     "bfs_hubs": _CRAWL,
@@ -271,6 +303,9 @@ ORACLES = {
     "label_distribution": _classified("SELECT classificacao, count(*) AS criterios FROM cs GROUP BY classificacao"),
     "indicator_means": _with_axes(f"SELECT count(*) AS orgaos, {rnd('CAST(sum(CAST(c AS DECIMAL(18, 2))) AS DOUBLE) / count(*)', 2)} AS conformidade_media, {rnd('CAST(sum(CAST(imga_global AS DECIMAL(18, 2))) AS DOUBLE) / count(*)', 2)} AS imga_medio FROM (SELECT orgao, {rnd('coalesce(sum(score_ponderado) / nullif(sum(peso_criterio), 0) * 100, 0)', 2)} AS c, any_value(imga_global) AS imga_global FROM cs JOIN gb USING (orgao) GROUP BY orgao)"),
     "bm25_topk": _asked("SELECT query_id, chunk_id, score, posicao FROM lex", lexical()),
+    "index_upsert": _TERMS.format(_upserted()),
+    "index_versions": " UNION ALL ".join(_version(n, docs) for n, docs in ((1, "SELECT * FROM documents WHERE doc_id % 10 < 8"), (2, _upserted(True)), (3, _upserted()))),
+    "index_stream": _TERMS.format("SELECT * FROM documents"),
     "postings_stats": _asked(r"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tk) GROUP BY ALL) GROUP BY term", lexical()),
     "like_fallback": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, 0.0::DOUBLE AS score FROM ch WHERE contains(lower(texto), 'idiot') OR contains(lower(texto), 'worthless') ORDER BY chunk_id LIMIT 30",
     "hash_embedding": f"WITH RECURSIVE {CHUNKS},{vectors('ch', 'chunk_id', 'texto', 'cv')} SELECT chunk_id, CAST(bucket AS BIGINT) AS bucket, {rnd('weight', 6)} AS weight FROM cv",
@@ -288,6 +323,8 @@ ORACLES = {
     "org_ranking": _with_axes("SELECT *, row_number() OVER (ORDER BY imga_global DESC, orgao) AS posicao FROM gb"),
     "org_criterion_matrix": _classified("SELECT orgao, criterio, eixo_imga, classificacao, pontuacao, score_ponderado, evidencias_total, documento, pagina, trecho FROM cs"),
     "manual_sample": _classified("SELECT orgao, criterio, eixo_imga, classificacao, pontuacao, score_ponderado, evidencias_total, documento, pagina, trecho, '' AS avaliacao_manual, '' AS classificacao_correta, '' AS observacoes, '' AS avaliador FROM cs ORDER BY orgao, criterio LIMIT 20"),
+    "keyword_counts_exact": f"WITH {_WHOLE} SELECT * FROM kp",
+    "keyword_counts_phrases": f"WITH {PHRASES}",
     "keyword_counts_page": f"WITH {KEYWORDS} SELECT * FROM kp",
     "keyword_counts_doc": f"WITH {KEYWORDS} SELECT document_id, orgao, keyword, CAST(sum(ocorrencias) AS BIGINT) AS ocorrencias FROM kp GROUP BY ALL",
     "keyword_counts_global": f"WITH {KEYWORDS} SELECT keyword, CAST(sum(ocorrencias) AS BIGINT) AS ocorrencias FROM kp GROUP BY ALL",

@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import printable
 from ..operators import chunking, classify, coverage, keywords, search
+from .store import last_of
 
 
-def write_index(docs: DataFrame, folder: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, dimensions: int = K.DIMENSIONS) -> dict[str, str]:
-    """Write documents, chunks, postings, statistics, vectors and the manifest; a full refresh. Returns the folders.
+def write_index(docs: DataFrame, folder: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, dimensions: int = K.DIMENSIONS, order: str | None = None) -> dict[str, str]:
+    """Write documents (of a repeated id the last by ``order``), chunks, postings, statistics, vectors and the manifest; a full refresh. Returns the folders.
 
     Chunks are written first and read back, so that the tables built on them do not cut the texts again. Search reads them through
     ``search.Index.read``.
     """
     spark = docs.sparkSession
     at = {k: f"{folder.rstrip('/')}/{k}" for k in ("documents", "chunks", "postings", "term_stats", "corpus_stats", "vectors", "manifest")}
-    docs.dropDuplicates(["document_id"]).write.mode("overwrite").parquet(at["documents"])
+    last_of(docs, "document_id", order).write.mode("overwrite").parquet(at["documents"])
     docs = spark.read.parquet(at["documents"])
-    chunking.chunks(docs, size, overlap).dropDuplicates(["chunk_id"]).write.mode("overwrite").partitionBy("tipo_documento").parquet(at["chunks"])
+    chunking.chunks(docs, size, overlap).write.mode("overwrite").partitionBy("tipo_documento").parquet(at["chunks"])
     parts = spark.read.parquet(at["chunks"])
-    # Sorted by term, in ranges that also cut a term with very many chunks.
-    search.postings(parts).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(at["postings"])
+    search.write_postings(search.postings(parts), at["postings"])
     search.term_stats(spark.read.parquet(at["postings"]).select("term")).write.mode("overwrite").parquet(at["term_stats"])
     search.corpus_stats(parts).write.mode("overwrite").parquet(at["corpus_stats"])
     search.vectors(parts, dimensions).withColumn("dimensions", F.lit(dimensions)).write.mode("overwrite").parquet(at["vectors"])

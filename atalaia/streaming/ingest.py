@@ -44,7 +44,7 @@ def streamed_event_counts(spark: SparkSession, path: str, checkpoint: str | None
     earlier run only files that have arrived since are read.
     """
     schema = spark.read.parquet(path).schema
-    stream = event_counts(_arrived(spark, path, schema))
+    stream = event_counts(arrived(spark, path, schema))
     place = (checkpoint or shared_folder(spark, "stream")).rstrip("/")
     counts = f"{place}/counts"
 
@@ -62,7 +62,7 @@ def streamed_event_counts(spark: SparkSession, path: str, checkpoint: str | None
     return spark.read.schema(stream.schema).parquet(f"{counts}/{last}")
 
 
-def _arrived(spark: SparkSession, path: str, schema) -> DataFrame:
+def arrived(spark: SparkSession, path: str, schema) -> DataFrame:
     """A folder as a stream, or a single file by its folder and name."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():

@@ -21,7 +21,7 @@ def test_streamed_counts(spark, tmp_path):
     (odd.parent / "x1.parquet").write_bytes(one.read_bytes())
     want = sorted(map(tuple, ingest.event_counts(spark.read.parquet(str(one))).collect()))
     assert got(str(one)) == want
-    stream = ingest._arrived(spark, str(odd), "event_id long, event_type string")
+    stream = ingest.arrived(spark, str(odd), "event_id long, event_type string")
     seen = []
     ingest.run_once(stream.select(F.input_file_name().alias("f")).distinct(), lambda b, i: seen.extend(b.collect()), str(tmp_path / "c"), "update")
     assert len(seen) == 1
