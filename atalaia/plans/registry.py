@@ -13,7 +13,7 @@ from ..operators import chunking, classify, collection, coverage, keywords, matu
 from ..session import shared_folder, table
 from ..sources import sinks
 from ..sources.store import Store
-from ..streaming import ingest
+from ..streaming import control, ingest
 from . import settings as S
 from .sql import ORACLES
 
@@ -560,6 +560,17 @@ def streamed_ingest_counts(spark, sf):
     return ingest.streamed_event_counts(spark, f"{sf.rstrip('/')}/events.parquet")
 
 
+@query
+def control_states(spark, sf):
+    """Events as control messages of their users: a sign-up asks for a run, purchases and errors end it."""
+    path, place = f"{sf.rstrip('/')}/events.parquet", shared_folder(spark, "control")
+    said = F.create_map(*[F.lit(x) for k in S.SAID.items() for x in k])[F.col("event_type")]
+    stream = ingest.arrived(spark, path, spark.read.parquet(path).schema)
+    messages = stream.select(F.col("user_id").cast("string").alias("id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("task"), said.alias("state"), F.lit(None).cast("map<string,string>").alias("params"))
+    control.serve(messages, lambda begun: None, f"{place}/changes", f"{place}/checkpoint")
+    return control.states(spark, f"{place}/changes")
+
+
 @query
 def label_agreement(spark, sf):
     both = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")

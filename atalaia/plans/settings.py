@@ -46,3 +46,5 @@ HITS_PAGE = '<p>Nada</p><p>sobre <b>atas</b> de 2021</p><p>x</p><a href="/a">Um<
 NEWER, TERM = "Nova versao: ", "nova"
 #: Phrases of a page: its first word of five letters or more, and its first two words with one blank between.
 PHRASE_PATTERNS = (r"[\p{L}\p{N}_]{5,}", r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+")
+#: What events say as control messages.
+SAID = {"signup": "run", "purchase": "completed", "error": "failed"}

@@ -306,6 +306,9 @@ ORACLES = {
     "index_upsert": _TERMS.format(_upserted()),
     "index_versions": " UNION ALL ".join(_version(n, docs) for n, docs in ((1, "SELECT * FROM documents WHERE doc_id % 10 < 8"), (2, _upserted(True)), (3, _upserted()))),
     "index_stream": _TERMS.format("SELECT * FROM documents"),
+    "control_states": f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in S.SAID.items())} END AS state, lpad(CAST(event_id AS VARCHAR), 12, '0') AS task FROM events WHERE user_id IS NOT NULL),
+r AS (SELECT id, min(task) AS task FROM e WHERE state = 'run' GROUP BY id), f AS (SELECT id, min_by(state, task) AS state FROM e WHERE state IN ('completed', 'failed') GROUP BY id)
+SELECT id, coalesce(f.state, 'running') AS state, 1::BIGINT AS attempt, task, 1::BIGINT AS runs FROM r LEFT JOIN f USING (id)""",
     "postings_stats": _asked(r"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tk) GROUP BY ALL) GROUP BY term", lexical()),
     "like_fallback": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, 0.0::DOUBLE AS score FROM ch WHERE contains(lower(texto), 'idiot') OR contains(lower(texto), 'worthless') ORDER BY chunk_id LIMIT 30",
     "hash_embedding": f"WITH RECURSIVE {CHUNKS},{vectors('ch', 'chunk_id', 'texto', 'cv')} SELECT chunk_id, CAST(bucket AS BIGINT) AS bucket, {rnd('weight', 6)} AS weight FROM cv",
