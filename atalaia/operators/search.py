@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.murmur import murmur_bucket
 from ..functions.text import index_tokens, query_tokens, rounded, word_tokens
 
 #: Questions that may be sent to all tasks; more are joined by a shuffle.
@@ -187,8 +188,8 @@ def bucket(token: Column, dimensions: int) -> Column:
     return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
 
 
-def embedding(text: Column, dimensions: int = K.DIMENSIONS) -> Column:
-    """The hashed bag of words as sparse entries (bucket, weight) of unit length; none for a text without words."""
+def embedding(text: Column, dimensions: int = K.DIMENSIONS, place: Callable[[Column, int], Column] = bucket) -> Column:
+    """The hashed bag of words as sparse entries (bucket, weight) of unit length; none for a text without words. ``place`` tells a token's bucket."""
     if dimensions <= 0:
         raise ValueError("dimensions must be positive")
     last = lambda x, i: (i == F.size(x)) | (F.get(x, i) != F.get(x, i - 1))  # noqa: E731  of a run of equal buckets, at place i from 1
@@ -202,7 +203,12 @@ def embedding(text: Column, dimensions: int = K.DIMENSIONS) -> Column:
     def unit(counts: Column) -> Column:
         return _bound(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["c"] * x["c"])), lambda norm: F.transform(counts, lambda x: F.struct(x["bucket"].alias("bucket"), (x["c"] / norm).alias("weight"))))
 
-    return _bound(_bound(F.array_sort(F.transform(word_tokens(text), lambda t: bucket(t, dimensions))), entries), unit)
+    return _bound(_bound(F.array_sort(F.transform(word_tokens(text), lambda t: place(t, dimensions))), entries), unit)
+
+
+def murmur_embedding(text: Column, dimensions: int = K.DIMENSIONS) -> Column:
+    """embedding() with the buckets of MurmurHash3, to agree with vectors that were made so elsewhere."""
+    return embedding(text, dimensions, murmur_bucket)
 
 
 def batch_embedder(name: str, function: Callable[[pd.Series], np.ndarray]) -> Embedder:

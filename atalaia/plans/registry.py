@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions import links, text
-from ..operators import chunking, classify, collection, coverage, keywords, maturity, phrases, search, web
+from ..functions import links, murmur, text
+from ..operators import ann, chunking, classify, collection, coverage, keywords, maturity, phrases, search, web
 from ..session import shared_folder, table
 from ..sources import sinks
 from ..sources.store import Store
@@ -194,6 +194,22 @@ def cosine_topk(spark, sf):
     return search.dense_cosine(vectors, asked, 30)
 
 
+@query
+def cells_topk_exact(spark, sf):
+    """The same questions asked of an index by cells, in its exact mode."""
+    vectors, folder = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), shared_folder(spark, "cells")
+    ann.write(vectors, folder)
+    asked = vectors.filter(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    return ann.search(ann.Cells.read(spark, folder), asked, 30, exact=True).withColumnRenamed("id", "vec_id")
+
+
+@query
+def murmur_buckets(spark, sf):
+    """Buckets of all distinct words of the documents, as a hashing vectoriser has them."""
+    words = table(spark, sf, "documents").select(F.explode(text.word_tokens(F.col("text"))).alias("palavra")).distinct()
+    return words.select("palavra", murmur.murmur3(F.col("palavra")).alias("hash"), murmur.murmur_bucket(F.col("palavra"), K.DIMENSIONS).alias("bucket"))
+
+
 @query
 def semantic_topk_filtered(spark, sf):
     return search.semantic(_index(spark, sf), _asked(spark)).select("query_id", "chunk_id", "score", "posicao")

@@ -271,6 +271,28 @@ l2 AS (SELECT target, row_number() OVER (ORDER BY k, target) + 1 + (SELECT count
 SELECT url, 0 AS depth, 1 AS ordem FROM s UNION ALL SELECT target, 1, ordem FROM l1 UNION ALL SELECT target, 2, ordem FROM l2"""
 
 
+_COSINE = f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, {rnd('list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', 6)} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS posicao FROM p QUALIFY posicao <= 30"
+
+
+def _murmur() -> str:
+    """MurmurHash3 of distinct words over their hexadecimal bytes, in 128-bit arithmetic, step by step."""
+    cut = lambda x: f"(({x}) & 4294967295)"
+    times = lambda x, c: cut(f"({x}) * {c}::HUGEINT")
+    turned = lambda x, r: f"(({x} * {2**r}::HUGEINT & 4294967295) | ({x} // {2 ** (32 - r)}))"
+    number = lambda at, n: "('0x' || " + " || ".join(f"substr(d, {at} + {2 * i}, 2)" for i in reversed(range(n))) + ")::HUGEINT"
+    mixed = lambda x: times(turned(times(x, 0xCC9E2D51), 15), 0x1B873593)
+    return rf"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '{WORD}')) AS palavra FROM documents),
+x AS (SELECT palavra, hex(encode(palavra)) AS d FROM w),
+b AS (SELECT palavra, d, length(d) // 2 AS n, [{mixed(number("(8 * i + 1)", 4))} FOR i IN range(length(d) // 8)] AS ks FROM x),
+h AS (SELECT palavra, d, n, list_reduce(list_prepend(0::HUGEINT, ks), lambda h, k: {cut(f"{turned('xor(h, k)', 13)} * 5 + {0xE6546B64}")}) AS h FROM b),
+t AS (SELECT palavra, n, xor(xor(h, CASE n % 4 {" ".join(f"WHEN {k} THEN {mixed(number('(8 * (n // 4) + 1)', k))}" for k in (1, 2, 3))} ELSE 0::HUGEINT END), n::HUGEINT) AS h FROM h),
+f AS (SELECT palavra, {times("xor(h, h // 65536)", 0x85EBCA6B)} AS h FROM t),
+g AS (SELECT palavra, {times("xor(h, h // 8192)", 0xC2B2AE35)} AS h FROM f),
+s AS (SELECT palavra, CAST(xor(h, h // 65536) AS BIGINT) AS h FROM g),
+z AS (SELECT palavra, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM s)
+SELECT palavra, hash, abs(hash) % {K.DIMENSIONS} AS bucket FROM z"""
+
+
 def _upserted(all_of_them: bool = False) -> str:
     """The documents after the second batch, and without those that the third drops."""
     of = "" if all_of_them else " WHERE doc_id % 7 <> 0"
@@ -309,10 +331,12 @@ ORACLES = {
     "control_states": f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in S.SAID.items())} END AS state, lpad(CAST(event_id AS VARCHAR), 12, '0') AS task FROM events WHERE user_id IS NOT NULL),
 r AS (SELECT id, min(task) AS task FROM e WHERE state = 'run' GROUP BY id), f AS (SELECT id, min_by(state, task) AS state FROM e WHERE state IN ('completed', 'failed') GROUP BY id)
 SELECT id, coalesce(f.state, 'running') AS state, 1::BIGINT AS attempt, task, 1::BIGINT AS runs FROM r LEFT JOIN f USING (id)""",
+    "murmur_buckets": _murmur(),
     "postings_stats": _asked(r"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tk) GROUP BY ALL) GROUP BY term", lexical()),
     "like_fallback": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, 0.0::DOUBLE AS score FROM ch WHERE contains(lower(texto), 'idiot') OR contains(lower(texto), 'worthless') ORDER BY chunk_id LIMIT 30",
     "hash_embedding": f"WITH RECURSIVE {CHUNKS},{vectors('ch', 'chunk_id', 'texto', 'cv')} SELECT chunk_id, CAST(bucket AS BIGINT) AS bucket, {rnd('weight', 6)} AS weight FROM cv",
-    "cosine_topk": f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, {rnd('list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', 6)} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS posicao FROM p QUALIFY posicao <= 30",
+    "cosine_topk": _COSINE,
+    "cells_topk_exact": _COSINE,
     "semantic_topk_filtered": _asked("SELECT query_id, chunk_id, score, posicao FROM sem", semantic()),
     "hybrid_rrf_topk": _asked(f"SELECT query_id, chunk_id, score, {rnd('sl', 6)} AS score_lexical, {rnd('sv', 6)} AS score_semantico, fontes, rank, document_id AS documento, pagina, texto AS trecho FROM hy JOIN ch USING (chunk_id)", lexical(), semantic(), fused()),
     "hybrid_batch_criteria": _asked("SELECT query_id AS criterio, chunk_id, score, fontes, rank FROM hy", lexical(), semantic(), fused(), rows=_CRITERIA_Q),
