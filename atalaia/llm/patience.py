@@ -72,6 +72,54 @@ NAMED = {
     **{f"{k}-notice": [f"GNU {n} License version {k.split('-')[1].removesuffix('.0')}"] for k, n in (("GPL-2.0", "General Public"), ("GPL-3.0", "General Public"), ("LGPL-2.1", "Lesser General Public"), ("LGPL-3.0", "Lesser General Public"), ("AGPL-3.0", "Affero General Public"))},
     **{f"{k}-or-later": [f"GNU {n} License as published", f"version {k.split('-')[1].removesuffix('.0')} of the License"] for k, n in (("GPL-2.0", "General Public"), ("GPL-3.0", "General Public"), ("LGPL-2.1", "Lesser General Public"), ("LGPL-3.0", "Lesser General Public"), ("AGPL-3.0", "Affero General Public"))},
 }
+#: Names by which texts mention licenses, three words at least, and heads of whole license texts; fixed values.
+NAMES = {
+    "Apache-2.0": ["Apache License 2.0", "Apache License v2.0", "Apache License, Version 2.0", "Apache Software License 2.0", "Apache 2.0 License", "Apache-2.0 license", "License: Apache-2.0", "under Apache-2.0", "under Apache 2.0"],
+    "MIT": ["the MIT License", "License: MIT", "MIT License (MIT)", "(MIT) License", "licensed under MIT", "under MIT license", "MIT-licensed software", "The Expat License"],
+    "ISC": ["the ISC License", "License: ISC", "licensed under ISC", "under ISC license"],
+    "BSD": ["the BSD License", "a BSD-style license", "licensed under BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", "License: BSD-2-Clause", "under BSD-2-Clause", "2-Clause BSD License", "two-clause BSD license"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "License: BSD-3-Clause", "under BSD-3-Clause", "3-Clause BSD License", "three-clause BSD license", "Modified BSD License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License v2.0", "Mozilla Public License, version 2.0", "MPL 2.0 license", "License: MPL-2.0", "under MPL-2.0", "the MPL 2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, version 2.0", "License: EPL-2.0", "under EPL-2.0"],
+    "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "License: CC0-1.0", "under CC0-1.0"],
+    "Unlicense": ["under the Unlicense", "License: Unlicense", "the Unlicense license"],
+    **{
+        f"{short}-{v}": [f"GNU {name} License {v2}" for v2 in (*([whole] if "." in whole else [f"{whole}.0"]), f"version {whole}", f"v{whole}")]
+        + [f"GNU {short} v{whole}", f"GNU {short}, version {whole}", f"{short} v{whole} license", f"License: {short}-{v}", f"License: {short}v{whole}", f"GNU {short}v{whole} license", f"under {short}-{v}", f"under the {short} v{whole}", f"under the {short}v{whole}"]
+        for short, name, v in (("GPL", "General Public", "2.0"), ("GPL", "General Public", "3.0"), ("LGPL", "Lesser General Public", "2.1"), ("LGPL", "Lesser General Public", "3.0"), ("AGPL", "Affero General Public", "3.0"))
+        for whole in (v.removesuffix(".0"),)
+    },
+    **{
+        f"CC-BY{x}-4.0": [f"CC BY{x} 4.0", f"Creative Commons Attribution{name} 4.0", f"Attribution{name} 4.0 International"]
+        for x, name in (("", ""), ("-SA", "-ShareAlike"), ("-ND", "-NoDerivatives"), ("-NC", "-NonCommercial"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives"))
+    },
+}
+HEADS = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0 1. Definitions"],
+}
+#: Endings of SPDX identifiers of the GNU licenses.
+GNU_ENDINGS = ("", "-only", "-or-later")
+
+
+def mentions() -> dict[str, str]:
+    """Short templates by license and number (``license-notice:n``): NAMES, HEADS and SPDX identifiers, each to be met word for word."""
+    out: dict[str, str] = {}
+    for of in sorted({*NAMES, *HEADS}):
+        ends = GNU_ENDINGS if of.split("-")[0].endswith("GPL") else ("",)
+        spdx = [f"SPDX-License-Identifier: {of}{e}" for e in ends] if of != "BSD" else []
+        texts = dict.fromkeys([*NAMES.get(of, []), *HEADS.get(of, []), *spdx])
+        out |= {f"{of}-notice:{i}": t for i, t in enumerate(texts, 1)}
+    return out
+
+
+MENTIONS = mentions()
 #: Coverage from which a license counts as found, and words of a phrase that starts an alignment.
 COVERAGE, SEED = 0.8, 3
 
@@ -158,20 +206,21 @@ def best_alignment(doc: np.ndarray, template: np.ndarray, at: np.ndarray, place:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = COVERAGE) -> DataFrame:
     """One row for each row of (doc_id, text) with the license template its text covers best.
 
-    Columns: doc_id, license (null where no template reaches ``threshold`` with its NAMED words; of equal coverage the longest template, then
-    the first name), coverage (0 where no phrase of three words is shared), first_word and end_word (the
-    stretch of the license's words; null without a license), n_licenses (templates at the threshold). The
+    The templates are TEMPLATES and MENTIONS, unless others are given. Columns: doc_id, license (null where no template reaches ``threshold`` with its NAMED words; of
+    equal coverage the longest template, then the first name; a mention has its license's name with -notice), coverage (0 where no phrase of three words is shared), first_word and end_word (the
+    stretch of the license's words; null without a license), n_licenses (licenses with a template at the threshold). The
     whole text is scanned. Null text counts as empty; a template of fewer than three words is never found;
     repeated rows stay; other columns are not read.
     """
     prepare(docs.sparkSession)
-    names = sorted(templates or TEMPLATES)
-    texts = [(templates or TEMPLATES)[n] for n in names]
+    known_texts = templates or TEMPLATES | MENTIONS
+    names, exact = sorted(known_texts), NAMED | {k: [t] for k, t in MENTIONS.items()}
+    texts = [known_texts[n] for n in names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words()
         known = [w.numbers(plain_words(t)) for t in texts]
-        named = [[w.numbers(plain_words(p)).tolist() for p in ([] if templates else NAMED.get(n, []))] for n in names]
+        named = [[w.numbers(plain_words(p)).tolist() for p in ([] if templates else exact.get(n, []))] for n in names]
         seeds = Seeds(known, SEED, w)
         for b in batches:
             out = []
@@ -181,7 +230,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                 found = [(*best_alignment(doc, known[i], at[which == i], place[which == i], named[i]), i) for i in np.unique(which).tolist()]
                 good = [x for x in found if x[0] >= threshold and x[3]]
                 share, first, end, _, i = min(good or found, key=lambda x: (-x[0], -len(known[x[4]]), x[4]), default=(0.0, None, None, False, None))
-                out.append((names[i], share, first, end, len(good)) if good else (None, share, None, None, 0))
+                out.append((names[i].split(":")[0], share, first, end, len({names[x[4]].split(":")[0] for x in good})) if good else (None, share, None, None, 0))
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
             arrays = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "license", "coverage", "first_word", "end_word", "n_licenses"])

@@ -30,6 +30,10 @@ MOST_WORDS = 500_000
 _RUNNING = Words()
 
 
+#: Pairs of places that are looked at together.
+PAIRS = 1 << 20
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """(place in item, place in doc, length) of the tiles of two sequences of word hashes."""
     free = [np.ones(len(item), bool), np.ones(len(doc), bool)]
@@ -49,11 +53,14 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[in
         low, high = np.searchsorted(key, sought, "left"), np.searchsorted(key, sought, "right")
         found: list[tuple[int, int, int]] = []
         longest = 0
-        for k in np.flatnonzero(high > low).tolist():
-            j = int(right[k])
-            for i in left[low[k] : high[k]].tolist():
-                if i and j and item[i - 1] == doc[j - 1] and free[0][i - 1] and free[1][j - 1]:
-                    continue  # part of a match that starts earlier
+        hits = np.flatnonzero(high > low)
+        for some in np.split(hits, np.flatnonzero(np.diff(np.cumsum((high - low)[hits]) // PAIRS)) + 1):
+            count = (high - low)[some]
+            there = np.repeat(right[some], count)
+            here = left[np.repeat(low[some] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            # What continues a match that starts earlier goes, all pairs at once: words repeated many times make very many of them.
+            first = ~((here > 0) & (there > 0) & (item[here - 1] == doc[there - 1]) & free[0][here - 1] & free[1][there - 1])
+            for i, j in zip(here[first].tolist(), there[first].tolist(), strict=True):
                 n = 0  # from the first word on: equal hashes are not taken for equal words
                 while i + n < len(item) and j + n < len(doc) and free[0][i + n] and free[1][j + n] and item[i + n] == doc[j + n]:
                     n += 1
