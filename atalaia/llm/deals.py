@@ -1,9 +1,10 @@
 """Links between sets that meet in deals: pairs offered, sifted and verified, however large a deal is.
 
 A set is dealt by each of its bands, so sets meet where they have a band in common. Small deals offer all their pairs, large ones
-each member's neighbour only. What is offered is sifted by the sets' sketches and verified on their members; then large deals whose members are not all
-connected offer, in rounds, pairs that are not connected yet and that their sketches can't rule out. So a group of thousands of
-copies yields no pair list. A deal beyond MOST members is cut into parts, each pair of which meets in a task of its own.
+each member's neighbour only. What is offered is sifted by the sets' sketches and verified on their members. Then the members of large deals that are not
+all connected meet once more, with their sets: pairs that are not connected and that their sketches can't rule out are verified where they
+meet, and only links that connect come out. So no group yields a pair list. A deal of more than MOST members or BYTES of sets
+is cut into parts, each pair of which meets in a task of its own.
 """
 
 from __future__ import annotations
@@ -20,10 +21,8 @@ from .common import cut
 from .components import components
 from .shingling import alike, bands, shingles
 
-#: Members up to which a deal offers all its pairs at once, and beyond which it is cut into parts.
-SMALL, MOST = 16, 4096
-#: Pairs for each member of a large deal in the rounds before all pairs not connected yet are offered.
-ROUNDS = (4,)
+#: Members up to which a deal offers all its pairs at once; members and bytes of sets beyond which it is cut into parts.
+SMALL, MOST, BYTES = 16, 4096, 64 << 20
 #: Texts to verify (16 bytes each) up to which their names are sent to all tasks; beyond, texts are joined by a shuffle.
 MOST_SENT = 500_000
 
@@ -91,7 +90,7 @@ def starts(x: dict[str, np.ndarray], *of: str) -> np.ndarray:
 
 
 def offers(rows: DataFrame, sift: Sift) -> DataFrame:
-    """(a, b, large) of (deal, key, n): pairs of keys to verify, or where large is true members b of a large deal a."""
+    """(a, b, large) of (deal, key, n): pairs of keys to verify, or where large has a number the members b of a large deal a, and how many elements each has."""
     many = cut(rows.groupBy("deal").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST).select("deal", F.ceil(F.col("n") / MOST).cast("int").alias("parts")))
     if many.isEmpty():
         rows = rows.withColumn("part", F.lit(0))
@@ -111,50 +110,63 @@ def offers(rows: DataFrame, sift: Sift) -> DataFrame:
                     break
                 j = i[fit(n[i], n[i + lag], sift)]
                 if j.size:
-                    yield pa.RecordBatch.from_pydict({"a": np.minimum(key[j], key[j + lag]), "b": np.maximum(key[j], key[j + lag]), "large": np.zeros(len(j), bool)})
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(key[j], key[j + lag]), "b": np.maximum(key[j], key[j + lag]), "large": pa.nulls(len(j), pa.int64())})
             if large.any():
-                yield pa.RecordBatch.from_pydict({"a": x["deal"][large], "b": key[large], "large": np.ones(large.sum(), bool)})
+                yield pa.RecordBatch.from_pydict({"a": x["deal"][large], "b": key[large], "large": n[large]})
 
     # By key, so that neighbours are the same in all deals of one group.
-    return rows.repartition("deal", "part").sortWithinPartitions("deal", "part", "key").mapInArrow(work, "a long, b long, large boolean")
+    return rows.repartition("deal", "part").sortWithinPartitions("deal", "part", "key").mapInArrow(work, "a long, b long, large long")
 
 
-def rest(large: DataFrame, label: DataFrame, sets: DataFrame, sift: Sift, most: int | None = None) -> DataFrame:
-    """(a, b): the pairs of large deals (a, b) whose keys have different labels (node, label) and that their sketches can't rule out.
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of ``others`` shares with ``one``; all are sorted and none is empty."""
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    sizes = np.array([len(x) for x in others])
+    return np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
 
-    With ``most``, so many for each key and deal at most, with keys of the greatest labels, and the same in all deals if they can be.
-    """
-    named = large.select(F.col("a").alias("deal"), F.col("b").alias("key")).join(label.withColumnRenamed("node", "key"), "key", "left")
+
+def rest(large: DataFrame, label: DataFrame, docs: DataFrame, sets: DataFrame, sift: Sift) -> DataFrame:
+    """(a, b): links that connect those members of large deals (a, b, large) which have different labels (node, label) but are linked."""
+    named = large.select(F.col("a").alias("deal"), F.col("b").alias("key"), F.col("large").alias("n")).join(label.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("label", F.coalesce("label", "key"))
-    several = named.groupBy("deal").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("count")).filter("lo < hi")
-    named = named.join(several.select("deal", F.ceil(F.col("count") / MOST).cast("int").alias("parts")), "deal")
+    several = named.groupBy("deal").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("count"), F.sum(F.col("n") * 8).alias("bytes")).filter("lo < hi")
+    parts = F.greatest(F.ceil(F.col("count") / MOST), F.ceil(F.col("bytes") / BYTES)).cast("int")
+    named = cut(named.join(several.select("deal", parts.alias("parts")), "deal"))
+    made = members(named.select("key").distinct(), docs, sets)
     own = F.pmod(F.xxhash64("key"), "parts").cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, own) * F.col("parts") + F.greatest(x, own))
-    named = named.withColumns({"own": own, "pair": F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(pairs))}).drop("parts")
-    named = named.join(sets.select("key", "n", "fp"), "key").select("deal", "pair", "own", "key", "label", "n", "fp")
+    named = named.withColumns({"own": own, "pair": F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(pairs))}).drop("parts", "n")
+    named = named.join(sets.select("key", "fp").join(made, "key"), "key").select("deal", "pair", "own", "key", "label", "fp", "members")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in runs(batches, "deal", "pair"):
-            at, lo, hi = starts(x, "deal", "pair"), [], []
+            at = starts(x, "deal", "pair")
             for p, q in zip(at[:-1], at[1:], strict=True):
-                key, of, n, own = x["key"][p:q], x["label"][p:q], x["n"][p:q].astype(np.int64), x["own"][p:q]
+                key, of, own = x["key"][p:q], x["label"][p:q].copy(), x["own"][p:q]
                 if (of == of[0]).all():
                     continue
+                whole = [np.frombuffer(v, np.uint64) for v in x["members"][p:q]]
+                n = np.array([len(v) for v in whole])
                 apart = own[0] != own[-1]  # two parts: members of one of them meet elsewhere
                 _, back, count = np.unique(of, return_inverse=True, return_counts=True)
-                held = sift.open(list(x["fp"][p:q]), back, count)
+                held, a, b = sift.open(list(x["fp"][p:q]), back, count), [], []
                 few = np.flatnonzero(back != count.argmax())  # each pair of labels has one that is not the greatest
                 turn = np.full(q - p, len(few))
                 turn[few] = np.arange(len(few))
                 for k, i in enumerate(few):
                     j = np.flatnonzero((of != of[i]) & (turn > k) & (own != own[i] if apart else True))
                     j = sift.rest(held, n, i, j[fit(n[i], n[j], sift)])
-                    if most and j.size > most:
-                        j = j[np.lexsort(((key[j] ^ key[i]).view(np.uint64), -count[back[j]]))[:most]]
-                    lo.append(np.minimum(key[i], key[j])), hi.append(np.maximum(key[i], key[j]))
-            if lo:
-                both = np.unique(np.stack([np.concatenate(lo), np.concatenate(hi)]), axis=1)  # deals of one group offer the same pairs
-                yield pa.RecordBatch.from_pydict({"a": both[0], "b": both[1]})
+                    if not j.size:
+                        continue
+                    both = overlaps(whole[i], [whole[m] for m in j])
+                    j = j[both * sift.den >= sift.num * (n[i] + n[j] - both)]
+                    for m in j:
+                        if of[m] != of[i]:
+                            a.append(key[i]), b.append(key[m])
+                            of[of == of[m]] = of[i]
+                if a:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return named.repartition("deal", "pair").sortWithinPartitions("deal", "pair", "own", "key").mapInArrow(work, "a long, b long")
 
@@ -172,29 +184,35 @@ def sifted(pairs: DataFrame, sets: DataFrame, sift: Sift) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, sift: Sift) -> DataFrame:
-    """Those of (a, b), each once, whose sets, made anew from the texts, are alike. ``sets`` has key, mark, n and fp."""
-    pairs = cut(sifted(pairs, sets, sift))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "mark"), "key").select("mark", F.col("key").alias("of"))
+def members(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, members) of distinct keys: their sets, made anew from the texts that ``sets`` (key, mark) names, from a checkpoint."""
+    wanted = cut(keys.join(sets.select("key", "mark"), "key").select("mark", F.col("key").alias("of")))
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of the wanted sets those that the task has made already
         for b in batches:
-            keys = b.column(0).to_pylist()
-            new = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
-            yield pa.RecordBatch.from_pydict({"key": [keys[i] for i in new], "members": [shingles(b.column(1)[i].as_py()).tobytes() for i in new]}, schema=kind)
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(i)] for i in (2, 3))
-            yield b.select([0, 1]).filter(pa.array([alike(v, w, sift.num, sift.den) for v, w in zip(x, y, strict=True)], pa.bool_()))
+            names = b.column(0).to_pylist()
+            new = [i for i, k in enumerate(names) if not (k in seen or seen.add(k))]
+            yield pa.RecordBatch.from_pydict({"key": [names[i] for i in new], "members": [shingles(b.column(1)[i].as_py()).tobytes() for i in new]}, schema=kind)
 
     kind = pa.schema([("key", pa.int64()), ("members", pa.binary())])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # Marks are joined first, ids only: texts that are not wanted don't leave their place unless the wanted ones outgrow a broadcast.
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("mark"))
     found = (rows.join(F.broadcast(wanted), "mark") if wanted.count() <= MOST_SENT else rows.join(wanted, "mark")).select("of", "text")
-    made = cut(found.mapInArrow(members, "key long, members binary").dropDuplicates(["key"]))
+    return cut(found.mapInArrow(work, "key long, members binary").dropDuplicates(["key"]))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, sift: Sift) -> DataFrame:
+    """Those of (a, b), each once, whose sets are alike. ``sets`` has key, mark, n and fp."""
+    pairs = cut(sifted(pairs, sets, sift))
+    made = members(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, sets)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(i)] for i in (2, 3))
+            yield b.select([0, 1]).filter(pa.array([alike(v, w, sift.num, sift.den) for v, w in zip(x, y, strict=True)], pa.bool_()))
+
     both = pairs.join(made.select(F.col("key").alias("a"), F.col("members").alias("x")), "a")
     both = both.join(made.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
@@ -203,12 +221,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, sift: Sift) ->
 def labels(deals: DataFrame, docs: DataFrame, sets: DataFrame, sift: Sift) -> DataFrame:
     """(node, label) of the keys that are linked with others: the least key reachable. ``sets``: key, mark (of a text of ``docs``), n, fp."""
     found = cut(offers(deals, sift))
-    label = cut(components(verified(found.filter("not large").select("a", "b"), docs, sets, sift)))
-    large = found.filter("large").select("a", "b")
-    for most in () if large.isEmpty() else (*ROUNDS, None):
-        more = cut(rest(large, label, sets, sift, most).distinct())
-        if more.isEmpty():
-            break
-        known = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        label = cut(components(known.unionByName(verified(more, docs, sets, sift))))
-    return label
+    label = cut(components(verified(found.filter("large is null").select("a", "b"), docs, sets, sift)))
+    large = found.filter("large is not null")
+    if large.isEmpty():
+        return label
+    known = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return cut(components(known.unionByName(cut(rest(large, label, docs, sets, sift)))))
