@@ -94,14 +94,19 @@ def first_hit(terms: list[str]) -> Column:
     return F.struct(hit.isNotNull().alias("achou"), hit["href"].alias("href"), F.coalesce(has_year(hit["texto"]), F.lit(False)).alias("tem_ano"))
 
 
-def search_hits(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """By page of ``elements`` its first hit, and whether a title alone holds one of the terms; in the page's own row."""
+def search_hits(rows: DataFrame, terms: list[str] | None = None, kind: str = "cig") -> DataFrame:
+    """By page of ``elements`` its first hit, and whether a title alone holds one of the terms; in the page's own row.
+
+    Without terms they are the usual ones for a ``kind`` of document.
+    """
+    terms = terms or K.SEARCH_TERMS[kind]
     titles = F.exists("elementos", lambda e: any_of(F.lower(e["texto"]), [t.lower() for t in terms]))
     return rows.select("page_id", first_hit(terms).alias("a"), titles.alias("no_titulo")).select("page_id", "a.*", "no_titulo")
 
 
-def portal_hits(rows: DataFrame, terms: list[str]) -> DataFrame:
+def portal_hits(rows: DataFrame, terms: list[str] | None = None, kind: str = "cig") -> DataFrame:
     """(page_id, termo, achou, href, tem_ano): the first hit of each term, numbered in the order of the search."""
+    terms = terms or K.SEARCH_TERMS[kind]
     found = F.array(*[F.struct(F.lit(i).alias("termo"), first_hit([t]).alias("a")) for i, t in enumerate(terms)])
     return rows.select("page_id", F.explode(found).alias("f")).select("page_id", "f.termo", "f.a.*")
 

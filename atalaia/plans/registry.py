@@ -11,7 +11,7 @@ from ..functions import constants as K
 from ..functions import links, murmur, text
 from ..operators import ann, chunking, classify, collection, coverage, keywords, maturity, phrases, search, web
 from ..session import shared_folder, table
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..sources.store import Store
 from ..streaming import control, ingest
 from . import settings as S
@@ -46,20 +46,29 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunks(_docs(spark, sf), S.SIZE, S.OVERLAP)
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """What tells one state of the documents' table from another: the session, the folder, and the table's size and time of change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.sparkContext.applicationId, sf, fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()
 
 
 def _build(spark: SparkSession, sf: str) -> str:
-    """Write the index of the documents to a folder of its own, which the session's searches read from then on."""
+    """Write the index of the documents to a folder of its own, which the session's searches read from then on and which goes with the session."""
     folder = shared_folder(spark, "index")
     sinks.write_index(_docs(spark, sf), folder, S.SIZE, S.OVERLAP)
-    _BUILT[(spark.sparkContext.applicationId, sf)] = folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _BUILT[_state(spark, sf)] = folder
     return folder
 
 
 def _index(spark: SparkSession, sf: str) -> search.Index:
-    """The stored index of the documents, built by the first query of a session that needs it."""
-    return search.Index.read(spark, _BUILT.get((spark.sparkContext.applicationId, sf)) or _build(spark, sf))
+    """The stored index of the documents, built by the first query of a session that needs it, and anew when the table has changed."""
+    return search.Index.read(spark, _BUILT.get(_state(spark, sf)) or _build(spark, sf))
 
 
 def _asked(spark: SparkSession) -> DataFrame:
@@ -455,6 +464,29 @@ def org_from_filename(spark, sf):
     return table(spark, sf, "pages").select("page_id", links.agency_of_filename(name).alias("orgao"))
 
 
+@query
+def acronym_table(spark, sf):
+    """Acronyms of nations by a table of names: the regions' two letters for the nations of even keys."""
+    nations = table(spark, sf, "nation")
+    known = nations.filter("n_nationkey % 2 = 0").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("nome"), F.substring("r_name", 1, 2).alias("sigla"))
+    return links.named(nations.select("n_nationkey", "n_name"), "n_name", known).drop("n_name")
+
+
+@query
+def csv_typed(spark, sf):
+    """Orders as a table that people have typed: dates of the day first, points between thousands, a seventh with dates that are none, headings repeated."""
+    path = shared_folder(spark, "typed")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    day = F.when(F.col("o_orderkey") % 7 == 0, F.lit("31/02/2023")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    price = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
+    rows = orders.select(F.col("o_orderkey").cast("string").alias(S.HEADINGS[0]), day.alias(S.HEADINGS[1]), price.alias(S.HEADINGS[2]))
+    again = rows.filter(F.col(S.HEADINGS[0]).cast("long") % 100 == 0).select(*[F.lit(h).alias(h) for h in S.HEADINGS])
+    rows.unionByName(again).write.option("header", "true").option("escape", '"').csv(path)
+    names = [readers.heading(h) for h in S.HEADINGS]
+    got = readers.typed_csv(spark, path, dict(zip(names, ("long", "date", "decimal(15,2)"), strict=True)))
+    return got.select(F.col(names[0]).alias("chave"), F.col(names[1]).alias("data"), F.col(names[2]).cast("double").alias("valor"), "motivo")
+
+
 @query
 def acronym_lookup(spark, sf):
     known = {"BRAZIL": "BR", "FRANCE": "FR", "GERMANY": "DE"}

@@ -48,3 +48,5 @@ NEWER, TERM = "Nova versao: ", "nova"
 PHRASE_PATTERNS = (r"[\p{L}\p{N}_]{5,}", r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+")
 #: What events say as control messages.
 SAID = {"signup": "run", "purchase": "completed", "error": "failed"}
+#: Headings of a typed table, two of them over several lines.
+HEADINGS = ("CHAVE", "DATA DE\nAPRESENTACAO\nDO PEDIDO", "VALOR\nTOTAL")

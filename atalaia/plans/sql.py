@@ -332,6 +332,8 @@ ORACLES = {
 r AS (SELECT id, min(task) AS task FROM e WHERE state = 'run' GROUP BY id), f AS (SELECT id, min_by(state, task) AS state FROM e WHERE state IN ('completed', 'failed') GROUP BY id)
 SELECT id, coalesce(f.state, 'running') AS state, 1::BIGINT AS attempt, task, 1::BIGINT AS runs FROM r LEFT JOIN f USING (id)""",
     "murmur_buckets": _murmur(),
+    "acronym_table": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN substr(r_name, 1, 2) ELSE '' END AS sigla FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "csv_typed": "SELECT o_orderkey AS chave, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS data, CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS DOUBLE) AS valor, CASE WHEN o_orderkey % 7 = 0 THEN 'DATA DE APRESENTACAO DO PEDIDO' END AS motivo FROM orders",
     "postings_stats": _asked(r"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tk) GROUP BY ALL) GROUP BY term", lexical()),
     "like_fallback": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, 0.0::DOUBLE AS score FROM ch WHERE contains(lower(texto), 'idiot') OR contains(lower(texto), 'worthless') ORDER BY chunk_id LIMIT 30",
     "hash_embedding": f"WITH RECURSIVE {CHUNKS},{vectors('ch', 'chunk_id', 'texto', 'cv')} SELECT chunk_id, CAST(bucket AS BIGINT) AS bucket, {rnd('weight', 6)} AS weight FROM cv",

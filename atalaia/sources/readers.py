@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import re
 import time
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import and_
 from typing import TypeVar
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -29,24 +32,39 @@ def agency_names(agencies: list[str] | None) -> list[str]:
     return [a.strip().upper() for a in agencies or [] if a.strip()]
 
 
-def pdf_files(spark: SparkSession, root: str, types: list[str] | None = None, agencies: list[str] | None = None) -> DataFrame:
-    """PDF files below root/<type>/…/<agency>/, with type, agency, name and content; only the types asked for are listed."""
-    paths = [f"{root.rstrip('/')}/{t}" for t in document_types(types)]
+def pdf_files(spark: SparkSession, root: str, types: list[str] | None = None, agencies: list[str] | None = None, untyped: str | None = None, first: int | None = None) -> DataFrame:
+    """PDF files below root/<type>/…/<agency>/, with type, agency, name and content; only the types asked for are listed, and no empty files.
+
+    ``untyped`` names the type of files in root/<agency>/, a layout without types, which are left out without it. With ``first``
+    only so many files of each type and agency are taken, by name.
+    """
+    wanted = document_types(types)
+    paths = [(f"{root.rstrip('/')}/{t}", t, True) for t in wanted] + ([(f"{root.rstrip('/')}/*/*.[pP][dD][fF]", untyped, False)] if untyped in wanted else [])
     frames = []
-    for p in paths:
+    for p, t, deep in paths:
+        reader = spark.read.format("binaryFile")
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]") if deep else reader
         try:
-            frames.append(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(p))
+            rows = reader.load(p)
         except AnalysisException:  # this type has no folder
             continue
+        known = F.element_at(F.split("path", "/"), -2).isin(*K.DOCUMENT_TYPES)
+        frames.append((rows if deep else rows.filter(~known)).filter("length > 0").withColumn("tipo", F.lit(t)))
     if not frames:
         return spark.createDataFrame([], "caminho string, tipo_documento string, orgao string, arquivo string, tamanho long, content binary")
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f)
     parts = F.split("path", "/")
-    kind = F.regexp_extract("path", "/(" + "|".join(K.DOCUMENT_TYPES) + ")/", 1)
-    rows = rows.select(F.col("path").alias("caminho"), kind.alias("tipo_documento"), F.upper(F.element_at(parts, -2)).alias("orgao"), F.element_at(parts, -1).alias("arquivo"), F.col("length").alias("tamanho"), "content")
-    return rows.filter(F.col("orgao").isin(agency_names(agencies))) if agency_names(agencies) else rows
+    rows = rows.select(F.col("path").alias("caminho"), F.col("tipo").alias("tipo_documento"), F.upper(F.element_at(parts, -2)).alias("orgao"), F.element_at(parts, -1).alias("arquivo"), F.col("length").alias("tamanho"), "content")
+    rows = rows.filter(F.col("orgao").isin(agency_names(agencies))) if agency_names(agencies) else rows
+    return first_of_agency(rows, first) if first else rows
+
+
+def first_of_agency(files: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` files of each type and agency by name (ties: by path). Names are ranked without contents, which join what is left."""
+    ranked = files.select("caminho", "tipo_documento", "orgao", "arquivo").withColumn("n", F.row_number().over(Window.partitionBy("tipo_documento", "orgao").orderBy("arquivo", "caminho")))
+    return files.join(ranked.filter(F.col("n") <= n).select("caminho"), "caminho", "left_semi")
 
 
 def catalog(files: DataFrame) -> DataFrame:
@@ -182,6 +200,63 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """(nome, sigla) of a JSON file: an object of acronyms by name, of any size."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("nome", "sigla"))
+    return rows.filter("sigla is not null")
+
+
+#: How dates are written in tables that people have typed.
+DATES = ("dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "dd.MM.yyyy")
+
+
+def heading(name: str) -> str:
+    """A column's heading on one line."""
+    return re.sub(r"\s+", " ", name).strip()
+
+
+def typed_csv(spark: SparkSession, path: str, kinds: dict[str, str], dates: tuple[str, ...] = DATES) -> DataFrame:
+    """A CSV as people leave it: the columns of ``kinds`` by type, ``bruto`` (a map of all cells as they are) and ``motivo``.
+
+    Headings over several lines are named on one, and rows that repeat the headings are dropped. ``kinds`` gives a type by heading: string, date (by the first
+    of ``dates`` that fits), long, double or decimal(p,s), numbers with a point or as 1.234,56. A cell that is not empty and does not fit its type is null,
+    and motivo says which columns these are; so it does for a row of too few or too many cells, which keeps those it has. A missing file is an
+    empty frame, a heading of ``kinds`` that the file lacks an error.
+    """
+    base = lambda: spark.read.option("multiLine", "true").option("quote", '"').option("escape", '"')
+    try:
+        top = base().option("header", "true").csv(path).columns
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", bruto map<string,string>, motivo string")
+    found = [heading(c) for c in top]
+    if lacking := [k for k in kinds if k not in found]:
+        raise ValueError(f"{path} has no column {lacking}")
+    schema = ", ".join(f"c{i} string" for i in range(len(top))) + ", odd string"
+    rows = base().option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "odd").schema(schema).csv(path)
+    clean = lambda i: F.nullif(F.trim(F.regexp_replace(F.coalesce(f"c{i}", F.lit("")), r"\s+", " ")), F.lit(""))
+    same = reduce(and_, [clean(i).eqNullSafe(F.lit(c or None)) for i, c in enumerate(found)])
+    rows = rows.filter(~same)
+
+    def number(c: Column) -> Column:
+        """A number in plain notation: with a comma, points are between thousands."""
+        return F.when(F.contains(c, F.lit(",")), F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(c)
+
+    def value(c: Column, kind: str) -> Column:
+        if kind == "string":
+            return c
+        if kind == "date":
+            return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)).cast("date") for p in dates])
+        return number(c).try_cast(kind)
+
+    cells = {k: clean(found.index(k)) for k in kinds}
+    values = {k: value(cells[k], t) for k, t in kinds.items()}
+    bad = F.array_compact(F.array(F.when(F.col("odd").isNotNull(), F.lit("number of cells")), *[F.when(cells[k].isNotNull() & values[k].isNull(), F.lit(k)) for k in kinds]))
+    raw = F.map_from_arrays(F.array(*[F.lit(f"{i + 1}: {c}") for i, c in enumerate(found)]), F.array(*[F.col(f"c{i}") for i in range(len(found))]))
+    return rows.select(*[v.alias(k) for k, v in values.items()], raw.alias("bruto"), F.nullif(F.array_join(bad, ", "), F.lit("")).alias("motivo"))
+
+
 def json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON document; missing or broken gives an empty frame."""
     try:

@@ -234,6 +234,13 @@ class Store:
                 self.files.drop(f"segments/{s}")
         return [int(n.removesuffix(".json")) for n in old]
 
+    def clear(self) -> list[int]:
+        """Drop every version and all files; returns the versions dropped. Searches that are under way fail."""
+        old = [int(n.removesuffix(".json")) for n in self.files.names("manifests") if n.endswith(".json")]
+        for name in ("manifests", "segments", "drafts"):
+            self.files.drop(name)
+        return old
+
     # Streams.
 
     def feed(self, stream: DataFrame, source: str, checkpoint: str, rows: Callable[[DataFrame], DataFrame] | None = None, order: str | None = None) -> int:
