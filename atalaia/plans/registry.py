@@ -619,6 +619,81 @@ def control_states(spark, sf):
     return control.states(spark, f"{place}/changes")
 
 
+@query
+def windowed_events(spark, sf):
+    """Events of a stream by hour and type."""
+    path, place = f"{sf.rstrip('/')}/events.parquet", shared_folder(spark, "windows")
+    counts = ingest.windowed_counts(ingest.arrived(spark, path, spark.read.parquet(path).schema))
+    ingest.run_once(counts, lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/counts/batch={number}"), f"{place}/checkpoint", "update")
+    rows = spark.read.parquet(f"{place}/counts").select(F.date_format("janela.start", "yyyy-MM-dd HH:mm:ss").alias("inicio"), "event_type", "n", "batch")
+    return rows.groupBy("inicio", "event_type").agg(F.max_by("n", "batch").alias("n"))  # a window's last count
+
+
+@query
+def titles_shown(spark, sf):
+    """Pages' beginnings without control characters, addresses as file names, and titles from addresses alone."""
+    pages = table(spark, sf, "pages")
+    return pages.select("page_id", F.sha1(text.printable(F.substring("html", 1, 300)).cast("binary")).alias("inicio"), text.safe_filename(F.col("url")).alias("arquivo"), text.title_from_url(F.lit(None).cast("string"), F.col("url")).alias("titulo"))
+
+
+@query
+def document_links_kinds(spark, sf):
+    """Links that are likely documents of the other two kinds."""
+    found = _anchors(spark, sf)
+    kinds = [web.document_links(found, k, pdf_only=False).drop("data").withColumn("tipo", F.lit(k)) for k in ("pg", "compliance")]
+    return kinds[0].unionByName(kinds[1])
+
+
+@query
+def snippets_written(spark, sf):
+    """Snippets after they were written by agency and keyword, and read again."""
+    folder = shared_folder(spark, "snippets")
+    sinks.write_snippets(_snippets(spark, sf).select("document_id", "orgao", "keyword", "ordem", "snippet"), folder)
+    rows = spark.read.schema("document_id string, ordem long, snippet string, orgao string, keyword string").json(folder)
+    return rows.select("document_id", "orgao", "keyword", "ordem", F.sha1(F.col("snippet").cast("binary")).alias("resumo"))
+
+
+@query
+def new_keys_written(spark, sf):
+    """Two runs that share keys: each is written once, by the run that had it first."""
+    folder, rows = shared_folder(spark, "keys"), table(spark, sf, "documents").select("doc_id", "source").dropDuplicates(["doc_id"])
+    sinks.write_new(rows.filter("doc_id % 3 = 0").withColumn("rodada", F.lit(1)), folder, "doc_id")
+    sinks.write_new(rows.withColumn("rodada", F.lit(2)), folder, "doc_id")
+    return spark.read.parquet(folder)
+
+
+@query
+def summary_written(spark, sf):
+    """Statistics by agency as the summary of an analysis has them."""
+    at = sinks.write_summary(_docs(spark, sf), _counts(spark, sf), S.KEYWORDS, shared_folder(spark, "summary"))
+    return spark.read.json(at["estatisticas_por_orgao"]).select("orgao", "documentos", "palavras", "ocorrencias", "percentual")
+
+
+@query
+def report_written(spark, sf):
+    """The matrix of agencies and criteria as the report has it, a CSV."""
+    rows = _classified(spark, sf).cache()
+    at = sinks.write_report(rows, shared_folder(spark, "report"))
+    rows.unpersist()
+    kinds = dict(classify.matrix(rows).dtypes)
+    got = spark.read.option("header", "true").csv(at["criterios_orgaos"])
+    return got.select(*[(F.coalesce(c, F.lit("")) if kinds[c] == "string" else F.col(c).cast(kinds[c])).alias(c) for c in got.columns])  # CSV has no empty strings
+
+
+@query
+def retrieve_evidence(spark, sf):
+    """The flagship search by way of the index folder alone."""
+    _index(spark, sf)
+    found, _ = search.retrieve(spark, _BUILT[_state(spark, sf)], _asked(spark))
+    return found.select("query_id", "chunk_id", "score", "score_lexical", "score_semantico", "fontes", "rank", "documento", "pagina", "trecho")
+
+
+@query
+def catalog_files(spark, sf):
+    """Documents as files: their names by type and agency."""
+    return readers.catalog(_docs(spark, sf).select("tipo_documento", "orgao", F.concat("document_id", F.lit(".pdf")).alias("arquivo")))
+
+
 @query
 def label_agreement(spark, sf):
     both = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")

@@ -219,6 +219,16 @@ def _any(x: str, parts: list[str]) -> str:
     return "(" + " OR ".join(f"contains({x}, {text(p)})" for p in parts) + ")"
 
 
+def _likely_other(url: str, title: str) -> str:
+    """Links that are likely documents, for kinds other than minutes: PDFs first, whatever the title says."""
+    any_of = lambda x, xs: "(" + " OR ".join(f"contains({x}, {text(w)})" for w in xs) + ")"
+    u, t = f"lower({url})", f"lower(coalesce({title}, ''))"
+    bare = f"regexp_replace(string_split(string_split({u}, '?')[1], '#')[1], '/+$', '')"
+    early = f"(regexp_matches({bare}, '([.]pdf|-pdf|_pdf)$') OR contains({u}, '.pdf') OR (contains({u}, '/documents/') AND {any_of(u, K.LINK_EARLY_PATHS)}))"
+    general = f"(NOT {any_of(t, K.LINK_TEXT_AGAINST)} AND ({any_of(u, K.LINK_URL_MARKS)} OR ends_with({u}, '-pdf') OR {any_of(t, K.LINK_TEXT_MARKS)}))"
+    return f"{url} <> '' AND ({early} OR {general})"
+
+
 def _likely(url: str, txt: str) -> str:
     u, t = f"lower({url})", f"lower({txt})"
     return f"(NOT {_any(t, K.LINK_TEXT_AGAINST + K.LINK_TEXT_AGAINST_CIG)} AND ({_any(u, K.LINK_URL_MARKS)} OR ends_with({u}, '-pdf') OR {_any(t, K.LINK_TEXT_MARKS)}))"
@@ -334,6 +344,12 @@ SELECT id, coalesce(f.state, 'running') AS state, 1::BIGINT AS attempt, task, 1:
     "murmur_buckets": _murmur(),
     "acronym_table": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN substr(r_name, 1, 2) ELSE '' END AS sigla FROM nation JOIN region ON n_regionkey = r_regionkey",
     "csv_typed": "SELECT o_orderkey AS chave, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS data, CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS DOUBLE) AS valor, CASE WHEN o_orderkey % 7 = 0 THEN 'DATA DE APRESENTACAO DO PEDIDO' END AS motivo FROM orders",
+    "windowed_events": "SELECT strftime(date_trunc('hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS inicio, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "titles_shown": r"SELECT page_id, sha1(regexp_replace(substr(html, 1, 300), '[\p{C}\p{Zl}\p{Zp}]', ' ', 'g')) AS inicio, regexp_replace(url, '[^\p{L}\p{N} ._]', '_', 'g') AS arquivo, coalesce(nullif(trim(translate(url_decode(string_split(regexp_replace(regexp_replace(string_split_regex(url, '[?#]')[1], '^[a-z]+://[^/]*', ''), '/+$', ''), '/')[-1]), '-_', '  ')), ''), 'documento') AS titulo FROM pages".replace("\\\\", "\\"),
+    "document_links_kinds": f"WITH {_ANCHORS} " + " UNION ALL ".join(f"SELECT page_id, pos, link, CASE WHEN texto <> '' THEN texto ELSE 'documento' END AS titulo, '{k}' AS tipo FROM al WHERE {_likely_other('link', 'texto')}" for k in ("pg", "compliance")),
+    "snippets_written": rf"WITH {SNIPPETS} SELECT document_id, orgao, keyword, ordem, sha1(regexp_replace(snippet, '[\p{{C}}\p{{Zl}}\p{{Zp}}]', ' ', 'g')) AS resumo FROM sn".replace("\\\\", "\\"),
+    "new_keys_written": "SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS rodada FROM documents",
+    "catalog_files": f"WITH {DOCS} SELECT tipo_documento, orgao, count(*) AS n, string_agg(document_id || '.pdf', ',' ORDER BY document_id || '.pdf') AS arquivos FROM d GROUP BY ALL",
     "postings_stats": _asked(r"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tk) GROUP BY ALL) GROUP BY term", lexical()),
     "like_fallback": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, 0.0::DOUBLE AS score FROM ch WHERE contains(lower(texto), 'idiot') OR contains(lower(texto), 'worthless') ORDER BY chunk_id LIMIT 30",
     "hash_embedding": f"WITH RECURSIVE {CHUNKS},{vectors('ch', 'chunk_id', 'texto', 'cv')} SELECT chunk_id, CAST(bucket AS BIGINT) AS bucket, {rnd('weight', 6)} AS weight FROM cv",
@@ -399,3 +415,5 @@ ORACLES["matrix_selected"] = f"SELECT orgao, criterio, classificacao, printf('%.
 ORACLES["words_shown"] = f"WITH {DOCS}, g AS (SELECT orgao, count(*) AS n, sum(len({words('text')})) AS w FROM d GROUP BY orgao) SELECT orgao, replace(format('{{:,}}', CAST(n AS BIGINT)), ',', '.') AS documentos, replace(format('{{:,}}', CAST(w AS BIGINT)), ',', '.') AS palavras FROM g"
 ORACLES["keywords_ranked"] = f"""SELECT keyword, coalesce(c.ocorrencias, 0) AS ocorrencias, {rnd("coalesce(c.ocorrencias, 0) * 100.0::DOUBLE / w", 2)} AS percentual, row_number() OVER (ORDER BY coalesce(c.ocorrencias, 0) DESC, keyword) AS posicao
 FROM (SELECT unnest({listed([*S.KEYWORDS, S.ABSENT])}) AS keyword) AS k LEFT JOIN ({ORACLES["keyword_counts_global"]}) AS c USING (keyword) CROSS JOIN (WITH {DOCS} SELECT sum(len({words("text")})) AS w FROM d) AS t"""
+#: Queries that differ from others in the way alone, by files that are written and read.
+ORACLES |= {"retrieve_evidence": ORACLES["hybrid_rrf_topk"], "summary_written": ORACLES["org_estimates"], "report_written": ORACLES["org_criterion_matrix"]}
