@@ -58,11 +58,17 @@ def _state(spark: SparkSession, sf: str) -> tuple:
 
 def _build(spark: SparkSession, sf: str) -> str:
     """Write the index of the documents to a folder of its own, which the session's searches read from then on and which goes with the session."""
-    folder = shared_folder(spark, "index")
+    folder = _own_folder(spark, "index")
     sinks.write_index(_docs(spark, sf), folder, S.SIZE, S.OVERLAP)
+    _BUILT[_state(spark, sf)] = folder
+    return folder
+
+
+def _own_folder(spark: SparkSession, what: str) -> str:
+    """A new shared folder that goes with the session."""
+    folder = shared_folder(spark, what)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    _BUILT[_state(spark, sf)] = folder
     return folder
 
 
@@ -137,11 +143,17 @@ def _arrivals(spark, sf):
 
 
 def _store(spark, sf):
-    store = Store(spark, shared_folder(spark, "store"), S.SIZE, S.OVERLAP)
+    """The store of three batches, built by the first query of a session that needs it."""
+    key = ("store", *_state(spark, sf))
+    if key in _BUILT:
+        return Store(spark, _BUILT[key], S.SIZE, S.OVERLAP)
+    folder = _own_folder(spark, "store")
+    store = Store(spark, folder, S.SIZE, S.OVERLAP)
     first, second, gone = _arrivals(spark, sf)
     store.upsert(first, "chegada")
     store.upsert(second, "chegada")
     store.delete(gone)
+    _BUILT[key] = folder
     return store
 
 
@@ -162,7 +174,7 @@ def index_versions(spark, sf):
 @query
 def index_stream(spark, sf):
     """Postings of an index that a stream of the documents' files has fed."""
-    place, path = shared_folder(spark, "fed"), f"{sf.rstrip('/')}/documents.parquet"
+    place, path = _own_folder(spark, "fed"), f"{sf.rstrip('/')}/documents.parquet"
     store = Store(spark, f"{place}/store", S.SIZE, S.OVERLAP)
     store.feed(ingest.arrived(spark, path, spark.read.parquet(path).schema), "documents", f"{place}/checkpoint", chunking.document_rows)
     return store.read().postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -206,7 +218,7 @@ def cosine_topk(spark, sf):
 @query
 def cells_topk_exact(spark, sf):
     """The same questions asked of an index by cells, in its exact mode."""
-    vectors, folder = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), shared_folder(spark, "cells")
+    vectors, folder = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), _own_folder(spark, "cells")
     ann.write(vectors, folder)
     asked = vectors.filter(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     return ann.search(ann.Cells.read(spark, folder), asked, 30, exact=True).withColumnRenamed("id", "vec_id")
@@ -475,7 +487,7 @@ def acronym_table(spark, sf):
 @query
 def csv_typed(spark, sf):
     """Orders as a table that people have typed: dates of the day first, points between thousands, a seventh with dates that are none, headings repeated."""
-    path = shared_folder(spark, "typed")
+    path = _own_folder(spark, "typed")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     day = F.when(F.col("o_orderkey") % 7 == 0, F.lit("31/02/2023")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
     price = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
@@ -611,7 +623,7 @@ def streamed_ingest_counts(spark, sf):
 @query
 def control_states(spark, sf):
     """Events as control messages of their users: a sign-up asks for a run, purchases and errors end it."""
-    path, place = f"{sf.rstrip('/')}/events.parquet", shared_folder(spark, "control")
+    path, place = f"{sf.rstrip('/')}/events.parquet", _own_folder(spark, "control")
     said = F.create_map(*[F.lit(x) for k in S.SAID.items() for x in k])[F.col("event_type")]
     stream = ingest.arrived(spark, path, spark.read.parquet(path).schema)
     messages = stream.select(F.col("user_id").cast("string").alias("id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("task"), said.alias("state"), F.lit(None).cast("map<string,string>").alias("params"))
@@ -622,7 +634,7 @@ def control_states(spark, sf):
 @query
 def windowed_events(spark, sf):
     """Events of a stream by hour and type."""
-    path, place = f"{sf.rstrip('/')}/events.parquet", shared_folder(spark, "windows")
+    path, place = f"{sf.rstrip('/')}/events.parquet", _own_folder(spark, "windows")
     counts = ingest.windowed_counts(ingest.arrived(spark, path, spark.read.parquet(path).schema))
     ingest.run_once(counts, lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/counts/batch={number}"), f"{place}/checkpoint", "update")
     rows = spark.read.parquet(f"{place}/counts").select(F.date_format("janela.start", "yyyy-MM-dd HH:mm:ss").alias("inicio"), "event_type", "n", "batch")
@@ -647,7 +659,7 @@ def document_links_kinds(spark, sf):
 @query
 def snippets_written(spark, sf):
     """Snippets after they were written by agency and keyword, and read again."""
-    folder = shared_folder(spark, "snippets")
+    folder = _own_folder(spark, "snippets")
     sinks.write_snippets(_snippets(spark, sf).select("document_id", "orgao", "keyword", "ordem", "snippet"), folder)
     rows = spark.read.schema("document_id string, ordem long, snippet string, orgao string, keyword string").json(folder)
     return rows.select("document_id", "orgao", "keyword", "ordem", F.sha1(F.col("snippet").cast("binary")).alias("resumo"))
@@ -656,7 +668,7 @@ def snippets_written(spark, sf):
 @query
 def new_keys_written(spark, sf):
     """Two runs that share keys: each is written once, by the run that had it first."""
-    folder, rows = shared_folder(spark, "keys"), table(spark, sf, "documents").select("doc_id", "source").dropDuplicates(["doc_id"])
+    folder, rows = _own_folder(spark, "keys"), table(spark, sf, "documents").select("doc_id", "source").dropDuplicates(["doc_id"])
     sinks.write_new(rows.filter("doc_id % 3 = 0").withColumn("rodada", F.lit(1)), folder, "doc_id")
     sinks.write_new(rows.withColumn("rodada", F.lit(2)), folder, "doc_id")
     return spark.read.parquet(folder)
@@ -665,7 +677,7 @@ def new_keys_written(spark, sf):
 @query
 def summary_written(spark, sf):
     """Statistics by agency as the summary of an analysis has them."""
-    at = sinks.write_summary(_docs(spark, sf), _counts(spark, sf), S.KEYWORDS, shared_folder(spark, "summary"))
+    at = sinks.write_summary(_docs(spark, sf), _counts(spark, sf), S.KEYWORDS, _own_folder(spark, "summary"))
     return spark.read.json(at["estatisticas_por_orgao"]).select("orgao", "documentos", "palavras", "ocorrencias", "percentual")
 
 
@@ -673,7 +685,7 @@ def summary_written(spark, sf):
 def report_written(spark, sf):
     """The matrix of agencies and criteria as the report has it, a CSV."""
     rows = _classified(spark, sf).cache()
-    at = sinks.write_report(rows, shared_folder(spark, "report"))
+    at = sinks.write_report(rows, _own_folder(spark, "report"))
     rows.unpersist()
     kinds = dict(classify.matrix(rows).dtypes)
     got = spark.read.option("header", "true").csv(at["criterios_orgaos"])

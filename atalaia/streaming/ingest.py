@@ -1,4 +1,4 @@
-"""Streams: files as they arrive, and control messages."""
+"""Streams: files as they arrive, counts, and control messages (see ``control``)."""
 
 from __future__ import annotations
 
@@ -74,20 +74,3 @@ def arrived(spark: SparkSession, path: str, schema) -> DataFrame:
 def commands(spark: SparkSession, folder: str) -> DataFrame:
     """Control messages: one JSON file each, state run, running or completed."""
     return spark.readStream.schema("id string, task string, state string, params map<string,string>").json(folder)
-
-
-def answered(handle: Callable[[dict], None], out: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that runs each message in state run and writes its states running and completed.
-
-    Messages are few and each starts a job of its own, so the driver takes them one by one.
-    """
-
-    def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        for r in batch.filter("state = 'run'").dropDuplicates(["id"]).toLocalIterator():
-            states = "id string, state string"
-            spark.createDataFrame([(r["id"], "running")], states).write.mode("append").json(out)
-            handle(r.asDict(recursive=True))
-            spark.createDataFrame([(r["id"], "completed")], states).write.mode("append").json(out)
-
-    return work

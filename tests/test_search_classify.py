@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from atalaia import cli
 from atalaia.operators import chunking, classify, coverage, search, web
 from atalaia.sources import readers, sinks
-from atalaia.streaming import ingest
+from atalaia.streaming import control, ingest
 
 DOCS = [
     ("d1", "A", "pg", "O conselho aprovou o plano de integridade. A denúncia foi apurada pelo comitê de ética em reunião."),
@@ -162,8 +162,9 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in" / "1.json").write_text('{"id": "t1", "task": "x", "state": "run", "params": {"a": "b"}}')
     done = []
     for _ in range(2):  # the second start finds nothing new
-        ingest.run_once(ingest.commands(spark, str(tmp_path / "in")), ingest.answered(lambda m: done.append(m["id"]), str(tmp_path / "out")), str(tmp_path / "c2"))
-    assert done == ["t1"] and sorted(x.state for x in spark.read.json(str(tmp_path / "out")).collect()) == ["completed", "running"]
+        control.serve(ingest.commands(spark, str(tmp_path / "in")), lambda begun: done.extend(r.id for r in begun.collect()), str(tmp_path / "out"), str(tmp_path / "c2"))
+        control.say(spark, str(tmp_path / "in"), control.states(spark, str(tmp_path / "out")).filter("state = 'running'"), "completed")
+    assert done == ["t1"] and [(x.state, x.runs) for x in control.states(spark, str(tmp_path / "out")).collect()] == [("completed", 1)]
 
 
 def test_axis_weights_of_a_criteria_file(spark, tmp_path):
