@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators.classify import CRITERION
+from ..operators.search import small
 
 T = TypeVar("T")
 
@@ -64,7 +65,7 @@ def pdf_files(spark: SparkSession, root: str, types: list[str] | None = None, ag
 def first_of_agency(files: DataFrame, n: int) -> DataFrame:
     """The first ``n`` files of each type and agency by name (ties: by path). Names are ranked without contents, which join what is left."""
     ranked = files.select("caminho", "tipo_documento", "orgao", "arquivo").withColumn("n", F.row_number().over(Window.partitionBy("tipo_documento", "orgao").orderBy("arquivo", "caminho")))
-    return files.join(ranked.filter(F.col("n") <= n).select("caminho"), "caminho", "left_semi")
+    return files.join(small(ranked.filter(F.col("n") <= n).select("caminho")), "caminho", "left_semi")
 
 
 def catalog(files: DataFrame) -> DataFrame:
