@@ -10,7 +10,6 @@ are left, which are compared. So a half that very many words share costs no comp
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
