@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PRETOKEN, Cache, Parts, prepare, tokenizer_path
+from .common import PRETOKEN, Cache, Parts, prepare, tidied, tokenizer_path
 
 
 def byte_letters() -> dict[str, int]:
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             flat, lengths = bpe.encode_array(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(flat, lengths)], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(work), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -198,7 +198,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
             texts = bpe.decode_batch(ids.flatten().to_numpy().astype(np.int64), ids.value_lengths().fill_null(0).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(work, "doc_id long, ids array<int>, text string")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(tidied(work), "doc_id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -211,7 +211,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             flat, lengths = bpe.encode_array(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(flat, lengths), pa.array(bpe.decode_batch(flat, lengths), pa.string())], ["doc_id", "ids", "text"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>, text string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(work), "doc_id long, ids array<int>, text string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import os
 import uuid
@@ -86,6 +88,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` of a partition, after which what it has freed goes back to the system: a worker lives on, and would else keep what its largest task took."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def mapped(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over batches as dicts of Python lists; ``work`` is given the iterator of one partition."""
 
@@ -103,7 +120,7 @@ def mapped(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterable[d
 
     spark_schema = StructType.fromDDL(schema)
     kinds = to_arrow_schema(spark_schema)
-    return df.mapInArrow(run, spark_schema)
+    return df.mapInArrow(tidied(run), spark_schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

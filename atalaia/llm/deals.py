@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidied
 from .components import components
 from .shingling import alike, bands, shingles
 
@@ -58,7 +58,7 @@ def dealt(sets: DataFrame, sketch: str, size: int, rows: int) -> DataFrame:
                 times = deals.shape[1]
                 yield pa.RecordBatch.from_pydict({"deal": deals.ravel(), "key": np.repeat(b.column(0).to_numpy(), times), "n": np.repeat(b.column(1).to_numpy(), times)})
 
-    return sets.select("key", "n", sketch).mapInArrow(work, "deal long, key long, n int")
+    return sets.select("key", "n", sketch).mapInArrow(tidied(work), "deal long, key long, n int")
 
 
 def runs(batches: Iterator[pa.RecordBatch], *of: str) -> Iterator[dict[str, np.ndarray]]:
@@ -115,7 +115,7 @@ def offers(rows: DataFrame, sift: Sift) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"a": x["deal"][large], "b": key[large], "large": n[large]})
 
     # By key, so that neighbours are the same in all deals of one group.
-    return rows.repartition("deal", "part").sortWithinPartitions("deal", "part", "key").mapInArrow(work, "a long, b long, large long")
+    return rows.repartition("deal", "part").sortWithinPartitions("deal", "part", "key").mapInArrow(tidied(work), "a long, b long, large long")
 
 
 def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -168,7 +168,7 @@ def rest(large: DataFrame, label: DataFrame, docs: DataFrame, sets: DataFrame, s
                 if a:
                     yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return named.repartition("deal", "pair").sortWithinPartitions("deal", "pair", "own", "key").mapInArrow(work, "a long, b long")
+    return named.repartition("deal", "pair").sortWithinPartitions("deal", "pair", "own", "key").mapInArrow(tidied(work), "a long, b long")
 
 
 def sifted(pairs: DataFrame, sets: DataFrame, sift: Sift) -> DataFrame:
@@ -181,7 +181,7 @@ def sifted(pairs: DataFrame, sets: DataFrame, sift: Sift) -> DataFrame:
 
     x, y = (sets.select(F.col("key").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("n").cast("long").alias(f"n_{k}")) for k in "ab")
     both = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "fp_a", "fp_b", F.col("n_a") + F.col("n_b"))
-    return both.mapInArrow(work, "a long, b long")
+    return both.mapInArrow(tidied(work), "a long, b long")
 
 
 def members(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def members(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     # Marks are joined first, ids only: texts that are not wanted don't leave their place unless the wanted ones outgrow a broadcast.
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("mark"))
     found = (rows.join(F.broadcast(wanted), "mark") if wanted.count() <= MOST_SENT else rows.join(wanted, "mark")).select("of", "text")
-    return cut(found.mapInArrow(work, "key long, members binary").dropDuplicates(["key"]))
+    return cut(found.mapInArrow(tidied(work), "key long, members binary").dropDuplicates(["key"]))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, sift: Sift) -> DataFrame:
@@ -215,7 +215,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, sift: Sift) ->
 
     both = pairs.join(made.select(F.col("key").alias("a"), F.col("members").alias("x")), "a")
     both = both.join(made.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(tidied(check), "a long, b long"))
 
 
 def labels(deals: DataFrame, docs: DataFrame, sets: DataFrame, sift: Sift) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Cache, cut, prepare
+from .common import Cache, cut, prepare, tidied
 
 #: Words of a window and of the phrases among which its anchor is chosen.
 WINDOW, PHRASE = 50, 10
@@ -189,7 +189,7 @@ def _marks(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             own = [b.column(0), b.column(1), pa.array(seq, pa.binary()), pa.array([len(x) for x in split], pa.int64())]
             yield pa.RecordBatch.from_arrays([*own, *_lists(found)], ["id", "tie", "seq", "n", "keys", "many"])
 
-    return docs.select("id", "tie", "text").mapInArrow(work, "id long, tie long, seq binary, n long, keys array<long>, many array<int>")
+    return docs.select("id", "tie", "text").mapInArrow(tidied(work), "id long, tie long, seq binary, n long, keys array<long>, many array<int>")
 
 
 def _lists(found: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
@@ -212,7 +212,7 @@ def _longer(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
                 found.append(_counted(key[some], at[some]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(found)], ["id", "tie", "keys", "many"])
 
-    return docs.select("id", "tie", "text", "wanted").mapInArrow(work, "id long, tie long, keys array<long>, many array<int>")
+    return docs.select("id", "tie", "text", "wanted").mapInArrow(tidied(work), "id long, tie long, keys array<long>, many array<int>")
 
 
 def _segments(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
@@ -242,7 +242,7 @@ def _segments(docs: DataFrame, window: int, phrase: int, tier: int) -> DataFrame
                 out["key"] += key[a].tolist()
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("key", pa.int64()), ("words", pa.binary())]))
 
-    return docs.select("id", "tie", "text", "wanted").mapInArrow(work, "id long, tie long, start long, key long, words binary")
+    return docs.select("id", "tie", "text", "wanted").mapInArrow(tidied(work), "id long, tie long, start long, key long, words binary")
 
 
 def _grouped_repeats(segments: DataFrame, window: int, phrase: int, tier: int) -> DataFrame:
@@ -264,7 +264,7 @@ def _grouped_repeats(segments: DataFrame, window: int, phrase: int, tier: int) -
             yield pa.RecordBatch.from_pydict(spans_of(held, w, window, phrase, tier))
 
     dealt = segments.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(work, "id long, tie long, a long, b long")
+    return dealt.mapInArrow(tidied(work), "id long, tie long, a long, b long")
 
 
 def shared_prefixes(places: DataFrame) -> DataFrame:
@@ -338,4 +338,4 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), b.column(3)], ["doc_id", "text", "n_words", "n_removed", "rest"])
 
     kind = StructType([*StructType.fromDDL("doc_id long, text string, n_words long, n_removed long"), rows.schema["rest"]])
-    return whole.unionByName(none).mapInArrow(work, kind)
+    return whole.unionByName(none).mapInArrow(tidied(work), kind)

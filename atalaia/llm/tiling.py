@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mapped, prepare
+from .common import cut, mapped, prepare, tidied
 from .seeds import Seeds, plain_words
 from .suffix import Words, runs
 
@@ -164,7 +164,7 @@ def _sent(rows: DataFrame, items: DataFrame, threshold: float, least: int) -> Da
                 out.append(_best([(c, i, n) for c, n, i in found], threshold))
             yield _batch(b, out)
 
-    return rows.mapInArrow(work, _schema(rows))
+    return rows.mapInArrow(tidied(work), _schema(rows))
 
 
 def _by_size(texts: list[np.ndarray], least: int) -> dict[int, list[int]]:
