@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.murmur import murmur_bucket
 from ..functions.text import index_tokens, query_tokens, rounded, word_tokens
+from . import blocks
 
 #: Questions that may be sent to all tasks; more are joined by a shuffle.
 MOST_QUESTIONS = 20_000
@@ -237,7 +238,7 @@ def semantic(index: DataFrame | Index, asked: DataFrame, limit: int = K.SEMANTIC
     """(query_id, chunk_id, orgao, score, posicao): best chunks of an index, or of chunks, by cosine of hashed vectors, six digits, ties by chunk_id.
 
     A few questions go to every task as dense vectors and are multiplied in the chunk's row, so that nothing is shuffled but the
-    best of each task; more are joined by bucket.
+    best of each task; more are multiplied in blocks (``blocks``), and those beyond the size that is sent to tasks are joined by bucket.
     """
     index = Index.of(index, dimensions or (None if isinstance(index, Index) else K.DIMENSIONS))
     q = asked.select("query_id", F.col("orgao").alias("q_orgao"), "tipos", (index.embed or embedding)(F.col("pergunta"), index.dimensions).alias("qv"))
@@ -251,6 +252,9 @@ def semantic(index: DataFrame | Index, asked: DataFrame, limit: int = K.SEMANTIC
         pairs = pairs.select("query_id", "chunk_id", "orgao", F.aggregate("vector", F.lit(0.0), lambda a, e: a + F.get("q", e["bucket"]) * e["weight"]).alias("dot")).filter("dot <> 0")
         scored = pairs.select("query_id", "chunk_id", "orgao", rounded(F.col("dot"), 6).alias("score"))
         return top(scored, limit, F.desc("score"), F.col("chunk_id"), keys=by)
+    most = blocks.MOST_CELLS // index.dimensions
+    if q.limit(most + 1).count() <= most:
+        return top(blocks.search(c, q.toArrow(), index.dimensions, limit, by_agency), limit, F.desc("score"), F.col("chunk_id"), keys=by)
     q = q.select("query_id", "q_orgao", "tipos", F.explode("qv").alias("e")).select("query_id", "q_orgao", "tipos", "e.bucket", F.col("e.weight").alias("qw"))
     c = c.select("chunk_id", "orgao", "tipo_documento", F.explode("vector").alias("e")).select("chunk_id", "orgao", "tipo_documento", "e.bucket", "e.weight")
     joined = c.join(small(q), "bucket").filter(allowed("tipo_documento", "orgao"))

@@ -236,6 +236,13 @@ def semantic_topk_filtered(spark, sf):
     return search.semantic(_index(spark, sf), _asked(spark)).select("query_id", "chunk_id", "score", "posicao")
 
 
+@query
+def semantic_many(spark, sf):
+    """Every item of the benchmark asked of all chunks: more questions than a row multiplies."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("pergunta"), F.lit(None).cast("string").alias("orgao"), F.lit(None).cast("array<string>").alias("tipos"))
+    return search.semantic(_index(spark, sf), asked).select("query_id", "chunk_id", "score", "posicao")
+
+
 @query
 def hybrid_rrf_topk(spark, sf):
     parts = _index(spark, sf)

@@ -356,6 +356,7 @@ SELECT id, coalesce(f.state, 'running') AS state, 1::BIGINT AS attempt, task, 1:
     "cosine_topk": _COSINE,
     "cells_topk_exact": _COSINE,
     "semantic_topk_filtered": _asked("SELECT query_id, chunk_id, score, posicao FROM sem", semantic()),
+    "semantic_many": f"WITH RECURSIVE {CHUNKS}, q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS pergunta, NULL::VARCHAR AS q_orgao, NULL::VARCHAR[] AS tipos FROM benchmark),{semantic()}\nSELECT query_id, chunk_id, score, posicao FROM sem",
     "hybrid_rrf_topk": _asked(f"SELECT query_id, chunk_id, score, {rnd('sl', 6)} AS score_lexical, {rnd('sv', 6)} AS score_semantico, fontes, rank, document_id AS documento, pagina, texto AS trecho FROM hy JOIN ch USING (chunk_id)", lexical(), semantic(), fused()),
     "hybrid_batch_criteria": _asked("SELECT query_id AS criterio, chunk_id, score, fontes, rank FROM hy", lexical(), semantic(), fused(), rows=_CRITERIA_Q),
     "criterion_classification": _classified("SELECT orgao, criterio, eixo_imga, peso_criterio, classificacao, pontuacao, score_ponderado, score_recuperacao, evidencias_total, array_to_string(achadas, ',') AS palavras_chave_encontradas FROM cs"),

@@ -28,7 +28,7 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize(
     "name",
-    ["chunk_identity", "document_totals", "bm25_topk", "semantic_topk_filtered", "hybrid_rrf_topk", "criterion_classification", "org_indicators", "keyword_counts_page", "snippets", "snippets_near_dedup", "segment_scores", "imga_document", "link_dedup", "bfs_hubs", "title_dates", "rolling_avg_last10", "bm25_phrases", "cited_answer", "negative_labels", "document_links_pdf", "indicator_means", "index_build", "anchors_paragraphs", "search_hits", "portal_links", "collection_flow", "matrix_selected", "words_shown", "keywords_ranked", "keyword_counts_phrases", "control_states", "csv_typed", "new_keys_written"],
+    ["chunk_identity", "document_totals", "bm25_topk", "semantic_topk_filtered", "semantic_many", "hybrid_rrf_topk", "criterion_classification", "org_indicators", "keyword_counts_page", "snippets", "snippets_near_dedup", "segment_scores", "imga_document", "link_dedup", "bfs_hubs", "title_dates", "rolling_avg_last10", "bm25_phrases", "cited_answer", "negative_labels", "document_links_pdf", "indicator_means", "index_build", "anchors_paragraphs", "search_hits", "portal_links", "collection_flow", "matrix_selected", "words_shown", "keywords_ranked", "keyword_counts_phrases", "control_states", "csv_typed", "new_keys_written"],
 )
 def test_query_equals_sql(spark, db, name):
     got = registry.QUERIES[name](spark, SF)
