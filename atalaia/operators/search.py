@@ -21,8 +21,8 @@ from . import blocks
 
 #: Questions that may be sent to all tasks; more are joined by a shuffle.
 MOST_QUESTIONS = 20_000
-#: Distinct terms that a scan of postings is filtered by, and questions that are multiplied in a chunk's row.
-MOST_TERMS, MOST_IN_ROW = 1000, 24
+#: Distinct terms that a scan of postings is filtered by.
+MOST_TERMS = 1000
 #: Sparse unit vectors (entries of bucket and weight, by bucket) of a text column with so many dimensions.
 Embedder = Callable[[Column, int], Column]
 QUESTION = "query_id string, pergunta string, orgao string, tipos array<string>"
@@ -237,21 +237,13 @@ def batch_embedder(name: str, function: Callable[[pd.Series], np.ndarray]) -> Em
 def semantic(index: DataFrame | Index, asked: DataFrame, limit: int = K.SEMANTIC_LIMIT, dimensions: int | None = None, by_agency: bool = False) -> DataFrame:
     """(query_id, chunk_id, orgao, score, posicao): best chunks of an index, or of chunks, by cosine of hashed vectors, six digits, ties by chunk_id.
 
-    A few questions go to every task as dense vectors and are multiplied in the chunk's row, so that nothing is shuffled but the
-    best of each task; more are multiplied in blocks (``blocks``), and those beyond the size that is sent to tasks are joined by bucket.
+    Questions go to every task as a matrix and are multiplied in blocks (``blocks``), so that nothing is shuffled but the best of each
+    task; those beyond the size that is sent to tasks are joined by bucket.
     """
     index = Index.of(index, dimensions or (None if isinstance(index, Index) else K.DIMENSIONS))
     q = asked.select("query_id", F.col("orgao").alias("q_orgao"), "tipos", (index.embed or embedding)(F.col("pergunta"), index.dimensions).alias("qv"))
     c = index.vectors.select("chunk_id", "orgao", "tipo_documento", "vector")
     by = ("query_id", "orgao") if by_agency else ("query_id",)
-    if q.limit(MOST_IN_ROW + 1).count() <= MOST_IN_ROW:
-        weights = F.map_from_entries(F.transform("qv", lambda e: F.struct(e["bucket"].cast("int"), e["weight"])))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(index.dimensions - 1)), lambda b: F.coalesce(F.try_element_at("w", b), F.lit(0.0)))
-        q = q.select("query_id", "q_orgao", "tipos", weights.alias("w")).select("query_id", "q_orgao", "tipos", dense.alias("q"))
-        pairs = c.join(F.broadcast(q), allowed("tipo_documento", "orgao"))
-        pairs = pairs.select("query_id", "chunk_id", "orgao", F.aggregate("vector", F.lit(0.0), lambda a, e: a + F.get("q", e["bucket"]) * e["weight"]).alias("dot")).filter("dot <> 0")
-        scored = pairs.select("query_id", "chunk_id", "orgao", rounded(F.col("dot"), 6).alias("score"))
-        return top(scored, limit, F.desc("score"), F.col("chunk_id"), keys=by)
     most = blocks.MOST_CELLS // index.dimensions
     if q.limit(most + 1).count() <= most:
         return top(blocks.search(c, q.toArrow(), index.dimensions, limit, by_agency), limit, F.desc("score"), F.col("chunk_id"), keys=by)

@@ -55,8 +55,8 @@ def test_no_chunks_and_no_questions(spark):
     assert blocks.search(vectors, rows, SIZE, 3).count() == 0
 
 
-def test_all_three_plans_agree(spark, monkeypatch):
-    """In the row, in blocks, and joined by bucket."""
+def test_both_plans_agree(spark, monkeypatch):
+    """In blocks, and joined by bucket; a question has the same rows beside few and many others."""
     texts = ["plano de integridade", "canal de denúncia", "plano de risco e plano de metas", "", "integridade"]
     chunks = spark.createDataFrame([(f"c{i}", "A", "ata", t) for i, t in enumerate(texts * 3)], "chunk_id string, orgao string, tipo_documento string, texto string")
     index = search.Index(chunks, None, None, search.vectors(chunks))
@@ -66,7 +66,7 @@ def test_all_three_plans_agree(spark, monkeypatch):
     plan = in_blocks._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     want = sorted(map(tuple, in_blocks.collect()))
+    few = sorted(map(tuple, search.semantic(index, some, 5).collect()))
     monkeypatch.setattr(blocks, "MOST_CELLS", 0)
     assert sorted(map(tuple, search.semantic(index, asked, 5).collect())) == want
-    few = sorted(map(tuple, search.semantic(index, some, 5).collect()))
     assert few and few == [x for x in want if x[0] in {r.query_id for r in some.collect()}]

@@ -187,7 +187,7 @@ def test_stored_index_answers_without_texts(spark, chunks, tmp_path):
         plan = stored._jdf.queryExecution().executedPlan().toString()
         assert "texto" not in plan and "CartesianProduct" not in plan
     assert "PushedFilters: [IsNotNull(term)" in search.bm25(index, asked)._jdf.queryExecution().toString() or "In(term" in search.bm25(index, asked)._jdf.queryExecution().toString()
-    many = search.questions(spark, [(f"q{i}", "denúncia plano", None, None) for i in range(search.MOST_IN_ROW + 1)])
+    many = search.questions(spark, [(f"q{i}", "denúncia plano", None, None) for i in range(30)])
     few = search.questions(spark, [("q0", "denúncia plano", None, None)])
     assert search.semantic(index, many).filter("query_id = 'q0'").collect() == search.semantic(index, few).collect()
     with pytest.raises(ValueError):
