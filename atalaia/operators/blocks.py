@@ -43,12 +43,10 @@ class Questions:
     """The questions of one search: a matrix, their ids and what chunks they allow."""
 
     def __init__(self, rows: pa.Table, dimensions: int):
-        rows = rows.combine_chunks()
-        at = lambda c: rows.column(c).combine_chunks() if rows.num_rows else rows.column(c).cast(rows.schema.field(c).type).combine_chunks()
-        self.ids, self.matrix = at("query_id"), dense(at("qv"), dimensions)
+        self.ids, self.matrix = rows.column("query_id").combine_chunks(), dense(rows.column("qv").combine_chunks(), dimensions)
         self.agency = rows.column("q_orgao").to_pylist()
         self.types = [set(t) if t else None for t in rows.column("tipos").to_pylist()]
-        self.above, self.below = np.maximum(self.matrix, 0), np.minimum(self.matrix, 0)
+        self.signed = bool((self.matrix < 0).any())
         self._of_type: dict[str | None, np.ndarray] = {}
 
     def of_type(self, kind: str | None) -> np.ndarray:
@@ -59,7 +57,8 @@ class Questions:
 
     def bound(self, block: np.ndarray) -> np.ndarray:
         """A score that no row of the block passes, of each question."""
-        return self.above @ np.maximum(block.max(0), 0) + self.below @ np.minimum(block.min(0), 0)
+        most, least = np.maximum(block.max(0), 0), np.minimum(block.min(0), 0)
+        return np.maximum(self.matrix, 0) @ most + np.minimum(self.matrix, 0) @ least if self.signed else self.matrix @ most
 
 
 def _codes(values: pa.Array) -> tuple[np.ndarray, list]:
