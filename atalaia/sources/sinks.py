@@ -19,14 +19,15 @@ def write_index(docs: DataFrame, folder: str, size: int = K.CHUNK_SIZE, overlap:
     """
     spark = docs.sparkSession
     at = {k: f"{folder.rstrip('/')}/{k}" for k in ("documents", "chunks", "postings", "term_stats", "corpus_stats", "vectors", "manifest")}
-    last_of(docs, "document_id", order).write.mode("overwrite").parquet(at["documents"])
+    put = lambda rows, k, *by: rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(at[k])
+    put(last_of(docs, "document_id", order), "documents")
     docs = spark.read.parquet(at["documents"])
-    chunking.chunks(docs, size, overlap).write.mode("overwrite").partitionBy("tipo_documento").parquet(at["chunks"])
+    put(search.numbered(chunking.chunks(docs, size, overlap)), "chunks", "tipo_documento")
     parts = spark.read.parquet(at["chunks"])
-    search.write_postings(search.postings(parts), at["postings"])
-    search.term_stats(spark.read.parquet(at["postings"]).select("term")).write.mode("overwrite").parquet(at["term_stats"])
-    search.corpus_stats(parts).write.mode("overwrite").parquet(at["corpus_stats"])
-    search.vectors(parts, dimensions).withColumn("dimensions", F.lit(dimensions)).write.mode("overwrite").parquet(at["vectors"])
+    search.write_postings(search.posting_blocks(parts), at["postings"])
+    put(search.block_counts(spark.read.parquet(at["postings"])).select("term", "df"), "term_stats")
+    put(parts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus_stats")
+    put(search.vectors(parts, dimensions).withColumn("dimensions", F.lit(dimensions)), "vectors")
     total = coverage.index_counts(docs, parts).withColumn("gerado_em", F.current_timestamp())
     types = coverage.manifest(docs).agg(F.collect_list(F.struct("*")).alias("por_tipo"))
     total.crossJoin(types).write.mode("overwrite").json(at["manifest"])

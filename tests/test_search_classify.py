@@ -192,3 +192,16 @@ def test_stored_index_answers_without_texts(spark, chunks, tmp_path):
     assert search.semantic(index, many).filter("query_id = 'q0'").collect() == search.semantic(index, few).collect()
     with pytest.raises(ValueError):
         search.semantic(index, asked, dimensions=7)
+
+
+def test_stored_postings_equal_those_of_chunks(spark, tmp_path):
+    """Blocks name chunks by number, are made without a shuffle and give back every posting with its places."""
+    docs = spark.createDataFrame([("1", "A", "t", "a b a\nb a c"), ("2", None, None, None), ("3", "B", "u", "Ação a-b ação\n?!"), ("4", "B", "u", "c " * 500)], "document_id string, orgao string, tipo_documento string, text string")
+    sinks.write_index(docs, str(tmp_path), 300, 50)
+    written = spark.read.parquet(str(tmp_path / "postings"))
+    assert written.columns == ["term", "numeros", "ends", "places"]
+    assert "Exchange" not in search.posting_blocks(spark.read.parquet(str(tmp_path / "chunks")))._jdf.queryExecution().executedPlan().toString()
+    index = search.Index.read(spark, str(tmp_path))
+    want = search.postings(chunking.chunks(docs, 300, 50))
+    assert sorted(map(str, index.postings.collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(tuple, search.block_counts(written).collect())) == sorted(map(tuple, want.groupBy("term").agg(F.count(F.lit(1)), F.sum("tf")).collect()))
