@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -143,3 +144,16 @@ def test_maturity(spark):
     assert index["c"] == (0.0, "Incipiente") and index["a"][1] == "Avancada"
     bands = spark.createDataFrame([(25.0,), (25.01,), (50.0,), (75.0,), (75.01,)], "x double").select(maturity.band(F.col("x")).alias("b")).collect()
     assert [b.b for b in bands] == ["Incipiente", "Basica", "Basica", "Intermediaria", "Avancada"]
+
+
+def test_hard_split_is_one_pass(spark):
+    """Windows as slices give them, of any characters; a text of three million characters takes seconds, as no window counts them from the first."""
+    texts = ["", "a", "x" * 100, "ab\U0001f600ção " * 50, "l\nm " * 90, "   " + "y" * 250]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "i int, t string")
+    for size, overlap in ((100, 20), (100, 0), (30, 25), (5, 9)):
+        step = max(1, size - overlap)
+        want = [[w for k in range(0, max(len(t), 1), step) if (w := t[k : k + size].strip(" "))] for t in texts] + [[]]
+        assert [r.w for r in rows.orderBy("i").select(chunking.hard_split(F.col("t"), size, overlap).alias("w")).collect()] == want
+    start = time.time()
+    long = spark.range(1).select(F.repeat(F.lit("abcdefghij"), 300_000).alias("t"))
+    assert long.select(F.size(chunking.hard_split(F.col("t"), 100, 20))).first()[0] == 37_500 and time.time() - start < 20
