@@ -9,7 +9,7 @@ something better (a vector is no nearer to the question than its centroid's angl
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
-from .search import dense_cosine, small, top
+from . import blocks
+from .search import dense_cosine, sent_questions, small, top
 
 #: Vectors that centroids are learned from at most, cells at most (centroids go to every task), and vectors that a cell should have.
 SAMPLE, MOST_CELLS, CELL = 20_000, 4096, 256
@@ -148,6 +149,45 @@ def _cells(index: Cells, asked: DataFrame, probe: int, beyond: bool) -> DataFram
     return rows.mapInArrow(work, _SCHEMA.format(kind))
 
 
+@dataclass
+class Looked:
+    """Which questions look into a cell: those that have it among their ``probe`` nearest, or with ``last`` those others that may find a vector of that score or more in it."""
+
+    cell: np.ndarray
+    centers: np.ndarray
+    radius: np.ndarray
+    probe: int
+    #: Scores of the questions' last places, NaN where there is none.
+    last: np.ndarray | None = None
+
+    def __call__(self, cell: int, asked: blocks.Asked) -> np.ndarray:
+        at = np.flatnonzero(self.cell == cell)
+        if not len(at):
+            return at
+        if not hasattr(asked, "nearness"):  # of the last cell to look into, once a task
+            k = len(self.cell) - self.probe
+            asked.nearness = np.concatenate([np.partition(asked.unit[i : i + blocks.STEP] @ self.centers.T, k, axis=1)[:, k] for i in range(0, len(asked.unit), blocks.STEP)])
+        near = asked.unit @ self.centers[at[0]]
+        first = near >= asked.nearness - 1e-12
+        if self.last is not None:
+            best = np.cos(np.maximum(np.arccos(np.clip(near, -1, 1)) - self.radius[at[0]], 0))
+            first = ~first & (best >= np.where(np.isnan(self.last), -2, self.last) - 1e-6)  # scores are rounded
+        return np.flatnonzero(first & (asked.norm > 0))
+
+
+def _in_blocks(index: Cells, asked: blocks.Asked, limit: int, probe: int, exact: bool) -> DataFrame:
+    """search() of questions that go to every task."""
+    own = Looked(index.cell, index.centers, index.radius, probe)
+    ranked = lambda of: top(blocks.nearest(index.vectors, asked, limit, of), limit, F.desc("score"), F.col("id"))
+    first = ranked(own)
+    if not exact or probe == len(index.cell):
+        return first
+    first = first.cache()
+    last = dict(first.filter(F.col("posicao") == limit).select("query_id", "score").toArrow().to_pandas().itertuples(index=False))  # a row a question
+    more = ranked(replace(own, last=np.array([last.get(i, np.nan) for i in asked.ids.to_pylist()], float)))
+    return top(first.drop("posicao").unionByName(more.drop("posicao")), limit, F.desc("score"), F.col("id"))
+
+
 def _ranked(index: Cells, wanted: DataFrame, limit: int) -> DataFrame:
     """(query_id, id, score, posicao) of the vectors in the wanted cells of each question."""
     named = [r["cell"] for r in wanted.select("cell").distinct().limit(MOST_NAMED + 1).collect()]
@@ -166,6 +206,9 @@ def search(index: Cells, asked: DataFrame, limit: int = 30, probe: int | None =
     a scan of all vectors. Vectors and questions of length 0 are not found and find nothing.
     """
     n = min(probe or index.probe, len(index.cell))
+    held = sent_questions(asked)
+    if held and held.width == index.centers.shape[1]:
+        return _in_blocks(index, held, limit, n, exact)
     first = _ranked(index, _cells(index, asked, n, False), limit)
     if not exact:
         return first

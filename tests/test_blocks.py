@@ -70,3 +70,17 @@ def test_both_plans_agree(spark, monkeypatch):
     monkeypatch.setattr(blocks, "MOST_CELLS", 0)
     assert sorted(map(tuple, search.semantic(index, asked, 5).collect())) == want
     assert few and few == [x for x in want if x[0] in {r.query_id for r in some.collect()}]
+
+
+def test_dense_questions_in_blocks(spark, monkeypatch):
+    """In blocks as joined: ties, vectors without length, null numbers and other lengths; cells in exact mode find the same."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(300)] + [(300, [0.0] * 4), (301, None), (302, [1.0, None, 1.0, 1.0]), (303, [1.0]), (304, [])]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>").repartition(3)
+    asked = vectors.filter("id % 10 = 0 and size(vector) = 4").selectExpr("id as query_id", "vector as query")
+    found = lambda limit: sorted(map(str, search.dense_cosine(vectors, asked, limit, "id", "vector").collect()))
+    plan = search.dense_cosine(vectors, asked, 5, "id", "vector")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+    got = [found(5), found(400)]
+    monkeypatch.setattr(blocks, "MOST_CELLS", 0)
+    assert got == [found(5), found(400)]
