@@ -1,6 +1,7 @@
 """Search, fusion, labels, index files, command line, streams."""
 
 import math
+import re
 import sqlite3
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from atalaia import cli
 from atalaia.operators import chunking, classify, coverage, search, web
 from atalaia.sources import readers, sinks
+from atalaia.sources.store import last_of
 from atalaia.streaming import control, ingest
 
 DOCS = [
@@ -205,3 +207,26 @@ def test_stored_postings_equal_those_of_chunks(spark, tmp_path):
     want = search.postings(chunking.chunks(docs, 300, 50))
     assert sorted(map(str, index.postings.collect())) == sorted(map(str, want.collect()))
     assert sorted(map(tuple, search.block_counts(written).collect())) == sorted(map(tuple, want.groupBy("term").agg(F.count(F.lit(1)), F.sum("tf")).collect()))
+
+
+def test_searches_of_a_stored_index_shuffle_no_chunks(spark, tmp_path):
+    """Hits are summed where their join with chunks has put them, texts stay where they are, and unique ids are not shuffled to be made unique."""
+    docs = spark.createDataFrame(DOCS, "document_id string, orgao string, tipo_documento string, text string")
+    sinks.write_index(docs, str(tmp_path))
+    index = search.Index.read(spark, str(tmp_path))
+    assert "hash_texto" not in spark.read.parquet(str(tmp_path / "chunks")).columns and "hash_texto" in index.chunks.columns
+    asked = search.questions(spark, [("q", "denúncia plano", None, None)])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if chunks were many
+    try:
+        assert not re.search(r"hashpartitioning\(query_id#\d+, (numero|chunk_id)", plan(search.bm25(index, asked)))
+        found = plan(search.evidence(search.hybrid(index, asked), index))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "chunk_id" in found and not [x for x in found.split("\n") if "SortMergeJoin [chunk_id" in x]
+    phrases = search.questions(spark, [("p", "pré-aviso", None, None)])
+    assert search.bm25(index, phrases).count() == 1
+    assert "Exchange" not in plan(last_of(docs, "document_id", None))
+    twice = docs.unionByName(docs.withColumn("text", F.lit("~")))
+    assert {x.text for x in last_of(twice.filter("document_id <> 'd1' or text <> '~'"), "document_id", None).collect()} == {"~", DOCS[0][3]}
