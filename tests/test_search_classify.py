@@ -230,3 +230,17 @@ def test_searches_of_a_stored_index_shuffle_no_chunks(spark, tmp_path):
     assert "Exchange" not in plan(last_of(docs, "document_id", None))
     twice = docs.unionByName(docs.withColumn("text", F.lit("~")))
     assert {x.text for x in last_of(twice.filter("document_id <> 'd1' or text <> '~'"), "document_id", None).collect()} == {"~", DOCS[0][3]}
+
+
+def test_index_of_chunks_that_are_cut_once(spark, tmp_path):
+    """Searches answer as from chunks made anew, without cutting texts again; vectors of types that no question asks for are not made."""
+    docs = spark.createDataFrame(DOCS, "document_id string, orgao string, tipo_documento string, text string")
+    cut = chunking.chunks(docs, 60, 10)
+    index = search.Index.once(cut, str(tmp_path / "said"))
+    asked = search.questions(spark, [("q", "plano de integridade denúncia", None, ["pg"]), ("r", "pré-aviso", None, ["pg", "cig"])])
+    for f in (search.bm25, search.semantic, search.hybrid):
+        got = f(index, asked)
+        assert sorted(map(str, got.collect())) == sorted(map(str, f(cut, asked).collect())) and got.count() > 2
+    plan = search.semantic(index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "hash_texto" not in plan and "posexplode" not in plan and "In(tipo_documento, [cig,pg])" in plan
+    assert index.chunks.count() == cut.count()
