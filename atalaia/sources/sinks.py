@@ -18,22 +18,45 @@ def write_index(docs: DataFrame, folder: str, size: int = K.CHUNK_SIZE, overlap:
     ``search.Index.read``.
     """
     spark = docs.sparkSession
-    at = {k: f"{folder.rstrip('/')}/{k}" for k in ("documents", "chunks", "postings", "term_stats", "corpus_stats", "vectors", "manifest")}
-    put = lambda rows, k, *by: rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(at[k])
-    put(last_of(docs, "document_id", order), "documents")
+    at = _folders(folder, "documents", "chunks", "postings", "term_stats", "corpus_stats", "vectors", "manifest")
+    _put(last_of(docs, "document_id", order), at["documents"])
     docs = spark.read.parquet(at["documents"])
-    put(search.numbered(chunking.chunks(docs, size, overlap)), "chunks", "tipo_documento")
-    parts = spark.read.parquet(at["chunks"])
-    search.write_postings(search.posting_blocks(parts), at["postings"])
-    put(search.block_counts(spark.read.parquet(at["postings"])).select("term", "df"), "term_stats")
-    put(parts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus_stats")
-    put(search.vectors(parts, dimensions).withColumn("dimensions", F.lit(dimensions)), "vectors")
+    parts = _write_lexical(docs, at, size, overlap)
+    _put(search.block_counts(spark.read.parquet(at["postings"])).select("term", "df"), at["term_stats"])
+    _put(search.vectors(parts, dimensions).withColumn("dimensions", F.lit(dimensions)), at["vectors"])
     total = coverage.index_counts(docs, parts).withColumn("gerado_em", F.current_timestamp())
     types = coverage.manifest(docs).agg(F.collect_list(F.struct("*")).alias("por_tipo"))
     total.crossJoin(types).write.mode("overwrite").json(at["manifest"])
     return at
 
 
+def write_search_index(docs: DataFrame, folder: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, order: str | None = None) -> dict[str, str]:
+    """Write what searches alone need: chunks, postings and statistics of the documents that write_index takes. Returns the folders.
+
+    Documents are not copied, and vectors, which follow from the chunks, are made by the searches that need them (``search.Index.lean``).
+    """
+    at = _folders(folder, "chunks", "postings", "corpus_stats")
+    _write_lexical(last_of(docs, "document_id", order), at, size, overlap)
+    return at
+
+
+def _folders(folder: str, *names: str) -> dict[str, str]:
+    return {k: f"{folder.rstrip('/')}/{k}" for k in names}
+
+
+def _put(rows: DataFrame, path: str, *by: str) -> None:
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
+
+
+def _write_lexical(docs: DataFrame, at: dict[str, str], size: int, overlap: int) -> DataFrame:
+    """Write chunks, postings and statistics; the chunks as they are stored."""
+    _put(search.numbered(chunking.chunks(docs, size, overlap)), at["chunks"], "tipo_documento")
+    parts = docs.sparkSession.read.parquet(at["chunks"])
+    search.write_postings(search.posting_blocks(parts), at["postings"])
+    _put(parts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), at["corpus_stats"])
+    return parts
+
+
 def write_report(rows: DataFrame, folder: str, sample: int = K.SAMPLE_SIZE, axis_weights: dict[str, float] | None = None) -> dict[str, str]:
     """Write classifications, indicators (with the axes' weights given, else the usual ones), the matrix and the sample for a human check."""
     at = {k: f"{folder.rstrip('/')}/{k}" for k in ("classificacoes", "indicadores_orgaos", "criterios_orgaos", "amostra_manual", "relatorio")}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from atalaia import cli
 from atalaia.operators import chunking, classify, coverage, search, web
+from atalaia.plans import registry
 from atalaia.sources import readers, sinks
 from atalaia.sources.store import last_of
 from atalaia.streaming import control, ingest
@@ -232,6 +233,22 @@ def test_searches_of_a_stored_index_shuffle_no_chunks(spark, tmp_path):
     assert {x.text for x in last_of(twice.filter("document_id <> 'd1' or text <> '~'"), "document_id", None).collect()} == {"~", DOCS[0][3]}
 
 
+def test_search_index_holds_no_more_than_searches_need(spark, tmp_path, monkeypatch):
+    """No copy of documents and no vectors are stored; searches answer as from the whole index, of a repeated document too."""
+    docs = spark.createDataFrame([*DOCS, DOCS[0]], "document_id string, orgao string, tipo_documento string, text string")
+    at = sinks.write_search_index(docs, str(tmp_path / "lean"))
+    sinks.write_index(docs, str(tmp_path / "whole"))
+    assert {x.name for x in (tmp_path / "lean").iterdir()} == set(at) == {"chunks", "postings", "corpus_stats"}
+    lean, whole = search.Index.lean(spark, str(tmp_path / "lean")), search.Index.read(spark, str(tmp_path / "whole"))
+    asked = search.questions(spark, [("q", "plano de integridade denúncia", None, None), ("r", "pré-aviso", None, ["pg", "cig"])])
+    for f in (search.bm25, search.semantic, search.hybrid):
+        got = f(lean, asked)
+        assert sorted(map(str, got.collect())) == sorted(map(str, f(whole, asked).collect())) and got.count() > 2
+    monkeypatch.setattr(registry, "_BUILT", {})
+    registry.QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001")
+    assert [k[0] for k in registry._BUILT] == ["search"]  # no whole index
+
+
 def test_index_of_chunks_that_are_cut_once(spark, tmp_path):
     """Searches answer as from chunks made anew, without cutting texts again; vectors of types that no question asks for are not made."""
     docs = spark.createDataFrame(DOCS, "document_id string, orgao string, tipo_documento string, text string")
