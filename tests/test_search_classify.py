@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atalaia import cli
-from atalaia.operators import chunking, classify, coverage, search, web
+from atalaia.operators import chunking, classify, coverage, scan, search, web
 from atalaia.plans import registry
 from atalaia.sources import readers, sinks
 from atalaia.sources.store import last_of
@@ -261,3 +261,47 @@ def test_index_of_chunks_that_are_cut_once(spark, tmp_path):
     plan = search.semantic(index, asked)._jdf.queryExecution().executedPlan().toString()
     assert "hash_texto" not in plan and "posexplode" not in plan and "In(tipo_documento, [cig,pg])" in plan
     assert index.chunks.count() == cut.count()
+
+
+def test_searches_store_chunks_alone(spark, tmp_path, monkeypatch):
+    """What the session's searches keep is smaller than the texts, ids and postings that they would need, and neither phrases nor scores are shuffled."""
+    monkeypatch.setattr(registry, "_BUILT", {})
+    monkeypatch.setattr(registry, "_own_folder", lambda spark, what: f"{tmp_path}/{what}")
+    for name in ("bm25_phrases", "criterion_classification", "label_distribution", "org_criterion_matrix", "matrix_selected", "org_ranking"):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert [x.name for x in tmp_path.iterdir()] == ["search"]
+    kept = spark.read.parquet(str(tmp_path / "search"))
+    assert set(kept.columns) == {"document_id", "orgao", "tipo_documento", "pagina_inicial", "pagina_final", "ordem", "texto"}
+    index = search.Index.kept(spark, str(tmp_path / "search"))
+    want = registry._chunks(spark, "/root/testdata/sf0.001")
+    assert index.chunks.dtypes == want.dtypes and index.chunks.exceptAll(want).count() == want.exceptAll(index.chunks).count() == 0
+    plan = search.bm25(index, search.questions(spark, [("p", "of-the and-the", None, None)]))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # that of the best of each task
+
+
+def test_scan_equals_postings(spark, tmp_path, monkeypatch):
+    """Scores from texts are those from postings: phrases, repeats, filters, ties and nulls, in small parts too; more terms than may be sent are joined."""
+    rows = [(str(i), None if i % 11 == 0 else "AB"[i % 2], None if i % 7 == 0 else "tu"[i % 2], f"a a a b{i % 3} c-a. Ação b{i % 5} a b\n?!\n" + "x a " * (i % 4)) for i in range(60)]
+    cut = chunking.chunks(spark.createDataFrame(rows, "document_id string, orgao string, tipo_documento string, text string"), 30, 10).coalesce(2).persist()
+    index = search.Index.once(cut, str(tmp_path / "once"))
+    asked = search.questions(spark, [("p", "acao-b1 a-a a-a-a b1-a", None, None), ("q", "a-b0 acao acao xyzzy", "A", None), ("r", "acao-b2 a-a-b", None, ["t"]), ("s", "xyzzy", None, []), ("t", "??", None, None)])
+
+    def same():
+        for limit, by_agency in ((1000, False), (3, True)):
+            got, want = search.bm25(index, asked, limit, by_agency), search.bm25(cut, asked, limit, by_agency)
+            rows = sorted(map(str, got.collect()))
+            assert got.dtypes == want.dtypes and rows == sorted(map(str, want.collect())) and len(rows) > 6
+
+    same()
+    monkeypatch.setattr(scan, "STEP", 5)
+    monkeypatch.setattr(scan, "MOST_KEPT", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        same()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    none = search.bm25(index, asked.filter("query_id in ('s', 't')"))
+    assert none.count() == 0 and none.columns == search.bm25(cut, asked).columns
+    monkeypatch.setattr(search, "MOST_QUESTIONS", 2)
+    monkeypatch.setattr(scan, "search", None)
+    same()
