@@ -140,3 +140,18 @@ def test_gradients():
 def test_threshold_separates_best():
     x, y = np.array([3.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 0])
     assert tox.best_threshold(x, y, np.ones(4)) == 1.5
+
+
+def test_every_text_of_a_doc_id_is_learned(spark, monkeypatch):
+    """All texts of one id count as labelled rows, and several parts have as many epochs as one."""
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"a mild text of {i}") for i in ids] + [(i, f"the second text, {'vile ' * (i % 2)}number {i}") for i in ids]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    got = sorted((r.doc_id, r.text, r.y) for r in tox.labelled(docs, labels).collect())
+    assert got == sorted((i, t, i % 2) for i, t in [*rows, rows[0]])
+    asked, summed = [], tox._summed
+    monkeypatch.setattr(tox, "PART_ROWS", 40)
+    monkeypatch.setattr(tox, "_summed", lambda dealt, weights, epochs: asked.append(epochs) or summed(dealt, weights, epochs))
+    tox.fit(docs, labels)
+    assert asked == [tox.EPOCHS]
